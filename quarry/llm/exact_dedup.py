@@ -41,13 +41,16 @@ def radix_groups(docs: DataFrame, first: int = 64, growth: int = 8, widest: int
     )
     width, closed = first, []
     while True:
-        groups = counted.groupBy("group", "run").agg(
-            F.count("*").alias("size"), F.max(F.struct("doc_id", "row")).alias("keep"), F.min("row").alias("next")
+        sums = counted.groupBy("group", "run").agg(
+            F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("best"), F.min("row").alias("next")
         )
-        done = (F.col("size") == 1) | (F.octet_length("run") < width)
+        # stored, so that the join below shuffles both its sides and can be split where a group is hot
+        groups = scratch.store(sums.where("n > 1"))
+        done = F.col("n").isNull() | (F.octet_length("run") < width)
         level = scratch.store(
-            carried.join(groups, ["group", "run"]).select(
-                "doc_id", "row", "text_sha256", "keep", "size", done.alias("done"),
+            carried.join(groups, ["group", "run"], "left").select(
+                "doc_id", "row", "text_sha256", F.coalesce("best", F.struct("doc_id", "row")).alias("keep"),
+                F.coalesce("n", F.lit(1).cast("long")).alias("size"), done.alias("done"),
                 F.when(~done, F.col("next")).alias("group"),
                 F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
                 *kept_columns,
