@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,9 +28,10 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Bpe:
-    """Encodes and decodes as the vocabulary file says. ``cache`` bounds the pieces whose ids a worker remembers."""
+    """Encodes and decodes as the vocabulary file says. A worker that
+    remembers more than ``cache`` pieces forgets them before the next batch."""
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, self.cache_size = spec["model"]["vocab"], cache
@@ -37,84 +41,112 @@ class Bpe:
         byte_of = {c: b for b, c in shown.items()}
         self.byte_ids = [vocab[shown[b]] for b in range(256)]
         self.bytes_of = {i: bytes(byte_of[c] for c in token) for token, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
-        #: (left id, right id) to (rank, merged id)
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
+        #: by rank: left, right and merged id
+        self.merges: list[tuple[int, int, int]] = []
+        for pair in spec["model"]["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges.append((vocab[a], vocab[b], vocab[a + b]))
         self.pieces = regex.compile(PATTERN).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.prepare()
+        self.forget()
+
+    def prepare(self) -> None:
+        """Look-ups that follow from byte_ids and merges."""
+        self.base = 1 + max(max(m) for m in self.merges) if self.merges else 1
+        keys = np.array([a * self.base + b for a, b, _ in self.merges], np.int64)
+        self.pair_ranks = np.argsort(keys, kind="stable")
+        self.pair_keys = keys[self.pair_ranks]
+        earliest: dict[int, int] = {}
+        for rank, (a, b, _) in enumerate(self.merges):
+            earliest.setdefault(a, rank)
+            earliest.setdefault(b, rank)
+        #: ranks whose product takes part in a merge of a lower rank, which must then go first
+        self.late = {rank for rank, (_, _, c) in enumerate(self.merges) if earliest.get(c, rank) < rank}
+
+    def forget(self) -> None:
+        #: pieces by number, and of each its count of ids, the ids as text, and the bytes that they decode to
+        self.number: dict[str, int] = defaultdict(itertools.count().__next__)
+        self.counts: list[int] = []
+        self.shown: list[str] = []
+        self.raw: list[bytes] = []
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 if it has no merge."""
+        key = left.astype(np.int64) * self.base + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
 
     def encode_pieces(self, pieces: Iterable[str]) -> list[list[int]]:
         """Ids of each piece; all of them share one index."""
-        pieces = list(pieces)
-        if not pieces:
-            return []
-        ids, start, after, before = [], [], [], []
-        for piece in pieces:
-            start.append(len(ids))
-            ids.extend(map(self.byte_ids.__getitem__, piece.encode("utf-8", "surrogatepass")))
-            own = range(start[-1], len(ids))
-            after.extend(i + 1 for i in own)
-            before.extend(i - 1 for i in own)
-            if own:
-                after[-1], before[start[-1]] = -1, -1
-        index: dict[int, list[int]] = {}
-        merges, result = self.merges, {}
-
-        def note(at: int) -> int | None:
-            if (to := after[at]) >= 0 and (found := merges.get((ids[at], ids[to]))):
-                if (places := index.get(found[0])) is None:
-                    index[found[0]] = [at]
-                    heapq.heappush(heap, found[0])
+        data = [p.encode("utf-8", "surrogatepass") for p in pieces]
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        ends = sizes.cumsum()
+        ids = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(data), np.uint8)]
+        after, before = np.arange(1, len(ids) + 1, dtype=np.int32), np.arange(-1, len(ids) - 1, dtype=np.int32)
+        after[ends[sizes > 0] - 1] = -1
+        before[(ends - sizes)[sizes > 0]] = -1
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Puts the pairs that begin at these places into the lists of their ranks."""
+            ranks = self._ranks(ids[at], ids[after[at]])
+            order = np.argsort(ranks, kind="stable")
+            ranks, at = ranks[order], at[order]
+            starts = np.flatnonzero(np.diff(ranks, prepend=-1))
+            for rank, places in zip(ranks[starts].tolist(), np.split(at, starts)[1:], strict=True):
+                if (have := index.get(rank)) is None:
+                    index[rank] = [places]
+                    heapq.heappush(heap, rank)
                 else:
-                    places.append(at)
-                result[found[0]] = found[1]
-                return found[0]
-            return None
+                    have.append(places)
 
-        heap: list[int] = []
-        for at in range(len(ids)):
-            note(at)
+        if self.merges:
+            note(np.flatnonzero(after >= 0))
         while heap:
             rank = heapq.heappop(heap)
-            places, new = sorted(index.pop(rank)), result[rank]
-            for k, at in enumerate(places):
-                to = after[at]
-                # the place may have gone with an earlier merge: its symbols tell
-                if ids[at] < 0 or to < 0 or merges.get((ids[at], ids[to]), (-1,))[0] != rank:
-                    continue
-                ids[at], ids[to] = new, -1
-                after[at] = after[to]
-                if after[at] >= 0:
-                    before[after[at]] = at
-                lower = note(at)
-                left = note(before[at]) if before[at] >= 0 else None
-                if min(x for x in (lower, left, rank + 1) if x is not None) <= rank and k + 1 < len(places):
-                    # a pair that ranks before this one has come up: it goes first
-                    rest = places[k + 1 :]
-                    if rank in index:
-                        index[rank].extend(rest)
-                    else:
-                        index[rank] = rest
-                        heapq.heappush(heap, rank)
-                    break
-        ends = [*start[1:], len(ids)]
-        return [[i for i in ids[a:b] if i >= 0] for a, b in zip(start, ends, strict=True)]
-
-    def learn(self, texts: Iterable[list[str]]) -> None:
-        """Encodes the pieces that aren't known yet, some at a time, so that the index stays small."""
-        known = self.known
-        fresh = {p for pieces in texts for p in pieces if p not in known}
-        if len(known) + len(fresh) > self.cache_size:
-            known.clear()
-            fresh = {p for pieces in texts for p in pieces}
-        fresh = list(fresh)
-        for k in range(0, len(fresh), 20_000):
-            block = fresh[k : k + 20_000]
-            for piece, ids in zip(block, self.encode_pieces(block), strict=True):
-                known[piece] = (len(ids), ",".join(map(str, ids)), b"".join(map(self.bytes_of.__getitem__, ids)))
+            left, right, new = self.merges[rank]
+            lists = index.pop(rank)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            to = after[at]
+            # places that went with an earlier merge no longer show this pair
+            still = (ids[at] == left) & (to >= 0) & (ids[to] == right)
+            at, to = at[still], to[still]
+            if left == right and len(at) > 1:
+                # in a run of overlapping places every other one is merged, from the left
+                chained = np.append(False, at[1:] == to[:-1])
+                place = np.arange(len(at))
+                odd = (place - np.maximum.accumulate(np.where(chained, 0, place))) % 2 == 1
+                at, to = at[~odd], to[~odd]
+            if rank in self.late and len(at) > 1:
+                # a lower rank may come up within a piece: only its first place now
+                piece = np.searchsorted(ends, at, "right")
+                first = np.append(True, piece[1:] != piece[:-1])
+                if not first.all():
+                    index[rank] = [at[~first]]
+                    heapq.heappush(heap, rank)
+                    at, to = at[first], to[first]
+            if not len(at):
+                continue
+            beyond = after[to]
+            ids[at], ids[to], after[at] = new, -1, beyond
+            inner = beyond >= 0
+            before[beyond[inner]] = at[inner]
+            ahead = before[at]
+            note(np.concatenate([at[inner], ahead[ahead >= 0]]))
+        alive = ids >= 0
+        kept = np.append(0, alive.cumsum())[np.append(0, ends)]
+        flat = ids[alive].tolist()
+        return [flat[a:b] for a, b in itertools.pairwise(kept.tolist())]
+
+    def learn(self) -> None:
+        """Encodes the pieces that have a number but no ids yet."""
+        fresh = list(itertools.islice(self.number, len(self.counts), None))
+        for ids in self.encode_pieces(fresh):
+            self.counts.append(len(ids))
+            self.shown.append(",".join(map(str, ids)))
+            self.raw.append(b"".join(map(self.bytes_of.__getitem__, ids)))
 
     def _parts(self, text: str) -> list[tuple[str | None, list[str]]]:
         """Runs of plain pieces, each before a special token or the end."""
@@ -137,26 +169,38 @@ class Bpe:
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text its number of ids and the digests of the ids and of the text that they decode to."""
-        split = [self._parts(t) for t in texts]
-        # pieces in batches of bounded size, so that a long text or many texts don't pile up in the index
-        self.learn([p for parts in split for _, p in parts])
-        known = self.known
+        if len(self.number) > self.cache_size:
+            self.forget()
+        number = self.number.__getitem__
+        split = [[(special, np.fromiter(map(number, pieces), np.int32, len(pieces))) for special, pieces in self._parts(t)] for t in texts]
+        self.learn()
+        counts, shown, raw = self.counts.__getitem__, self.shown.__getitem__, self.raw.__getitem__
         for parts in split:
-            n, ids, raw = 0, [], []
-            for special, pieces in parts:
-                for k, text_ids, data in map(known.__getitem__, pieces):
-                    n += k
-                    ids.append(text_ids)
-                    raw.append(data)
+            n, ids, data = 0, [], []
+            for special, numbers in parts:
+                numbers = numbers.tolist()
+                n += sum(map(counts, numbers))
+                ids += map(shown, numbers)
+                data += map(raw, numbers)
                 if special is not None:
                     n += 1
                     ids.append(str(self.special[special]))
-                    raw.append(special.encode())
-            decoded = b"".join(raw).decode("utf-8", "replace")
+                    data.append(special.encode())
+            decoded = b"".join(data).decode("utf-8", "replace")
             yield n, hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
-def encode_digests(docs: DataFrame, path: str, batch_chars: int = 2_000_000) -> DataFrame:
+#: A worker's coder, kept between its tasks with the pieces that it has seen.
+_CODERS: dict[str, Bpe] = {}
+
+
+def _coder(path: str) -> Bpe:
+    if path not in _CODERS:
+        _CODERS[path] = Bpe(path)
+    return _CODERS[path]
+
+
+def encode_digests(docs: DataFrame, path: str, batch_chars: int = 24_000_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256. No shuffle.
 
     ``path`` names the vocabulary file, which every worker reads from its own installation. A null or empty text has no
@@ -165,7 +209,7 @@ def encode_digests(docs: DataFrame, path: str, batch_chars: int = 2_000_000) ->
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = _coder(path)
         for batch in batches:
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             rows, k = [], 0
@@ -186,7 +230,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and the ids themselves, an array of ints; nulls as in ``encode_digests``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = _coder(path)
         for batch in batches:
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])

@@ -34,9 +34,11 @@ def test_rank_that_comes_up_late():
     for ch, i in zip("abcd", (a, b, c, d), strict=True):
         odd.byte_ids[ord(ch)] = i
     bc, abc, abcd, dd = 2000, 2001, 2002, 2003
-    odd.merges = {(b, c): (0, bc), (abc, d): (1, abcd), (d, a): (2, dd), (a, bc): (3, abc)}
+    odd.merges = [(b, c, bc), (abc, d, abcd), (d, a, dd), (a, bc, abc)]
+    odd.prepare()
+    assert odd.late == {3}
     assert odd.encode_pieces(["abcdabc"]) == [[abc, dd, bc]]
-    assert odd.encode_pieces(["abcd", "abc"]) == [[abcd], [abc]]
+    assert odd.encode_pieces(["abcd", "", "abc", "abcabcd"]) == [[abcd], [], [abc], [abc, abcd]]
 
 
 def test_digests_over_a_table(spark, sf_dir):
