@@ -48,7 +48,7 @@ def radix_groups(docs: DataFrame, first: int = 64, growth: int = 8, widest: int
         groups = scratch.store(sums.where("n > 1"))
         done = F.col("n").isNull() | (F.octet_length("run") < width)
         level = scratch.store(
-            carried.join(groups, ["group", "run"], "left").select(
+            carried.join(groups.hint("merge"), ["group", "run"], "left").select(
                 "doc_id", "row", "text_sha256", F.coalesce("best", F.struct("doc_id", "row")).alias("keep"),
                 F.coalesce("n", F.lit(1).cast("long")).alias("size"), done.alias("done"),
                 F.when(~done, F.col("next")).alias("group"),
