@@ -71,7 +71,7 @@ def test_links_of_random_and_close_codes(spark):
     chain = [int(codes[0]) ^ ((1 << k) - 1) for k in range(40)]
     fps = sorted({*map(int, codes), *map(int, flips), *chain, *(k for k in range(0, 4000, 3))})
     signed = np.array(fps, np.uint64).view(np.int64)
-    points = spark.createDataFrame([(int(f), i) for i, f in enumerate(signed)], "fp long, node long").repartition(5)
+    points = spark.createDataFrame([(int(f), i) for i, f in enumerate(signed)], "fp long, node long").selectExpr("node", "array(fp) AS fps", "cast(null AS binary) AS wide").repartition(5)
     want = brute_components(fps)
     for options in ({}, {"shard": 50}, {"shard": 64, "sample": 200}):
         scratch = Scratch(spark, "test")
@@ -84,12 +84,48 @@ def test_links_of_random_and_close_codes(spark):
         assert got == full
 
 
+def jaccard(a, b):
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))}
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_one_of_each_group_of_near_copies_stays(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioubcdfg") for _ in range(rng.randrange(2, 7)))
+    common = [word() for _ in range(30)]
+    rows = []
+    for g in range(40):
+        text = [rng.choice(common) if rng.random() < 0.4 else word() for _ in range(rng.randrange(60, 400))]
+        for _ in range(rng.randrange(1, 7)):
+            copy = list(text)
+            for _ in range(rng.randrange(0, 1 + len(copy) // 25)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy), "", "", ""))
+    df = spark.createDataFrame(rows, SCHEMA)
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    want = {root(i) for i in range(len(rows))}
+    assert 40 <= len(want) < len(rows) - 20
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+
+
 def test_empty_table_and_keeping_one(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(none).count() == 0
     text = " ".join(f"w{k}" for k in range(200))
-    df = spark.createDataFrame([(3, text, "", "", ""), (2, text.upper(), "", "", ""), (2, text, "", "", ""), (9, "quite another text of six words", "", "", ""), (None, text, "", "", "")], SCHEMA)
+    df = spark.createDataFrame([(3, text, "", "", ""), (2, text.upper(), "", "", ""), (2, text, "", "", ""), (9, "quite another text of six words", "", "", ""), (None, text, "", "", ""), (7, None, "", "", ""), (6, " ", "", "", "")], SCHEMA)
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 9]
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 6, 9]
     assert simhash.keep_one(none).count() == 0
