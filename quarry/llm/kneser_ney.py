@@ -135,16 +135,25 @@ class Block:
         spread = np.where(is_hot[context], all_hashes[target] % np.uint64(ways), 0).astype(np.uint64)
         shard = ((all_hashes[context] % np.uint64(shards) + spread) % np.uint64(shards)).astype(np.int64)
         self.order = np.argsort(shard, kind="stable")
-        self.bounds = np.searchsorted(shard[self.order], np.arange(shards + 1))
+        self.shard = shard[self.order]
         self.context, self.target, self.all_hashes = context, target, all_hashes
         word_shard = ((self.hashes & FIVE) % np.uint64(shards)).astype(np.int64)
         self.word_order = np.argsort(word_shard, kind="stable")
-        self.word_bounds = np.searchsorted(word_shard[self.word_order], np.arange(shards + 1))
+        self.word_shard = word_shard[self.word_order]
         self.shards, self.ways = shards, ways
 
+    def asked(self) -> list[int]:
+        """Shards that this block has pairs or hot words for."""
+        home = (self.hot % np.uint64(self.shards)).astype(np.int64)
+        parts = ((home[:, None] + np.arange(self.ways)) % self.shards).ravel()
+        return np.unique(np.concatenate([self.shard, parts])).tolist()
+
+    def words_in(self, shard: int) -> np.ndarray:
+        return self.word_order[slice(*np.searchsorted(self.word_shard, [shard, shard + 1]))]
+
     def contexts(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a shard: pairs, first words in order, and how many of the pairs each of them begins."""
-        pairs = self.order[self.bounds[shard] : self.bounds[shard + 1]]
+        pairs = self.order[slice(*np.searchsorted(self.shard, [shard, shard + 1]))]
         of = self.context[pairs]
         starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
         return pairs, of[starts], np.diff(np.append(starts, len(of)))
@@ -264,24 +273,22 @@ def score_documents(docs: DataFrame, folds: int = 10, tokens: int = 2_000_000) -
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 own = _opened(row, hot, shards, ways)
-                for shard in range(shards):
+                for shard in own.asked():
                     pairs, firsts, runs = own.contexts(shard)
                     extra = own.hot_in(shard)
-                    if len(pairs) or len(extra):
-                        yield from _table([(
-                            row["block"], PAIRS, shard, _five(np.append(own.all_hashes[firsts], extra)), _zip(np.append(runs, np.zeros(len(extra))).astype(np.uint32)),
-                            _five(own.all_hashes[own.target[pairs]]), _zip(own.train_pairs[pairs]),
-                        )]).to_batches()
+                    yield from _table([(
+                        row["block"], PAIRS, shard, _five(np.append(own.all_hashes[firsts], extra)), _zip(np.append(runs, np.zeros(len(extra))).astype(np.uint32)),
+                        _five(own.all_hashes[own.target[pairs]]), _zip(own.train_pairs[pairs]),
+                    )]).to_batches()
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 own = _opened(row, hot, shards, ways)
-                for shard in range(shards):
-                    words = own.word_order[own.word_bounds[shard] : own.word_bounds[shard + 1]]
-                    if len(words):
-                        yield from _table([(row["block"], WORDS, shard, own.hashes[words].tobytes(), _zip(own.train_words[words]), None, None)]).to_batches()
+                for shard in np.unique(own.word_shard).tolist():
+                    words = own.words_in(shard)
+                    yield from _table([(row["block"], WORDS, shard, own.hashes[words].tobytes(), _zip(own.train_words[words]), None, None)]).to_batches()
 
     def sum_pairs(table: pa.Table) -> pa.Table:
         return _sum_pairs(table, shards)
@@ -319,7 +326,7 @@ def score_documents(docs: DataFrame, folds: int = 10, tokens: int = 2_000_000) -
                     if (at := index_of_hot.get(int(h))) is not None:
                         sums[:, at] += answer[:, len(firsts) + k]
             elif r["kind"] == WORDS:
-                words = own.word_order[own.word_bounds[r["shard"]] : own.word_bounds[r["shard"] + 1]]
+                words = own.words_in(r["shard"])
                 word_count[words], follows[words] = _unzip(r["a"], np.int64), _unzip(r["b"], np.int64)
         base = np.log10((word_count + 0.1) / (n_train + 0.1 * (types + 1)))
         uniform = 1 / (types + 1)

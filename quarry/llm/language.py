@@ -67,7 +67,7 @@ class CrossParser:
     log_sizes: np.ndarray
 
     @classmethod
-    def learn(cls, texts: dict[str, str], letters: int = 200) -> CrossParser:
+    def learn(cls, texts: dict[str, str], letters: int = 96) -> CrossParser:
         """texts: labelled text of each language. The alphabet has the ``letters`` most frequent letters."""
         code_of = np.array([OTHER if chr(i).isalpha() else GAP for i in range(0x110000)], np.uint8)
         counts: dict[str, int] = {}
@@ -153,10 +153,11 @@ def _codes(text: str, code_of: np.ndarray) -> np.ndarray:
 
 def labelled_text(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = 64, chars: int = 30_000, most: int = 256) -> dict[str, str]:
     """Training text of each language: of at most ``per_language`` documents, those with the smallest hash of the id,
-    ``chars`` characters at most; of the ``most`` most frequent languages, smaller shares if there are over 64."""
+    ``chars`` characters at most; of the ``most`` most frequent languages, smaller shares if there are over 16, so that
+    all automata together stay within a few hundred MB."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held))
     top = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most).collect()]
-    each = min(chars, chars * 64 // max(1, len(top)))
+    each = min(chars, chars * 16 // max(1, len(top)))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     slim = known.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h"))
     chosen = slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).where(F.col("lang").isin(top))

@@ -127,19 +127,25 @@ def top_k(
     table = scratch.store(whole_vectors(vectors, scale))
     asked = whole_vectors(queries, scale).dropDuplicates(["vec_id"])
     ranged = scratch.store(asked.repartitionByRange("vec_id"))
-    found, last = None, None
+    found, last = [], None
     while True:
         rows = ranged.where(F.col("vec_id") > last) if last is not None else ranged
         own = rows.orderBy("vec_id").limit(block).collect()  # a block, of a size that is a parameter
-        if not own and found is not None:
+        if not own and found:
             break
         last = own[-1]["vec_id"] if own else 0
         hits = _search_block(table, own, k, bins, slack)
-        found = hits if found is None else found.union(hits)
         if len(own) < block:
+            found.append(hits)
             break
+        found.append(scratch.store(hits))  # so that the plan doesn't grow with the number of blocks
+    hits = found[-1]
+    if len(found) > 1:
+        stored = [t.stored_at for t in found if hasattr(t, "stored_at")]
+        hits = spark.read.schema(hits.schema).parquet(*stored)
+        hits = hits if len(stored) == len(found) else hits.union(found[-1])
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
