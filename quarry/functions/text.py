@@ -194,3 +194,8 @@ def line_section(text: Column, first: int, last: int) -> Column:
     lines = F.split(text, "\n")
     n = F.size(lines)
     return F.when(n >= first, F.array_join(F.slice(lines, F.lit(first), F.least(n, F.lit(last)) - first + 1), "\n"))
+
+
+def sanitised(name: Column, value: Column, most: int = 100) -> Column:
+    """An argument as it may be logged: not at all if its name tells of a secret, else cut."""
+    return F.when(F.lower(name).rlike("password|token|secret|key|auth"), "[REDACTED]").otherwise(ellipsis(value, most))

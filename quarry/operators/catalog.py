@@ -177,3 +177,44 @@ def put_cache(cache: DataFrame, key: Column, tokens: Column, rows: DataFrame, no
 
 def live_cache(cache: DataFrame, now: int) -> DataFrame:
     return cache.where(F.col("expires").isNull() | (F.col("expires") > now))
+
+
+def insert(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` with the rows of ``new``; a key that is there already, or twice in ``new``, is an error."""
+    taken = new.join(table.select(*keys), keys, "left_semi").select(*keys)
+    twice = new.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+    if clash := taken.union(twice).first():
+        raise KeyError(tuple(clash))
+    return table.unionByName(new)
+
+
+def update(table: DataFrame, changes: DataFrame, key: str, strict: bool = False) -> DataFrame:
+    """Rows with the columns of ``changes`` that aren't null there; keys that the table lacks are left out, or an error."""
+    if strict and (lost := changes.join(table.select(key), key, "left_anti").first()):
+        raise KeyError(lost[key])
+    named = changes.select(key, *(F.col(c).alias(f"_{c}") for c in changes.columns if c != key))
+    joined = table.join(named, key, "left")
+    return joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c in changes.columns and c != key else F.col(c) for c in table.columns))
+
+
+def apply_updates(files: DataFrame, overviews: DataFrame, updates: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """updates: project_id, descriptions (path to text), overview (or null). Files and overviews afterwards; an overview
+    counts its words, and the files that the update named."""
+    rows = updates.select("project_id", F.explode("descriptions").alias("file_path", "description"))
+    fresh = rows.select(
+        F.xxhash64("project_id", "file_path").alias("id"), "project_id", "file_path", "description", F.sha2("description", 256).alias("file_hash"),
+        F.lit(1).cast("long").alias("version"), F.lit(None).cast("long").alias("to_be_cleaned"), F.lit(now).cast("long").alias("last_modified"),
+    ).select(*files.columns)
+    words = F.filter(F.split(F.col("overview"), r"\s+"), lambda w: w != "")
+    told = updates.where("overview IS NOT NULL").select("project_id", "overview", F.size(words).cast("long").alias("total_tokens"), F.size("descriptions").cast("long").alias("total_files"))
+    return upsert(files, fresh, ["project_id", "file_path"]), upsert(overviews, told.select(*overviews.columns), ["project_id"])
+
+
+def cleanup_due(last_run: int | None, now: int, cooldown: int = 1800) -> bool:
+    """Clean-ups run one at a time, and not again within the cool-down."""
+    return last_run is None or now - last_run >= cooldown
+
+
+def shuffled(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n rows at random, the same ones for the same seed."""
+    return rows.orderBy(F.xxhash64(*rows.columns, F.lit(seed))).limit(n)

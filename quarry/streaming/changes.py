@@ -91,6 +91,13 @@ def limited(requests: DataFrame, limit: int = 100, seconds: int = 60, idle: int
     return timed.select("client", "event_id", "at", "micros").groupBy("client").applyInPandasWithState(step, "client string, event_id long, accepted boolean, retry_after long", "taken array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def running_health(checks: DataFrame) -> DataFrame:
+    """Per monitor: checks, failures and the mean response of the healthy ones so far."""
+    return checks.groupBy("monitor").agg(
+        F.count("*").alias("total"), F.count(F.when(~F.col("healthy"), 1)).alias("failed"), F.avg(F.when(F.col("healthy"), F.col("ms"))).alias("avg_ms")
+    )
+
+
 def apply_changes(stored: DataFrame, changes: DataFrame, index: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """A batch of changes (project_id, file_path, change_type, ts, event_id) applied to stored vectors: of each file the
     last change counts; deleted files lose theirs, others get what ``index`` makes of them."""

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import metrics as M
-from quarry.sources.adapters import change_rows, requests
+from quarry.sources.adapters import change_rows, health, requests
 from quarry.streaming import changes as S
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -28,6 +28,13 @@ def test_counts(spark, events):
     assert sorted(spark.table("counts").collect()) == sorted(batch.collect())
 
 
+def test_running_health(spark, events, sf_dir):
+    checks = lambda e: e.select(F.col("user_id").alias("monitor"), (F.col("event_type") != "error").alias("healthy"), F.col("value").alias("ms"))
+    ran(S.running_health(checks(S.read_events(spark, events, EVENTS))), "health", "complete")
+    got = {r.monitor: (r.total, r.failed, pytest.approx(r.avg_ms)) for r in spark.table("health").collect()}
+    assert {r.monitor: (r.total, r.failed, r.avg_ms) for r in M.health_metrics(health(spark, sf_dir)).collect()} == got
+
+
 def test_leading_debounce(spark, events):
     ran(S.leading(change_rows(S.read_events(spark, events, EVENTS)), 3600), "leading")
     want = M.debounced(change_rows(spark.read.parquet(events)), 3600)
