@@ -267,7 +267,10 @@ def near_links(points: DataFrame, most: int, scratch: Scratch, limit: int = 0, s
     close, is cut into parts, each searched against the others.
     """
     n = points.count()
-    picked = points.select("fps").orderBy(F.xxhash64("fps", F.lit(3))).limit(sample).collect()  # a bounded sample
+    # a bounded sample: of a share that holds about twice as many, those with the smallest hash
+    mark = F.pmod(F.xxhash64("fps", F.lit(3)), F.lit(1 << 31))
+    share = min(1 << 31, (1 << 32) * sample // max(1, n))
+    picked = points.select("fps").where(mark < share).orderBy(mark, "fps").limit(sample).collect()
     codes = np.array([r["fps"] for r in picked], np.int64).reshape(len(picked), len(picked[0]["fps"]) if picked else 0).view(np.uint64)
     leaves = 1 << max(0, (max(1, n // shard) - 1).bit_length())
     leaves = max(8, min(leaves, sample // 16))
@@ -276,37 +279,57 @@ def near_links(points: DataFrame, most: int, scratch: Scratch, limit: int = 0, s
     halves = lambda c: ((c >> np.uint64(32)).astype(np.uint32), (c & low).astype(np.uint32))
     trees = [grow(h, leaves) for k in range(codes.shape[1]) for h in halves(codes[:, k])]
 
+    def routes(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each tree the points' codes, and as ``route`` gives them positions, shards and homes."""
+        own = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+        for k, tree in enumerate(trees):
+            at, leaf, home = route(tree, halves(own[:, k // 2])[k % 2], radius)
+            yield own[:, k // 2], at, len(trees) * leaf + k, home
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            if batch.num_rows:
+                for _, _, shards, home in routes(batch):
+                    total.update(dict(zip(*(x.tolist() for x in np.unique(shards[home], return_counts=True)), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["shard", "n"])
+
+    counted = points.select("node", "fps").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    # a row for each leaf of a tree, whose number the sample bounds
+    parts = {r["shard"]: -(-r["n"] // (4 * shard)) for r in counted.collect() if r["n"] > 4 * shard}
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Points for each shard, as arrays: those at home, and those that are looked up there. A shard's parts share the
+        former; a point of one part is looked up in all that come after it."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-            for k, tree in enumerate(trees):
-                fp = own[:, k // 2]
-                at, leaf, home = route(tree, halves(fp)[k % 2], radius)
-                take = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(len(trees) * leaf + k), pa.array(home), pa.array(fp[at].view(np.int64)), batch.column(0).take(take), batch.column(2).take(take)], names=["shard", "home", "fp", "node", "wide"])
-
-    routed = scratch.store(points.select("node", "fps", "wide").mapInArrow(deal, "shard long, home boolean, fp long, node long, wide binary"))
-    # a shard's parts: points belong to one, and are looked up in all that come after it
-    parts = F.greatest(F.lit(1), F.ceil(F.col("points") / (4 * shard))).cast("int")
-    sizes = routed.where("home").groupBy("shard").agg(F.count("*").alias("points")).select("shard", parts.alias("parts"))
-    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
-    cells = (
-        routed.join(sizes, "shard")
-        .withColumn("mine", F.when(F.col("home"), mine).otherwise(F.lit(0)))
-        .withColumn("part", F.explode(F.sequence(F.col("mine"), F.col("parts") - 1)))
-        .select("shard", "part", (F.col("home") & (F.col("part") == F.col("mine"))).alias("home"), "fp", "node", "wide")
-    )
+            nodes = batch.column(0).to_numpy()
+            wide = None if batch.column(2).null_count else np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(nodes), -1)
+            rows = []
+            for fp, at, shards, home in routes(batch):
+                order = np.argsort(shards, kind="stable")
+                at, shards, home = at[order], shards[order], home[order]
+                for of in np.split(np.arange(len(at)), np.flatnonzero(np.diff(shards)) + 1):
+                    n_parts = parts.get(int(shards[of[0]]), 1) if len(of) else 0
+                    mine = np.where(home[of], _again(nodes[at[of]].astype(np.uint64), 1) % np.uint64(max(1, n_parts)), 0).astype(np.int64)
+                    for part in range(n_parts):
+                        own = of[mine <= part]
+                        if len(own):
+                            rows.append((int(shards[own[0]]), part, (home[own] & (mine[mine <= part] == part)).tobytes(), fp[at[own]].tobytes(), nodes[at[own]].tobytes(), None if wide is None else wide[at[own]].tobytes()))
+            types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "part", "home", "fp", "node", "wide"])
+
+    cells = points.select("node", "fps", "wide").mapInArrow(deal, "shard long, part int, home binary, fp binary, node binary, wide binary")
 
     def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node").combine_chunks()
-        whole = table["fp"].to_numpy().view(np.uint64)
-        half = halves(whole)[table["shard"][0].as_py() % 2]
-        node = table["node"].to_numpy()
-        wide = None if table["wide"].null_count else np.frombuffer(b"".join(table["wide"].to_pylist()), np.uint64).reshape(len(node), -1)
-        a, b = link(half, whole, table["home"].to_numpy(), radius, most, wide, limit)
-        return pa.table({"a": node[a], "b": node[b]})
+        joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        node = joined("node", np.int64)
+        order = np.argsort(node, kind="stable")
+        whole, home = joined("fp", np.uint64)[order], joined("home", bool)[order]
+        wide = None if table["wide"].null_count else joined("wide", np.uint64).reshape(len(node), -1)[order]
+        a, b = link(halves(whole)[table["shard"][0].as_py() % 2], whole, home, radius, most, wide, limit)
+        return pa.table({"a": node[order][a], "b": node[order][b]})
 
     return cells.groupBy("shard", "part").applyInArrow(search, "a long, b long")
 
@@ -378,7 +401,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: i
         return [pa.ListArray.from_arrays(np.arange(0, fps.size + 1, bands, np.int32), pa.array(fps.view(np.int64).reshape(-1))), pa.array(wide, pa.binary())]
 
     def hashes(texts: list[bytes]) -> list[pa.Array]:
-        return [pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))]
+        # half a hash tells the shingles of two texts apart
+        return [pa.array([np.unique(shingle_hashes(t, shingle).astype(np.uint32)).view(np.int32) for t in texts], pa.list_(pa.int32()))]
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), doc)
     marked = scratch.store(_adding(rows, ["doc_id", "row", "doc"], "fps array<long>, wide binary", mark))
@@ -387,7 +411,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: i
     links = near_links(points, most, scratch, limit, sample=16_384)
     pairs = scratch.store(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = scratch.store(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
-    sets = scratch.store(_adding(marked.select("row", "doc").join(ends, "row", "left_semi"), ["row"], "held array<long>", hashes))
+    sets = scratch.store(_adding(marked.select("row", "doc").join(ends, "row", "left_semi"), ["row"], "held array<int>", hashes))
     left, right = sets.select(F.col("row").alias("a"), F.col("held").alias("of_a")), sets.select(F.col("row").alias("b"), F.col("held").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
     alike = F.coalesce(shared / (F.size("of_a") + F.size("of_b") - shared), F.lit(1.0)) >= similarity
@@ -395,6 +419,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: i
     joined = components(verified, scratch)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     of = points.join(joined, "node", "left").select("wide", "fps", F.coalesce("component", "node").alias("component"))
-    slim = marked.select("doc_id", "row", "wide", "fps").join(of, ["wide", "fps"])
-    firsts = scratch.store(slim.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row")))
-    return marked.join(firsts, "row", "left_semi").select("doc.*")
+    slim = scratch.store(marked.select("doc_id", "row", "wide", "fps").join(of, ["wide", "fps"]).select("doc_id", "row", "component"))
+    firsts = slim.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    later = scratch.store(firsts.where("n > 1"))
+    gone = scratch.store(slim.join(later, "component").where(F.col("row") != F.col("first.row")).select("row"))
+    return marked.join(gone, "row", "left_anti").select("doc.*")
