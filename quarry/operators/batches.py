@@ -114,3 +114,23 @@ def extract_objects(answers: DataFrame, required: tuple[str, ...] = ()) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if f is None else json.dumps(f, sort_keys=True) for f in found], pa.string()), pa.array([f is not None and all(k in f for k in required) for f in found])], names=["id", "object", "ok"])
 
     return answers.select(F.col("id").cast("long"), "text").mapInArrow(work, "id long, object string, ok boolean")
+
+
+def within_budget(files: DataFrame, limit: int) -> DataFrame:
+    """files: project_id, position, tokens. The files that fit into a prompt: all of a project's, or the first half of
+    them, or the first half of those, until their tokens are within the limit."""
+    order = Window.partitionBy("project_id").orderBy("position")
+    all_rows = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = files.withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("tokens").over(order)).withColumn("n", F.count("*").over(all_rows))
+    # places that a halving can end at: n, n // 2, n // 4, ...
+    half = F.floor(F.log2(F.col("n").cast("double") / F.col("place")))
+    ends = F.exists(F.sequence(F.lit(0), F.greatest(half, F.lit(0)).cast("int") + 1), lambda k: F.floor(F.col("n") / F.pow(F.lit(2.0), k)) == F.col("place"))
+    kept = F.max(F.when(ends & (F.col("upto") <= limit), F.col("place"))).over(all_rows)
+    return summed.where(F.col("place") <= kept).select("project_id", "position", "tokens")
+
+
+def ask_prompt(overviews: DataFrame, question: str, limit: int = 180_000) -> DataFrame:
+    """project_id, prompt, tokens, fits: a question with its project's overview before it."""
+    prompt = F.concat(F.lit("Overview:\n"), F.coalesce("overview", F.lit("")), F.lit("\n\nQuestion: "), F.lit(question))
+    tokens = F.floor(F.char_length(prompt) / 4)
+    return overviews.select("project_id", prompt.alias("prompt"), tokens.alias("tokens"), (tokens <= limit).alias("fits"))

@@ -148,3 +148,17 @@ def lm1_prompt_accounting(spark, sf):
 def sf25_embedding_text(spark, sf):
     name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("n"), F.col("doc_id").cast("string")))
     return A.table(spark, sf, "documents").select("doc_id", X.embedding_text(name, F.substring("text", 1, 20)).alias("prepared"), X.scrub(F.col("text"), 30).alias("scrubbed"))
+
+
+@query(f"WITH {A.OVERVIEWS} SELECT project_id, sha256(p) AS prompt_hash, length(p) // 4 AS tokens, length(p) // 4 <= 3000 AS fits FROM (SELECT project_id, 'Overview:' || chr(10) || overview || chr(10) || chr(10) || 'Question: why?' AS p FROM overviews)")
+def lm1_ask_prompt(spark, sf):
+    out = B.ask_prompt(A.overviews(spark, sf), "why?", 3000)
+    return out.select("project_id", F.sha2("prompt", 256).alias("prompt_hash"), "tokens", "fits")
+
+
+@query("""WITH f AS (SELECT source AS project_id, doc_id AS position, n_chars // 4 AS tokens, row_number() OVER w AS place, sum(n_chars // 4) OVER w AS upto, count(*) OVER (PARTITION BY source) AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+  e AS (SELECT project_id, max(place) AS kept FROM f WHERE upto <= 6000 AND list_contains([n, n // 2, n // 4, n // 8, n // 16, n // 32, n // 64, n // 128, n // 256, n // 512, n // 1024, n // 2048, n // 4096, n // 8192, n // 16384], place) GROUP BY 1)
+  SELECT project_id, position, tokens FROM f JOIN e USING (project_id) WHERE place <= kept""")
+def lm2_halved_context(spark, sf):
+    docs = A.table(spark, sf, "documents").select(F.col("source").alias("project_id"), F.col("doc_id").alias("position"), F.floor(F.col("n_chars") / 4).alias("tokens"))
+    return B.within_budget(docs, 6000)
