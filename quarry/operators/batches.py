@@ -126,7 +126,7 @@ def within_budget(files: DataFrame, limit: int) -> DataFrame:
     half = F.floor(F.log2(F.col("n").cast("double") / F.col("place")))
     ends = F.exists(F.sequence(F.lit(0), F.greatest(half, F.lit(0)).cast("int") + 1), lambda k: F.floor(F.col("n") / F.pow(F.lit(2.0), k)) == F.col("place"))
     kept = F.max(F.when(ends & (F.col("upto") <= limit), F.col("place"))).over(all_rows)
-    return summed.where(F.col("place") <= kept).select("project_id", "position", "tokens")
+    return summed.withColumn("kept", kept).where("place <= kept").select("project_id", "position", "tokens")
 
 
 def ask_prompt(overviews: DataFrame, question: str, limit: int = 180_000) -> DataFrame:
