@@ -250,7 +250,7 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.05), k) for k, d in enumerate(raw, 1))])
 
 
-def score_documents(docs: DataFrame, folds: int = 10, tokens: int = 2_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, tokens: int = 1_500_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(doc_id) mod ``folds`` isn't 0 and scores all. Words are parted by ASCII white space,
