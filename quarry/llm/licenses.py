@@ -44,7 +44,7 @@ def _spaces(text: Column) -> Column:
 
 
 def scan_licenses(
-    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8, block: int = 64, step: int = 32
+    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9, block: int = 64, step: int = 32
 ) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 

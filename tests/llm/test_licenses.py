@@ -7,7 +7,7 @@ from quarry.llm import licenses
 SCHEMA = "doc_id long, text string, row string, pad string, labels int"
 
 
-def brute(text, threshold=0.8, block=64, step=32):
+def brute(text, threshold=0.9, block=64, step=32):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     places, base = [], set()
     for phrase, label in licenses.PHRASES.items():
