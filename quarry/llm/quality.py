@@ -35,6 +35,7 @@ def statistics(text: Column) -> dict[str, Column]:
     words = F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
     n_words, distinct = F.size(words), F.size(F.array_distinct(words))
     lines = F.split(text, "\n")
+    # possessive, so that a long run of one word needs no deep recursion
     return {
         "log_chars": F.log1p(chars.cast("double")),
         "log_words": F.log1p(n_words.cast("double")),
@@ -48,7 +49,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "symbols": per(count(r"[^\p{L}\p{N}\s.,;:'\"!?()-]"), chars),
         "marks": per(count(r"[!?]"), chars),
         "stops": per(count(r"[.,]"), n_words),
-        "repeats": per(count(rf"(?<!\S)(\S+)(?:{SPACE}+\1(?!\S))+"), n_words),
+        "repeats": per(count(rf"(?<!\S)(\S++)(?:{SPACE}++\1(?!\S))++"), n_words),
         "function_words": per(count(r"(?i)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(set(FUNCTION_WORDS))) + r")(?![\p{L}\p{N}])"), n_words),
     }
 
@@ -168,7 +169,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, fold
     scratch = Scratch(docs.sparkSession, "quality")
     stats = statistics(F.col("text"))
     own = [F.struct(*(docs[c] for c in docs.columns)).alias("doc")] if carry else []
-    measured = docs.select("doc_id", (crc_mod(F.col("doc_id"), folds) == 0).alias("held_out"), *(c.cast("double").alias(n) for n, c in stats.items()), *own)
+    held_out = (crc_mod(F.col("doc_id"), folds) == 0).alias("held_out")
+    computed = docs.select("doc_id", held_out, *own, *(c.cast("double").alias(f"_{n}") for n, c in stats.items()))
+    # through a generator no filter is pushed: statistics are computed once, however often a rule refers to them
+    once = F.inline(F.array(F.struct(*(F.col(f"_{n}").alias(n) for n in stats))))
+    measured = computed.select("doc_id", "held_out", *(["doc"] if carry else []), once)
     marked = labels.where(F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max("quality").alias("label"))
     order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
     chosen = scratch.store(marked.orderBy(*order).limit(sample))  # at most ``sample`` rows
