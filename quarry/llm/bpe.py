@@ -31,7 +31,7 @@ class Bpe:
     """Encodes and decodes as the vocabulary file says. A worker that
     remembers more than ``cache`` pieces forgets them before the next batch."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, self.cache_size = spec["model"]["vocab"], cache
@@ -200,7 +200,7 @@ def _coder(path: str) -> Bpe:
     return _CODERS[path]
 
 
-def encode_digests(docs: DataFrame, path: str, batch_chars: int = 24_000_000) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, batch_chars: int = 12_000_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256. No shuffle.
 
     ``path`` names the vocabulary file, which every worker reads from its own installation. A null or empty text has no
