@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import Scratch, lower_ascii
+from quarry.llm.storage import Scratch, lower_ascii, sql_lower_ascii
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
@@ -111,3 +111,23 @@ def scan_licenses(
         join_sorted(F.concat("base", F.coalesce("found", none))).alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
     )
+
+
+def _values(rows: list[tuple[list[str], str]]) -> str:
+    return "(VALUES " + ", ".join(f"({words!r}, '{label}')" for words, label in rows) + ")"
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({sql_lower_ascii("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+p AS (SELECT * FROM {_values([(k.split(), v) for k, v in PHRASES.items()])} v(phrase, label)),
+places AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(phrase)] = phrase)) AS place FROM d, p),
+base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS names FROM places GROUP BY r),
+t AS (SELECT * FROM {_values([(sorted(set(text.split())), label) for label, text in TEMPLATES])} v(words, label)),
+blocks AS (SELECT r, unnest(list_transform(range(0, greatest(len(w), 1), 32), lambda i: w[i + 1 : i + 64])) AS held FROM d),
+shares AS (SELECT r, label, len(list_intersect(words, held)) AS shared, len(words) AS n FROM blocks, t),
+met AS (SELECT r, list(DISTINCT label) AS found, max(shared / n) AS share FROM shares WHERE shared >= ceil(0.9 * n - 1e-9) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(names), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(names, []), coalesce(found, [])))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN met USING (r)
+"""

@@ -12,8 +12,6 @@ documents of the last bucket are put in order. A source with a third of all rows
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 

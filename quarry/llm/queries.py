@@ -74,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op7_topk": topk.ORACLE,
+    "op8_licenses": licenses.ORACLE,
 }
