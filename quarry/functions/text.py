@@ -69,8 +69,12 @@ def glob_match(path: Column, patterns: list[str]) -> Column:
     return whole
 
 
+#: Fixed value: what names of vector namespaces begin with.
+NAMESPACE_PREFIX = "mcp_code_"
+
+
 def namespace(name: Column) -> Column:
-    return F.lower(F.concat(F.lit("mcp_code_"), F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "_")))
+    return F.lower(F.concat(F.lit(NAMESPACE_PREFIX), F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "_")))
 
 
 def redaction_marker(kind: str, match: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.text import base_name
+from quarry.functions.text import NAMESPACE_PREFIX, base_name, namespace
 from quarry.operators import catalog as C
 from quarry.plans.registry import query
 from quarry.sources import adapters as A
@@ -256,10 +256,8 @@ def wn2_best_overview(spark, sf):
     return C.latest(o, ["project_id"], F.col("total_tokens").desc(), F.col("doc_id").desc())
 
 
-@query(f"""WITH {A.FILES}, wanted AS (SELECT id FROM files WHERE id % 9 = 0) SELECT id, lower(replace('mcp_code_' || project_id || ' x/' || id, ' ', '_')).replace('/', '_') AS namespace,
+@query(f"""WITH {A.FILES} SELECT id, lower(replace('{NAMESPACE_PREFIX}' || project_id || ' x/' || id, ' ', '_')).replace('/', '_') AS namespace,
   sha256(file_path) AS path_hash, substr(sha256(project_id || ':' || file_hash), 1, 16) AS cache_key FROM files""")
 def sf10_hashes_sf12_namespaces(spark, sf):
-    from quarry.functions.text import namespace
-
     name = F.concat("project_id", F.lit(" x/"), F.col("id").cast("string"))
     return A.files(spark, sf).select("id", namespace(name).alias("namespace"), F.sha2("file_path", 256).alias("path_hash"), F.substring(F.sha2(F.concat("project_id", F.lit(":"), "file_hash"), 256), 1, 16).alias("cache_key"))

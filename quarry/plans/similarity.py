@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions.text import NAMESPACE_PREFIX, namespace
 from quarry.operators import catalog as C
 from quarry.operators import vectors as V
 from quarry.plans.registry import query
@@ -70,10 +71,8 @@ def dm22_delete_vectors(spark, sf):
     return V.delete_files(v, v.where("id % 30 = 2")).select("id")
 
 
-@query(f"WITH {A.VECTORS} SELECT lower(replace('mcp_code_' || project_id, ' ', '_')) AS namespace, count(*) AS vectors FROM vectors GROUP BY 1")
+@query(f"WITH {A.VECTORS} SELECT lower(replace('{NAMESPACE_PREFIX}' || project_id, ' ', '_')) AS namespace, count(*) AS vectors FROM vectors GROUP BY 1")
 def dm23_namespaces(spark, sf):
-    from quarry.functions.text import namespace
-
     return A.vectors(spark, sf).groupBy(namespace(F.col("project_id")).alias("namespace")).agg(F.count("*").alias("vectors"))
 
 
