@@ -312,7 +312,8 @@ def near_links(points: DataFrame, most: int, scratch: Scratch, limit: int = 0, s
                 at, shards, home = at[order], shards[order], home[order]
                 for of in np.split(np.arange(len(at)), np.flatnonzero(np.diff(shards)) + 1):
                     n_parts = parts.get(int(shards[of[0]]), 1) if len(of) else 0
-                    mine = np.where(home[of], _again(nodes[at[of]].astype(np.uint64), 1) % np.uint64(max(1, n_parts)), 0).astype(np.int64)
+                    content = fp[at[of]] if wide is None else fp[at[of]] ^ wide[at[of], :8].copy().view(np.uint64)[:, 0]
+                    mine = np.where(home[of], _again(content, 1) % np.uint64(max(1, n_parts)), 0).astype(np.int64)
                     for part in range(n_parts):
                         own = of[mine <= part]
                         if len(own):
@@ -324,10 +325,11 @@ def near_links(points: DataFrame, most: int, scratch: Scratch, limit: int = 0, s
 
     def search(table: pa.Table) -> pa.Table:
         joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        node = joined("node", np.int64)
-        order = np.argsort(node, kind="stable")
-        whole, home = joined("fp", np.uint64)[order], joined("home", bool)[order]
-        wide = None if table["wide"].null_count else joined("wide", np.uint64).reshape(len(node), -1)[order]
+        node, whole = joined("node", np.int64), joined("fp", np.uint64)
+        wide = None if table["wide"].null_count else joined("wide", np.uint64).reshape(len(node), -1)
+        # by content, not by row: a rerun finds the same forest
+        order = np.lexsort((node, whole) if wide is None else (node, *wide.T, whole))
+        whole, home, wide = whole[order], joined("home", bool)[order], None if wide is None else wide[order]
         a, b = link(halves(whole)[table["shard"][0].as_py() % 2], whole, home, radius, most, wide, limit)
         return pa.table({"a": node[order][a], "b": node[order][b]})
 

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from quarry.llm import simhash
 from quarry.llm.storage import Scratch
@@ -118,6 +119,8 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     want = {root(i) for i in range(len(rows))}
     assert 40 <= len(want) < len(rows) - 20
     assert {r.doc_id for r in simhash.keep_one(df).collect()} == want
+    again = simhash.keep_one(df.repartition(5).sortWithinPartitions(F.col("doc_id").desc()))
+    assert {r.doc_id for r in again.collect()} == want
 
 
 def test_empty_table_and_keeping_one(spark):
