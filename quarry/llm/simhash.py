@@ -10,10 +10,9 @@ looked up only. Within a shard a local tree prunes in the same way, down to smal
 A shard doesn't return the pairs it finds but a spanning forest of them: a group of n close texts costs n links, not n^2.
 Forests are then joined into components by rounds of large-star and small-star, in which counts are pre-aggregated.
 
-Fingerprints of shingles that differ in 3 of 64 bits belong to texts that are all but equal. For near-duplicates down to
-a Jaccard similarity of 0.8 of five-word shingles (``keep_one``) the same search runs over several fingerprints of single
-words, of which such texts share most; pairs are weighed by wide fingerprints of the shingles, the forest is the one of
-least distances, and its links are verified by the shingles themselves.
+Fingerprints of shingles that differ in 3 of 64 bits belong to texts that are all but equal. Near-duplicates down to a
+Jaccard similarity of 0.8 of five-word shingles (``keep_one``) are found without fingerprints, by an exact prefix-filter
+join: in one order of all shingles, rare ones first, two such texts share one of their first n - ceil(0.8 n) + 1.
 """
 
 from __future__ import annotations
@@ -69,18 +68,19 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(_majority(hashes, 1)[0]) if len(hashes) else 0
 
 
-def word_fingerprints(text: bytes, words: int) -> np.ndarray:
-    """SimHashes of the distinct words, each weighing by the logarithm of how often it stands."""
-    counts = Counter(text.lower().split())
-    if not counts:
-        return np.zeros(words, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, counts), np.uint64, len(counts))
-    weights = np.rint(64 * np.log1p(np.fromiter(counts.values(), float, len(counts))))  # whole numbers: sums don't depend on order
-    total = np.zeros(BITS * words)
-    for k in range(0, len(hashes), 4096):
-        part = np.stack([_again(hashes[k : k + 4096], w + 1) for w in range(words)], 1).astype(">u8")
-        total += weights[k : k + 4096] @ np.unpackbits(part.view(np.uint8).reshape(-1, 8 * words), axis=1).astype(float)
-    return np.packbits(2 * total > weights.sum()).view(">u8").astype(np.uint64)
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, ascending; shingles as in ``shingle_hashes``, but hashed word by word."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    of = {w: xxhash.xxh64_intdigest(w) for w in set(words)}
+    hashes = np.fromiter(map(of.__getitem__, words), np.uint64, len(words))
+    size = min(shingle, len(words))
+    n = len(words) - size + 1
+    total = hashes[:n]
+    for k in range(1, size):
+        total = total * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
+    return np.unique(_again(total + np.uint64(size), 1))
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -383,45 +383,208 @@ def _components(marked: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     return scratch.store(of.join(scratch.store(least), "component").select("fp", "component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 3, bands: int = 8, slack: float = 0.07) -> DataFrame:
+def common_shingles(marked: DataFrame, shingle: int, sample: int = 16_384, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three texts or more of a sample hold, ascending, and how many; the ``most`` most frequent. They shape
+    the order of shingles alone: the join is exact in any order, and fast if frequent ones come last."""
+    share = min(1 << 31, (1 << 31) * sample // max(1, marked.count()))
+    picked = marked.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 31)) < share).dropDuplicates(["node"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in _texts(batch)]
+            found, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    counted = picked.select(F.col("doc.text").alias("text")).mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    table = counted.where("n >= 3").orderBy(F.col("n").desc(), "h").limit(most).toArrow()
+    found, n = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(found)
+    return found[order], n[order]
+
+
+def prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of a set of shingles, ascending, the first in the common order, of which sets that are alike share one."""
+    at = np.searchsorted(common[0], held)
+    known = at < len(common[0])
+    known[known] = common[0][at[known]] == held[known]
+    count = np.zeros(len(held), np.int64)
+    count[known] = common[1][at[known]]
+    return held[np.argsort(count, kind="stable")[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1]]
+
+
+def pairs_of_runs(key: np.ndarray, node: np.ndarray, size: np.ndarray, similarity: float, small: int, leaders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (a, b) of nodes with the same key, and (key, node) of runs of over ``small`` nodes: of those the pairs
+    with ``leaders`` nodes alone."""
+    order = np.lexsort((node, key))
+    key, node, size = key[order], node[order], size[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, size = key[fresh], node[fresh], size[fresh].astype(float)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    lengths = np.diff(np.append(starts, len(key)))
+    large = np.repeat(lengths > small, lengths)
+    left, right = [], []
+    for d in range(1, min(small, int(lengths.max()))):
+        i = np.flatnonzero((key[d:] == key[:-d]) & ~large[d:])
+        left.append(i)
+        right.append(i + d)
+    for start, n in zip(starts[lengths > small], lengths[lengths > small], strict=True):
+        run = np.arange(start, start + n)
+        for first in run[np.argsort(_again(node[run].view(np.uint64), 1), kind="stable")[:leaders]]:  # runs of the same texts have the same ones
+            left.append(np.full(n - 1, first))
+            right.append(run[run != first])
+    a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
+    near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+    both = np.unique(np.stack([np.minimum(node[a[near]], node[b[near]]), np.maximum(node[a[near]], node[b[near]])], 1), axis=0)
+    return both[:, 0], both[:, 1], key[large], node[large]
+
+
+def candidates(marked: DataFrame, shingle: int, similarity: float, keys: int = 500_000, small: int = 32, leaders: int = 4) -> DataFrame:
+    """run, a, b: without a run, pairs of nodes to verify; with one, a node a of the run, whose pairs are to be searched.
+
+    Each pair of at least ``similarity`` is a pair or shares a run. Shingles of prefixes go to ranges of their hashes, as
+    arrays, about ``keys`` to a range; of each hash there go the bits of its range and 32 more."""
+    common = marked.sparkSession.sparkContext.broadcast(common_shingles(marked, shingle))
+    total = marked.agg(F.sum("size")).first()[0] or 0
+    bits = min(16, max(5, int(total * (1 - similarity) / keys).bit_length()))
+
+    def rows_of(parts: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
+        key, n = np.concatenate(parts), [len(x) for x in parts]
+        order = np.argsort(key)
+        key, node, size = key[order], np.repeat(np.array(nodes, np.int64), n)[order], np.repeat(np.array(sizes, np.int32), n)[order]
+        at = (key >> np.uint64(64 - bits)).astype(np.int64)
+        low = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+        cuts = np.split(np.arange(len(key)), np.flatnonzero(np.diff(at)) + 1)
+        return pa.RecordBatch.from_arrays([pa.array([at[c[0]] for c in cuts], pa.int64()), *(pa.array([x[c].tobytes() for c in cuts], pa.binary()) for x in (low, node, size))], names=["range", "key", "node", "size"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, nodes, sizes, held = [], [], [], 0
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), _texts(batch), strict=True):
+                own = shingle_set(text, shingle)
+                if not len(own):
+                    continue
+                parts.append(prefix(own, common.value, similarity))
+                nodes.append(node)
+                sizes.append(len(own))
+                held += len(parts[-1])
+                if held > 1_000_000:
+                    yield rows_of(parts, nodes, sizes)
+                    parts, nodes, sizes, held = [], [], [], 0
+        if parts:
+            yield rows_of(parts, nodes, sizes)
+
+    def search(table: pa.Table) -> pa.Table:
+        joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
+        a, b, key, node = pairs_of_runs(joined("key", np.uint32), joined("node", np.int64), joined("size", np.int32), similarity, small, leaders)
+        run = (table["range"][0].as_py() << 32) + key.astype(np.int64)
+        return pa.table({"run": pa.array([*[None] * len(a), *run.tolist()], pa.int64()), "a": np.concatenate([a, node]), "b": pa.array([*b.tolist(), *[None] * len(run)], pa.int64())})
+
+    dealt = marked.select("node", F.col("doc.text").alias("text")).mapInArrow(deal, "range long, key binary, node binary, size binary")
+    return dealt.groupBy("range").applyInArrow(search, "run long, a long, b long")
+
+
+def alike_across(node: np.ndarray, component: np.ndarray, held: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links that join all components of which two nodes are alike; held: the nodes' sets, none empty."""
+    sizes = np.array([len(h) for h in held])
+    flat = np.unique(np.concatenate(held), return_inverse=True)[1]
+    starts = sizes.cumsum() - sizes
+    names, group, count = np.unique(component, return_inverse=True, return_counts=True)
+    a, b = [], []
+    marks = np.zeros(int(flat.max()) + 1, np.uint8)
+    for i in np.flatnonzero(group != count.argmax()):  # a pair within the largest needs no link
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        marks[own] = 1
+        shared = np.add.reduceat(marks[flat], starts, dtype=np.int64)
+        marks[own] = 0
+        found = np.flatnonzero((shared / (sizes + sizes[i] - shared) >= similarity) & (group != group[i]))
+        if len(found):
+            others, first = np.unique(group[found], return_index=True)
+            a += [node[i]] * len(first)
+            b += node[found[first]].tolist()
+            group[np.isin(group, others)] = group[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def among(rows: DataFrame, wanted: DataFrame, slots: int = 1 << 23) -> DataFrame:
+    """rows whose ``row`` is wanted, and some others whose hash shares a slot: a filter that moves no row."""
+    slot = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(slots))
+    held = np.zeros(slots, bool)
+    held[wanted.select(slot.alias("s")).distinct().toArrow()["s"].to_numpy()] = True
+    bits, names = rows.sparkSession.sparkContext.broadcast(np.packbits(held)), rows.columns
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            keep = bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+            yield batch.filter(pa.array(keep.astype(bool))).select(names)
+
+    return rows.withColumn("slot", slot).mapInArrow(work, rows.schema)
+
+
+def run_links(runs: DataFrame, joined: DataFrame, sets, similarity: float, scratch: Scratch, most: int = 4096) -> DataFrame | None:
+    """Verified links (a, b) between nodes of a run that ``joined`` leaves in different components. A run of over
+    ``most`` nodes is cut into parts, each pair of which is searched by itself."""
+    of = scratch.store(runs.join(joined, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component")))
+    still = of.groupBy("run").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    still = scratch.store(still.select("run", F.when(F.col("n") <= most, 1).otherwise(F.greatest(F.lit(3), F.ceil(2 * F.col("n") / most))).cast("int").alias("parts")))
+    if still.isEmpty():
+        return None
+    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    cells = of.join(still, "run").select("run", "node", "component", "parts", own.alias("own"), other).where("parts = 1 OR own <> other")
+    cells = cells.select("run", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).join(sets(of.join(still, "run").select("node")), "node")
+
+    def search(table: pa.Table) -> pa.Table:
+        a, b = alike_across(table["node"].to_numpy(), table["component"].to_numpy(), [np.array(h) for h in table["held"].to_pylist()], similarity)
+        return pa.table({"a": a, "b": b})
+
+    return scratch.store(cells.groupBy("run", "x", "y").applyInArrow(search, "a long, b long"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, one of each group of near-duplicates: that with the smallest doc_id.
 
-    Documents are linked when the Jaccard similarity of their shingles is at least ``similarity``; a group is what links
-    connect. Candidates agree in all but ``most`` bits in one of ``bands`` fingerprints of their words (at 0.8 one alone
-    finds six pairs in ten, eight all but one in two thousand), and look no less than ``similarity`` - ``slack`` alike
-    by wide fingerprints. Texts without a word are one group. A row's columns stay as they are; of rows repeated in full
-    one stays; null doc_ids come last; an empty table gives an empty result.
+    Documents are linked when the Jaccard similarity of their distinct shingles is at least ``similarity``; a group is
+    what links connect. All such pairs are found, whatever the edits between them, by a prefix-filter join; texts of the
+    same set of shingles (a digest of 64 bits) are one node. Each pair of nodes with a shingle of their prefixes in common
+    is verified, half a hash a shingle, or else both are in one group already. Texts without a word are one group. A row's columns
+    stay as they are; of rows repeated in full one stays; null doc_ids come last; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    least = similarity - slack
-    limit = math.ceil(BITS * bands * math.acos(2 * least / (1 + least)) / math.pi)
     doc = F.struct(*(docs[c] for c in docs.columns)).alias("doc")
 
     def mark(texts: list[bytes]) -> list[pa.Array]:
-        fps = np.array([word_fingerprints(t, bands) for t in texts], np.uint64).reshape(len(texts), bands)
-        wide = [_majority(h, bands).tobytes() if len(h) else bytes(8 * bands) for h in (shingle_hashes(t, shingle) for t in texts)]
-        return [pa.ListArray.from_arrays(np.arange(0, fps.size + 1, bands, np.int32), pa.array(fps.view(np.int64).reshape(-1))), pa.array(wide, pa.binary())]
+        sets = [shingle_set(t, shingle) for t in texts]
+        digests = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64)
+        return [pa.array(digests.view(np.int64)), pa.array([len(h) for h in sets], pa.int32())]
 
     def hashes(texts: list[bytes]) -> list[pa.Array]:
         # half a hash tells the shingles of two texts apart
-        return [pa.array([np.unique(shingle_hashes(t, shingle).astype(np.uint32)).view(np.int32) for t in texts], pa.list_(pa.int32()))]
+        return [pa.array([np.unique(shingle_set(t, shingle).astype(np.uint32)).view(np.int32) for t in texts], pa.list_(pa.int32()))]
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), doc)
-    marked = scratch.store(_adding(rows, ["doc_id", "row", "doc"], "fps array<long>, wide binary", mark))
-    # rows whose fingerprints are all equal are one point
-    points = scratch.store(marked.groupBy("wide", "fps").agg(F.min("row").alias("node")))
-    links = near_links(points, most, scratch, limit, sample=16_384)
-    pairs = scratch.store(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = scratch.store(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
-    sets = scratch.store(_adding(marked.select("row", "doc").join(ends, "row", "left_semi"), ["row"], "held array<int>", hashes))
-    left, right = sets.select(F.col("row").alias("a"), F.col("held").alias("of_a")), sets.select(F.col("row").alias("b"), F.col("held").alias("of_b"))
+    marked = scratch.store(_adding(rows, ["doc_id", "row", "doc"], "node long, size int", mark))
+    found = scratch.store(candidates(marked, shingle, similarity))
+    pairs = scratch.store(found.where("run IS NULL").select("a", "b").distinct())
+    runs = found.where("run IS NOT NULL").select("run", F.col("a").alias("node"))
+    points = scratch.store(marked.groupBy("node").agg(F.min("row").alias("row")))
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        """node, held: sets of the nodes and of some others. Texts are hashed where they lie, so that none moves."""
+        return _adding(among(marked.select("node", "row", F.col("doc.text").alias("text")), points.join(nodes.distinct(), "node", "left_semi")), ["node"], "held array<int>", hashes)
+
+    left = sets(pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("held").alias("of_a"))
+    right = sets(pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("held").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    alike = F.coalesce(shared / (F.size("of_a") + F.size("of_b") - shared), F.lit(1.0)) >= similarity
+    alike = shared / (F.size("of_a") + F.size("of_b") - shared) >= similarity
     verified = scratch.store(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"))
     joined = components(verified, scratch)
+    more = run_links(runs, joined, sets, similarity, scratch)
+    if more is not None:
+        joined = components(verified.union(more), scratch)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    of = points.join(joined, "node", "left").select("wide", "fps", F.coalesce("component", "node").alias("component"))
-    slim = scratch.store(marked.select("doc_id", "row", "wide", "fps").join(of, ["wide", "fps"]).select("doc_id", "row", "component"))
+    slim = scratch.store(marked.select("doc_id", "row", "node").join(joined, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component")))
     firsts = slim.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     later = scratch.store(firsts.where("n > 1"))
     gone = scratch.store(slim.join(later, "component").where(F.col("row") != F.col("first.row")).select("row"))

@@ -132,3 +132,40 @@ def test_empty_table_and_keeping_one(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [2, 6, 9]
     assert simhash.keep_one(none).count() == 0
+
+
+def groups_kept(texts):
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {root(i) for i in range(len(texts))}
+
+
+def kept(spark, texts):
+    return {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+
+def prose(rng, n):
+    return [f"w{int(20_000 * rng.random() ** 3)}" for _ in range(n)]
+
+
+def test_appended_and_replaced_passages(spark):
+    rng, texts = random.Random(5), []
+    for n in (100, 300, 1000):
+        for _ in range(6):
+            text, at, few = prose(rng, n), n // 3, n // 12
+            texts += [" ".join(text), " ".join(text + prose(rng, int(0.24 * n) - 1))]
+            text = prose(rng, n)
+            texts += [" ".join(text), " ".join(text[:at] + prose(rng, few) + text[at + few :])]
+    want = groups_kept(texts)
+    assert len(want) <= len(texts) // 2 + 4
+    assert kept(spark, texts) == want
