@@ -169,3 +169,15 @@ def test_appended_and_replaced_passages(spark):
     want = groups_kept(texts)
     assert len(want) <= len(texts) // 2 + 4
     assert kept(spark, texts) == want
+
+
+def test_repeated_lines_count_once(spark):
+    rng = random.Random(6)
+    texts = []
+    for size, few, many in ((5, 1, 100), (12, 2, 15)):
+        for _ in range(4):
+            text, line = prose(rng, 500), prose(rng, size)
+            texts += [" ".join(text + line * few), " ".join(text + line * many)]
+    want = groups_kept(texts)
+    assert len(want) == 8
+    assert kept(spark, texts) == want
