@@ -181,3 +181,21 @@ def test_repeated_lines_count_once(spark):
     want = groups_kept(texts)
     assert len(want) == 8
     assert kept(spark, texts) == want
+
+
+def test_no_link_near_the_limit_is_lost(spark):
+    rng, texts = random.Random(7), []
+    for _ in range(30):
+        text = prose(rng, 300)
+        for _ in range(8):
+            copy = list(text)
+            for _ in range(rng.randrange(2, 6)):
+                copy[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    text = prose(rng, 150)  # more copies than a small run holds, many of them no copies of the leaders
+    for _ in range(150):
+        copy = list(text)
+        for _ in range(rng.randrange(1, 6)):
+            copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    assert kept(spark, texts) == groups_kept(texts)
