@@ -199,3 +199,11 @@ def test_no_link_near_the_limit_is_lost(spark):
             copy[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
         texts.append(" ".join(copy))
     assert kept(spark, texts) == groups_kept(texts)
+
+
+def test_texts_of_one_repeated_word_are_told_apart(spark):
+    rng = random.Random(8)
+    texts = [" ".join(["pad"] * 20_000 + prose(rng, 15)) for _ in range(6)]
+    want = groups_kept(texts)
+    assert len(want) == 6
+    assert kept(spark, texts) == want
