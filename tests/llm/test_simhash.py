@@ -162,7 +162,7 @@ def test_appended_and_replaced_passages(spark):
     rng, texts = random.Random(5), []
     for n in (100, 300, 1000):
         for _ in range(6):
-            text, at, few = prose(rng, n), n // 3, n // 12
+            text, at, few = prose(rng, n), n // 3, (n - 40) // 12
             texts += [" ".join(text), " ".join(text + prose(rng, int(0.24 * n) - 1))]
             text = prose(rng, n)
             texts += [" ".join(text), " ".join(text[:at] + prose(rng, few) + text[at + few :])]
