@@ -111,7 +111,7 @@ def tx6_find_similar_code(spark, sf):
     """Files chunked, embedded by the local stand-in, and the chunks most like one of them."""
     from quarry.operators.chunking import chunk_files
 
-    chunks = V.embed(chunk_files(A.files(spark, sf).where("id % 20 = 0")), 64).withColumn("id", F.xxhash64("file_path", "chunk_index"))
+    chunks = V.embed(chunk_files(A.files(spark, sf)), 64).withColumn("id", F.xxhash64("file_path", "chunk_index"))
     asked = chunks.where("chunk_index = 0").orderBy("file_path").select("vector").first()[0]
     hits = V.nearest(chunks, asked, 40).withColumn("query_id", F.lit(0).cast("long"))
     return V.similar(hits, None, 20).select("file_path", "start_line", "end_line", F.round("similarity", 6).alias("similarity"))
