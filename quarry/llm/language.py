@@ -2,18 +2,20 @@
 
 For each language a suffix automaton of labelled text is built: it recognises exactly the substrings of that text. A
 document is parsed greedily: each phrase is the longest match from where the last one ended. Phrases times the log of the
-training text's length, over the document's length, estimates the cross entropy; the language with the smallest wins.
+training text's length, over the document's length, estimates the cross entropy; the language with the smallest wins. A
+letter that a language lacks is a phrase too, which can't refer to its text: it costs as much as naming any character.
 
-Workers parse whole texts. To do so fast, texts are cut into lanes of equal length that walk the automata in lockstep,
-one table lookup a character; a lane's last phrase ends with it.
+Every language has the whole alphabet of its own training text, as transitions are kept by letter. Workers parse whole
+texts in one pass a language, a look-up a letter; texts that a batch repeats are parsed once.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,25 +23,32 @@ from pyspark.sql import functions as F
 from quarry.llm.storage import crc_mod
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
-#: Codes of characters: a letter that no language has, and anything between words.
-OTHER, GAP = 0, 1
+#: What lies between words: all but letters and number signs that are no digits.
+GAP = re.compile(r"[\W\d_]+")
+#: Bits that name any character.
+LITERAL = math.log2(0x110000)
 
 
-def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
-    """Transitions of each state; state 0 is the start."""
-    nexts: list[dict[int, int]] = [{}]
+def letters(text: str) -> str:
+    """The text in lower case, each run between words a blank."""
+    return GAP.sub(" ", text.lower())
+
+
+def suffix_automaton(text: str) -> dict[str, dict]:
+    """The start of the automaton that recognises the substrings of a text; a state is its transitions by letter."""
+    nexts: list[dict] = [{}]
     links, lengths, last = [-1], [0], 0
-    for c in codes:
+    for ch in text:
         new = len(nexts)
         nexts.append({})
         links.append(0)
         lengths.append(lengths[last] + 1)
         at = last
-        while at >= 0 and c not in nexts[at]:
-            nexts[at][c] = new
+        while at >= 0 and ch not in nexts[at]:
+            nexts[at][ch] = new
             at = links[at]
         if at >= 0:
-            to = nexts[at][c]
+            to = nexts[at][ch]
             if lengths[to] == lengths[at] + 1:
                 links[new] = to
             else:
@@ -47,126 +56,83 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
                 nexts.append(dict(nexts[to]))
                 links.append(links[to])
                 lengths.append(lengths[at] + 1)
-                while at >= 0 and nexts[at].get(c) == to:
-                    nexts[at][c] = copy
+                while at >= 0 and nexts[at].get(ch) == to:
+                    nexts[at][ch] = copy
                     at = links[at]
                 links[to] = links[new] = copy
         last = new
-    return nexts
+    for state in nexts:
+        for ch, number in state.items():
+            state[ch] = nexts[number]
+    return nexts[0]
+
+
+def phrases(text: str, start: dict[str, dict]) -> tuple[int, int]:
+    """Phrases of the greedy parse, and letters that the automaton lacks, each of which is a phrase of its own."""
+    n, lacking, state = 0, 0, start
+    for ch in text:
+        to = state.get(ch)
+        if to is None:
+            n += state is not start
+            to = start.get(ch)
+            if to is None:
+                lacking += 1
+                to = start
+        state = to
+    return n + (state is not start), lacking
 
 
-@dataclass
 class CrossParser:
-    """Automata of all languages over one alphabet."""
-
-    languages: list[str]
-    code_of: np.ndarray
-    #: of each language: next state by state and code, flat, 0 where there is none; the start is state 1
-    tables: list[np.ndarray]
-    width: int
-    log_sizes: np.ndarray
-
-    @classmethod
-    def learn(cls, texts: dict[str, str], letters: int = 96) -> CrossParser:
-        """texts: labelled text of each language. The alphabet has the ``letters`` most frequent letters."""
-        code_of = np.array([OTHER if chr(i).isalpha() else GAP for i in range(0x110000)], np.uint8)
-        counts: dict[str, int] = {}
-        lowered = {k: t.lower() for k, t in sorted(texts.items())}
-        for t in lowered.values():
-            for ch in t:
-                if ch.isalpha():
-                    counts[ch] = counts.get(ch, 0) + 1
-        for n, ch in enumerate(sorted(counts, key=lambda ch: (-counts[ch], ch))[:letters]):
-            code_of[ord(ch)] = n + 2
-        width, tables, sizes = min(len(counts), letters) + 2, [], []
-        for t in lowered.values():
-            codes = _codes(t, code_of)
-            nexts = suffix_automaton(codes.tolist())
-            table = np.zeros((len(nexts) + 1, width), np.int32)
-            for state, to in enumerate(nexts):
-                for c, s in to.items():
-                    table[state + 1, c] = s + 1
-            table[:, OTHER] = 0
-            tables.append(table.ravel())
-            sizes.append(max(2, len(codes)))
-        return cls(list(lowered), code_of, tables, width, np.log2(sizes))
-
-    def phrases(self, texts: list[np.ndarray], lane: int = 256) -> np.ndarray:
-        """Phrases of each text, a row of codes, by language."""
-        sizes = np.array([len(t) for t in texts])
-        lanes_of = -(-sizes // lane)
-        total = np.zeros((len(texts), len(self.languages)), np.int64)
-        if not lanes_of.sum():
-            return total
-        flat = np.concatenate(texts)
-        owner = np.repeat(np.arange(len(texts)), lanes_of)
-        within = np.arange(len(owner)) - np.repeat(lanes_of.cumsum() - lanes_of, lanes_of)
-        start = np.repeat(sizes.cumsum() - sizes, lanes_of) + within * lane
-        length = np.minimum(lane, np.repeat(sizes, lanes_of) - within * lane)
-        order = np.argsort(-length, kind="stable")  # lanes that end drop off the end
-        owner, start, length = owner[order], start[order], length[order]
-        active = np.searchsorted(-length, -np.arange(lane), "left")
-        steps = [flat[start[:n] + t] for t, n in enumerate(active) if n]
-        for k, table in enumerate(self.tables):
-            first = table[self.width : 2 * self.width]
-            again = np.where(first == 0, 1, first).astype(np.int32)
-            missing = (first == 0).astype(np.int32)
-            state, count = np.ones(len(start), np.int32), np.zeros(len(start), np.int32)
-            for codes in steps:
-                n = len(codes)
-                was = state[:n]
-                to = table.take(was * self.width + codes)
-                ended = to == 0
-                # a phrase ends here, unless none had begun; an unknown letter is a phrase of its own
-                count[:n] += (ended & (was != 1)) + missing.take(codes)
-                state[:n] = np.where(ended, again.take(codes), to)
-            total[:, k] += np.bincount(owner, count + (state != 1), len(texts)).astype(np.int64)
-        return total
-
-    def predict(self, texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[str, float]]:
-        """Language and score of each text: und and 0 without a letter; else 1 - best / next best cross entropy."""
-        done = 0
-        while done < len(texts):
-            part, n = [], 0
-            while done < len(texts) and (not part or n + len(texts[done] or "") <= chars):
-                part.append(_codes((texts[done] or "").lower(), self.code_of))
-                n += len(part[-1])
-                done += 1
-            found = self.phrases(part)
-            for codes, row in zip(part, found, strict=True):
-                if not self.languages or not (codes != GAP).any():
-                    yield "und", 0.0
-                    continue
-                entropy = row * self.log_sizes / len(codes)
-                best = int(entropy.argmin())
-                others = np.delete(entropy, best)
-                yield self.languages[best], float(1 - entropy[best] / others.min()) if len(others) and others.min() > 0 else 0.0 if len(others) else 1.0
-
-
-def _codes(text: str, code_of: np.ndarray) -> np.ndarray:
-    """A code for each character, runs between words as one."""
-    codes = code_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    again = np.zeros(len(codes), bool)
-    again[1:] = (codes[1:] == GAP) & (codes[:-1] == GAP)
-    return codes[~again]
-
-
-def labelled_text(docs: DataFrame, folds: int = 3, held: int = 1, per_language: int = 64, chars: int = 30_000, most: int = 256) -> dict[str, str]:
-    """Training text of each language: of at most ``per_language`` documents, those with the smallest hash of the id,
-    ``chars`` characters at most; of the ``most`` most frequent languages, smaller shares if there are over 16, so that
-    all automata together stay within a few hundred MB."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), folds) != held))
-    top = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most).collect()]
-    each = min(chars, chars * 16 // max(1, len(top)))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    slim = known.where(F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", F.xxhash64("doc_id", F.lit(11)).alias("h"))
-    chosen = slim.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).where(F.col("lang").isin(top))
-    ids = chosen.select("doc_id").distinct()  # at most per_language * most rows
-    rows = known.where(F.col("lang").isin(top)).join(F.broadcast(ids), "doc_id").select("lang", "doc_id", F.substring("text", 1, each).alias("text")).distinct().collect()
+    """Automata of all languages. Of languages that tie, the first in order wins."""
+
+    def __init__(self, texts: dict[str, str]):
+        own = {k: letters(t) for k, t in sorted(texts.items())}
+        self.languages = list(own)
+        self.starts = [suffix_automaton(t) for t in own.values()]
+        self.log_sizes = [math.log2(max(2, len(t))) for t in own.values()]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and score: und and 0 without a letter; else 1 - best / next best cross entropy."""
+        if not text or not self.languages or not any(map(str.isalpha, text)):
+            return "und", 0.0
+        own = letters(text)
+        entropy = []
+        for start, bits in zip(self.starts, self.log_sizes, strict=True):
+            n, lacking = phrases(own, start)
+            entropy.append((n * bits + lacking * LITERAL) / len(own))
+        best = min(range(len(entropy)), key=entropy.__getitem__)
+        others = min((e for k, e in enumerate(entropy) if k != best), default=None)
+        return self.languages[best], 1.0 if others is None else 1 - entropy[best] / others
+
+
+@lru_cache(maxsize=1)
+def _parser(texts: tuple[tuple[str, str], ...]) -> CrossParser:
+    """Built once in each worker, from texts that are far smaller than their automata."""
+    return CrossParser(dict(texts))
+
+
+def labelled_text(docs: DataFrame, folds: int = 3, held: int = 1, chars: int = 30_000, total: int = 600_000, longest: int = 2_000, documents: int = 256) -> dict[str, str]:
+    """Training text of every language that has a lang: a bounded sample of the labelled rows outside of fold ``held``.
+
+    ``chars`` characters of a language at most, and ``total`` / languages where that is less (but 100), so that all
+    automata together take a few hundred MB. Documents of at most ``longest`` characters come first, in the order of a
+    hash of their content, ``documents`` at most; they are taken whole, but for the one that reaches the bound.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (crc_mod(F.col("doc_id"), folds) != held))
+    n = known.agg(F.count_distinct("lang")).first()[0]
+    each = min(chars, max(100, total // max(1, n)))
+    mark = F.xxhash64("doc_id", "lang", "text", F.lit(11)).alias("mark")
+    long = (F.char_length("text") > longest).alias("long")
+    slim = known.select("lang", mark, long, F.char_length("text").alias("n"))
+    order = Window.partitionBy("lang").orderBy("long", "mark")
+    first = slim.withColumn("place", F.row_number().over(order)).where(F.col("place") <= documents)
+    before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    chosen = first.withColumn("before", before).where(F.col("before") < each)  # at most ``documents`` rows a language
+    marks = chosen.select(F.col("mark").alias("of")).distinct()
+    rows = known.select("lang", mark, long, F.substring("text", 1, each).alias("text")).join(F.broadcast(marks), F.col("mark") == F.col("of")).distinct().collect()
     texts: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        share = max(200, 2 * each // per_language)
-        texts[r["lang"]] = (texts.get(r["lang"], "") + r["text"][:share] + "\n")[:each]
+    for r in sorted(rows, key=lambda r: (r["lang"], r["long"], r["mark"], r["text"])):
+        texts[r["lang"]] = (texts.get(r["lang"], "") + r["text"] + "\n")[:each]
     return texts
 
 
@@ -174,15 +140,19 @@ def identify(docs: DataFrame, folds: int = 3, held: int = 1, **options) -> DataF
     """A row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
     Learns from a bounded sample of rows with a lang whose crc32(doc_id) mod ``folds`` isn't ``held`` (see
-    ``labelled_text``); a prediction sees the text alone, all of it. ``und`` with score 0 if the text is null, empty or
-    has no letter, or if no language is known; ties go to the language first in order. Repeated rows each have their
-    row; an empty table gives an empty result; other columns are ignored.
+    ``labelled_text``, which takes ``options``); a prediction sees the text alone, all of it. ``und`` with score 0 if the
+    text is null, empty or has no letter, or if no language is known; ties go to the language first in order. Repeated
+    rows each have their row; an empty table gives an empty result; other columns are ignored.
     """
-    parser = docs.sparkSession.sparkContext.broadcast(CrossParser.learn(labelled_text(docs, folds, held, **options)))
+    texts = docs.sparkSession.sparkContext.broadcast(tuple(sorted(labelled_text(docs, folds, held, **options).items())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _parser(texts.value)
         for batch in batches:
-            found = list(parser.value.predict(batch.column(2).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            own = batch.column(2).dictionary_encode()
+            found = [parser.predict(t) for t in own.dictionary.to_pylist()]
+            at = own.indices.to_pylist()
+            lang, score = ([("und", 0.0)[k] if i is None else found[i][k] for i in at] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), "text").mapInArrow(work, SCHEMA)

@@ -1,47 +1,106 @@
+import math
 import random
+import re
+import zlib
 
 import numpy as np
+import pytest
 
 from quarry.llm import language
 
-SCHEMA = "doc_id long, text string, lang string, score string"
+SCHEMA = "doc_id long, text string, lang string, score string, mark string, place string"
 
 
-def brute_phrases(codes, train, lane):
-    grams = {tuple(train[i:j]) for i in range(len(train)) for j in range(i + 1, len(train) + 1)}
-    n = 0
-    for k in range(0, len(codes), lane):
-        part, at = list(codes[k : k + lane]), 0
-        while at < len(part):
-            end = at + 1
-            if (part[at],) in grams:
-                while end < len(part) and tuple(part[at : end + 1]) in grams:
-                    end += 1
-            at, n = end, n + 1
-    return n
+def rows_of(rows):
+    return [(*r, *[""] * (6 - len(r))) for r in rows]
+
+
+def brute_phrases(text, train):
+    at, n, lacking = 0, 0, 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in train:
+            end += 1
+        n, lacking = (n + 1, lacking) if text[at] in train else (n, lacking + 1)
+        at = end if text[at] in train else at + 1
+    return n, lacking
+
+
+def brute_predict(texts, text):
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", t.lower())
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    own = plain(text)
+
+    def bits(train):
+        n, lacking = brute_phrases(own, train)
+        return (n * math.log2(max(2, len(train))) + lacking * math.log2(0x110000)) / len(own)
+
+    entropy = {k: bits(plain(t)) for k, t in texts.items()}
+    best = min(sorted(entropy), key=entropy.get)
+    others = [e for k, e in entropy.items() if k != best]
+    return best, 1 - entropy[best] / min(others) if others else 1.0
 
 
 def test_phrases_against_brute_force():
     rng = random.Random(3)
-    train = {"x": "abcab bca aab", "y": "bbb cc abcc", "z": "q"}
-    parser = language.CrossParser.learn(train)
-    texts = ["".join(rng.choice("abc qZ") for _ in range(rng.randrange(0, 40))) for _ in range(60)]
-    codes = [language._codes(t.lower(), parser.code_of) for t in texts]
-    for lane in (7, 256):
-        got = parser.phrases(codes, lane)
-        for k, name in enumerate(parser.languages):
-            own = language._codes(train[name].lower(), parser.code_of).tolist()
-            assert [brute_phrases(c, own, lane) for c in codes] == got[:, k].tolist()
+    for train in ("abcab bca aab", "bbb cc abcc", "q", "字本 語字", ""):
+        start = language.suffix_automaton(train)
+        for _ in range(80):
+            text = "".join(rng.choice("abc qzß字本") for _ in range(rng.randrange(0, 60)))
+            assert language.phrases(text, start) == brute_phrases(text, train)
+
+
+def test_a_text_of_the_training_text_is_one_phrase():
+    rng = random.Random(4)
+    train = "".join(rng.choice("abcdefgh ") for _ in range(20_000))
+    assert language.phrases(train[777:15_000], language.suffix_automaton(train)) == (1, 0)
 
 
 def test_automaton_holds_all_substrings():
-    text = [1, 2, 1, 1, 2, 3, 1, 2]
-    nexts = language.suffix_automaton(text)
+    text = "abaabcab"
+    start, states = language.suffix_automaton(text), set()
     for i in range(len(text)):
-        state = 0
-        for c in text[i:]:
-            state = nexts[state][c]
-    assert len(nexts) <= 2 * len(text)
+        state = start
+        for ch in text[i:]:
+            state = state[ch]
+            states.add(id(state))
+    assert len(states) < 2 * len(text)
+
+
+def test_languages_of_disjoint_large_alphabets():
+    rng = random.Random(5)
+    hans = [[chr(0x4E00 + 3000 * k + i) for i in range(3000)] for k in range(2)]
+    write = lambda k: "".join(hans[k][int(3000 * rng.random() ** 2)] for _ in range(5000))
+    parser = language.CrossParser({"a": write(1), "b": write(0), "ru": "привет как дела хорошо", "el": "καλημέρα τι κάνεις"})
+    for k, name in ((0, "b"), (1, "a")):
+        lang, score = parser.predict(write(k)[:300])
+        assert lang == name and score > 0.05
+    assert parser.predict("хорошо привет")[0] == "ru" and parser.predict("τι κάνεις;")[0] == "el"
+
+
+def test_identify_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for options in ({}, {"chars": 700, "longest": 300}):
+        texts = language.labelled_text(docs, **options)
+        rows = {r.doc_id: r for r in docs.select("doc_id", "text", "lang").collect()}
+        own = {k: [r.text for r in rows.values() if r.lang == k and zlib.crc32(str(r.doc_id).encode()) % 3 != 1] for k in texts}
+        for k, t in texts.items():
+            assert len(t) <= options.get("chars", 30_000)
+            held = [x for x in t.split("\n") if x][:-1]  # the last may be cut
+            assert held and all(any(x in whole for whole in own[k]) for x in held)
+        for r in language.identify(docs, **options).collect():
+            if len(rows[r.doc_id].text or "") < 3000:
+                lang, score = brute_predict(texts, rows[r.doc_id].text)
+                assert (r.lang_pred, r.held_out) == (lang, zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+                assert r.score == pytest.approx(score)
+
+
+def test_every_language_is_learnt(spark):
+    words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}q{chr(97 + k * 7 % 26)}" for k in range(300)]
+    rows = rows_of([(k, f"{w} {w}z {w}", f"l{k:03d}") for k, w in enumerate(words)])
+    texts = language.labelled_text(spark.createDataFrame(rows, SCHEMA))
+    assert set(texts) == {f"l{k:03d}" for k in range(300) if zlib.crc32(str(k).encode()) % 3 != 1}
 
 
 def test_held_out_accuracy(spark, sf_dir):
@@ -53,11 +112,13 @@ def test_held_out_accuracy(spark, sf_dir):
 
 
 def test_odd_rows(spark):
-    rows = [(i, "the cat and the dog went home", "en", "") for i in range(20)] + [(20 + i, "der hund und die katze gehen heim", "de", "") for i in range(20)]
-    rows += [(50, None, "en", ""), (51, "", "en", ""), (52, "123 !?", "de", ""), (53, "字字字", None, ""), (None, "und der hund", None, ""), (None, "und der hund", None, ""), (54, "und die " * 30_000, None, "")]
-    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    rows = [(i, "the cat and the dog went home", "en") for i in range(20)] + [(20 + i, "der hund und die katze gehen heim", "de") for i in range(20)]
+    rows += [(50, None, "en"), (51, "", "en"), (52, "123 !?", "de"), (53, "字字字", None), (None, "und der hund", None), (None, "und der hund", None), (54, "und die " * 30_000, None)]
+    rows += [(None, "le chat dort bien", "fr"), (None, "le chat dort bien", "fr")]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows_of(rows), SCHEMA)).where("lang_pred <> 'fr'").collect()}
     assert [got[i].lang_pred for i in (50, 51, 52, 54, None, 3, 23)] == ["und", "und", "und", "de", "de", "en", "de"]
-    assert got[53].lang_pred in ("de", "en") and got[50].score == 0
+    assert got[50].score == 0
+    assert language.identify(spark.createDataFrame(rows_of(rows), SCHEMA)).where("lang_pred = 'fr'").count() >= 2
     assert language.identify(spark.createDataFrame([], SCHEMA)).count() == 0
-    alone = spark.createDataFrame([(1, "some text", None, "")], SCHEMA)
+    alone = spark.createDataFrame(rows_of([(1, "some text", None)]), SCHEMA)
     assert language.identify(alone).collect()[0].lang_pred == "und"
