@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import Scratch, lower_ascii, sql_lower_ascii
+from quarry.llm.storage import Scratch, lower_ascii, row_of, sql_lower_ascii
 
 
 def radix_groups(docs: DataFrame, first: int = 64, growth: int = 8, widest: int = 1 << 20, carry: bool = False) -> DataFrame:
@@ -29,7 +29,7 @@ def radix_groups(docs: DataFrame, first: int = 64, growth: int = 8, widest: int
     """
     scratch = Scratch(docs.sparkSession, "radix")
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = [F.struct(*(docs[c] for c in docs.columns)).alias("doc")] if carry else []
+    own = [row_of(docs)] if carry else []
     kept_columns = ["doc"] if carry else []
     source = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), *own)
     # A run of n bytes lies within the first n characters: counting needn't normalise whole texts.

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import Scratch, crc_mod
+from quarry.llm.storage import Scratch, crc_mod, row_of
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Frequent words of English, German, French and Spanish that nearly any prose holds.
@@ -168,7 +168,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, fold
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = statistics(F.col("text"))
-    own = [F.struct(*(docs[c] for c in docs.columns)).alias("doc")] if carry else []
+    own = [row_of(docs)] if carry else []
     held_out = (crc_mod(F.col("doc_id"), folds) == 0).alias("held_out")
     computed = docs.select("doc_id", held_out, *own, *(c.cast("double").alias(f"_{n}") for n, c in stats.items()))
     # through a generator no filter is pushed: statistics are computed once, however often a rule refers to them

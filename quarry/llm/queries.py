@@ -73,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op2_source_mix": mixing.ORACLE,
     "op7_topk": topk.ORACLE,
     "op8_licenses": licenses.ORACLE,
 }

@@ -6,6 +6,7 @@ one machine. Each call of an operator writes under its own name, so that calls d
 
 from __future__ import annotations
 
+import gc
 import string
 import tempfile
 import uuid
@@ -17,10 +18,13 @@ UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (tests), a temporary folder is set instead."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder is set if the session is local;
+    on a cluster, whose machines wouldn't share it, that is an error."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")
@@ -43,10 +47,33 @@ class Scratch:
         return table
 
     def drop(self, table: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        self._delete(table.stored_at)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Drops all tables stored so far but these, once only these are read on; and asks the driver to forget finished
+        plans, which is when Spark removes the files of their shuffles."""
+        held = {t.stored_at for t in tables}
+        for number in range(self.count):
+            if (path := f"{self.root}/{number}") not in held:
+                self._delete(path)
+        forget_plans(self.spark)
+
+    def _delete(self, at: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_plans(spark: SparkSession) -> None:
+    """Collects garbage, in Python and on the driver: the files of a shuffle stay on disk as long as its plan is there."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def row_of(docs: DataFrame) -> Column:
+    """``doc``, a struct of all columns, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("doc")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. For texts of ASCII alone the fast built-in does the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
