@@ -1,13 +1,13 @@
 """SimHash near-duplicates, linked exactly with vantage-point trees.
 
-Equal fingerprints are one point. Fingerprints that differ in at most r bits differ in at most r // 2 in one of their two
-halves, so each half has a tree of its own, searched with that smaller radius: distances within a half are a metric as
-well, and the narrower band keeps overlaps small. A tree over a bounded sample routes points to shards: an inner node
-holds a vantage point and a median distance. A point belongs to one shard; where its distance from a vantage point is
-within the radius of the median, the triangle inequality can't exclude the other side, and it is sent there too, to be
-looked up only. Within a shard a local tree prunes in the same way, down to small blocks that are compared in full.
-
-A shard doesn't return the pairs it finds but a spanning forest of them: a group of n close texts costs n links, not n^2.
+Equal fingerprints are one point. Of r + 1 bands of bits, two fingerprints that differ in at most r bits agree in one: a
+point goes to one cell for each band, that of the band's value, so it has r + 1 copies however many points there are.
+A cell of too many points is parted by the bits outside of its band in the same way, and so on; only its points get
+more copies. Within a cell, a vantage-point tree parts the points by their Hamming distance from a vantage point at the
+median distance. A point is looked up on both sides where the triangle inequality can't exclude one, down to small
+blocks that are compared in full.
+
+A cell doesn't return the pairs it finds but a spanning forest of them: a group of n close texts costs n links, not n^2.
 Forests are then joined into components by rounds of large-star and small-star, in which counts are pre-aggregated.
 
 Fingerprints of shingles that differ in 3 of 64 bits belong to texts that are all but equal. Near-duplicates down to a
@@ -18,9 +18,7 @@ join: in one order of all shingles, rare ones first, two such texts share one of
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import Scratch
+from quarry.llm.storage import Scratch, row_of
 
 BITS = 64
 
 
-def _majority(hashes: np.ndarray, words: int) -> np.ndarray:
-    """Of hashes, and of ``words`` - 1 more that follow from each, the bits that over half of them have."""
-    counts = np.zeros(BITS * words, np.int64)
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 255):  # sums of 255 fit into a byte
-        part = np.stack([_again(hashes[k : k + 255], w) for w in range(words)], 1).astype(">u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8 * words), axis=1).sum(0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.uint64)
+        part = hashes[k : k + 255].astype(">u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1).sum(0, dtype=np.uint8)
+    return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
 
 
 def _again(hashes: np.ndarray, number: int) -> np.ndarray:
@@ -65,7 +63,7 @@ def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
 def fingerprint(text: bytes, shingle: int) -> int:
     """SimHash of the shingles of ``shingle`` words; A-Z lower-cased; words are parted by ASCII white space."""
     hashes = shingle_hashes(text, shingle)
-    return int(_majority(hashes, 1)[0]) if len(hashes) else 0
+    return _majority(hashes) if len(hashes) else 0
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -110,17 +108,6 @@ def fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
     return _adding(rows, [c for c in rows.columns if c != "text"], "fp long", add)
 
 
-@dataclass
-class Node:
-    """An inner node, or a leaf with its number."""
-
-    vantage: int = 0
-    median: int = 0
-    near: Node | None = None
-    far: Node | None = None
-    leaf: int = -1
-
-
 def _distance(codes: np.ndarray, vantage: int) -> np.ndarray:
     return np.bitwise_count(codes ^ codes.dtype.type(vantage)).astype(np.int64)
 
@@ -136,44 +123,6 @@ def _split(codes: np.ndarray) -> tuple[int, int] | None:
     return None
 
 
-def grow(sample: np.ndarray, leaves: int) -> Node:
-    """The routing tree over distinct codes of one half."""
-    root, count = Node(), 0
-    todo = [(root, np.unique(sample), leaves)]
-    while todo:
-        node, codes, want = todo.pop()
-        found = _split(codes) if want > 1 and len(codes) > 8 else None
-        if found is None:
-            node.leaf, count = count, count + 1
-            continue
-        node.vantage, node.median = found
-        near = _distance(codes, found[0]) <= found[1]
-        node.near, node.far = Node(), Node()
-        todo += [(node.far, codes[~near], want // 2), (node.near, codes[near], want - want // 2)]
-    return root
-
-
-def route(root: Node, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions, leaves and whether the point belongs there (else it is only looked up there)."""
-    at, leaf, home = [], [], []
-    todo = [(root, np.arange(len(codes)), np.ones(len(codes), bool))]
-    while todo:
-        node, rows, own = todo.pop()
-        if not len(rows):
-            continue
-        if node.leaf >= 0:
-            at.append(rows)
-            leaf.append(np.full(len(rows), node.leaf, np.int64))
-            home.append(own)
-            continue
-        d = _distance(codes[rows], node.vantage)
-        near = d <= node.median
-        to_near, to_far = d <= node.median + radius, d > node.median - radius
-        todo += [(node.near, rows[to_near], (own & near)[to_near]), (node.far, rows[to_far], (own & ~near)[to_far])]
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(at), np.concatenate(leaf), np.concatenate(home)) if at else (empty, empty, empty.astype(bool))
-
-
 class Forest:
     """Disjoint sets over positions; the root is the smallest position."""
 
@@ -204,136 +153,109 @@ class Forest:
             used.append(rest[first])
 
 
-def least_forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-    """Which pairs make up a spanning forest of least distances."""
-    forest, used = Forest(n), []
-    order = np.argsort(far, kind="stable")
-    for level in np.split(order, np.flatnonzero(np.diff(far[order])) + 1):
-        used.append(level[forest.unite(a[level], b[level])])
-    return np.concatenate(used)
-
-
-def link(half: np.ndarray, whole: np.ndarray, home: np.ndarray, radius: int, most: int, wide: np.ndarray | None = None, limit: int = 0, block: int = 192, held: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs whose wholes differ in at most ``most`` bits and whose halves in at most
-    ``radius``, at least one of the two at home here, by a local tree over those at home. With ``wide``, rows of wide
-    fingerprints, only pairs that differ there in at most ``limit`` bits count, and the forest is of least distances."""
-    n = len(half)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def link(codes: np.ndarray, most: int, block: int = 192, held: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that differ in at most ``most`` bits, by a vantage-point tree."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     count = 0
 
-    def reduced() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b, far = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        keep = least_forest(n, a, b, far) if len(a) else a
-        return a[keep], b[keep], far[keep]
+    def reduced() -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        used = Forest(len(codes)).unite(a, b)
+        return a[used], b[used]
 
-    stack = [(np.flatnonzero(home), np.arange(n))]
+    stack = [(np.arange(len(codes)), np.arange(len(codes)))]
     while stack:
         points, asks = stack.pop()
         if not len(points) or not len(asks):
             continue
-        split = _split(half[points]) if len(points) > block else None
+        split = _split(codes[points]) if len(points) > block else None
         if split is not None:
             vantage, median = split
-            dp, dq = _distance(half[points], vantage), _distance(half[asks], vantage)
-            stack += [(points[dp <= median], asks[dq <= median + radius]), (points[dp > median], asks[dq > median - radius])]
+            dp, dq = _distance(codes[points], vantage), _distance(codes[asks], vantage)
+            stack += [(points[dp <= median], asks[dq <= median + most]), (points[dp > median], asks[dq > median - most])]
             continue
         for p in range(0, len(points), 1024):
             for q in range(0, len(asks), 1024):
                 mine, theirs = points[p : p + 1024], asks[q : q + 1024]
-                i, j = np.nonzero(np.bitwise_count(whole[theirs, None] ^ whole[mine][None, :]) <= most)
+                i, j = np.nonzero(np.bitwise_count(codes[theirs, None] ^ codes[mine][None, :]) <= most)
                 a, b = theirs[i], mine[j]
-                other = a != b
-                a, b = a[other], b[other]
-                far = np.zeros(len(a), np.int64)
-                if wide is not None:
-                    far = np.bitwise_count(wide[a] ^ wide[b]).sum(1, dtype=np.int64)
-                    near = far <= limit
-                    a, b, far = a[near], b[near], far[near]
-                found.append((a, b, far))
-                count += len(a)
+                found.append((a[a < b], b[a < b]))
+                count += len(found[-1][0])
                 if count > held:  # pairs never pile up: what a forest doesn't need goes
                     found = [reduced()]
                     count = len(found[0][0])
-    a, b, _ = reduced()
-    return a, b
-
-
-def near_links(points: DataFrame, most: int, scratch: Scratch, limit: int = 0, sample: int = 65_536, shard: int = 32_768) -> DataFrame:
-    """Links (a, b) that join all points within ``most`` bits of each other in any of their fingerprints. points: node (a
-    distinct id), fps (fingerprints, as many for each point), wide (a wide fingerprint as bytes, or null for all).
-
-    With wide fingerprints, links are also within ``limit`` bits there. ``sample`` points, those with the smallest hash,
-    shape the routing trees. A shard has about ``shard`` points; one that outgrows four times that, as many points lie
-    close, is cut into parts, each searched against the others.
-    """
-    n = points.count()
-    # a bounded sample: of a share that holds about twice as many, those with the smallest hash
-    mark = F.pmod(F.xxhash64("fps", F.lit(3)), F.lit(1 << 31))
-    share = min(1 << 31, (1 << 32) * sample // max(1, n))
-    picked = points.select("fps").where(mark < share).orderBy(mark, "fps").limit(sample).collect()
-    codes = np.array([r["fps"] for r in picked], np.int64).reshape(len(picked), len(picked[0]["fps"]) if picked else 0).view(np.uint64)
-    leaves = 1 << max(0, (max(1, n // shard) - 1).bit_length())
-    leaves = max(8, min(leaves, sample // 16))
-    radius = most // 2
-    low = np.uint64(0xFFFFFFFF)
-    halves = lambda c: ((c >> np.uint64(32)).astype(np.uint32), (c & low).astype(np.uint32))
-    trees = [grow(h, leaves) for k in range(codes.shape[1]) for h in halves(codes[:, k])]
-
-    def routes(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each tree the points' codes, and as ``route`` gives them positions, shards and homes."""
-        own = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
-        for k, tree in enumerate(trees):
-            at, leaf, home = route(tree, halves(own[:, k // 2])[k % 2], radius)
-            yield own[:, k // 2], at, len(trees) * leaf + k, home
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for batch in batches:
-            if batch.num_rows:
-                for _, _, shards, home in routes(batch):
-                    total.update(dict(zip(*(x.tolist() for x in np.unique(shards[home], return_counts=True)), strict=True)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["shard", "n"])
-
-    counted = points.select("node", "fps").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
-    # a row for each leaf of a tree, whose number the sample bounds
-    parts = {r["shard"]: -(-r["n"] // (4 * shard)) for r in counted.collect() if r["n"] > 4 * shard}
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Points for each shard, as arrays: those at home, and those that are looked up there. A shard's parts share the
-        former; a point of one part is looked up in all that come after it."""
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            nodes = batch.column(0).to_numpy()
-            wide = None if batch.column(2).null_count else np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(nodes), -1)
-            rows = []
-            for fp, at, shards, home in routes(batch):
-                order = np.argsort(shards, kind="stable")
-                at, shards, home = at[order], shards[order], home[order]
-                for of in np.split(np.arange(len(at)), np.flatnonzero(np.diff(shards)) + 1):
-                    n_parts = parts.get(int(shards[of[0]]), 1) if len(of) else 0
-                    content = fp[at[of]] if wide is None else fp[at[of]] ^ wide[at[of], :8].copy().view(np.uint64)[:, 0]
-                    mine = np.where(home[of], _again(content, 1) % np.uint64(max(1, n_parts)), 0).astype(np.int64)
-                    for part in range(n_parts):
-                        own = of[mine <= part]
-                        if len(own):
-                            rows.append((int(shards[own[0]]), part, (home[own] & (mine[mine <= part] == part)).tobytes(), fp[at[own]].tobytes(), nodes[at[own]].tobytes(), None if wide is None else wide[at[own]].tobytes()))
-            types = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "part", "home", "fp", "node", "wide"])
-
-    cells = points.select("node", "fps", "wide").mapInArrow(deal, "shard long, part int, home binary, fp binary, node binary, wide binary")
+    return reduced()
+
+
+def link_cells(mask: np.ndarray, codes: np.ndarray, most: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, of positions, of the pairs within one cell that differ in at most ``most`` bits. Cells of up to
+    ``small`` points are compared in full, all at once; larger ones have a tree each."""
+    order = np.lexsort((codes, codes & mask, mask))
+    mask, codes = mask[order], codes[order]
+    value = codes & mask
+    fresh = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]))
+    length = np.diff(np.append(fresh, len(codes)))
+    left = np.repeat(np.where(length <= small, length, 0), length) - np.arange(len(codes)) + np.repeat(fresh, length)
+    pairs, rest, d = [], np.flatnonzero(left > 1), 1  # left: points of the cell from here on
+    while len(rest):
+        near = rest[np.bitwise_count(codes[rest] ^ codes[rest + d]) <= most]
+        pairs.append((near, near + d))
+        d += 1
+        rest = rest[left[rest] > d]
+    for start, n in zip(fresh[length > small], length[length > small], strict=True):
+        a, b = link(codes[start : start + n], most)
+        pairs.append((a + start, b + start))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    return order[a], order[b]
+
+
+def bands(mask: int, most: int) -> list[int]:
+    """``mask`` with each of ``most`` + 1 bands of the bits outside of it. Neighbouring bits go to different bands."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in free[k :: most + 1]) for k in range(most + 1)]
+
+
+def cells_of(points: DataFrame, most: int, scratch: Scratch, cell: int = 32_768) -> tuple[DataFrame, int]:
+    """Cells (mask, value, node, fp) of which any two points within ``most`` bits share one, and how many rows there are at most.
+
+    A cell of over ``cell`` points is parted again. A cell has at most 2 ** (bits outside its mask) points, so this ends
+    before a band would be empty."""
+    signed = lambda m: F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)
+    rows, masks = points.count() * (most + 1), bands(0, most)
+    cells = points.select("node", "fp", F.explode(F.array(*map(signed, masks))).alias("mask"))
+    done = []
+    while True:
+        cells = cells.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "node", "fp")
+        large = scratch.store(cells.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > cell))
+        n = large.agg(F.sum("n")).first()[0] or 0
+        if not n:
+            break
+        done.append(cells.join(large.select("mask", "value"), ["mask", "value"], "left_anti"))
+        hot = scratch.store(cells.join(large.select("mask", "value"), ["mask", "value"], "left_semi"))
+        parts = F.create_map(*(x for m in masks for x in (signed(m), F.array(*map(signed, bands(m, most))))))
+        rows += n * most
+        cells = hot.select("node", "fp", F.explode(parts[F.col("mask")]).alias("mask")).distinct()  # bands of bands may meet
+        masks = sorted({m for of in masks for m in bands(of, most)})
+    for part in done:
+        cells = cells.unionByName(part)
+    return cells, rows
+
+
+def near_links(points: DataFrame, most: int, scratch: Scratch, cell: int = 32_768, shard: int = 262_144) -> DataFrame:
+    """Links (a, b) that join all points within ``most`` bits of each other. points: node (a distinct id), fp. ``cell``
+    bounds the points of a cell; about ``shard`` rows of cells are searched together."""
+    cells, rows = cells_of(points, most, scratch, cell)
+    shards = max(64, -(-rows // shard))
 
     def search(table: pa.Table) -> pa.Table:
-        joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        node, whole = joined("node", np.int64), joined("fp", np.uint64)
-        wide = None if table["wide"].null_count else joined("wide", np.uint64).reshape(len(node), -1)
-        # by content, not by row: a rerun finds the same forest
-        order = np.lexsort((node, whole) if wide is None else (node, *wide.T, whole))
-        whole, home, wide = whole[order], joined("home", bool)[order], None if wide is None else wide[order]
-        a, b = link(halves(whole)[table["shard"][0].as_py() % 2], whole, home, radius, most, wide, limit)
-        return pa.table({"a": node[order][a], "b": node[order][b]})
+        node, fp, mask = (table[n].to_numpy() for n in ("node", "fp", "mask"))
+        a, b = link_cells(mask.view(np.uint64), fp.view(np.uint64), most)
+        names, at = np.unique(node, return_inverse=True)  # a point may stand in several cells here
+        used = Forest(len(names)).unite(at[a], at[b])
+        return pa.table({"a": node[a[used]], "b": node[b[used]]})
 
-    return cells.groupBy("shard", "part").applyInArrow(search, "a long, b long")
+    dealt = cells.select("node", "fp", "mask", F.pmod(F.xxhash64("mask", "value"), F.lit(shards)).alias("shard"))
+    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -376,8 +298,7 @@ def _components(marked: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """fp, component_id of each fingerprint; component_id is the smallest doc_id."""
     # a point's node is its smallest row number: rows are distinct where ids may not be
     points = scratch.store(marked.groupBy("fp").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")))
-    asked = points.select("node", F.array("fp").alias("fps"), F.lit(None).cast("binary").alias("wide"))
-    joined = components(near_links(asked, most, scratch), scratch)
+    joined = components(near_links(points.select("node", "fp"), most, scratch), scratch)
     of = scratch.store(points.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component"), "least_id"))
     least = of.groupBy("component").agg(F.min("least_id").alias("component_id"))
     return scratch.store(of.join(scratch.store(least), "component").select("fp", "component_id"))
@@ -552,7 +473,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     stay as they are; of rows repeated in full one stays; null doc_ids come last; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    doc = F.struct(*(docs[c] for c in docs.columns)).alias("doc")
+    doc = row_of(docs)
 
     def mark(texts: list[bytes]) -> list[pa.Array]:
         sets = [shingle_set(t, shingle) for t in texts]
