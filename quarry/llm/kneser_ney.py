@@ -1,15 +1,19 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and looked up in memory-mapped sorted hash arrays.
-
-Neither the model nor the queries fit into a worker, so both meet in shards. Documents are coded once into blocks: the
-hashes of a block's distinct words, and a number for each token. A block sends each shard its distinct word pairs, once
-each with their training count. A shard adds them up, writes its model to a file of its own as sorted hashes with counts,
-maps it into memory, looks up every block's pairs in it, and answers with counts. It also passes on, by word, after how
-many different words each one stands, which a second round of shards sums together with the word counts. Last, each block
-gets the answers for its pairs and words, and scores its documents.
-
-A pair crosses the network once for each block that holds it, however often it stands there. Pairs are dealt by their
-first word; words with a large share of all tokens are split over many shards by the second word, and their blocks add
-up the parts.
+"""Interpolated modified Kneser-Ney n-gram model, counted in Spark and looked up in memory-mapped sorted hash arrays.
+
+Neither the model nor the queries fit into a worker, so both meet in shards. Documents are coded once into blocks: a
+block's distinct words, and a number for each token. First, shards of words count them and number them over the whole
+input, frequent ones with small numbers, so that n-grams of numbers take a few bytes.
+
+Then, from the highest order down, a block sends each shard of that order its distinct n-grams, once each, in the highest
+order with their training count. A shard adds them up, writes its part of the model to files of its own as sorted hashes
+with counts, maps them into memory, looks up every block's n-grams in them, and answers with counts. It also passes on,
+by n-gram of the order below, after how many different words each one stands: these are the counts of that order.
+Last, each block gets the answers for its n-grams and scores its documents.
+
+An n-gram crosses the network once for each block that holds it, however often it stands there. N-grams are dealt by
+their context, all but the last word. A word that has more tokens than a shard should hold is split: contexts of such words
+alone are dealt over several shards by the last word, and their sums go to the shard of the context itself, which is an
+n-gram of the order below, to be added up there.
 """
 
 from __future__ import annotations
@@ -31,44 +35,71 @@ from pyspark.sql import functions as F
 
 from quarry.llm.storage import Scratch, crc_mod
 
-#: No word holds white space: these stand for a document's end and for what precedes its first word.
-END, START = b"\n", b"\n\n"
-ROWS = "block long, kind int, shard long, a binary, b binary, c binary, d binary"
-DOCS, PAIRS, WORDS, FOLLOWS, TOTALS = range(5)
-FIVE = np.uint64((1 << 40) - 1)
+#: No word holds white space: this stands for a document's end. What precedes its first word has the number 0.
+END, START = b"\n", 0
+ROWS = "block long, level int, kind int, shard long, parts array<binary>, totals array<long>"
+TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+NAMES = ["block", "level", "kind", "shard", "parts", "totals"]
+DOCS, ASK, FOLLOW, SPLIT, ANSWER, TOTALS, HEAVY = range(7)
 
 
 def _zip(values: np.ndarray) -> bytes:
-    """Bytes of an array, one plane after the other, compressed: counts shrink to a fraction."""
+    """Bytes of an array, one plane after the other, compressed: small numbers shrink to a fraction."""
     planes = values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unzip(data: bytes, dtype) -> np.ndarray:
+def _unzip(data: bytes, dtype=np.int64) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
-def _five(hashes: np.ndarray) -> bytes:
-    """The low 40 bits of hashes, five bytes each: enough to tell words after one word, or in one shard, apart."""
-    return hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def _from_five(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return wide.reshape(-1).view("<u8").astype(np.uint64)
-
-
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0x632BE59BD9B4E019))
+        x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+def _key(words: list[np.ndarray]) -> np.ndarray:
+    """64 bits that tell n-grams, given word by word, apart."""
+    key = np.full(len(words[0]), len(words), np.uint64)
+    for w in words:
+        key = _mix(key, w)
+    return key
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)] if rows else [pa.array([], t) for t in TYPES], names=NAMES)
+
+
+class Deal:
+    """Where n-grams go: numbers of shards, and the words that are split, with the number of shards of each."""
+
+    def __init__(self, shards: int, heavy: np.ndarray, ways: np.ndarray):
+        order = np.argsort(heavy)
+        self.shards, self.heavy, self.ways = shards, heavy[order], ways[order]
+
+    def ways_of(self, words: list[np.ndarray]) -> np.ndarray:
+        """Over how many shards the n-grams of a context go: an upper bound of its tokens is that of its rarest word."""
+        least = np.full(len(words[0]), self.shards, np.int64)
+        for w in words:
+            own = np.ones(len(w), np.int64)
+            if len(self.heavy):
+                at = np.minimum(np.searchsorted(self.heavy, w), len(self.heavy) - 1)
+                own = np.where(self.heavy[at] == w, self.ways[at], 1)
+            least = np.minimum(least, own)
+        return least
+
+    def shard_of(self, context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+        if not context:
+            return word % self.shards
+        spread = _mix(word, np.full(len(word), 7, np.uint64)) % self.ways_of(context).astype(np.uint64)
+        return ((_key(context) + spread) % np.uint64(self.shards)).astype(np.int64)
+
+
 def code_documents(docs: DataFrame, folds: int, tokens: int) -> DataFrame:
     """Blocks of about ``tokens`` tokens: ids, held, lengths, hashes of the words, and the tokens as word numbers."""
 
@@ -79,13 +110,11 @@ def code_documents(docs: DataFrame, folds: int, tokens: int) -> DataFrame:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))[rank]
         place = np.empty(len(words), np.int32)
         place[rank] = np.arange(len(words), dtype=np.int32)
-        heavy = np.flatnonzero(counts[rank] * 400 > len(flat))
-        hot = [{"h": int(h), "n": int(n)} for h, n in zip(hashes[heavy].view(np.int64), counts[rank][heavy], strict=True)]
-        columns = [[number], [ids], [held], [lengths], [len(flat)], [hot], [hashes.tobytes()], [_zip(place[flat])]]
+        columns = [[number], [len(flat)], [pickle.dumps((ids, held, lengths))], [hashes.tobytes()], [_zip(place[flat])]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    names = ["block", "ids", "held", "lengths", "n", "hot", "words", "tokens"]
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])), pa.binary(), pa.binary()]
+    names = ["block", "n", "docs", "words", "tokens"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, size = TaskContext.get().partitionId() << 32, 0
@@ -107,139 +136,218 @@ def code_documents(docs: DataFrame, folds: int, tokens: int) -> DataFrame:
             yield block(number, ids, held, lengths, numbers, words)
 
     read = docs.select("doc_id", (crc_mod(F.col("doc_id"), folds) == 0).alias("held"), "text")
-    return read.mapInArrow(work, "block long, ids array<long>, held array<boolean>, lengths array<long>, n long, hot array<struct<h:long,n:long>>, words binary, tokens binary")
+    return read.mapInArrow(work, "block long, n long, docs binary, words binary, tokens binary")
 
 
-class Block:
-    """A block's distinct pairs and words with their training counts, in the order in which shards get and answer them."""
-
-    def __init__(self, held: list[bool], lengths: np.ndarray, words: bytes, tokens: bytes, hot: np.ndarray, shards: int, ways: int):
-        self.hashes = np.frombuffer(words, np.uint64)
-        self.tokens = _unzip(tokens, np.int32)
-        self.lengths = lengths
-        trains = np.repeat(~np.array(held, bool), lengths)
-        first = np.zeros(len(self.tokens), bool)
-        first[np.cumsum(lengths) - lengths] = True
-        v = len(self.hashes)
-        before = np.empty(len(self.tokens), np.int64)
-        before[1:] = self.tokens[:-1]
-        before[first] = v
-        pair, self.pair_of = np.unique(before * (v + 1) + self.tokens, return_inverse=True)
-        self.train_pairs = np.bincount(self.pair_of, trains, len(pair)).astype(np.uint32)
-        self.train_words = np.bincount(self.tokens, trains, v).astype(np.uint32)
-        all_hashes = np.append(self.hashes, np.uint64(xxhash.xxh64_intdigest(START)))
-        context, target = pair // (v + 1), pair % (v + 1)
-        # hot first words are in all shards that have a part of them, with or without pairs here
-        self.hot = hot
-        is_hot = np.isin(all_hashes, hot)
-        spread = np.where(is_hot[context], all_hashes[target] % np.uint64(ways), 0).astype(np.uint64)
-        shard = ((all_hashes[context] % np.uint64(shards) + spread) % np.uint64(shards)).astype(np.int64)
-        self.order = np.argsort(shard, kind="stable")
-        self.shard = shard[self.order]
-        self.context, self.target, self.all_hashes = context, target, all_hashes
-        word_shard = ((self.hashes & FIVE) % np.uint64(shards)).astype(np.int64)
-        self.word_order = np.argsort(word_shard, kind="stable")
-        self.word_shard = word_shard[self.word_order]
-        self.shards, self.ways = shards, ways
-
-    def asked(self) -> list[int]:
-        """Shards that this block has pairs or hot words for."""
-        home = (self.hot % np.uint64(self.shards)).astype(np.int64)
-        parts = ((home[:, None] + np.arange(self.ways)) % self.shards).ravel()
-        return np.unique(np.concatenate([self.shard, parts])).tolist()
-
-    def words_in(self, shard: int) -> np.ndarray:
-        return self.word_order[slice(*np.searchsorted(self.word_shard, [shard, shard + 1]))]
-
-    def contexts(self, shard: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of a shard: pairs, first words in order, and how many of the pairs each of them begins."""
-        pairs = self.order[slice(*np.searchsorted(self.shard, [shard, shard + 1]))]
-        of = self.context[pairs]
-        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-        return pairs, of[starts], np.diff(np.append(starts, len(of)))
-
-    def hot_in(self, shard: int) -> np.ndarray:
-        home = (self.hot % np.uint64(self.shards)).astype(np.int64)
-        return self.hot[(shard - home) % self.shards < self.ways]
+def _by_shard(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Shards and the positions that go there, in order."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order])) + 1
+    return [(int(shard[own[0]]), own) for own in np.split(order, cuts) if len(own)]
 
 
-def _table(rows: list[tuple]) -> pa.Table:
-    types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types], names=["block", "kind", "shard", "a", "b", "c", "d"])
+def _trains(held: list[bool], lengths: np.ndarray) -> np.ndarray:
+    return np.repeat(~np.array(held, bool), lengths)
 
 
-def _opened(row: dict, hot: np.ndarray, shards: int, ways: int) -> Block:
-    return Block(row["held"], np.array(row["lengths"], np.int64), row["words"], row["tokens"], hot, shards, ways)
+def ask_words(row: dict, shards: int) -> Iterator[tuple]:
+    """A block's words, with their tokens in all and in training."""
+    _, held, lengths = pickle.loads(row["docs"])
+    hashes, tokens = np.frombuffer(row["words"], np.uint64), _unzip(row["tokens"], np.int32)
+    total = np.bincount(tokens, minlength=len(hashes)).astype(np.int64)
+    train = np.bincount(tokens, _trains(held, np.array(lengths, np.int64)), len(hashes)).astype(np.int64)
+    for shard, own in _by_shard((hashes % np.uint64(shards)).astype(np.int64)):
+        yield row["block"], 0, ASK, shard, [hashes[own].tobytes(), _zip(total[own]), _zip(train[own])], None
 
 
-def _sum_pairs(table: pa.Table, shards: int) -> pa.Table:
-    """A shard of pairs: builds its model, answers the blocks."""
+def number_words(table: pa.Table, shards: int, most: int) -> pa.Table:
+    """A shard of words: numbers them, the most frequent first, and answers with numbers and training counts. Words of
+    over ``most`` tokens are named."""
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
     shard = rows[0]["shard"]
-    parts = []
-    for r in rows:
-        firsts, runs, seconds, counts = _from_five(r["a"]), _unzip(r["b"], np.uint32), _from_five(r["c"]), _unzip(r["d"], np.uint32)
-        parts.append((firsts, np.repeat(firsts, runs), seconds, counts))
-    keys = np.concatenate([_mix(f, s) for _, f, s, _ in parts])
-    counts = np.concatenate([c for *_, c in parts])
-    seen = counts > 0
-    unique, at, inverse = np.unique(keys[seen], return_index=True, return_inverse=True)
-    total = np.bincount(inverse, counts[seen], len(unique)).astype(np.uint32)
-    first = np.concatenate([f for _, f, *_ in parts])[seen][at]
-    second = np.concatenate([s for _, _, s, _ in parts])[seen][at]
-    words, which = np.unique(first, return_inverse=True)
-    sums = [np.bincount(which, w, len(words)).astype(np.uint32) for w in (total, total == 1, total == 2, total >= 3)]
-    del keys, counts, first, inverse
-    out = []
-    with tempfile.TemporaryDirectory() as folder:  # the model of this shard: sorted hashes, mapped into memory
-        pair_keys, pair_counts = _mapped(folder, "pairs", unique), _mapped(folder, "counts", total)
-        word_keys, word_sums = _mapped(folder, "words", words), [_mapped(folder, f"sums{k}", s) for k, s in enumerate(sums)]
-        for r, (firsts, repeated, seconds, _) in zip(rows, parts, strict=True):
-            found = _looked_up(pair_keys, [pair_counts], _mix(repeated, seconds))[0]
-            of_first = _looked_up(word_keys, word_sums, firsts)
-            out.append((r["block"], PAIRS, shard, _zip(found), _zip(np.concatenate(of_first)), None, None))
-        del pair_keys, pair_counts, word_keys, word_sums
-    follow, n = np.unique(second, return_counts=True)
-    to = (follow % np.uint64(shards)).astype(np.int64)
-    for k in np.unique(to):
-        own = to == k
-        out.append((-1 - shard, FOLLOWS, int(k), _five(follow[own]), _zip(n[own].astype(np.uint32)), None, None))
-    out.append((-1 - shard, TOTALS, -1, np.array([(total == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes(), None, None, None))
+    asked = [np.frombuffer(r["parts"][0], np.uint64) for r in rows]
+    words, of = np.unique(np.concatenate(asked), return_inverse=True)
+    total, train = (np.bincount(of, np.concatenate([_unzip(r["parts"][k]) for r in rows]), len(words)).astype(np.int64) for k in (1, 2))
+    number = np.empty(len(words), np.int64)
+    number[np.lexsort((words, -total))] = 1 + shard + shards * np.arange(len(words), dtype=np.int64)
+    out = [(-1, 0, TOTALS, shard, None, [int(train.sum()), int((train > 0).sum())])]
+    out += [(-1, 0, HEAVY, shard, None, [int(number[k]), int(total[k])]) for k in np.flatnonzero(total > most)]
+    for r, own in zip(rows, np.split(of, np.cumsum([len(a) for a in asked])[:-1]), strict=True):
+        out.append((r["block"], 0, ANSWER, shard, [_zip(number[own]), _zip(train[own])], None))
     return _table(out)
 
 
-def _mapped(folder: str, name: str, values: np.ndarray) -> np.ndarray:
-    path = os.path.join(folder, name)
-    values.tofile(path)
-    return np.memmap(path, values.dtype, "r") if len(values) else values
+def put_numbers(table: pa.Table, shards: int) -> pa.Table:
+    """A block with its words' numbers and training counts in place of their hashes."""
+    rows = table.to_pylist()
+    head = next(r for r in rows if r["kind"] == DOCS)
+    docs, hashes, tokens = head["parts"]
+    hashes = np.frombuffer(hashes, np.uint64)
+    number, train = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+    at = dict(_by_shard((hashes % np.uint64(shards)).astype(np.int64)))
+    for r in rows:
+        if r["kind"] == ANSWER:
+            number[at[r["shard"]]], train[at[r["shard"]]] = _unzip(r["parts"][0]), _unzip(r["parts"][1])
+    return pa.table({"block": pa.array([head["block"]], pa.int64()), "parts": pa.array([[docs, tokens, _zip(number), _zip(train)]], pa.list_(pa.binary()))})
 
 
-def _looked_up(keys: np.ndarray, values: list[np.ndarray], asked: np.ndarray) -> list[np.ndarray]:
-    if not len(keys):
-        return [np.zeros(len(asked), v.dtype) for v in values]
-    order = np.argsort(asked)  # in order, neighbouring look-ups touch neighbouring pages
-    at = np.empty(len(asked), np.int64)
-    at[order] = np.minimum(np.searchsorted(keys, asked[order]), len(keys) - 1)
-    hit = keys[at] == asked
-    return [np.where(hit, v[at], 0).astype(v.dtype) for v in values]
+class Block:
+    """A block's distinct n-grams of orders 1 to ``order``, and where they go. Order 1 is its words."""
+
+    def __init__(self, parts: list[bytes], order: int, deal: Deal):
+        self.ids, self.held, lengths = pickle.loads(parts[0])
+        self.lengths = np.array(lengths, np.int64)
+        tokens, self.train_words = _unzip(parts[1], np.int32).astype(np.int64), _unzip(parts[3])
+        words = np.append(_unzip(parts[2]), START)
+        first = np.zeros(len(tokens), bool)
+        first[np.cumsum(self.lengths) - self.lengths] = True
+        v = len(words)
+        #: by order: numbers of the n-grams' words; the last n-gram is that of starts alone, a context
+        self.words: list[list[np.ndarray]] = [[], [words]]
+        #: by order: which n-gram ends at each token; of each n-gram its context and, one order below, its suffix
+        self.at, self.context, self.suffix = [None, tokens], [None, None], [None, None]
+        for k in range(2, order + 1):
+            before = np.empty(len(tokens), np.int64)
+            before[1:] = self.at[-1][:-1]
+            before[first] = len(self.words[-1][0]) - 1
+            gram, place, at = np.unique(before * v + tokens, return_index=True, return_inverse=True)
+            context, target, suffix = gram // v, gram % v, self.at[-1][place]
+            if k < order:
+                context, target, suffix = np.append(context, len(self.words[-1][0]) - 1), np.append(target, v - 1), np.append(suffix, len(self.words[-1][0]) - 1)
+            self.words.append([*(w[context] for w in self.words[-1]), words[target]])
+            self.at.append(at)
+            self.context.append(context)
+            self.suffix.append(suffix)
+        self.deal, self.order = deal, order
+
+    def dealt(self, k: int) -> list[tuple[int, np.ndarray]]:
+        """Shards of order k and the n-grams that go there, those of a context in a row."""
+        *context, word = self.words[k]
+        return _by_shard(self.deal.shard_of(context, word))
+
+    def runs(self, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of n-grams in a row: where a new context begins, and how many each has."""
+        of = self.context[k][own]
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        return starts, np.diff(np.append(starts, len(of)))
+
+    def split(self, k: int, own: np.ndarray) -> np.ndarray:
+        """Which of the n-grams are contexts that are split."""
+        return np.flatnonzero(self.deal.ways_of([w[own] for w in self.words[k]]) > 1) if k < self.order else np.zeros(0, np.int64)
+
+    def asks(self, block: int, k: int) -> Iterator[tuple]:
+        if k == 1:
+            for shard, own in self.dealt(1):
+                yield block, 1, ASK, shard, [_zip(self.words[1][0][own])], None
+            return
+        trains = np.bincount(self.at[k], _trains(self.held, self.lengths), len(self.words[k][0])).astype(np.int64) if k == self.order else None
+        *context, word = self.words[k]
+        for shard, own in self.dealt(k):
+            starts, runs = self.runs(k, own)
+            parts = [_zip(runs), _zip(word[own]), *(_zip(w[own][starts]) for w in context)]
+            yield block, k, ASK, shard, [*parts, _zip(trains[own])] if k == self.order else parts, None
+
+
+class Mapped:
+    """Sorted hashes and arrays beside them, in files that are mapped into memory."""
+
+    def __init__(self, folder: str, name: str, keys: np.ndarray, values: list[np.ndarray]):
+        self.keys, *self.values = (self._mapped(os.path.join(folder, f"{name}{k}"), x) for k, x in enumerate([keys, *values]))
+
+    def _mapped(self, path: str, values: np.ndarray) -> np.ndarray:
+        values.tofile(path)
+        return np.memmap(path, values.dtype, "r") if len(values) else values
+
+    def __call__(self, asked: np.ndarray) -> list[np.ndarray]:
+        if not len(self.keys):
+            return [np.zeros(len(asked), v.dtype) for v in self.values]
+        order = np.argsort(asked)  # in order, neighbouring look-ups touch neighbouring pages
+        at = np.empty(len(asked), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, asked[order]), len(self.keys) - 1)
+        hit = self.keys[at] == asked
+        return [np.where(hit, v[at], 0).astype(v.dtype) for v in self.values]
+
+
+def _sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, where each stands first, and the sums of the values, a row for each of their rows."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+    unique, at, of = np.unique(flat, return_index=True, return_inverse=True)
+    rows = np.concatenate([np.zeros((values[0].shape[0] if values else 1, 0)), *values], axis=1)
+    return unique, at, np.stack([np.bincount(of, r, len(unique)) for r in rows]).astype(np.int64)
+
+
+def sum_grams(table: pa.Table, k: int, order: int, deal: Deal) -> pa.Table:
+    """A shard of n-grams of order k, at least 2: builds its part of the model, answers the blocks, tells the order below."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["block"]))
+    shard = rows[0]["shard"]
+    asks, grams = [], []
+    for r in rows:
+        if r["kind"] == SPLIT:
+            continue
+        if r["kind"] == FOLLOW:
+            n, word, *context = map(_unzip, r["parts"])
+            grams.append((context, word, n))
+            continue
+        runs, word, *context = map(_unzip, r["parts"])
+        n = context.pop() if k == order else None
+        asks.append((r["block"], context, runs, word))
+        if n is not None:
+            some = np.flatnonzero(n)
+            of = np.repeat(np.arange(len(runs)), runs)[some]
+            grams.append(([c[of] for c in context], word[some], n[some]))
+    unique, at, total = _sums([_mix(_key(c), w) for c, w, _ in grams], [n[None] for *_, n in grams])
+    total = total[0]
+    none = np.zeros(0, np.int64)
+    context = [np.concatenate([none, *(c[i] for c, _, _ in grams)])[at] for i in range(k - 1)]
+    word = np.concatenate([none, *(w for _, w, _ in grams)])[at]
+    del grams
+    keys = _key(context)
+    held, first, sums = _sums([keys], [np.stack([total, total == 1, total == 2, total >= 3])])
+    out = [(-1, k, TOTALS, shard, None, [int((total == x).sum()) for x in (1, 2, 3, 4)])]
+    split = [(_unzip(r["parts"][0]).reshape(4, -1), [_unzip(p) for p in r["parts"][1:]]) for r in rows if r["kind"] == SPLIT]
+    split_keys, _, split_sums = _sums([_mix(_key(c[:-1]), c[-1]) for _, c in split], [s for s, _ in split]) if split else (np.zeros(0, np.uint64), none, np.zeros((4, 0), np.int64))
+    with tempfile.TemporaryDirectory() as folder:  # this shard's part of the model
+        of_gram, of_context, of_split = Mapped(folder, "grams", unique, [total]), Mapped(folder, "contexts", held, list(sums)), Mapped(folder, "split", split_keys, list(split_sums))
+        for block, own, runs, asked in asks:
+            own_keys = _key(own)
+            gram_keys = _mix(np.repeat(own_keys, runs), asked)
+            parts = [_zip(of_gram(gram_keys)[0]), _zip(np.concatenate(of_context(own_keys)))]
+            if k < order:
+                ways = deal.ways_of([*(np.repeat(w, runs) for w in own), asked])
+                parts.append(_zip(np.concatenate(of_split(gram_keys[ways > 1]))))
+            out.append((block, k, ANSWER, shard, parts, None))
+        del of_gram, of_context, of_split
+    # after how many different words the n-grams of the order below stand
+    below, first_at, n = _sums([_mix(_key(context[1:]), word) if k > 2 else word.astype(np.uint64)], [np.ones((1, len(word)))])
+    lower = [*(c[first_at] for c in context[1:]), word[first_at]]
+    for to, own in _by_shard(deal.shard_of(lower[:-1], lower[-1])):
+        out.append((-1 - shard, k - 1, FOLLOW, to, [_zip(n[0][own]), _zip(lower[-1][own]), *(_zip(c[own]) for c in lower[:-1])], None))
+    # sums of contexts that are split, for the shard of the context itself
+    gram = [c[first] for c in context]
+    some = np.flatnonzero(deal.ways_of(gram) > 1)
+    gram = [c[some] for c in gram]
+    for to, own in _by_shard(deal.shard_of(gram[:-1], gram[-1])):
+        out.append((-1 - shard, k - 1, SPLIT, to, [_zip(sums[:, some[own]]), *(_zip(c[own]) for c in gram)], None))
+    return _table(out)
 
 
-def _sum_words(table: pa.Table) -> pa.Table:
-    """A shard of words: counts, and after how many different words each one stands."""
+def sum_words(table: pa.Table, deal: Deal) -> pa.Table:
+    """A shard of words: after how many different words each one stands, and the sums of words that are split."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["block"]))
     shard = rows[0]["shard"]
-    asks = [(r["block"], np.frombuffer(r["a"], np.uint64), _unzip(r["b"], np.uint32)) for r in rows if r["kind"] == WORDS]
-    follows = [(_from_five(r["a"]), _unzip(r["b"], np.uint32)) for r in rows if r["kind"] == FOLLOWS]
-    all_words = np.concatenate([w for _, w, _ in asks]) if asks else np.zeros(0, np.uint64)
-    words, which = np.unique(all_words, return_inverse=True)
-    counts = np.bincount(which, np.concatenate([c for *_, c in asks]) if asks else [], len(words)).astype(np.int64)
-    after, of = np.unique(np.concatenate([f for f, _ in follows]) if follows else np.zeros(0, np.uint64), return_inverse=True)
-    times = np.bincount(of, np.concatenate([n for _, n in follows]) if follows else [], len(after)).astype(np.int64)
-    out = [(-1 - shard, TOTALS, -2, np.array([counts.sum(), (counts > 0).sum(), times.sum(), *((times == k).sum() for k in (1, 2, 3, 4)), (times >= 3).sum()], np.int64).tobytes(), None, None, None)]
-    for block, asked, _ in asks:
-        n = _looked_up(words, [counts], asked)[0]
-        k = _looked_up(after, [times], asked & FIVE)[0]
-        out.append((block, WORDS, shard, _zip(n), _zip(k), None, None))
+    of = lambda kind: [[_unzip(p) for p in r["parts"]] for r in rows if r["kind"] == kind]
+    words, _, times = _sums([w.astype(np.uint64) for _, w in of(FOLLOW)], [n[None] for n, _ in of(FOLLOW)])
+    split, _, sums = _sums([w.astype(np.uint64) for _, w in of(SPLIT)], [s.reshape(4, -1) for s, _ in of(SPLIT)]) if of(SPLIT) else (np.zeros(0, np.uint64), None, np.zeros((4, 0), np.int64))
+    times = times[0]
+    out = [(-1, 1, TOTALS, shard, None, [int(times.sum()), *(int((times == x).sum()) for x in (1, 2, 3, 4)), int((times >= 3).sum())])]
+    with tempfile.TemporaryDirectory() as folder:
+        of_word, of_split = Mapped(folder, "words", words, [times]), Mapped(folder, "split", split, list(sums))
+        for r in rows:
+            if r["kind"] == ASK:
+                asked = _unzip(r["parts"][0])
+                hot = asked[deal.ways_of([asked]) > 1].astype(np.uint64)
+                out.append((r["block"], 1, ANSWER, shard, [_zip(of_word(asked.astype(np.uint64))[0]), _zip(np.concatenate(of_split(hot)))], None))
+        del of_word, of_split
     return _table(out)
 
 
@@ -250,109 +358,101 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
     return np.array([0.0, *(min(max(d, 0.05), k) for k, d in enumerate(raw, 1))])
 
 
-def score_documents(docs: DataFrame, folds: int = 10, tokens: int = 1_500_000) -> DataFrame:
+def score_block(table: pa.Table, order: int, deal: Deal, totals: dict[int, list[int]]) -> pa.Table:
+    """totals: of order 0 training tokens and words; of the others as the shards tell."""
+    rows = table.to_pylist()
+    own = Block(next(r for r in rows if r["kind"] == DOCS)["parts"], order, deal)
+    counts = [None, *(np.zeros(len(w[0]), np.int64) for w in own.words[1:])]
+    #: by order: of each n-gram what follows it: in all, and how many words once, twice, and three times or more
+    sums = [None, *(np.zeros((4, len(w[0])), np.int64) for w in own.words[1:-1])]
+    at = [None, *(dict(own.dealt(k)) for k in range(1, order + 1))]
+    # sums of contexts that aren't split come from the order above; of split ones from their own, so they go last
+    for r in sorted((r for r in rows if r["kind"] == ANSWER), key=lambda r: -r["level"]):
+        k, grams = r["level"], at[r["level"]][r["shard"]]
+        counts[k][grams] = _unzip(r["parts"][0])
+        if k > 1:
+            starts, _ = own.runs(k, grams)
+            sums[k - 1][:, own.context[k][grams[starts]]] = _unzip(r["parts"][1]).reshape(4, -1)
+        if k < order:
+            split = own.split(k, grams)
+            sums[k][:, grams[split]] = _unzip(r["parts"][-1]).reshape(4, -1)
+    n_train, types = totals[0]
+    base = np.log10((own.train_words + 0.1) / (n_train + 0.1 * (types + 1)))
+    n_follow, k1, k2, k3, k4, more = totals[1]
+    if n_follow:
+        d = _discounts(k1, k2, k3, k4)
+        spare = float(d[1] * k1 + d[2] * k2 + d[3] * more) / n_follow
+        chance = (counts[1] - d[np.minimum(counts[1], 3)]).clip(0) / n_follow + spare / (types + 1)
+    else:
+        chance = np.full(len(counts[1]), 1 / (types + 1))
+    for k in range(2, order + 1):
+        d = _discounts(*totals[k])
+        n, n1, n2, n3 = sums[k - 1][:, own.context[k]]
+        gamma = np.divide(d[1] * n1 + d[2] * n2 + d[3] * n3, n, out=np.ones(len(n)), where=n > 0)
+        high = np.divide((counts[k] - d[np.minimum(counts[k], 3)]).clip(0), n, out=np.zeros(len(n)), where=n > 0)
+        chance = high + gamma * chance[own.suffix[k]]
+    by_doc = lambda values: np.add.reduceat(values, np.cumsum(own.lengths) - own.lengths)
+    words = own.at[1]
+    return pa.table({
+        "doc_id": pa.array(own.ids, pa.int64()), "held_out": pa.array(own.held, pa.bool_()), "n_tokens": pa.array(own.lengths),
+        "n_known": pa.array(by_doc((own.train_words > 0)[words].astype(np.int64))), "train_tokens": pa.array(np.full(len(own.ids), n_train, np.int64)),
+        "base_score": pa.array(by_doc(base[words])), "score": pa.array(by_doc(np.log10(chance)[own.at[order]])),
+    })
+
+
+def _each(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """Rows that ``work`` makes of each row."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            for made in work(batch.slice(k, 1).to_pylist()[0]):
+                yield from _table([made]).to_batches()
+
+
+def score_documents(docs: DataFrame, folds: int = 10, order: int = 3, tokens: int = 1_500_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(doc_id) mod ``folds`` isn't 0 and scores all. Words are parted by ASCII white space,
     A-Z lower-cased; each text ends with one end token, so a null or empty text has one token. Scores are sums of log10
-    probabilities: ``base_score`` of add-0.1 word frequencies, ``score`` of the bigram model, whose lowest order mixes
-    in a uniform distribution over all words and one unknown. With nothing to learn from every token is that unknown.
-    Repeated rows count and score each; an empty table gives an empty result; other columns are ignored.
+    probabilities: ``base_score`` of add-0.1 word frequencies, ``score`` of the model of n-grams up to ``order``, 2 at
+    least, whose lowest order mixes in a uniform distribution over all words and one unknown. With nothing to learn from
+    every token is that unknown. Repeated rows count and score each; an empty table gives an empty result; other columns
+    are ignored. ``tokens`` bounds what a block and, on average, a shard hold; a word with more than half as many is split.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "kneser-ney")
     coded = scratch.store(code_documents(docs, folds, tokens))
     total = coded.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // tokens))
-    ways = min(shards, 64)
-    heavy = coded.select(F.inline("hot")).groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > total / 200).collect()  # at most 200 rows
-    hot = np.sort(np.array([r["h"] for r in heavy], np.int64).view(np.uint64)) if shards > 1 else np.zeros(0, np.uint64)
-
-    def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                own = _opened(row, hot, shards, ways)
-                for shard in own.asked():
-                    pairs, firsts, runs = own.contexts(shard)
-                    extra = own.hot_in(shard)
-                    yield from _table([(
-                        row["block"], PAIRS, shard, _five(np.append(own.all_hashes[firsts], extra)), _zip(np.append(runs, np.zeros(len(extra))).astype(np.uint32)),
-                        _five(own.all_hashes[own.target[pairs]]), _zip(own.train_pairs[pairs]),
-                    )]).to_batches()
-
-    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                own = _opened(row, hot, shards, ways)
-                for shard in np.unique(own.word_shard).tolist():
-                    words = own.words_in(shard)
-                    yield from _table([(row["block"], WORDS, shard, own.hashes[words].tobytes(), _zip(own.train_words[words]), None, None)]).to_batches()
-
-    def sum_pairs(table: pa.Table) -> pa.Table:
-        return _sum_pairs(table, shards)
-
-    slim = coded.select("block", "held", "lengths", "words", "tokens")
-    counted = scratch.store(slim.mapInArrow(send_pairs, ROWS).groupBy("shard").applyInArrow(sum_pairs, ROWS))
-    to_words = slim.mapInArrow(send_words, ROWS).unionByName(counted.where(F.col("kind") == FOLLOWS))
-    worded = scratch.store(to_words.groupBy("shard").applyInArrow(_sum_words, ROWS))
-    read = lambda table, mark: [np.frombuffer(r["a"], np.int64) for r in table.where((F.col("kind") == TOTALS) & (F.col("shard") == mark)).select("a").collect()]  # noqa: E731  a few numbers per shard
-    pair_n = sum(read(counted, -1), np.zeros(4, np.int64))
-    word_n = sum(read(worded, -2), np.zeros(8, np.int64))
-    params = (_discounts(*map(int, pair_n)), _discounts(*map(int, word_n[3:7])), word_n)
-
-    def score(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["kind"] == DOCS)
-        ids, held, lengths = pickle.loads(head["a"])
-        own = Block(held, np.array(lengths, np.int64), head["b"], head["c"], hot, shards, ways)
-        d_pair, d_word, (n_train, types, n_follow, k1, k2, _, _, k3) = params
-        v = len(own.hashes)
-        pair_count = np.zeros(len(own.context), np.int64)
-        sums = np.zeros((4, v + 1), np.int64)
-        index_of_hot = {int(own.all_hashes[k]): k for k in np.flatnonzero(np.isin(own.all_hashes, hot))}
-        word_count, follows = np.zeros(v, np.int64), np.zeros(v, np.int64)
-        for r in rows:
-            if r["kind"] == PAIRS:
-                pairs, firsts, _ = own.contexts(r["shard"])
-                extra = own.hot_in(r["shard"])
-                pair_count[pairs] = _unzip(r["a"], np.uint32)
-                answer = _unzip(r["b"], np.uint32).reshape(4, -1)
-                # a hot word among the shard's own first words is named twice: its part counts once, below
-                plain = ~np.isin(own.all_hashes[firsts], own.hot)
-                sums[:, firsts[plain]] = answer[:, : len(firsts)][:, plain]
-                for k, h in enumerate(extra):
-                    if (at := index_of_hot.get(int(h))) is not None:
-                        sums[:, at] += answer[:, len(firsts) + k]
-            elif r["kind"] == WORDS:
-                words = own.words_in(r["shard"])
-                word_count[words], follows[words] = _unzip(r["a"], np.int64), _unzip(r["b"], np.int64)
-        base = np.log10((word_count + 0.1) / (n_train + 0.1 * (types + 1)))
-        uniform = 1 / (types + 1)
-        if n_follow:
-            spare = float(d_word[1] * k1 + d_word[2] * k2 + d_word[3] * k3) / n_follow
-            low = (follows - d_word[np.minimum(follows, 3)]).clip(0) / n_follow + spare * uniform
-        else:
-            low = np.full(v, uniform)
-        n, n1, n2, n3 = sums[:, own.context]
-        gamma = np.divide(d_pair[1] * n1 + d_pair[2] * n2 + d_pair[3] * n3, n, out=np.ones(len(n)), where=n > 0)
-        high = np.divide((pair_count - d_pair[np.minimum(pair_count, 3)]).clip(0), n, out=np.zeros(len(n)), where=n > 0)
-        log_pair = np.log10(high + gamma * low[own.target])
-        starts = np.cumsum(own.lengths) - own.lengths
-        by_doc = lambda values: np.add.reduceat(values, starts)
-        return pa.table({
-            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(own.lengths),
-            "n_known": pa.array(by_doc((word_count > 0)[own.tokens].astype(np.int64))), "train_tokens": pa.array(np.full(len(ids), n_train, np.int64)),
-            "base_score": pa.array(by_doc(base[own.tokens])), "score": pa.array(by_doc(log_pair[own.pair_of])),
-        })
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                r = batch.slice(k, 1).to_pylist()[0]
-                yield from _table([(r["block"], DOCS, -1, pickle.dumps((r["ids"], r["held"], r["lengths"])), r["words"], r["tokens"], None)]).to_batches()
-
-    answers = counted.where(F.col("kind") == PAIRS).unionByName(worded.where(F.col("kind") == WORDS))
-    whole = coded.select("block", "ids", "held", "lengths", "words", "tokens").mapInArrow(heads, ROWS).unionByName(answers)
-    return whole.groupBy("block").applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    asked = coded.mapInArrow(lambda batches: _each(batches, lambda r: ask_words(r, shards)), ROWS)
+    numbers = scratch.store(asked.groupBy("shard").applyInArrow(lambda t: number_words(t, shards, tokens // 2), ROWS), "kind")
+    heads = coded.select("block", F.lit(0).alias("level"), F.lit(DOCS).alias("kind"), F.lit(-1).cast("long").alias("shard"), F.array("docs", "words", "tokens").alias("parts"), F.lit(None).cast("array<bigint>").alias("totals"))
+    told = heads.unionByName(numbers.where(F.col("kind") == ANSWER))
+    blocks = scratch.store(told.groupBy("block").applyInArrow(lambda t: put_numbers(t, shards), "block long, parts array<binary>"))
+    # words of over half a shard: fewer than two a shard
+    heavy = [tuple(r["totals"]) for r in numbers.where(F.col("kind") == HEAVY).select("totals").collect()]
+    n_docs = docs.count()
+    heavy += [(START, n_docs)] if n_docs > tokens // 2 else []
+    ways = [min(shards, -(-2 * n // tokens)) for _, n in heavy]
+    deal = spark.sparkContext.broadcast(Deal(shards, np.array([w for w, _ in heavy], np.int64), np.array(ways, np.int64)))
+
+    def totals_of(table: DataFrame, n: int) -> list[int]:
+        row = table.where(F.col("kind") == TOTALS).agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(n))).first()
+        return [x or 0 for x in row]
+
+    def asks(k: int):
+        return lambda batches: _each(batches, lambda r: Block(r["parts"], order, deal.value).asks(r["block"], k))
+
+    def sums(k: int):
+        return (lambda t: sum_grams(t, k, order, deal.value)) if k > 1 else (lambda t: sum_words(t, deal.value))
+
+    totals, answers, above = {0: totals_of(numbers, 2)}, None, None
+    for k in range(order, 0, -1):
+        asked = blocks.mapInArrow(asks(k), ROWS)
+        rows = asked if above is None else asked.unionByName(above.where(F.col("kind").isin(FOLLOW, SPLIT)))
+        above = scratch.store(rows.groupBy("shard").applyInArrow(sums(k), ROWS), "kind")
+        totals[k] = totals_of(above, 4 if k > 1 else 6)
+        own = above.where(F.col("kind") == ANSWER)
+        answers = own if answers is None else answers.unionByName(own)
+    heads = blocks.select("block", F.lit(0).alias("level"), F.lit(DOCS).alias("kind"), F.lit(-1).cast("long").alias("shard"), "parts", F.lit(None).cast("array<bigint>").alias("totals"))
+    out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return heads.unionByName(answers).groupBy("block").applyInArrow(lambda t: score_block(t, order, deal.value, totals), out)
