@@ -3,7 +3,8 @@
 Patterns propose spans. Five labelers vote on each: the pattern's own check, a gazetteer, words before it, the characters
 around it, and words that speak against it; each may abstain. How often a labeler is right is nowhere known: it is
 estimated by expectation-maximisation from how the votes agree, over counts of vote combinations, whose number doesn't
-depend on the input. A logistic classifier is trained on the resulting probabilities and compiled into a column. Spans
+depend on the input. A logistic classifier over votes and features of the span's form, which no labeler looks at, is
+trained on the resulting probabilities and compiled into a column. Spans
 of the base kinds that pass their checks always stay; the classifier decides about the others.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +34,25 @@ MORE = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "tel": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9A-Za-z-])",
 }
-#: Domains, country codes, key prefixes and mail hosts that the gazetteer knows.
-GAZETTEER = {
-    "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk|eu|ch|at|it|us|ca|example|test)$",
-    "ip": r"^(?:10|127|172|192|[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])\.",
-    "card": r"^(?:3[47]|4|5[1-5]|2[2-7]|6(?:011|5))",
-    "phone": r"^\+(?:1|7|2[07]|3[0-69]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "iban": r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|GR|HU|IE|IT|LU|NL|NO|PL|PT|RO|SE|SI|SK)",
-    "mail": r"(?i)(?:com|org|net|edu|gov|info|io|de|fr|es|uk)$",
-    "secret": r"^(?:AKIA|gh[pousr]_|sk-)",
-    "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
-    "tel": r"^\(?[2-9][0-9]{2}",
-}
+#: Fixed values, the gazetteer: top-level domains; calling codes of two digits, and what those of three begin with; IBAN
+#: lengths by country; networks of cards as (first prefix, last prefix, lengths); special networks; prefixes of keys.
+DOMAINS = (
+    "com org net edu gov mil int info biz name pro io dev app ai co me tv eu de fr es uk ch at it us ca nl be se no fi dk pl pt ie cz sk si hu ro bg gr tr ru ua lt lv ee "
+    "lu jp cn kr in id my sg th vn ph au nz br mx ar cl pe za ng ke eg il ae sa example test"
+).split()
+CALLING_TWO = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+CALLING_THREE = "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split()
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GI": 23,
+    "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28,
+    "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TR": 26,
+}
+CARDS = (
+    ("4", "4", (13, 16, 19)), ("51", "55", (16,)), ("2221", "2720", (16,)), ("34", "34", (15,)), ("37", "37", (15,)), ("6011", "6011", (16, 17, 18, 19)),
+    ("644", "659", (16, 17, 18, 19)), ("300", "305", (14,)), ("36", "36", (14,)), ("38", "39", (14,)), ("3528", "3589", (16, 17, 18, 19)), ("62", "62", (16, 17, 18, 19)),
+)
+NETWORKS = ("10.", "127.", "169.254.", "192.168.", "192.0.2.", "198.51.100.", "203.0.113.", *(f"172.{k}." for k in range(16, 32)))
+KEYS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
 #: Words whose nearness speaks for a kind, and words that speak against any.
 CONTEXT = {
     "email": r"(?i)mail|contact|write|schreib|kontakt|courriel|correo|contacto",
@@ -58,7 +67,13 @@ CONTEXT = {
 }
 AGAINST = r"(?i)version|isbn|issn|doi|order|invoice|figure|section|commit|sha1?|checksum|serial|part no|sku|page"
 KINDS = [*BASE, *MORE]
+#: Kinds that have a check which can fail.
+CHECKED = ("ip", "card", "phone", "iban", "secret")
 LABELERS = ("check", "gazetteer", "context", "edges", "against")
+#: Labelers that vote one way only: that they abstain tells something too.
+ONE_WAY = {2, 4}
+#: What the classifier sees besides the votes.
+FEATURES = ("length", "digits", "line")
 
 
 def _luhn(digits: Column) -> Column:
@@ -93,66 +108,104 @@ def _by_kind(patterns: dict[str, str], kind: Column, text: Column) -> Column:
     return whole
 
 
+def _gazetteer(kind: Column, match: Column) -> Column:
+    """1 if the gazetteer knows what the match names, -1 if it has no such thing, 0 if it can't tell."""
+    sign = lambda yes: F.when(yes, 1).otherwise(-1)
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    n = F.char_length(digits)
+    two = F.substring(digits, 1, 2)
+    card = F.lit(False)
+    for first, last, lengths in CARDS:
+        card = card | (F.substring(digits, 1, len(first)).between(first, last) & n.isin(*lengths))
+    country = F.substring(match, 1, 2)
+    length = F.element_at(F.create_map(*(F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair)), country)
+    octet = F.regexp_extract(match, "^[0-9]+", 0)
+    starts = lambda prefixes: match.rlike("^(?:" + "|".join(p.replace(".", "[.]") for p in prefixes) + ")")
+    domain = F.lower(F.regexp_extract(match, "([A-Za-z0-9-]+)$", 1)).isin(*DOMAINS)
+    return (
+        F.when(kind.isin("email", "mail"), sign(domain))
+        .when(kind == "ip", F.when(starts(NETWORKS), 1).when(octet.isin("0", *map(str, range(224, 256))), -1).otherwise(0))
+        .when(kind == "card", sign(card))
+        .when(kind == "phone", sign(digits.rlike("^[17]") | two.isin(*CALLING_TWO, *CALLING_THREE)))
+        .when(kind == "iban", sign(F.coalesce(length == F.char_length(F.replace(match, F.lit(" "), F.lit(""))), F.lit(False))))
+        .when(kind == "secret", F.when(starts(KEYS), 1).otherwise(0))
+        .when(kind == "ssn", sign(match.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$")))
+        .when(kind == "tel", sign(digits.rlike("^[2-9](?!11)[0-8][0-9][2-9]")))
+        .otherwise(0)
+    )
+
+
 def _votes(kind: Column, match: Column, ahead: Column, behind: Column) -> dict[str, Column]:
     """1 for, -1 against, 0 abstains."""
     sign = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     checked = _passes(kind, match)
-    known = _by_kind(GAZETTEER, kind, match)
     glued = ahead.rlike(r"[\p{L}\p{N}_]$") | behind.rlike(r"^[\p{L}\p{N}_]")
     return {
-        "check": sign(checked, ~checked),
-        "gazetteer": sign(known, ~known & kind.isin("email", "card", "iban", "ssn", "tel")),
+        "check": F.when(kind.isin(*CHECKED), sign(checked, ~checked)).otherwise(0),  # of other kinds it says nothing
+        "gazetteer": _gazetteer(kind, match),
         "context": sign(_by_kind(CONTEXT, kind, ahead), F.lit(False)),
         "edges": sign(~glued, glued),
         "against": sign(F.lit(False), ahead.rlike(AGAINST)),
     }
 
 
+def _features(match: Column, ahead: Column) -> dict[str, Column]:
+    """Small whole numbers: the length in eights, the share of digits in quarters, and whether a line begins."""
+    n = F.char_length(match)
+    digits = F.char_length(F.regexp_replace(match, "[^0-9]", ""))
+    return {
+        "length": F.least(F.lit(5), F.floor(n / 8)).cast("int"),
+        "digits": F.floor(4 * digits / n).cast("int"),
+        "line": ahead.rlike(r"(?:^|\n)\s*$").cast("int"),
+    }
+
+
 def estimate(counts: list[tuple[str, tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[str, tuple[int, ...]], float]:
     """P(true) of each (kind, votes) by expectation-maximisation. A labeler has, for true and for false spans, one
-    probability for each of its votes; a kind has a share of true spans. Starts from the majority of votes."""
+    probability for each of its votes; a kind has a share of true spans. Starts from the majority of votes. Whether a
+    labeler abstains is no evidence, unless that is all it can do but vote one way."""
+    heard = [[(i, x) for i, x in enumerate(v) if x or i in ONE_WAY] for _, v, _ in counts]
     prob = {(k, v): 1 / (1 + math.exp(-1.5 * sum(v))) for k, v, _ in counts}
     for _ in range(rounds):
         share: dict[str, list[float]] = {}
         told: dict[tuple[int, bool], list[float]] = {}
-        for k, v, n in counts:
+        for (k, v, n), own in zip(counts, heard, strict=True):
             p = prob[k, v]
             s = share.setdefault(k, [1.0, 1.0])
             s[0] += n * p
             s[1] += n * (1 - p)
-            for i, x in enumerate(v):
+            for i, x in own:
                 for true, weight in ((True, p), (False, 1 - p)):
                     told.setdefault((i, true), [1.0, 1.0, 1.0])[x + 1] += n * weight
-        for k, v, _ in counts:
+        for (k, v, _), own in zip(counts, heard, strict=True):
             odds = math.log(share[k][0] / share[k][1])
-            for i, x in enumerate(v):
+            for i, x in own:
                 yes, no = told[i, True], told[i, False]
                 odds += math.log(yes[x + 1] / sum(yes)) - math.log(no[x + 1] / sum(no))
             prob[k, v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return prob
 
 
-def fit(counts: list[tuple[str, tuple[int, ...], int]], prob: dict, steps: int = 300) -> tuple[float, dict[str, float], dict[tuple[int, int], float]]:
-    """Logistic weights of bias, kinds and votes, fitted to the probabilities; each kind weighs the same in all."""
-    bias, kinds, votes = 0.0, dict.fromkeys(KINDS, 0.0), {}
+def fit(tally: list[tuple[str, tuple[int, ...], tuple[int, ...], int]], prob: dict, steps: int = 300) -> tuple[float, dict[tuple[str, object], float]]:
+    """Logistic weights of bias, and of (column, value) for kinds, votes and features, fitted to the probabilities of
+    (kind, votes); each kind weighs the same in all. tally: kind, votes, features, rows."""
+    cells = [[("kind", k), *zip(LABELERS, v, strict=True), *zip(FEATURES, f, strict=True)] for k, v, f, _ in tally]
+    names = sorted({c for row in cells for c in row}, key=str)
+    place = {c: i for i, c in enumerate(names)}
+    x = np.zeros((len(tally), len(names)))
+    for i, row in enumerate(cells):
+        x[i, [place[c] for c in row]] = 1
     total: dict[str, int] = {}
-    for k, _, n in counts:
+    for k, _, _, n in tally:
         total[k] = total.get(k, 0) + n
+    share = np.array([n / total[k] for k, _, _, n in tally])
+    want = np.array([prob[k, v] for k, v, _, _ in tally])
+    bias, w = 0.0, np.zeros(len(names))
     for _ in range(steps):
-        g_bias, g_kinds, g_votes = 0.0, dict.fromkeys(KINDS, 0.0), {}
-        for k, v, n in counts:
-            z = bias + kinds[k] + sum(votes.get((i, x), 0.0) for i, x in enumerate(v))
-            d = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - prob[k, v]) * n / total[k]
-            g_bias += d
-            g_kinds[k] += d
-            for i, x in enumerate(v):
-                g_votes[i, x] = g_votes.get((i, x), 0.0) + d
-        bias -= 0.5 * g_bias
-        for k, d in g_kinds.items():
-            kinds[k] -= 0.5 * (d + 0.001 * kinds[k])
-        for key, d in g_votes.items():
-            votes[key] = votes.get(key, 0.0) - 0.5 * (d + 0.001 * votes.get(key, 0.0))
-    return bias, kinds, votes
+        d = (1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - want) * share
+        bias -= 0.5 * float(d.sum())
+        w -= 0.5 * (x.T @ d + 0.001 * w)
+    return bias, {c: float(w[i]) for c, i in place.items()}
 
 
 def _pieces(kind: str, pattern: str) -> Column:
@@ -193,12 +246,14 @@ def find_private(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "private")
     rows, spans = find_spans(docs, scratch)
-    votes = _votes(F.col("kind"), F.col("match"), F.coalesce("ahead", F.lit("")), F.coalesce("behind", F.lit("")))
-    voted = scratch.store(spans.select("row", "kind", "start", "end", *(v.alias(n) for n, v in votes.items())))
-    tally = voted.groupBy("kind", *LABELERS).agg(F.count("*").alias("n")).collect()  # at most kinds * 3 ** labelers
-    score = _score([(r["kind"], tuple(r[n] for n in LABELERS), r["n"]) for r in sorted(tally, key=str)])
+    ahead = F.coalesce("ahead", F.lit(""))
+    seen = _votes(F.col("kind"), F.col("match"), ahead, F.coalesce("behind", F.lit(""))) | _features(F.col("match"), ahead)
+    voted = scratch.store(spans.select("row", "kind", "start", "end", *(c.alias(n) for n, c in seen.items())))
+    # at most a row for each kind, vote and feature: a few thousand
+    tally = voted.groupBy("kind", *LABELERS, *FEATURES).agg(F.count("*").alias("n")).collect()
+    score = _score([(r["kind"], tuple(r[n] for n in LABELERS), tuple(r[n] for n in FEATURES), r["n"]) for r in sorted(tally, key=str)])
     base = F.col("kind").isin(*BASE)
-    judged = voted.select("row", "kind", "start", "end", base.alias("base"), F.when(base, F.col("check") > 0).otherwise(score >= threshold).alias("stays")).where("stays")
+    judged = voted.select("row", "kind", "start", "end", base.alias("base"), F.when(base, F.col("check") >= 0).otherwise(score >= threshold).alias("stays")).where("stays")
     by_place = Window.partitionBy("row").orderBy("start", "end")
     before = F.max(F.when(F.col("base"), F.col("end"))).over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.min(F.when(F.col("base"), F.col("start"))).over(by_place.rowsBetween(Window.currentRow, Window.unboundedFollowing))
@@ -217,13 +272,15 @@ def find_private(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     )
 
 
-def _score(counts: list[tuple[str, tuple[int, ...], int]]) -> Column:
-    if not counts:
+def _score(tally: list[tuple[str, tuple[int, ...], tuple[int, ...], int]]) -> Column:
+    """The classifier's probability as a column; it is trained on what the votes say, and sees the features as well."""
+    if not tally:
         return F.lit(0.0)
-    bias, kinds, votes = fit(counts, estimate(counts))
+    counts: dict[tuple[str, tuple[int, ...]], int] = {}
+    for k, v, _, n in tally:
+        counts[k, v] = counts.get((k, v), 0) + n
+    bias, weights = fit(tally, estimate([(k, v, n) for (k, v), n in counts.items()]))
     total = F.lit(bias)
-    for k, w in kinds.items():
-        total = total + F.when(F.col("kind") == k, w).otherwise(0.0)
-    for (i, x), w in sorted(votes.items()):
-        total = total + F.when(F.col(LABELERS[i]) == x, w).otherwise(0.0)
+    for (name, value), w in sorted(weights.items(), key=str):
+        total = total + F.when(F.col(name) == value, w).otherwise(0.0)
     return 1 / (1 + F.exp(-total))

@@ -76,6 +76,39 @@ def test_added_spans(spark):
     assert sum(got[200 + i].startswith("tel:5:") for i in range(30)) == 30
 
 
+def test_recall_and_precision_of_added_spans(spark):
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9)))
+    make = {
+        "iban": lambda: f"DE{digits(20)}",
+        "mail": lambda: f"{word()} at {word()} dot com",
+        "secret": lambda: "ghp_" + "".join(rng.choice("abcdefXYZ0123456789") for _ in range(35)) + "7",
+        "ssn": lambda: f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        "tel": lambda: f"({rng.randrange(200, 299)}) {rng.randrange(200, 999)}-{digits(4)}",
+    }
+    lead = {"iban": "konto", "mail": "write to", "secret": "api key", "ssn": "social security number", "tel": "call"}
+    decoys = [lambda: f"order {rng.randrange(900, 999)}-{digits(2)}-{digits(4)}", lambda: f"XX{digits(2)} {digits(4)} {digits(4)}", lambda: f"page 100.{digits(3)}.{digits(4)}", lambda: f"sha1 checksum 1{digits(39)}"]
+    rows, want = [], set()
+    for i in range(600):
+        text = f"{word()} {word()} "
+        for _ in range(rng.randrange(3)):
+            if rng.random() < 0.6:
+                kind = rng.choice(list(make))
+                span = make[kind]()
+                text += f"{lead[kind]} " if rng.random() < 0.8 else f"{word()} "
+                want.add((i, kind, len(text), len(text) + len(span)))
+                text += f"{span} , {word()} "
+            else:
+                text += f"{rng.choice(decoys)()} , {word()} "
+        rows.append((i, text, "", "", 0))
+    got = set()
+    for r in pii.find_private(spark.createDataFrame(rows, SCHEMA)).collect():
+        got |= {(r.doc_id, k, int(a), int(b)) for k, a, b in (x.rsplit(":", 2) for x in r.spans.split(",") if x) if k in pii.MORE}
+    recall, precision = len(got & want) / len(want), len(got & want) / len(got)
+    assert recall > 0.9 and precision > 0.9
+
+
 def test_estimation_finds_the_reliable_labelers():
     counts = [("tel", (1, 1, 1, 1, 0), 80), ("tel", (1, 1, 0, 1, 0), 40), ("tel", (1, -1, 0, -1, -1), 60), ("tel", (-1, -1, 0, -1, 0), 30)]
     prob = pii.estimate(counts)
