@@ -44,17 +44,19 @@ def _spaces(text: Column) -> Column:
 
 
 def scan_licenses(
-    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9, block: int = 64, step: int = 32
+    docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.9, step: int = 32
 ) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``labels`` are those of the phrases and of templates that some block meets; ``score`` is the largest share of a
-    template's words that a block which meets it holds, 1 where a phrase stands. Blocks have ``block`` words and start
-    every ``step``, so that any ``step`` words in a row lie in one. A null or empty text has no words, empty labels and
+    template's words that a block which meets it holds, 1 where a phrase stands. Blocks start every ``step`` words, or as
+    many as the longest template has if that is more, and are twice as long: a template that stands in a text lies in
+    one block, however long it is. A null or empty text has no words, empty labels and
     score 0. Repeated rows each have their row; an empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "licenses")
     sets = [(label, sorted(set(text.split()))) for label, text in templates]
+    step = max(step, *(len(text.split()) for _, text in templates))
     needs = [math.ceil(threshold * len(words) - 1e-9) for _, words in sets]
     vocabulary = sorted({w for _, words in sets for w in words})
 
@@ -73,7 +75,7 @@ def scan_licenses(
     # vocabulary words of each block, as their places in the vocabulary; blocks that can't meet any template go
     held = F.transform(
         F.sequence(F.lit(1), F.greatest(n_words, F.lit(1)).cast("int"), F.lit(step)),
-        lambda at: F.array_intersect(F.slice("words", at, F.lit(block)), known),
+        lambda at: F.array_intersect(F.slice("words", at, F.lit(2 * step)), known),
     )
     codes = F.transform(F.filter(held, lambda b: F.size(b) >= min(needs)), lambda b: F.transform(b, lambda w: F.array_position(known, w).cast("int")))
     table = scratch.store(

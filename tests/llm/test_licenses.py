@@ -51,5 +51,23 @@ def test_against_brute_force(spark, sf_dir):
     check(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def test_long_templates(spark):
+    rng = random.Random(7)
+    templates = tuple((f"t{n}", " ".join(f"w{n}x{k}" for k in range(n))) for n in (33, 50, 80, 400))
+    rows = []
+    for i in range(60):
+        before = ["filler"] * rng.randrange(0, 200)
+        own = templates[i % 4][1].split()
+        for _ in range(len(own) // 12):
+            own[rng.randrange(len(own))] = "other"
+        rows.append((i, " ".join([*before, *own, *["filler"] * rng.randrange(0, 100)]), "", "", 0))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA), templates, 0.9).collect()}
+    for i, text, *_ in rows:
+        words = set(templates[i % 4][1].split())
+        share = len(words & set(text.split())) / len(words)
+        assert got[i].labels == (templates[i % 4][0] if share >= 0.9 else "")
+        assert abs(got[i].score - share) < 1e-9 or share < 0.9
+
+
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
