@@ -3,37 +3,46 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.catalog import active
+from quarry.operators.folds import fold
+
 
 def pack_files(files: DataFrame, most_tokens: int = 120_000, most_texts: int = 1000) -> DataFrame:
     """files: project_id, file_path, tokens, texts. With ``batch``: files in path order, whole, in the open batch while
     they fit; a file that fits nowhere is a batch of its own.
 
     Each next batch depends on the one before, so it is a fold in each project."""
-    order = F.array_sort(F.collect_list(F.struct("file_path", F.col("tokens").cast("long").alias("tokens"), F.col("texts").cast("long").alias("texts"))))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("tokens"), F.lit(0).cast("long").alias("texts"), F.array().cast("array<struct<file_path:string,batch:int>>").alias("out"))
 
-    def step(acc: Column, f: Column) -> Column:
-        full = (acc["texts"] > 0) & ((acc["tokens"] + f["tokens"] > most_tokens) | (acc["texts"] + f["texts"] > most_texts))
-        batch = acc["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct(
-            batch.alias("batch"), (F.when(full, 0).otherwise(acc["tokens"]) + f["tokens"]).alias("tokens"), (F.when(full, 0).otherwise(acc["texts"]) + f["texts"]).alias("texts"),
-            F.concat(acc["out"], F.array(F.struct(f["file_path"].alias("file_path"), batch.alias("batch")))).alias("out"),
-        )
+    def step(open_batch: dict, f: dict) -> tuple[int]:
+        if open_batch["texts"] and (open_batch["tokens"] + f["tokens"] > most_tokens or open_batch["texts"] + f["texts"] > most_texts):
+            open_batch.update(batch=open_batch["batch"] + 1, tokens=0, texts=0)
+        open_batch["tokens"] += f["tokens"]
+        open_batch["texts"] += f["texts"]
+        return (open_batch["batch"],)
 
-    packed = files.groupBy("project_id").agg(F.aggregate(order, start, step, lambda acc: acc["out"]).alias("out"))
-    return packed.select("project_id", F.inline("out"))
+    packed = fold(files.select("project_id", "file_path", "tokens", "texts"), ["project_id"], ["file_path"], lambda: {"batch": 0, "tokens": 0, "texts": 0}, step, "batch int")
+    return packed.select("project_id", "file_path", "batch")
 
 
 def fixed_batches(rows: DataFrame, keys: list[str], size: int, *order: str) -> DataFrame:
     return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size))
 
 
+def batch_totals(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows: keys, batch, failed, and a column of sizes. Per key: batches, files, chars, and the files of batches in which
+    any failed."""
+    sums = rows.groupBy(*keys, "batch").agg(F.count("*").alias("files"), F.sum(size).alias("chars"), F.bool_or("failed").alias("failed"))
+    lost = F.coalesce(F.sum(F.when(F.col("failed"), F.col("files"))), F.lit(0))
+    return sums.groupBy(*keys).agg(F.count("*").alias("batches"), F.sum("files").alias("files"), F.sum("chars").alias("chars"), lost.alias("failed_files"))
+
+
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """commit, line_no, line, section: lines of diffs, sections counted from 1; 0 before the first."""
     lines = diffs.select("commit", F.posexplode(F.split("diff", "\n")).alias("line_no", "line"))
@@ -56,9 +65,16 @@ def sections_of(diffs: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.groupBy("commit", "section").agg(F.array_join(ordered, "\n").alias("text"))
 
 
-def stage(tokens: Column, limit: int = 136_000) -> Column:
-    """How a commit is described: in one prompt, in two, or in parts, by the tokens it takes."""
-    return F.when(tokens <= limit, "single").when(tokens <= 2 * limit, "two_stage").otherwise("chunked")
+def stage(single: Column, overview: Column, files: Column, limit: int = 130_000) -> Column:
+    """How a commit is described, by the tokens of prompts: in one, if it fits; in two, of the overview and of the files, if
+    both fit; else in parts."""
+    return F.when(single <= limit, "single").when((overview <= limit) & (files <= limit), "two_stage").otherwise("chunked")
+
+
+def current_descriptions(diffs: DataFrame, files: DataFrame) -> DataFrame:
+    """commit, file_path, description: what is known of the files that a commit changes."""
+    known = active(files).select("project_id", "file_path", "description")
+    return changed_files(diffs).select(F.col("commit").alias("project_id"), "file_path").distinct().join(known, ["project_id", "file_path"]).withColumnRenamed("project_id", "commit")
 
 
 def merge_answers(answers: DataFrame) -> DataFrame:
@@ -89,19 +105,20 @@ def parse_json(text: Column) -> Column:
 
 
 def first_object(text: str) -> dict | None:
-    """The first balanced {...} of a text that is a JSON object. Braces in strings count, as they do for a plain scan."""
-    start = text.find("{")
-    while start >= 0:
-        depth = 0
-        for at in range(start, len(text)):
-            depth += (text[at] == "{") - (text[at] == "}")
-            if depth == 0:
-                try:
-                    value = json.loads(text[start : at + 1])
-                except ValueError:
-                    break
-                return value if isinstance(value, dict) else None
-        start = text.find("{", start + 1)
+    """The first balanced {...} of a text that is a JSON object. Braces in strings count, as they do for a plain scan. One
+    pass pairs all braces."""
+    ends, open_at = {}, []
+    for m in re.finditer("[{}]", text):
+        if m.group() == "{":
+            open_at.append(m.start())
+        elif open_at:
+            ends[open_at.pop()] = m.end()
+    for start in sorted(ends):
+        try:
+            value = json.loads(text[start : ends[start]])
+        except ValueError:
+            continue
+        return value if isinstance(value, dict) else None
     return None
 
 

@@ -119,6 +119,17 @@ def undescribed(listing: DataFrame, files: DataFrame) -> DataFrame:
     return listing.join(active(files), ["project_id", "file_path"], "left_anti")
 
 
+def missing_summary(listing: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per project: listed files in all, those with an active description, those without, and how many of these a call
+    with a limit returns."""
+    known = active(files).select("project_id", "file_path").distinct().withColumn("known", F.lit(True))
+    missing = F.count(F.when(F.col("known").isNull(), 1))
+    returned = missing if limit is None else F.least(missing, F.lit(limit))
+    return listing.join(known, ["project_id", "file_path"], "left").groupBy("project_id").agg(
+        F.count("*").alias("total"), F.count("known").alias("existing"), missing.alias("missing"), returned.cast("long").alias("returned")
+    )
+
+
 def changed_files(current: DataFrame, stored: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """current, stored: file_path, mtime. Files whose time differs, or that aren't stored."""
     s = stored.select("file_path", F.col("mtime").alias("stored_mtime"))
@@ -210,6 +221,13 @@ def apply_updates(files: DataFrame, overviews: DataFrame, updates: DataFrame, no
     return upsert(files, fresh, ["project_id", "file_path"]), upsert(overviews, told.select(*overviews.columns), ["project_id"])
 
 
+def recommendation(tokens: int, overview: int, limit: int, overview_limit: int = 32_000) -> str:
+    """How a project is best read, by the tokens of all its texts and of its overview."""
+    if tokens <= limit:
+        return "use_overview"
+    return "view_overview_then_search" if 0 < overview <= overview_limit else "use_search"
+
+
 def cleanup_due(last_run: int | None, now: int, cooldown: int = 1800) -> bool:
     """Clean-ups run one at a time, and not again within the cool-down."""
     return last_run is None or now - last_run >= cooldown
@@ -217,4 +235,13 @@ def cleanup_due(last_run: int | None, now: int, cooldown: int = 1800) -> bool:
 
 def shuffled(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows at random, the same ones for the same seed."""
-    return rows.orderBy(F.xxhash64(*rows.columns, F.lit(seed))).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in rows.columns), F.lit(str(seed))))).limit(n)
+
+
+def consolidate(versions: DataFrame, projects: DataFrame) -> DataFrame:
+    """One row for each project and path: the last version, of projects that exist; a source project that doesn't is null."""
+    known = projects.select(F.col("id").alias("project_id"))
+    last = latest(versions.join(known, "project_id", "left_semi"), ["project_id", "file_path"], F.col("last_modified").desc(), F.col("id").desc())
+    sources = projects.select(F.col("id").alias("source_project_id"), F.lit(True).alias("_known"))
+    joined = last.join(sources, "source_project_id", "left")
+    return joined.withColumn("source_project_id", F.when(F.col("_known"), F.col("source_project_id"))).drop("_known")

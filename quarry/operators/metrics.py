@@ -6,10 +6,13 @@ n rows keeps n rows before it sorts.
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import ellipsis, error_class, retryable
+from quarry.operators.folds import fold
 
 
 def last_n(rows: DataFrame, keys: list[str], n: int, *order: str) -> DataFrame:
@@ -115,32 +118,37 @@ def rate_window(requests: DataFrame, now: Column, seconds: int = 60) -> DataFram
 
 
 def rate_limited(requests: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """requests: client, ts, event_id. With ``accepted``: at most ``limit`` accepted ones of a client in any ``seconds``.
+    """requests: client, ts, event_id. Per client requests, accepted ones, and the largest id of these: at most ``limit``
+    accepted ones of a client in any ``seconds``.
 
     A fold over a client's requests in order; the state is the times of the accepted ones still in the window."""
-    times = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")))
-    start = F.struct(F.array().cast("array<bigint>").alias("open"), F.array().cast("array<bigint>").alias("took"))
+    span = seconds * 1_000_000
 
-    def step(acc: Column, x: Column) -> Column:
-        still = F.filter(acc["open"], lambda t: t > x["t"] - seconds * 1_000_000)
-        ok = F.size(still) < limit
-        return F.struct(F.when(ok, F.concat(still, F.array(x["t"]))).otherwise(still).alias("open"), F.when(ok, F.concat(acc["took"], F.array(x["event_id"]))).otherwise(acc["took"]).alias("took"))
+    def step(taken: deque, row: dict) -> tuple[bool]:
+        while taken and taken[0] <= row["t"] - span:
+            taken.popleft()
+        if len(taken) >= limit:
+            return (False,)
+        taken.append(row["t"])
+        return (True,)
 
-    folded = requests.groupBy("client").agg(F.count("*").alias("requests"), F.aggregate(times, start, step, lambda acc: acc["took"]).alias("took"))
-    return folded.select("client", "requests", F.size("took").alias("accepted"), F.array_max("took").alias("last_accepted"))
+    timed = requests.select("client", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    told = fold(timed, ["client"], ["t", "event_id"], deque, step, "accepted boolean")
+    return told.groupBy("client").agg(F.count("*").alias("requests"), F.count(F.when(F.col("accepted"), 1)).alias("accepted"), F.max(F.when(F.col("accepted"), F.col("event_id"))).alias("last_accepted"))
 
 
 def debounced(changes: DataFrame, seconds: float = 0.1) -> DataFrame:
     """changes: path, ts, event_id. Events at least ``seconds`` after the last accepted one of their path."""
-    times = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("took"))
+    gap = int(seconds * 1e6)
 
-    def step(acc: Column, x: Column) -> Column:
-        ok = acc["last"].isNull() | (x["t"] - acc["last"] >= int(seconds * 1e6))
-        return F.struct(F.when(ok, x["t"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["took"], F.array(x["event_id"]))).otherwise(acc["took"]).alias("took"))
+    def step(last: list, row: dict) -> tuple[bool]:
+        if last and row["t"] - last[0] < gap:
+            return (False,)
+        last[:] = [row["t"]]
+        return (True,)
 
-    folded = changes.groupBy("path").agg(F.aggregate(times, start, step, lambda acc: acc["took"]).alias("took"))
-    return folded.select("path", F.explode("took").alias("event_id"))
+    timed = changes.select("path", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    return fold(timed, ["path"], ["t", "event_id"], list, step, "accepted boolean").where("accepted").select("path", "event_id")
 
 
 def settled(changes: DataFrame, seconds: float = 0.1) -> DataFrame:

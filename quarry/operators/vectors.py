@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import namespace
 from quarry.operators.catalog import latest
 
 
@@ -48,30 +50,39 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, block: int = 10
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
 
-def _neighbours(ids: list[int], asked: list[list[float]], k: int):
-    q = np.array(asked, float)
+def _neighbours(ids: list[int], asked: list[list[float] | None], k: int):
+    """Rows whose vector is null, of another length, not finite or of length zero have no similarity: they take no part."""
+    dimensions = max((len(v) for v in asked if v), default=0)
+    usable = [(i, v) for i, v in zip(ids, asked, strict=True) if v and len(v) == dimensions and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    ids = [i for i, _ in usable]
+    q = np.array([v for _, v in usable], float).reshape(len(ids), dimensions)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(ids))}
-        norms = np.sqrt((q * q).sum(1)) if len(ids) else None
+        norms = np.sqrt((q * q).sum(1))
+        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
         for batch in batches:
-            if not len(ids) or not batch.num_rows:
+            if not len(ids):
                 continue
-            own = batch.column(0).to_numpy()
-            v = batch.column(1).flatten().to_numpy().reshape(len(own), -1)
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), dimensions))
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dimensions)
+            fit = np.isfinite(v).all(1) & (v != 0).any(1)
+            own, v = own[fit], v[fit]
             # summed in order, as the column expressions are
             sims = np.zeros((len(ids), len(own)))
             squares = np.zeros(len(own))
-            for d in range(v.shape[1]):
+            for d in range(dimensions):
                 sims += q[:, d : d + 1] * v[None, :, d]
                 squares += v[:, d] * v[:, d]
             sims /= norms[:, None] * np.sqrt(squares)[None, :]
-            for i in range(len(ids)):
-                near = np.lexsort((own, -sims[i]))[:k]
-                best[i] = sorted([*best[i], *((-sims[i, j], int(own[j])) for j in near)])[:k]
-        rows = [(ids[i], row, -s) for i, kept in best.items() for s, row in kept]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["query_id", "id", "similarity"])
+            best, best_id = np.concatenate([best, sims], 1), np.concatenate([best_id, np.broadcast_to(own, sims.shape)], 1)
+            if best.shape[1] > k:
+                # all that reach the k-th similarity, then ties by id
+                least = -np.partition(-best, k - 1, axis=1)[:, k - 1 : k]
+                order = np.lexsort((best_id, np.where(best >= least, -best, np.inf)), axis=1)[:, :k]
+                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+        if best.size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), best.shape[1])), pa.array(best_id.ravel()), pa.array(best.ravel())], names=["query_id", "id", "similarity"])
 
     return work
 
@@ -91,6 +102,18 @@ def replace_by_file(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(files, ["project_id", "file_path"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert_vectors(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored rows with those of the same id replaced; of ids that ``new`` has twice one stays; columns that one side lacks
+    are null there."""
+    once = new.dropDuplicates(["id"])
+    return stored.join(once.select("id"), "id", "left_anti").unionByName(once, allowMissingColumns=True)
+
+
+def drop_namespace(vectors: DataFrame, name: str) -> DataFrame:
+    """Vectors without those of one namespace."""
+    return vectors.where(namespace(F.col("project_id")) != name)
+
+
 def delete_files(stored: DataFrame, files: DataFrame) -> DataFrame:
     return stored.join(files.select("project_id", "file_path").distinct(), ["project_id", "file_path"], "left_anti")
 

@@ -31,13 +31,13 @@ def pf13_threshold(spark, sf):
     return sims.where("similarity >= 0.3").select("id", F.round("similarity", 6).alias("similarity"))
 
 
-MANY = f"""{A.VECTORS}, q AS (SELECT id AS query_id, vector FROM vectors WHERE id % 50 = 3), s AS (SELECT q.query_id, v.id, v.file_path, v.content_hash, {COSINE} AS similarity FROM vectors v, q),
+MANY = f"""{A.VECTORS}, q AS (SELECT id AS query_id, vector FROM vectors WHERE id % 20 = 0), s AS (SELECT q.query_id, v.id, v.file_path, v.content_hash, {COSINE} AS similarity FROM vectors v, q),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s)"""
 
 
 def _many(spark, sf, k: int):
     v = A.vectors(spark, sf)
-    return V.nearest_many(v, v.where("id % 50 = 3").select(F.col("id").alias("query_id"), "vector"), k)
+    return V.nearest_many(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), k)
 
 
 @query(f"WITH {MANY} SELECT query_id, rank::INT AS rank, id, round(similarity, 6) AS similarity FROM r WHERE rank <= 8")
@@ -65,6 +65,19 @@ def dm21_replace_vectors(spark, sf):
     return V.replace_by_file(v, new)
 
 
+@query(f"""WITH {A.VECTORS} SELECT id, content_hash, NULL AS model FROM vectors WHERE id % 25 <> 3 UNION ALL SELECT id, 'fresh', 'm' || (id % 2) FROM vectors WHERE id % 25 = 3
+  UNION ALL SELECT id + 7000000, 'fresh', 'm' || (id % 2) FROM vectors WHERE id % 50 = 3""")
+def dm20_upsert_vectors(spark, sf):
+    v = A.vectors(spark, sf).select("id", "content_hash")
+    fresh = v.where("id % 25 = 3").union(v.where("id % 50 = 3").select(F.col("id") + 7_000_000, "content_hash"))
+    return V.upsert_vectors(v, fresh.select("id", F.lit("fresh").alias("content_hash"), F.concat(F.lit("m"), (F.col("id") % 2).cast("string")).alias("model")))
+
+
+@query(f"WITH {A.VECTORS} SELECT id, project_id FROM vectors WHERE lower('{NAMESPACE_PREFIX}' || project_id) <> '{NAMESPACE_PREFIX}p1'")
+def dm23_drop_namespace(spark, sf):
+    return V.drop_namespace(A.vectors(spark, sf), f"{NAMESPACE_PREFIX}p1").select("id", "project_id")
+
+
 @query(f"WITH {A.VECTORS} SELECT id FROM vectors WHERE (project_id, file_path) NOT IN (SELECT project_id, file_path FROM vectors WHERE id % 30 = 2)")
 def dm22_delete_vectors(spark, sf):
     v = A.vectors(spark, sf)
@@ -97,11 +110,12 @@ def ag24_embedding_cost(spark, sf):
     return V.embedding_cost(A.table(spark, sf, "documents"), "text")
 
 
-@query("""WITH b AS (SELECT label AS batch, list(vec_id ORDER BY vec_id) AS ids FROM embeddings GROUP BY 1)
-  SELECT batch::BIGINT AS batch, 'f' || k AS file_path, array_to_string(ids[k * 3 + 1 : k * 3 + 3], ',') AS ids FROM b, (SELECT unnest(range(4)) AS k)""")
+@query("""WITH b AS (SELECT vec_id // 128 AS batch, list(vec_id ORDER BY vec_id) AS ids FROM embeddings GROUP BY 1), k AS (SELECT batch, ids, unnest(range((len(ids) + 2) // 3)) AS k FROM b)
+  SELECT batch::BIGINT AS batch, 'f' || k AS file_path, array_to_string(ids[k * 3 + 1 : k * 3 + 3], ',') AS ids FROM k""")
 def jn16_regroup(spark, sf):
-    flat = A.table(spark, sf, "embeddings").groupBy(F.col("label").cast("long").alias("batch")).agg(F.array_sort(F.collect_list("vec_id")).alias("vectors"))
-    k = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    """Requests of up to 128 vectors; each three of a request are a file's, the last file may have fewer."""
+    flat = A.table(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 128).alias("batch")).agg(F.array_sort(F.collect_list("vec_id")).alias("vectors"))
+    k = F.explode(F.sequence(F.lit(0), F.floor((F.size("vectors") - 1) / 3).cast("int")))
     bounds = flat.select("batch", k.alias("k")).select("batch", F.concat(F.lit("f"), F.col("k").cast("string")).alias("file_path"), (F.col("k") * 3).alias("start"), (F.col("k") * 3 + 3).alias("end"))
     return V.regroup(flat, bounds).select("batch", "file_path", F.array_join(F.transform("vectors", lambda x: x.cast("string")), ",").alias("ids"))
 
