@@ -17,8 +17,11 @@ def fold(text: Column) -> Column:
 
 
 def padded_tokens(text: Column) -> Column:
-    """Runs of letters and digits, folded, each between single blanks: ' a b c '."""
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    """Runs of letters and digits, folded, each between single blanks: ' a b c '. Of ASCII a plain class says the same."""
+    text = F.coalesce(text, F.lit(""))
+    ascii_only = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+    words = F.when(F.octet_length(text) == F.char_length(text), ascii_only).otherwise(F.regexp_replace(fold(text), r"[^\p{L}\p{N}]+", " "))
+    return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 
 def token_length(padded: Column) -> Column:
@@ -114,13 +117,23 @@ def table_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
+#: Entities that occur in stored arguments. The ampersand goes last, so that nothing is decoded twice.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def unescape_html(text: Column) -> Column:
-    """The entities that occur in stored arguments; the ampersand goes last, so that nothing is decoded twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&")):
+    for entity, char in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(char))
     return text
 
 
+def html_text(text: str) -> str:
+    """``unescape_html`` of one text."""
+    for entity, char in ENTITIES:
+        text = text.replace(entity, char)
+    return text
+
+
 #: What an error's message holds, its class, and whether retrying helps. The first rule that holds counts.
 ERROR_RULES = (
     (("database is locked", "sqlite_locked", "attempt to write a readonly database", "timeout waiting for database lock"), "DatabaseLockError", True),

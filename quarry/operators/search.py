@@ -1,8 +1,11 @@
 """Boolean and phrase search with BM25, and statistics of words and sentences.
 
-A search is two scans without a shuffle. Each row is folded into blank-separated tokens, and the query's few phrases are
-counted in place; the first scan sums up the statistics, which become constants of the second, whose top k needs no
-sort. An inverted index (``postings``) serves many queries at once.
+A search is two scans without a shuffle. Each row is folded into blank-separated tokens, once, and the query's few phrases
+are counted in place; the first scan sums up the statistics, which become constants of the second, whose top k needs no
+sort. The folded rows (``indexed``) can be stored and kept up to date by upserts and deletes of rows. An inverted index
+(``postings``) serves many queries at once.
+
+Statistics cover all rows, soft-deleted ones too; only active ones are found.
 """
 
 from __future__ import annotations
@@ -10,10 +13,10 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import ACCENTED, PLAIN, padded_tokens, sentences, token_length, word_terms
+from quarry.functions.text import ACCENTED, PLAIN, padded_tokens, sentences, word_terms
 from quarry.operators.catalog import active
 
 K1, B = 1.2, 0.75
@@ -29,30 +32,43 @@ def query_phrases(query: str) -> list[list[str]]:
     return out
 
 
-def _occurrences(padded: Column, phrase: list[str]) -> Column:
+def indexed(files: DataFrame) -> DataFrame:
+    """id, project_id, file_path, to_be_cleaned, pad, d: of each file the tokens of its columns, each between blanks, with
+    a line's end between columns so that no phrase spans two; and how many they are."""
+    pads = [F.when(F.trim(p) == "", F.lit(" ")).otherwise(p) for p in (padded_tokens(F.col(c)) for c in COLUMNS)]
+    folded = files.select("id", "project_id", "file_path", "to_be_cleaned", F.concat_ws("\n", *pads).alias("_pad"))
+    # through a generator no expression is copied: a text is folded once, however often it is looked at
+    once = folded.select("id", "project_id", "file_path", "to_be_cleaned", F.explode(F.array("_pad")).alias("pad"))
+    blanks = F.char_length("pad") - F.char_length(F.replace("pad", F.lit(" "), F.lit("")))
+    return once.withColumn("d", blanks - len(COLUMNS))
+
+
+def _occurrences(phrase: list[str]) -> Column:
     """How often the phrase stands in ' a b c '. Its own blanks may be shared with the next place, hence the look-ahead."""
     text = " ".join(phrase)
-    return F.when(F.contains(padded, F.lit(f" {text} ")), F.regexp_count(padded, F.lit(rf" {re.escape(text)}(?= )"))).otherwise(0)
+    return F.when(F.contains("pad", F.lit(f" {text} ")), F.regexp_count("pad", F.lit(rf" {re.escape(text)}(?= )"))).otherwise(0)
 
 
 def search(files: DataFrame, query: str, project_id: str | None = None, limit: int = 20) -> DataFrame:
+    """``search_index`` over files that are folded on the way."""
+    return search_index(indexed(files), query, project_id, limit)
+
+
+def search_index(index: DataFrame, query: str, project_id: str | None = None, limit: int = 20) -> DataFrame:
     """id, project_id, file_path, score: the ``limit`` best active files; scores are negative, the lowest is best.
 
-    A phrase may stand in any of the three columns. Statistics cover all active files, whatever the project asked for.
+    A phrase may stand in any of the three columns. Statistics cover all files, whatever the project asked for.
     A part without a token matches nothing. Ties go to the smaller id."""
     phrases = query_phrases(query)
-    texts = active(files).select("id", "project_id", "file_path", *(padded_tokens(F.col(c)).alias(f"_{c}") for c in COLUMNS))
-    length = sum((token_length(F.col(f"_{c}")) for c in COLUMNS[1:]), token_length(F.col(f"_{COLUMNS[0]}")))
     if not phrases or not all(phrases):
-        return texts.select("id", "project_id", "file_path", F.lit(0.0).alias("score")).limit(0)
-    hits = [sum((_occurrences(F.col(f"_{c}"), p) for c in COLUMNS[1:]), _occurrences(F.col(f"_{COLUMNS[0]}"), p)) for p in phrases]
-    counted = texts.select("id", "project_id", "file_path", length.alias("d"), *(h.alias(f"f{k}") for k, h in enumerate(hits)))
+        return index.select("id", "project_id", "file_path", F.lit(0.0).alias("score")).limit(0)
     names = [f"f{k}" for k in range(len(phrases))]
+    counted = index.select("id", "project_id", "file_path", "to_be_cleaned", "d", *(_occurrences(p).alias(f) for f, p in zip(names, phrases, strict=True)))
     stats = counted.agg(F.count("*").alias("n"), F.avg("d").alias("avg_d"), *(F.count(F.when(F.col(f) > 0, 1)).alias(f"n_{f}") for f in names)).first()
     score = F.lit(0.0)
     for f in names:
         score = score - F.lit(_idf(stats["n"], stats[f"n_{f}"])) * F.col(f) * (K1 + 1) / (F.col(f) + K1 * (1 - B + B * F.col("d") / F.lit(stats["avg_d"] or 1.0)))
-    found = counted.where(" AND ".join(f"{f} > 0" for f in names))
+    found = active(counted).where(" AND ".join(f"{f} > 0" for f in names))
     if project_id is not None:
         found = found.where(F.col("project_id") == project_id)
     return found.select("id", "project_id", "file_path", score.alias("score")).orderBy("score", "id").limit(limit)
@@ -62,26 +78,39 @@ def _idf(n: int, holding: int) -> float:
     return max(math.log((n - holding + 0.5) / (holding + 0.5)), 1e-6)
 
 
+def _postings(index: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """term, id, to_be_cleaned, d, tf, of the given terms alone if any are given: others go before anything is grouped."""
+    words = index.select("id", "to_be_cleaned", "d", F.explode(F.filter(F.split("pad", r"[ \n]+"), lambda w: w != "")).alias("term"))
+    if terms is not None:
+        words = words.join(terms, "term", "left_semi")
+    return words.groupBy("term", "id", "to_be_cleaned", "d").agg(F.count("*").alias("tf"))
+
+
 def postings(files: DataFrame) -> DataFrame:
-    """term, id, project_id, file_path, tf, d: the inverted index of active files."""
-    texts = active(files).select("id", "project_id", "file_path", F.split(F.trim(F.concat(*(padded_tokens(F.col(c)) for c in COLUMNS))), " +").alias("tokens"))
-    terms = texts.select("id", "project_id", "file_path", F.size("tokens").alias("d"), F.explode("tokens").alias("term"))
-    return terms.groupBy("term", "id", "project_id", "file_path", "d").agg(F.count("*").alias("tf"))
+    """term, id, to_be_cleaned, d, tf: the inverted index."""
+    return _postings(indexed(files))
 
 
 def search_many(files: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """queries: query_id, terms (distinct tokens, all of which have to match). query_id, rank, id, score of the best."""
-    index = postings(files)
+    """queries: query_id, terms (distinct tokens, all of which have to match). query_id, rank, id, score of the best.
+
+    A query's rarest term names its candidates; the others are looked up for these alone. So no frequent term is joined
+    with all queries that hold it."""
+    index = indexed(files)
     wanted = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    held = index.join(wanted.select("term").distinct(), "term", "left_semi")
+    held = _postings(index, wanted.select("term").distinct())
     frequency = held.groupBy("term").agg(F.count("*").alias("holding"))
-    sizes = active(files).select(sum((token_length(padded_tokens(F.col(c))) for c in COLUMNS[1:]), token_length(padded_tokens(F.col(COLUMNS[0])))).alias("d"))
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("d").alias("avg_d")).first()
+    stats = index.agg(F.count("*").alias("n"), F.avg("d").alias("avg_d")).first()
     n, avg_d = F.lit(stats["n"]), F.lit(stats["avg_d"] or 1.0)
     idf = F.greatest(F.log((n - F.col("holding") + 0.5) / (F.col("holding") + 0.5)), F.lit(1e-6))
     part = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / avg_d))
-    scored = held.join(frequency, "term").join(wanted, "term").groupBy("query_id", "n_terms", "id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9), "id"))
+    known = wanted.join(frequency, "term")
+    # a query of which a term is nowhere has no candidates
+    rarest = known.groupBy("query_id", "n_terms").agg(F.min_by("term", F.struct("holding", "term")).alias("term"), F.count("*").alias("n")).where("n = n_terms")
+    candidates = active(held).join(rarest.select("query_id", "n_terms", "term"), "term").select("query_id", "n_terms", "id")
+    asked = candidates.join(known.select("query_id", "term", "holding"), "query_id")
+    scored = asked.join(held.select("term", "id", "d", "tf"), ["term", "id"]).groupBy("query_id", "n_terms", "id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 12), "id"))
     return scored.where("matched = n_terms").withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
 
 
@@ -110,6 +139,26 @@ def stop_words(extra: tuple[str, ...] = STOP_WORDS) -> list[str]:
     return sorted({w.strip().lower() for w in extra if w.strip()} | set(KEYWORDS))
 
 
+def stop_words_file(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """The words of a list, a line each, trimmed and in lower case; blank lines go. A list, so it fits on the driver."""
+    words = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).where("w <> ''").distinct()
+    return tuple(sorted(r["w"] for r in words.collect()))
+
+
+def multi_term_search(files: DataFrame, terms: list[str], project_id: str | None = None, limit: int = 20) -> DataFrame:
+    """file_path, term_position, rank: the ``limit`` best files of each term, each file with its first term alone, in the
+    order of terms and ranks, ``limit`` in all."""
+    index = indexed(files)
+    rank = F.row_number().over(Window.partitionBy("term_position").orderBy("score", "id"))
+    found = [search_index(index, term, project_id, limit).withColumn("term_position", F.lit(k)) for k, term in enumerate(terms)]
+    if not found:
+        return files.select("file_path", F.lit(0).alias("term_position"), F.lit(0).alias("rank")).limit(0)
+    both = found[0]
+    for more in found[1:]:
+        both = both.unionByName(more)
+    return first_match(both.withColumn("rank", rank).select("term_position", "rank", "file_path"), limit)
+
+
 def word_frequency(files: DataFrame, limit: int = 200, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """term, frequency, total_terms, unique_terms: the most frequent words; the totals are without stop words."""
     words = active(files).select(F.explode(word_terms(F.col("description"))).alias("term"))

@@ -142,6 +142,13 @@ def dm9_token_cache(spark, sf):
     return C.live_cache(rows, A.NOW)
 
 
+@query(f"""SELECT key AS cache_key, max(tokens) AS token_count, {A.NOW}::BIGINT AS created, ({A.NOW} + 86400)::BIGINT AS expires FROM (SELECT sha256(source) AS key, n_chars // 4 AS tokens FROM documents) GROUP BY 1
+  UNION ALL SELECT 'old', 5, 1, 2""")
+def dm9_put_cache(spark, sf):
+    stored = spark.createDataFrame([("old", 5, 1, 2)], "cache_key string, token_count long, created long, expires long")
+    return C.put_cache(stored, F.sha2("source", 256), F.floor(F.col("n_chars") / 4), A.table(spark, sf, "documents"), A.NOW)
+
+
 @query(f"""WITH {A.FILES} SELECT id, CASE WHEN {ACTIVE} AND id % 7 = 0 THEN {A.NOW}::BIGINT ELSE to_be_cleaned END AS to_be_cleaned FROM files""")
 def dm10_soft_delete(spark, sf):
     f = A.files(spark, sf)
@@ -207,11 +214,11 @@ def jn5_missing(spark, sf):
     return C.undescribed(f.select("project_id", "file_path"), f.where("id % 5 <> 0")).select("project_id", "file_path")
 
 
-@query(f"""WITH {A.FILES} SELECT project_id, count(*) AS total, count(*) FILTER (WHERE {ACTIVE}) AS existing, least(count(*) FILTER (WHERE NOT ({ACTIVE})), 3) AS returned
+@query(f"""WITH {A.FILES} SELECT project_id, count(*) AS total, count(*) FILTER (WHERE {ACTIVE}) AS existing, count(*) FILTER (WHERE NOT ({ACTIVE})) AS missing, least(count(*) FILTER (WHERE NOT ({ACTIVE})), 3) AS returned
   FROM files GROUP BY project_id""")
 def ag25_missing_summary(spark, sf):
-    marked = F.count(F.when(F.col("to_be_cleaned").isNotNull(), 1))
-    return A.files(spark, sf).groupBy("project_id").agg(F.count("*").alias("total"), F.count(F.when(F.col("to_be_cleaned").isNull(), 1)).alias("existing"), F.least(marked, F.lit(3)).alias("returned"))
+    f = A.files(spark, sf)
+    return C.missing_summary(f.select("project_id", "file_path"), f, 3)
 
 
 @query(f"""WITH {A.PROJECTS}, requests AS (SELECT conv_id AS request, 'SRC' || (conv_id % 25) AS name, '/repo/src' || (conv_id % 7) AS folder FROM (SELECT DISTINCT conv_id FROM conversations)),
@@ -250,6 +257,15 @@ def wn1_latest_version(spark, sf):
     return C.latest(A.versions(spark, sf), ["project_id", "file_path"], F.col("last_modified").desc(), F.col("id").desc()).select("project_id", "file_path", "id", "file_hash")
 
 
+@query(f"""WITH {A.VERSIONS}, p AS (SELECT DISTINCT source AS id FROM documents WHERE source < 'src5'), v AS (SELECT *, 'src' || (id % 20) AS source_id FROM versions)
+  SELECT project_id, file_path, v.id, s.id AS source_project_id FROM (SELECT *, row_number() OVER (PARTITION BY project_id, file_path ORDER BY last_modified DESC, id DESC) AS k FROM v WHERE project_id IN (SELECT id FROM p)) v
+  LEFT JOIN p s ON s.id = v.source_id WHERE k = 1""")
+def dm19_consolidate(spark, sf):
+    projects = A.table(spark, sf, "documents").where("source < 'src5'").select(F.col("source").alias("id")).distinct()
+    versions = A.versions(spark, sf).withColumn("source_project_id", F.concat(F.lit("src"), (F.col("id") % 20).cast("string")))
+    return C.consolidate(versions, projects).select("project_id", "file_path", "id", "source_project_id")
+
+
 @query("""SELECT source AS project_id, doc_id, n_chars // 4 AS total_tokens FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars // 4 DESC, doc_id DESC) AS k FROM documents) WHERE k = 1""")
 def wn2_best_overview(spark, sf):
     o = A.table(spark, sf, "documents").select(F.col("source").alias("project_id"), "doc_id", F.floor(F.col("n_chars") / 4).alias("total_tokens"))

@@ -24,15 +24,15 @@ def _places(expr: str, phrase: str) -> str:
     return f"(length(replace({expr}, ' ', '  ')) - length(replace(replace({expr}, ' ', '  '), ' {phrase.replace(' ', '  ')} ', ''))) // {len(phrase.replace(' ', '  ')) + 2}"
 
 
-def _search_sql(phrases: list[str], limit: int, project: str | None = None) -> str:
+def _search_sql(phrases: list[str], limit: int, project: str | None = None, digits: int = 6) -> str:
     cols = ("p", "f", "x")
     hits = ", ".join("(" + " + ".join(_places(c, p) for c in cols) + f") AS f{k}" for k, p in enumerate(phrases))
     stats = ", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in range(len(phrases)))
     score = " - ".join(f"greatest(ln((n - n{k} + 0.5) / (n{k} + 0.5)), 1e-6) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * d / avg_d))" for k in range(len(phrases)))
-    where = " AND ".join(f"f{k} > 0" for k in range(len(phrases))) + (f" AND project_id = '{project}'" if project else "")
-    return f"""WITH {A.FILES}, t AS (SELECT id, project_id, file_path, {_folded("project_id")} AS p, {_folded("file_path")} AS f, {_folded("description")} AS x FROM files WHERE to_be_cleaned IS NULL),
-  c AS (SELECT id, project_id, file_path, {" + ".join(_length(c) for c in cols)} AS d, {hits} FROM t), s AS (SELECT count(*) AS n, avg(d) AS avg_d, {stats} FROM c)
-  SELECT id, project_id, file_path, round(0 - {score}, 6) AS score FROM c, s WHERE {where} ORDER BY 0 - {score}, id LIMIT {limit}"""
+    where = "to_be_cleaned IS NULL AND " + " AND ".join(f"f{k} > 0" for k in range(len(phrases))) + (f" AND project_id = '{project}'" if project else "")
+    return f"""WITH {A.FILES}, t AS (SELECT id, project_id, file_path, to_be_cleaned, {_folded("project_id")} AS p, {_folded("file_path")} AS f, {_folded("description")} AS x FROM files),
+  c AS (SELECT id, project_id, file_path, to_be_cleaned, {" + ".join(_length(c) for c in cols)} AS d, {hits} FROM t), s AS (SELECT count(*) AS n, avg(d) AS avg_d, {stats} FROM c)
+  SELECT id, project_id, file_path, round(0 - {score}, {digits}) AS score FROM c, s WHERE {where} ORDER BY 0 - {score}, id LIMIT {limit}"""
 
 
 @query(_search_sql(["the", "license"], 20))
@@ -54,36 +54,51 @@ def _tokens(expr: str) -> str:
     return f"list_filter(string_split(trim({_folded(expr)}), ' '), lambda w: w <> '')"
 
 
-@query(f"""WITH {A.FILES}, q AS (SELECT item_id AS query_id, list_distinct({_tokens("text")}[1:2]) AS terms FROM benchmark),
-  t AS (SELECT id, list_concat(list_concat({_tokens("project_id")}, {_tokens("file_path")}), {_tokens("description")}) AS w FROM files WHERE to_be_cleaned IS NULL),
+@query(f"""WITH {A.FILES}, q AS (SELECT item_id AS query_id, list_distinct({_tokens("text")}) AS terms FROM benchmark),
+  t AS (SELECT id, to_be_cleaned, list_concat(list_concat({_tokens("project_id")}, {_tokens("file_path")}), {_tokens("description")}) AS w FROM files),
   post AS (SELECT id, len(w) AS d, unnest(w) AS term FROM t), tf AS (SELECT term, id, d, count(*) AS tf FROM post GROUP BY ALL),
   df AS (SELECT term, count(*) AS n_t FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(len(w)) AS avg_d FROM t),
   w AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM q),
   sc AS (SELECT query_id, n_terms, id, sum(0 - greatest(ln((n - n_t + 0.5) / (n_t + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * d / avg_d))) AS score, count(*) AS matched
     FROM w JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL)
-  SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), id) AS rank FROM sc WHERE matched = n_terms) WHERE rank <= 5""")
+  SELECT query_id, rank::INT AS rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12), id) AS rank FROM sc JOIN t USING (id) WHERE matched = n_terms AND to_be_cleaned IS NULL) WHERE rank <= 5""")
 def tx5_search_many(spark, sf):
     from quarry.functions.text import padded_tokens
 
-    terms = F.slice(F.filter(F.split(F.trim(padded_tokens(F.col("text"))), " "), lambda w: w != ""), 1, 2)
+    terms = F.filter(F.split(F.trim(padded_tokens(F.col("text"))), " "), lambda w: w != "")
     queries = A.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(terms).alias("terms"))
     return S.search_many(A.files(spark, sf), queries).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {A.FILES}, r AS (SELECT id % 5 AS term_position, row_number() OVER (PARTITION BY id % 5 ORDER BY id)::INT AS rank, project_id || '/' || (id % 40) AS file_path FROM files)
-  SELECT file_path, term_position, rank FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY term_position, rank) AS k FROM r) WHERE k = 1 ORDER BY term_position, rank, file_path LIMIT 30""")
+TERMS = ["license", "all rights reserved", "the"]
+RANKED = " UNION ALL ".join(f"SELECT file_path, {k} AS term_position, row_number() OVER (ORDER BY score, id)::INT AS rank FROM ({sql})" for k, sql in enumerate([_search_sql([t], 15, digits=12) for t in TERMS]))
+
+
+@query(f"""SELECT file_path, term_position, rank FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY term_position, rank) AS k FROM ({RANKED})) WHERE k = 1 ORDER BY term_position, rank, file_path LIMIT 15""")
 def wn12_multi_term_search(spark, sf):
-    from pyspark.sql import Window
+    return S.multi_term_search(A.files(spark, sf), ["license", '"all rights reserved"', "the"], limit=15)
+
+
+CHANGED = f"""{A.FILES.replace("files AS (", "old AS (", 1)}, files AS (SELECT id, project_id, file_path, CASE WHEN id % 9 = 0 THEN 'the new license text ' || id ELSE description END AS description, CASE WHEN id % 9 = 0 THEN NULL ELSE to_be_cleaned END AS to_be_cleaned FROM old WHERE id % 11 <> 4)"""
+
+
+@query(_search_sql(["license"], 25).replace(A.FILES, CHANGED, 1))
+def dm16_maintained_index(spark, sf):
+    """A search over a stored index, after files were updated and deleted: only their rows were folded again."""
+    from quarry.operators.catalog import upsert
 
-    rank = F.row_number().over(Window.partitionBy("term_position").orderBy("id"))
-    results = A.files(spark, sf).withColumn("term_position", F.col("id") % 5).withColumn("rank", rank)
-    return S.first_match(results.select("term_position", "rank", F.concat("project_id", F.lit("/"), (F.col("id") % 40).cast("string")).alias("file_path")), 30)
+    f = A.files(spark, sf)
+    index, none = S.indexed(f), F.lit(None).cast("long")
+    changed = f.where("id % 9 = 0").withColumn("description", F.concat(F.lit("the new license text "), F.col("id").cast("string"))).withColumn("to_be_cleaned", none)
+    gone = f.where("id % 11 = 4").select("id")
+    kept = upsert(index, S.indexed(changed), ["project_id", "file_path"]).join(gone, "id", "left_anti")
+    return S.search_index(kept, "license", limit=25).withColumn("score", F.round("score", 6))
 
 
 @query("""SELECT item_id, coalesce(array_to_string(list_transform(regexp_extract_all(q, '"[^"]*"|\\S+'), lambda t: CASE WHEN length(t) >= 2 AND starts_with(t, '"') AND ends_with(t, '"') THEN t ELSE '"' || t || '"' END), ' AND '), '') AS match
-  FROM (SELECT item_id, substr(text, 1, 40) || ' "two words" AND "open' AS q FROM benchmark)""")
+  FROM (SELECT item_id, text || ' "two words" AND "open' AS q FROM benchmark)""")
 def sf1_preprocess_queries(spark, sf):
-    q = F.concat(F.substring("text", 1, 40), F.lit(' "two words" AND "open'))
+    q = F.concat("text", F.lit(' "two words" AND "open'))
     return A.table(spark, sf, "benchmark").select("item_id", preprocess_query(q).alias("match"))
 
 
