@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import base_name, demote_headers, parent, suffix, table_cell
+from quarry.functions.text import base_name, demote_headers, glob_match, parent, suffix, table_cell
 from quarry.operators.catalog import active
 
 
@@ -23,31 +23,67 @@ def folder_rollup(files: DataFrame) -> DataFrame:
     return rows.groupBy("project_id", "folder", "depth").agg(F.count("*").alias("files"), F.count(F.when(F.col("own") == F.col("folder"), 1)).alias("direct"))
 
 
+def _folder_hashes(children: DataFrame, level: int) -> DataFrame:
+    """project_id, path, hash, size, depth, node_type of the folders that hold nodes of ``level``."""
+    named = F.array_sort(F.collect_list(F.struct(base_name(F.col("path")).alias("name"), "hash")))
+    joined = F.array_join(F.transform(named, lambda c: F.concat(c["name"], F.lit(":"), c["hash"])), "|")
+    folders = children.groupBy("project_id", parent(F.col("path")).alias("path")).agg(F.sha2(joined, 256).alias("hash"), F.sum("size").alias("size"))
+    return folders.select("project_id", "path", "hash", "size", F.lit(level - 1).alias("depth"), F.when(F.col("path") == "", "project").otherwise("directory").alias("node_type"))
+
+
+def _leaves(files: DataFrame) -> DataFrame:
+    size = F.coalesce(F.octet_length("description"), F.lit(0)).cast("long") if "description" in files.columns else F.lit(0).cast("long")
+    return active(files).select("project_id", F.col("file_path").alias("path"), F.col("file_hash").alias("hash"), size.alias("size"), F.size(F.split("file_path", "/")).alias("depth"), F.lit("file").alias("node_type"))
+
+
+def _with_parent(nodes: DataFrame) -> DataFrame:
+    top = F.when(F.col("path") == "", None).otherwise(parent(F.col("path")))
+    return nodes.select("project_id", "path", F.when(top != "", top).alias("parent_path"), "node_type", "hash", "depth", "size")
+
+
 def merkle(files: DataFrame, depth: int | None = None) -> DataFrame:
-    """project_id, path, parent_path, node_type, hash, depth. A folder's hash is sha256 of 'name:hash' of its children,
-    sorted by name and joined with '|'. Children of the top have a null parent; the top itself is ''.
+    """project_id, path, parent_path, node_type, hash, depth, size. A folder's hash is sha256 of 'name:hash' of its children,
+    sorted by name and joined with '|'; its size is that of all files below. Children of the top have a null parent; the
+    top itself is ''.
 
-    One aggregate per level, from the deepest up; a level is a fraction of the one below it."""
-    leaves = active(files).select("project_id", F.col("file_path").alias("path"), F.col("file_hash").alias("hash"), F.size(F.split("file_path", "/")).alias("depth"))
+    One aggregate per level, from the deepest up, over the leaves of that level and the folders below it alone; levels are
+    shared between the branches of the union as exchanges that are reused."""
+    leaves = _leaves(files)
     if depth is None:
         depth = leaves.agg(F.max("depth")).first()[0] or 0
-    nodes = leaves.withColumn("node_type", F.lit("file"))
-    below = nodes
+    nodes, folders = leaves, None
     for level in range(depth, 0, -1):
-        children = below.where(F.col("depth") == level)
-        named = F.array_sort(F.collect_list(F.struct(base_name(F.col("path")).alias("name"), "hash")))
-        joined = F.array_join(F.transform(named, lambda c: F.concat(c["name"], F.lit(":"), c["hash"])), "|")
-        folders = children.groupBy("project_id", parent(F.col("path")).alias("path")).agg(F.sha2(joined, 256).alias("hash"))
-        folders = folders.select("project_id", "path", "hash", F.lit(level - 1).alias("depth"), F.when(F.col("path") == "", "project").otherwise("directory").alias("node_type"))
+        children = leaves.where(F.col("depth") == level)
+        folders = _folder_hashes(children if folders is None else children.unionByName(folders), level)
         nodes = nodes.unionByName(folders)
-        below = leaves.withColumn("node_type", F.lit("file")).unionByName(folders)
-    top = F.when(F.col("path") == "", None).otherwise(parent(F.col("path")))
-    return nodes.select("project_id", "path", F.when(top != "", top).alias("parent_path"), "node_type", "hash", "depth")
+    return _with_parent(nodes)
+
+
+def merkle_update(nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """nodes as ``merkle`` gives them; changed: project_id, file_path, file_hash, description, a null hash for files that went. The nodes
+    afterwards: only folders above a changed file are hashed again, from their children, of which the others stand."""
+    columns = ["project_id", "path", "hash", "size", "depth", "node_type"]
+    marked = _leaves(changed.withColumn("to_be_cleaned", F.lit(None).cast("long")))
+    parts = F.split("path", "/")
+    above = marked.select("project_id", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("path")).distinct()
+    touched = above.unionByName(marked.select("project_id", "path"))
+    kept = nodes.select(*columns).join(touched, ["project_id", "path"], "left_anti")
+    fresh = marked.where("hash IS NOT NULL").select(*columns)
+    # of what stands, only children of folders that are hashed again are read
+    beside = kept.withColumn("up", parent(F.col("path"))).where("path <> ''").join(above.withColumnRenamed("path", "up"), ["project_id", "up"], "left_semi").drop("up")
+    depth = max(nodes.agg(F.max("depth")).first()[0] or 0, marked.agg(F.max("depth")).first()[0] or 0)
+    out, folders = kept.unionByName(fresh), None
+    for level in range(depth, 0, -1):
+        children = beside.unionByName(fresh).where(F.col("depth") == level)
+        folders = _folder_hashes(children if folders is None else children.unionByName(folders), level)
+        out = out.unionByName(folders)
+    return _with_parent(out)
 
 
 def tree_stats(nodes: DataFrame) -> DataFrame:
+    is_file = F.col("node_type") == "file"
     return nodes.groupBy("project_id").agg(
-        F.count("*").alias("nodes"), F.count(F.when(F.col("node_type") == "file", 1)).alias("files"), F.count(F.when(F.col("node_type") != "file", 1)).alias("folders"), F.max("depth").alias("max_depth")
+        F.count("*").alias("nodes"), F.count(F.when(is_file, 1)).alias("files"), F.count(F.when(~is_file, 1)).alias("folders"), F.max("depth").alias("max_depth"), F.sum(F.when(is_file, F.col("size"))).alias("total_size")
     )
 
 
@@ -87,10 +123,12 @@ IGNORED_PATTERNS = (
     ".DS_Store", "Thumbs.db", "coverage/", "htmlcov/", ".pytest_cache/", ".coverage", "*.coverage", "_build/", "docs/_build/", "site/",
     "*.log", "*.tmp", "*.temp", "*.cache", "*.tar.gz", "*.zip", "*.rar", "*.7z", "package-lock.json", "yarn.lock", "Pipfile.lock", "poetry.lock",
 )
+#: Extensions that a listing leaves out.
 IGNORED_EXTENSIONS = (
     ".exe", ".dll", ".so", ".dylib", ".bin", ".o", ".obj", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".pdf", ".doc", ".docx", ".xls", ".xlsx",
     ".ppt", ".pptx", ".mp3", ".mp4", ".avi", ".mov", ".wmv", ".flv", ".zip", ".tar", ".gz", ".rar", ".7z", ".ttf", ".otf", ".woff", ".woff2", ".eot",
 )
+#: What an index of vectors leaves out, and the endings of code.
 VECTOR_IGNORED = (
     "*.log", "*.tmp", "*~", ".git/*", "__pycache__/*", "node_modules/*", "*.pyc", "*.pyo", ".DS_Store", "Thumbs.db", ".vscode/*", ".coverage", ".ruff_cache/*",
     ".mypy_cache/*", ".pytest_cache/*", ".import_linter_cache/*", "*/tiktoken_cache/*", ".code-index/*", ".hypothesis/*", "poetry.lock", "venv/*", "htmlcov/*",
@@ -127,6 +165,30 @@ def gitignored(path, lines: list[str]):
     return whole
 
 
+def gitignored_upward(path, root: str, lines_by_folder: dict[str, list[str]]):
+    """Does a .gitignore of ``root`` or of a folder above it match? path is relative to root, folders are absolute."""
+    whole = F.lit(False)
+    for folder, lines in lines_by_folder.items():
+        base = folder.rstrip("/")
+        if root.rstrip("/") == base or root.startswith(base + "/"):
+            inner = root.rstrip("/")[len(base) :].strip("/")
+            whole = whole | gitignored(F.concat(F.lit(inner + "/"), path) if inner else path, lines)
+    return whole
+
+
+def ignored_by_name(path, patterns: tuple[str, ...]):
+    """Shell patterns: one that ends in / names a folder on the way, others match the whole path or the name."""
+    folders = [p.rstrip("/") for p in patterns if p.endswith("/")]
+    names = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    others = [p for p in patterns if not p.endswith("/")]
+    return F.exists(names, lambda n: glob_match(n, folders)) | glob_match(path, others) | glob_match(base_name(path), others)
+
+
+def ignored_in_tree(path, patterns: tuple[str, ...]):
+    """What a hash tree leaves out: names that match a pattern. Patterns with a folder never do."""
+    return glob_match(base_name(path), list(patterns))
+
+
 def listing_stats(listing: DataFrame, ignored) -> DataFrame:
     """listing: project_id, file_path, size. Per project: tracked and ignored files, the largest tracked one."""
     kept = ~ignored
