@@ -61,7 +61,7 @@ def ag8_redaction_stats(spark, sf):
     return names.join(F.broadcast(K.pattern_table(spark)), "name").groupBy("type", "name").agg(F.count("*").alias("redactions"), F.count(F.when(F.col("confidence") >= 0.8, 1)).alias("high_confidence"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', {n}::BIGINT)" for t, n in sorted({t: sum(p[1] == t for p in K.PATTERNS) for t in {p[1] for p in K.PATTERNS}}.items())) + ") t(type, patterns)")
+@query("""SELECT type, patterns::BIGINT AS patterns FROM (VALUES ('api_key', 9), ('token', 1), ('connection_string', 4), ('private_key', 3), ('password', 1), ('secret', 1), ('encoded_data', 2), ('identifier', 1), ('credential_url', 1)) t(type, patterns)""")
 def ag9_pattern_summary(spark, sf):
     return K.pattern_table(spark).groupBy("type").agg(F.count("*").alias("patterns"))
 
@@ -127,10 +127,20 @@ def jn17_diff_sections(spark, sf):
     return B.sections_of(A.diffs(spark), wanted)
 
 
-@query("""SELECT source, greatest(5, least(50, greatest(1, floor(70000 / (sum(n_chars // 4) / count(*)))::BIGINT))) AS chunk_size, CASE WHEN sum(n_chars // 4) <= 40000 THEN 'single' WHEN sum(n_chars // 4) <= 80000 THEN 'two_stage' ELSE 'chunked' END AS stage FROM documents GROUP BY 1""")
+@query(f"WITH {A.FILES} SELECT project_id AS commit, file_path, sha256(description) AS description_hash FROM files WHERE id % 10 = 3 AND to_be_cleaned IS NULL")
+def jn18_current_descriptions(spark, sf):
+    """A commit for each project that changes some of its files and one that nothing is known of."""
+    f = A.files(spark, sf)
+    heads = F.transform(F.array_sort(F.collect_list("file_path")), lambda p: F.concat(F.lit("diff --git a/"), p, F.lit(" b/"), p, F.lit("\n+x")))
+    diffs = f.where("id % 10 = 3").groupBy(F.col("project_id").alias("commit")).agg(F.concat(F.array_join(heads, "\n"), F.lit("\ndiff --git a/no/such.py b/no/such.py")).alias("diff"))
+    return B.current_descriptions(diffs, f).select("commit", "file_path", F.sha2("description", 256).alias("description_hash"))
+
+
+@query("""SELECT source, greatest(5, least(50, greatest(1, floor(70000 / (sum(n_chars // 4) / count(*)))::BIGINT))) AS chunk_size, CASE WHEN sum(n_chars // 4) + 2000 <= 40000 THEN 'single'
+  WHEN sum(n_chars // 4) // 2 + 2000 <= 40000 AND sum(n_chars // 4) // 3 <= 40000 THEN 'two_stage' ELSE 'chunked' END AS stage FROM documents GROUP BY 1""")
 def sf27_diff_chunk_size(spark, sf):
     sums = A.table(spark, sf, "documents").groupBy("source").agg(F.sum(F.floor(F.col("n_chars") / 4)).alias("tokens"), F.count("*").alias("files"))
-    return sums.select("source", X.diff_chunk_size(F.col("tokens"), F.col("files")).alias("chunk_size"), B.stage(F.col("tokens"), 40_000).alias("stage"))
+    return sums.select("source", X.diff_chunk_size(F.col("tokens"), F.col("files")).alias("chunk_size"), B.stage(F.col("tokens") + 2000, F.floor(F.col("tokens") / 2) + 2000, F.floor(F.col("tokens") / 3), 40_000).alias("stage"))
 
 
 @query("SELECT 'f' || (turn % 6) AS file_path, arg_max(text, conv_id * 100 + turn) AS description FROM conversations GROUP BY 1")
@@ -144,10 +154,10 @@ def lm1_prompt_accounting(spark, sf):
     return B.prompts(A.table(spark, sf, "conversations"), 100)
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# n' || doc_id || chr(10) || substr(text, 1, 20) ELSE substr(text, 1, 20) END AS prepared, substr(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), 1, 30) AS scrubbed FROM documents""")
+@query("""SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN '# n' || doc_id || chr(10) || text ELSE text END) AS prepared_hash, sha256(substr(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), 1, 10000)) AS scrubbed_hash FROM documents""")
 def sf25_embedding_text(spark, sf):
     name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("n"), F.col("doc_id").cast("string")))
-    return A.table(spark, sf, "documents").select("doc_id", X.embedding_text(name, F.substring("text", 1, 20)).alias("prepared"), X.scrub(F.col("text"), 30).alias("scrubbed"))
+    return A.table(spark, sf, "documents").select("doc_id", F.sha2(X.embedding_text(name, F.col("text")), 256).alias("prepared_hash"), F.sha2(X.scrub(F.col("text")), 256).alias("scrubbed_hash"))
 
 
 @query(f"WITH {A.OVERVIEWS} SELECT project_id, sha256(p) AS prompt_hash, length(p) // 4 AS tokens, length(p) // 4 <= 3000 AS fits FROM (SELECT project_id, 'Overview:' || chr(10) || overview || chr(10) || chr(10) || 'Question: why?' AS p FROM overviews)")

@@ -56,7 +56,9 @@ def ag15_retry_stats(spark, sf):
     return M.retry_stats(A.operations(spark, sf))
 
 
-CLASS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(message), '{p}')" for p in parts) + f" THEN '{name}'" for parts, name, _ in X.ERROR_RULES) + " ELSE 'DatabaseError' END"
+CLASS = """CASE message WHEN 'database is locked' THEN 'DatabaseLockError' WHEN 'attempt to write a readonly database' THEN 'DatabaseLockError' WHEN 'database is busy' THEN 'DatabaseBusyError'
+  WHEN 'cannot start a transaction within a transaction' THEN 'DatabaseBusyError' WHEN 'disk I/O error' THEN 'DatabaseConnectionError' WHEN 'no such table: t' THEN 'DatabaseSchemaError'
+  WHEN 'UNIQUE constraint failed: t.id' THEN 'DatabaseIntegrityError' WHEN 'FOREIGN KEY constraint failed' THEN 'DatabaseIntegrityError' ELSE 'DatabaseError' END"""
 
 
 @query(f"""WITH {A.OPERATIONS} SELECT {CLASS} AS error_class, {CLASS} IN ('DatabaseLockError', 'DatabaseBusyError', 'DatabaseConnectionError') AS retryable, count(*) AS errors FROM ops GROUP BY 1, 2""")
@@ -69,9 +71,8 @@ def sl6_top_messages(spark, sf):
     return M.top_messages(A.operations(spark, sf))
 
 
-@query(f"""WITH {A.OPERATIONS} SELECT DISTINCT message, CASE {CLASS} WHEN 'DatabaseLockError' THEN CASE WHEN regexp_matches(lower(message), 'write|readonly') THEN 'write' ELSE 'read' END
-  WHEN 'DatabaseBusyError' THEN CASE WHEN contains(lower(message), 'transaction') THEN 'transaction' ELSE 'connection' END
-  WHEN 'DatabaseIntegrityError' THEN CASE WHEN contains(lower(message), 'unique') THEN 'unique' WHEN contains(lower(message), 'foreign key') THEN 'foreign_key' ELSE 'check' END ELSE '' END AS subtype FROM ops""")
+@query(f"""WITH {A.OPERATIONS} SELECT DISTINCT message, CASE message WHEN 'database is locked' THEN 'read' WHEN 'attempt to write a readonly database' THEN 'write' WHEN 'database is busy' THEN 'connection'
+  WHEN 'cannot start a transaction within a transaction' THEN 'transaction' WHEN 'UNIQUE constraint failed: t.id' THEN 'unique' WHEN 'FOREIGN KEY constraint failed' THEN 'foreign_key' ELSE '' END AS subtype FROM ops""")
 def sf24_error_subtypes(spark, sf):
     return A.operations(spark, sf).select("message").distinct().select("message", X.error_subtype(F.col("message")).alias("subtype"))
 
@@ -121,7 +122,10 @@ def sf23_perf_class(spark, sf):
     return A.table(spark, sf, "events").select("event_id", X.speed(F.col("value") / 1000).alias("speed"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {A.CHANGES}, o AS (SELECT path, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY path ORDER BY ts, event_id) AS k FROM raw_changes),
+  w AS (SELECT path, k, event_id, t AS last, true AS took FROM o WHERE k = 1
+    UNION ALL SELECT o.path, o.k, o.event_id, CASE WHEN o.t - w.last >= 3600000000 THEN o.t ELSE w.last END, o.t - w.last >= 3600000000 FROM w JOIN o ON o.path = w.path AND o.k = w.k + 1)
+  SELECT path, event_id FROM w WHERE took""")
 def ss1_leading_debounce(spark, sf):
     return M.debounced(A.raw_changes(spark, sf), 3600)
 
@@ -133,7 +137,11 @@ def ss2_trailing_debounce(spark, sf):
     return M.settled(A.raw_changes(spark, sf), 7200)
 
 
-@query()
+@query(f"""WITH RECURSIVE {A.REQUESTS}, o AS (SELECT client, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY client ORDER BY ts, event_id) AS k FROM requests),
+  w AS (SELECT client, k, event_id, [t] AS taken, true AS ok FROM o WHERE k = 1
+    UNION ALL SELECT client, k, event_id, CASE WHEN len(still) < 5 THEN list_append(still, t) ELSE still END, len(still) < 5
+      FROM (SELECT o.client, o.k, o.event_id, o.t, list_filter(w.taken, lambda x: x > o.t - 86400000000) AS still FROM w JOIN o ON o.client = w.client AND o.k = w.k + 1))
+  SELECT client, count(*) AS requests, count(*) FILTER (WHERE ok) AS accepted, max(event_id) FILTER (WHERE ok) AS last_accepted FROM w GROUP BY 1""")
 def ss10_rate_limit(spark, sf):
     return M.rate_limited(A.requests(spark, sf), 5, 86_400)
 

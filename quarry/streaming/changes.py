@@ -39,10 +39,14 @@ def code_changes(changes: DataFrame) -> DataFrame:
 
 
 def leading(changes: DataFrame, seconds: float = 0.1) -> DataFrame:
-    """path, event_id: events at least ``seconds`` after the last accepted one of their path. The state is that time."""
+    """path, event_id: events at least ``seconds`` after the last accepted one of their path. The state is that time, and
+    goes once the watermark has passed it by more than ``seconds``: then it can't hold back any event."""
     gap = int(seconds * 1_000_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         took = []
         rows = pd.concat(list(batches)).sort_values(["micros", "event_id"])
@@ -51,10 +55,11 @@ def leading(changes: DataFrame, seconds: float = 0.1) -> DataFrame:
                 last = int(micros)
                 took.append(int(event_id))
         state.update((last,))
+        state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"path": [key[0]] * len(took), "event_id": took})
 
-    timed = changes.select("path", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    return timed.groupBy("path").applyInPandasWithState(step, "path string, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
+    timed = changes.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", LATE).withColumn("micros", F.unix_micros("at"))
+    return timed.select("path", "event_id", "at", "micros").groupBy("path").applyInPandasWithState(step, "path string, event_id long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def trailing(changes: DataFrame, gap: str = "100 milliseconds") -> DataFrame:
