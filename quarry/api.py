@@ -1,28 +1,40 @@
 """The catalogue as an engine: tables in a folder, and thirteen tools that read and write them.
 
 Each table is a Parquet folder. A write makes the next version of a table and then points to it, so that readers see
-either the old or the new one. One engine writes at a time.
+either the old or the new one. Rows of a table with a key can be put one by one: they go to small folders beside the
+version, the last row of a key counts, and once there are many they are merged into the next version. The search index is
+such a table: a change folds the changed files alone. One engine writes at a time.
 """
 
 from __future__ import annotations
 
-import re
 import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import token_estimate
+from quarry.functions.text import html_text, token_estimate
 from quarry.operators import catalog as C
 from quarry.operators import metrics as M
 from quarry.operators import search as S
 from quarry.operators import tree as T
 from quarry.operators import vectors as V
-from quarry.operators.chunking import chunk_files
-from quarry.schemas import SCHEMAS
+from quarry.operators.chunking import Handler, chunk_files
+from quarry.schemas import KEYS, SCHEMAS
+from quarry.sources.listing import list_files
+
+
+def unescaped(value: Any) -> Any:
+    """A call's arguments with HTML entities decoded in every text, however deep it lies in lists and maps."""
+    if isinstance(value, str):
+        return html_text(value)
+    if isinstance(value, dict):
+        return {k: unescaped(v) for k, v in value.items()}
+    return [unescaped(v) for v in value] if isinstance(value, list) else value
 
 
 class ToolError(ValueError):
@@ -30,8 +42,17 @@ class ToolError(ValueError):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, folder: str, token_limit: int = 32_000, clock: Callable[[], float] = time.time):
+    """``tokens`` counts a text's tokens as a column, ``embed`` adds ``vector`` to chunks, ``stop_words`` is a file of words that
+    frequencies leave out, and ``handlers`` cut files by their endings; each has a local stand-in."""
+
+    def __init__(
+        self, spark: SparkSession, folder: str, token_limit: int = 32_000, clock: Callable[[], float] = time.time, tokens: Callable[[Column], Column] = token_estimate,
+        embed: Callable[[DataFrame], DataFrame] = V.embed, stop_words: str | None = None, handlers: dict[str, Handler] | None = None, most_parts: int = 16,
+    ):
         self.spark, self.folder, self.token_limit, self.clock = spark, folder.rstrip("/"), token_limit, clock
+        self.tokens, self.embed, self.handlers, self.most_parts = tokens, embed, handlers or {}, most_parts
+        self.stop_words = S.stop_words_file(spark, stop_words) if stop_words else S.STOP_WORDS
+        self.cleaned_at: int | None = None
         self.tools: dict[str, tuple[Callable[..., Any], tuple[str, ...], tuple[str, ...]]] = {
             "get_file_description": (self.get_file_description, ("projectName", "folderPath", "filePath"), ()),
             "update_file_description": (self.update_file_description, ("projectName", "folderPath", "filePath", "description"), ("fileHash",)),
@@ -52,7 +73,32 @@ class Engine:
 
     def table(self, name: str) -> DataFrame:
         path = self._path(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path) if path else self.spark.createDataFrame([], SCHEMAS[name])
+        if not path:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        whole = self.spark.read.schema(SCHEMAS[name]).parquet(path)
+        parts = self._parts(name)
+        if not parts:
+            return whole
+        numbered = [self.spark.read.schema(SCHEMAS[name]).parquet(p).withColumn("_part", F.lit(k)) for k, p in enumerate(parts)]
+        return C.upsert(whole, reduce(DataFrame.unionByName, numbered), KEYS[name], "_part")
+
+    def put(self, name: str, rows: DataFrame) -> None:
+        """Rows of a table with a key, in place of those with the same keys, without writing the others again."""
+        if not self._path(name):
+            self.write(name, self.spark.createDataFrame([], SCHEMAS[name]))
+        fs, root = self._fs(name)
+        version, part = self._path(name).rsplit("/", 1)[1], f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+        rows.select(*[f.name for f in self.table(name).schema]).write.parquet(f"{root}/{version}-parts/{part}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs.create(path(f"{root}/{version}-parts/_seen/{part}")).close()  # readers see a part once it is whole
+        if len(self._parts(name)) >= self.most_parts:
+            self.write(name, self.table(name))
+
+    def _parts(self, name: str) -> list[str]:
+        fs, _ = self._fs(name)
+        base = f"{self._path(name)}-parts"
+        seen = self.spark._jvm.org.apache.hadoop.fs.Path(f"{base}/_seen")
+        return [f"{base}/{n}" for n in sorted(s.getPath().getName() for s in fs.listStatus(seen))] if fs.exists(seen) else []
 
     def write(self, name: str, rows: DataFrame) -> None:
         fs, root = self._fs(name)
@@ -63,7 +109,8 @@ class Engine:
         old = [s.getPath() for s in fs.listStatus(path(f"{root}/_current"))]
         fs.create(path(f"{root}/_current/{time.time_ns():020d}-{version}")).close()
         for p in old[:-1]:  # what came before the last version; its readers have had their time
-            fs.delete(path(f"{root}/{p.getName().split('-')[1]}"), True)
+            for end in ("", "-parts"):
+                fs.delete(path(f"{root}/{p.getName().split('-')[1]}{end}"), True)
             fs.delete(p, True)
 
     def _fs(self, name: str):
@@ -87,7 +134,7 @@ class Engine:
             raise ToolError(f"missing arguments: {', '.join(missing)}")
         if extra := [a for a in arguments if a not in (*needed, *known)]:
             raise ToolError(f"unexpected arguments: {', '.join(extra)}")
-        return run(**arguments)
+        return run(**unescaped(arguments))
 
     def _project(self, name: str, folder: str) -> str:
         """The id of the project of that name; it is made where there is none, and learns the folder."""
@@ -109,43 +156,76 @@ class Engine:
         project, now = self._project(projectName, folderPath), int(self.clock())
         values = self.spark.createDataFrame([(project, filePath, description, fileHash, now)], "project_id string, file_path string, description string, file_hash string, last_modified long")
         row = values.select(F.xxhash64("project_id", "file_path").alias("id"), "*", F.lit(1).cast("long").alias("version"), F.lit(None).cast("long").alias("to_be_cleaned"))
-        self.write("files", C.upsert(self.table("files"), row, ["project_id", "file_path"]))
+        self._put_files(row)
         return {"success": True, "filePath": filePath, "lastModified": now}
 
+    def _put_files(self, rows: DataFrame) -> None:
+        self.put("files", rows)
+        self.put("search", S.indexed(rows))
+
     def _own_files(self, project: str) -> DataFrame:
         return C.active(self.table("files")).where(F.col("project_id") == project)
 
     def _tokens(self, files: DataFrame) -> int:
         line = F.concat("file_path", F.lit("\n"), F.coalesce("description", F.lit("")), F.lit("\n"))
-        return files.agg(F.coalesce(F.sum(token_estimate(line)), F.lit(0))).first()[0]
+        return files.agg(F.coalesce(F.sum(self.tokens(line)), F.lit(0))).first()[0]
+
+    def _clean_up(self, project: str, folder: str) -> int:
+        """Marks files that are gone from the folder, and drops those marked longer ago than the retention; not again within
+        the cool-down. How many were marked or dropped."""
+        now = int(self.clock())
+        if not C.cleanup_due(self.cleaned_at, now):
+            return 0
+        self.cleaned_at = now
+        marked = 0
+        if (listing := self._listing(project, folder)) is not None:
+            gone = C.missing_files(self.table("files").where(F.col("project_id") == project), listing)
+            if marked := gone.count():
+                self._put_files(gone.withColumn("to_be_cleaned", F.lit(now).cast("long")))
+        files = self.table("files")
+        old = files.where(C.expired(now, 6) & (F.col("project_id") == project)).count()
+        if old:
+            kept = C.purge(files, now, project_id=project)
+            self.write("search", self.table("search").join(kept.select("project_id", "file_path"), ["project_id", "file_path"], "left_semi"))
+            self.write("files", kept)
+        return marked + old
+
+    def _listing(self, project: str, folder: str) -> DataFrame | None:
+        """project_id, file_path of what the folder holds and isn't ignored; nothing if there is no such folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        found = list_files(self.spark, folder).where(~T.is_ignored(F.col("file_path")))
+        return found.select(F.lit(project).alias("project_id"), "file_path")
 
     def check_codebase_size(self, projectName: str, folderPath: str, tokenLimit: int | None = None) -> dict:
         project, limit = self._project(projectName, folderPath), tokenLimit or self.token_limit
-        kept = C.purge(self.table("files"), int(self.clock()), project_id=project)
-        tokens = self._tokens(C.active(kept).where(F.col("project_id") == project))
-        overview = self.table("overviews").where(F.col("project_id") == project).first()
-        own = len(overview["overview"]) // 4 if overview else 0
-        say = "use_overview" if tokens <= limit else "view_overview_then_search" if 0 < own <= 32_000 else "use_search"
-        return {"totalTokens": tokens, "isLarge": tokens > limit, "recommendation": say, "tokenLimit": limit, "overviewTokens": own}
+        cleaned = self._clean_up(project, folderPath)
+        files = self._own_files(project)
+        told, n = self._tokens(files), files.count()
+        overview = self.table("overviews").where(F.col("project_id") == project).select(self.tokens(F.col("overview")).alias("n")).first()
+        own = (overview["n"] or 0) if overview else 0
+        say = C.recommendation(told + own, own, limit)
+        return {"fileDescriptionTokens": told, "overviewTokens": own, "totalTokens": told + own, "isLarge": told + own > limit, "recommendation": say, "tokenLimit": limit, "totalFiles": n, "cleanedUpCount": cleaned}
 
     def find_missing_descriptions(self, projectName: str, folderPath: str, limit: Any = None, listing: list[str] | None = None) -> dict:
         """``listing`` names the files; without it the folder is listed by Spark, contents unread."""
         project = self._project(projectName, folderPath)
+        empty = self.spark.createDataFrame([], "project_id string, file_path string")
         if listing is None:
-            found = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folderPath).select("path")
-            rows = found.select(F.regexp_replace("path", f"^(?:file:)?/*{re.escape(folderPath.strip('/'))}/", "").alias("file_path"))
+            rows = self._listing(project, folderPath)
         else:
-            rows = self.spark.createDataFrame([(p,) for p in listing], "file_path string")
-        rows = rows.where(~T.is_ignored(F.col("file_path"))).select(F.lit(project).alias("project_id"), "file_path")
+            rows = self.spark.createDataFrame([(project, p) for p in listing], empty.schema).where(~T.is_ignored(F.col("file_path")))
+        rows = empty if rows is None else rows
+        most = limit if isinstance(limit, int) and limit > 0 else None
         missing = C.undescribed(rows, self.table("files")).orderBy("file_path")
-        n, total = missing.count(), rows.count()
-        if isinstance(limit, int) and limit > 0:
-            missing = missing.limit(limit)
-        names = [r["file_path"] for r in missing.collect()]
-        return {"missingFiles": names, "totalMissing": n, "returnedCount": len(names), "existingDescriptions": total - n, "totalTrackable": total}
+        names = [r["file_path"] for r in (missing.limit(most) if most else missing).collect()]
+        sums = C.missing_summary(rows, self.table("files"), most).first()
+        total, known, n = (sums["total"], sums["existing"], sums["missing"]) if sums else (0, 0, 0)
+        return {"missingFiles": names, "totalMissing": n, "returnedCount": len(names), "existingDescriptions": known, "totalTrackable": total}
 
     def search_descriptions(self, projectName: str, folderPath: str, query: str, maxResults: int = 20) -> dict:
-        found = S.search(self.table("files"), query, self._project(projectName, folderPath), maxResults)
+        found = S.search_index(self.table("search"), query, self._project(projectName, folderPath), maxResults)
         text = self.table("files").select("id", "description")
         rows = found.join(text, "id").orderBy("score", "id").collect()
         return {"results": [{"filePath": r["file_path"], "description": r["description"], "relevanceScore": r["score"]} for r in rows], "totalResults": len(rows), "query": query, "maxResults": maxResults}
@@ -171,11 +251,11 @@ class Engine:
         own = self._own_files(project)
         n, tokens = own.count(), self._tokens(own)
         row = self.spark.createDataFrame([(project, overview, now, n, tokens)], SCHEMAS["overviews"])
-        self.write("overviews", C.upsert(self.table("overviews"), row, ["project_id"]))
+        self.put("overviews", row)
         return {"success": True, "totalFiles": n, "totalTokens": tokens, "lastModified": now}
 
     def get_word_frequency(self, projectName: str, folderPath: str, limit: int = 200) -> dict:
-        rows = S.word_frequency(self._own_files(self._project(projectName, folderPath)), limit).orderBy(F.col("frequency").desc(), "term").collect()
+        rows = S.word_frequency(self._own_files(self._project(projectName, folderPath)), limit, self.stop_words).orderBy(F.col("frequency").desc(), "term").collect()
         return {"topTerms": [{"term": r["term"], "frequency": r["frequency"]} for r in rows], "totalTermsAnalyzed": rows[0]["total_terms"] if rows else 0, "totalUniqueTerms": rows[0]["unique_terms"] if rows else 0}
 
     def search_codebase_overview(self, projectName: str, folderPath: str, searchWord: str) -> dict:
@@ -194,13 +274,35 @@ class Engine:
         return {"success": True, "projectId": project, "vectorMode": enabled}
 
     def index_vectors(self, projectName: str, folderPath: str) -> int:
-        """Chunks and embeds the project's files; their older vectors go."""
+        """Chunks and embeds the project's files that changed since they were last indexed; vectors of these and of files that
+        went are replaced. The state is kept in the index meta: in_progress, then completed or failed."""
         project = self._project(projectName, folderPath)
-        chunks = V.embed(chunk_files(self._own_files(project)))
-        rows = chunks.select(F.concat_ws("_", "project_id", "id", "chunk_index").alias("id"), "project_id", "file_path", "chunk_index", "start_line", "end_line", "content", "content_hash", "redacted", "vector")
-        stored = self.table("vectors")
-        self.write("vectors", V.replace_by_file(stored.where(F.col("project_id") != project), rows))
-        return self.table("vectors").where(F.col("project_id") == project).count()
+        files, stored = self._own_files(project), self.table("vectors")
+        own = stored.where(F.col("project_id") == project)
+        self._put_status(project, "in_progress")
+        try:
+            now = files.select("file_path", F.col("last_modified").cast("double").alias("mtime"))
+            changed = C.changed_files(now, V.latest_mtimes(own)).select("file_path", "mtime")
+            gone = V.vanished(own, files.select("project_id", "file_path"))
+            chunks = self.embed(chunk_files(files.join(changed, "file_path", "left_semi"), self.handlers)).join(changed.withColumnRenamed("mtime", "file_mtime"), "file_path")
+            rows = chunks.withColumn("id", F.concat_ws("_", "project_id", "id", "chunk_index")).select(*[f.name for f in stored.schema])
+            files_to_replace = changed.select(F.lit(project).alias("project_id"), "file_path").unionByName(gone)
+            self.write("vectors", V.delete_files(stored, files_to_replace).unionByName(rows))
+        except Exception as error:
+            self._put_status(project, "failed", str(error)[:500])
+            raise
+        made = self.table("vectors").where(F.col("project_id") == project)
+        n, n_files = made.agg(F.count("*"), F.countDistinct("file_path")).first()
+        self._put_status(project, "completed", None, n, n_files)
+        return n
+
+    def _put_status(self, project: str, status: str, error: str | None = None, chunks: int | None = None, files: int | None = None) -> None:
+        meta, now = self.table("index_meta"), int(self.clock())
+        old = meta.where(F.col("project_id") == project).first()
+        values = (old.asDict() if old else {"created": now}) | {"project_id": project, "sync_status": status, "error_message": error, "last_modified": now}
+        if status == "completed":
+            values |= {"last_sync": now, "total_chunks": chunks, "indexed_chunks": chunks, "total_files": files, "indexed_files": files}
+        self.put("index_meta", self.spark.createDataFrame([tuple(values.get(f.name) for f in meta.schema)], meta.schema))
 
     def find_similar_code(self, projectName: str, folderPath: str, code_snippet: str | None = None, file_path: str | None = None, line_start: int | None = None, line_end: int | None = None, similarity_threshold: float | None = None, max_results: int = 20) -> dict:
         project = self._project(projectName, folderPath)
@@ -214,7 +316,7 @@ class Engine:
             code_snippet = "\n".join(lines[line_start - 1 : line_end])
         asked = self.spark.createDataFrame([(0, project, file_path or "snippet.py", code_snippet)], "id long, project_id string, file_path string, description string")
         vectors = self.table("vectors").where(F.col("project_id") == project)
-        queries = V.embed(chunk_files(asked)).select(F.col("chunk_index").cast("long").alias("query_id"), "vector")
+        queries = self.embed(chunk_files(asked, self.handlers)).select(F.col("chunk_index").cast("long").alias("query_id"), "vector")
         near = V.nearest_many(vectors.withColumn("key", F.xxhash64("id")).select(F.col("key").alias("id"), "vector"), queries, min(2 * max_results, 50))
         hits = near.join(vectors.select(F.xxhash64("id").alias("id"), "file_path", "start_line", "end_line", "content", "content_hash"), "id")
         rows = V.similar(hits, similarity_threshold, max_results).collect()

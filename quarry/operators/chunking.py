@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -267,9 +267,20 @@ def _part(chunk: Chunk, text: str, first: int, last: int, mark: str, how: str) -
     return replace(chunk, content=text, start_line=first, end_line=last, redacted=False, name=chunk.name + mark if chunk.name else None, how=how)
 
 
-def chunk_file(text: str, path: str, redactor: Redactor) -> list[Chunk]:
-    """Cut, redact, join and split; blank chunks are dropped."""
-    chunks = [Chunk(content, a, b) for a, b, content in cut_lines(text)]
+#: Cuts a text into (first line, last line, content); chosen by a file's ending.
+Handler = Callable[[str], list[tuple[int, int, str]]]
+
+
+def chunk_file(text: str, path: str, redactor: Redactor, handlers: dict[str, Handler] | None = None) -> list[Chunk]:
+    """Cut, by the handler of the file's ending if there is one, else by lines; redact, join and split; blank chunks are
+    dropped. A handler that fails leaves the file to the lines."""
+    name = path.rsplit("/", 1)[-1]
+    cut = (handlers or {}).get("." + name.rsplit(".", 1)[-1].lower() if "." in name else "", cut_lines)
+    try:
+        found = cut(text)
+    except Exception:  # noqa: BLE001  whatever a handler raises
+        found = cut_lines(text)
+    chunks = [Chunk(content, a, b) for a, b, content in found if content.strip()]
     if _redacts(path):
         done = ((c, *redactor.redact(c.content, path)) for c in chunks)
         chunks = [replace(c, content=masked, redacted=bool(found)) for c, masked, found in done]
@@ -285,15 +296,16 @@ def _redacts(path: str) -> bool:
 CHUNK_ROWS = "id long, project_id string, file_path string, chunk_index int, start_line int, end_line int, content string, content_hash string, redacted boolean, name string, how string"
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
-    """files: id, project_id, file_path, description (the content). A row per chunk; null and blank files have none."""
+def chunk_files(files: DataFrame, handlers: dict[str, Handler] | None = None) -> DataFrame:
+    """files: id, project_id, file_path, description (the content). A row per chunk; null and blank files have none.
+    ``handlers`` cut files of their endings (".py") in a way of their own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         redactor = Redactor()
         for batch in batches:
             rows = []
             for i, project, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for k, c in enumerate(chunk_file(text, path or "", redactor)):
+                for k, c in enumerate(chunk_file(text, path or "", redactor, handlers)):
                     rows.append((i, project, path, k, c.start_line, c.end_line, c.content, hashlib.sha256(c.content.encode()).hexdigest(), c.redacted, c.name, c.how))
             if rows:
                 types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]

@@ -1,6 +1,7 @@
 import pytest
 
 from quarry.api import Engine, ToolError
+from quarry.operators import vectors as V
 from quarry.sources.listing import Settings, list_files, read_texts
 
 OWN = {"projectName": "Demo", "folderPath": "/w/demo"}
@@ -16,7 +17,7 @@ def test_workflow(spark, tmp_path):
     assert got["description"].startswith("def connect") and got["version"] == 1
     assert [r["filePath"] for r in engine.call("search_descriptions", **OWN, query="authentication")["results"]] == ["src/auth.py"]
     size = engine.call("check_codebase_size", **OWN)
-    assert size["recommendation"] == "use_overview" and not size["isLarge"]
+    assert size["recommendation"] == "use_overview" and not size["isLarge"] and (size["totalFiles"], size["cleanedUpCount"]) == (3, 0)
     assert engine.call("check_codebase_size", **OWN, tokenLimit=1)["recommendation"] == "use_search"
     missing = engine.call("find_missing_descriptions", **OWN, listing=["main.py", "new.py", "node_modules/x.js", "b.py"], limit=1)
     assert missing == {"missingFiles": ["b.py"], "totalMissing": 2, "returnedCount": 1, "existingDescriptions": 1, "totalTrackable": 3}
@@ -39,6 +40,57 @@ def test_workflow(spark, tmp_path):
     assert engine.table("projects").first().aliases == ["/w/demo", "/else"]
 
 
+def test_clean_up_and_retention(spark, tmp_path):
+    now = [1_700_000_000]
+    home = tmp_path / "w"
+    home.mkdir()
+    (home / "kept.py").write_text("x")
+    own = {"projectName": "Demo", "folderPath": str(home)}
+    engine = Engine(spark, str(tmp_path / "db"), clock=lambda: now[0])
+    for path in ("kept.py", "gone.py"):
+        engine.call("update_file_description", **own, filePath=path, description=f"about {path} &amp; more")
+    assert engine.call("get_file_description", **own, filePath="gone.py")["description"] == "about gone.py & more"
+    assert engine.call("check_codebase_size", **own)["cleanedUpCount"] == 1
+    assert engine.call("check_codebase_size", **own)["totalFiles"] == 1
+    assert [r["filePath"] for r in engine.call("search_descriptions", **own, query="about")["results"]] == ["kept.py"]
+    assert engine.table("files").count() == engine.table("search").count() == 2
+    now[0] += 7 * 30 * 86_400
+    assert engine.call("check_codebase_size", **own)["cleanedUpCount"] == 1
+    assert engine.table("files").count() == engine.table("search").count() == 1
+    assert engine.call("find_missing_descriptions", **own)["missingFiles"] == []
+
+
+def test_rows_are_put_beside_a_version_and_merged(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "db"), most_parts=3, clock=lambda: 1_700_000_000)
+    seen = []
+    for k in range(7):
+        engine.call("update_file_description", **OWN, filePath=f"f{k % 3}.py", description=f"text {k}")
+        seen.append(len(engine._parts("files")))
+    assert max(seen) < 3 and 0 in seen
+    assert sorted(r.description for r in engine.table("files").collect()) == ["text 4", "text 5", "text 6"]
+    assert engine.table("search").count() == 3
+    assert engine.call("search_descriptions", **OWN, query="6")["results"][0]["filePath"] == "f0.py"
+
+
+def test_indexing_takes_changed_files_alone(spark, tmp_path):
+    now, embedded = [1_700_000_000], []
+
+    def embed(chunks):
+        embedded.append(sorted({r.file_path for r in chunks.collect()}))
+        return V.embed(chunks, 16)
+
+    engine = Engine(spark, str(tmp_path / "db"), clock=lambda: now[0], embed=embed, handlers={".sql": lambda text: [(1, 1, part) for part in text.split(";")]})
+    for path in ("a.py", "b.py"):
+        engine.call("update_file_description", **OWN, filePath=path, description="code " * 30)
+    engine.call("update_file_description", **OWN, filePath="q.sql", description="SELECT " + "a " * 40 + ";SELECT " + "b " * 40)
+    assert engine.index_vectors(**OWN) == 4
+    now[0] += 10
+    engine.call("update_file_description", **OWN, filePath="b.py", description="other " * 30)
+    assert engine.index_vectors(**OWN) == 4 and embedded == [["a.py", "b.py", "q.sql"], ["b.py"]]
+    meta = engine.table("index_meta").first()
+    assert (meta.sync_status, meta.total_files, meta.indexed_chunks, meta.last_sync) == ("completed", 3, 4, now[0])
+
+
 def test_calls_are_checked(spark, tmp_path):
     engine = Engine(spark, str(tmp_path))
     assert len(engine.tools) == 13

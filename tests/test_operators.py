@@ -15,6 +15,7 @@ from quarry.operators import metrics as M
 from quarry.operators import search as S
 from quarry.operators import tree as T
 from quarry.operators import vectors as V
+from quarry.sources import listing as L
 
 FILES = "id long, project_id string, file_path string, description string, to_be_cleaned long"
 
@@ -37,6 +38,18 @@ def test_bm25_against_fts5(spark, query):
     assert got == pytest.approx(want)
 
 
+def test_statistics_cover_deleted_files(spark):
+    rows = [("p", f"f{k}.py", "alpha beta" if k % 3 else "alpha") for k in range(12)]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(project_id, file_path, description)")
+    db.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    want = {r: s for r, s in db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH 'beta'") if r % 4}
+    files = make_files(spark, rows).withColumn("to_be_cleaned", F.when(F.col("id") % 4 == 0, 5))
+    assert {r.id: r.score for r in S.search(files, "beta", limit=500).collect()} == pytest.approx(want)
+    queries = spark.createDataFrame([(1, ["beta"]), (2, ["alpha", "nowhere"])], "query_id long, terms array<string>")
+    assert {(r.query_id, r.id): r.score for r in S.search_many(files, queries, 500).collect()} == pytest.approx({(1, i): s for i, s in want.items()})
+
+
 def test_search_corpora(spark):
     f = make_files(spark, [("p", "grpc_server.py", "grpc server implementation with proto message handling"), ("p", "proto_handler.py", "proto message handler with grpc communication"), ("q", "auth.py", "Authentication and authorization module")])
     paths = lambda q, **o: {r.file_path for r in S.search(f, q, **o).collect()}
@@ -179,5 +192,38 @@ def test_word_frequency(spark):
     assert f.select(F.sum(token_estimate(F.col("description")))).first()[0] == sum(len(t) // 4 for t in ("The module MODULE parse_x 2fast naïve return Zeta", "zeta module"))
 
 
+def test_stop_words_and_several_terms(spark, tmp_path):
+    (tmp_path / "stop.txt").write_text("Module\n\n  zeta \n")
+    assert S.stop_words_file(spark, str(tmp_path / "stop.txt")) == ("module", "zeta")
+    f = make_files(spark, [("p", "a", "module zeta omega"), ("p", "b", "omega omega"), ("p", "c", "zeta")])
+    assert [r.term for r in S.word_frequency(f, stop=S.stop_words_file(spark, str(tmp_path / "stop.txt"))).collect()] == ["omega"]
+    assert [(r.file_path, r.term_position) for r in S.multi_term_search(f, ["zeta", "omega", "none"]).collect()] == [("c", 0), ("a", 0), ("b", 1)]
+    assert S.multi_term_search(f, []).count() == 0
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0, 1.0]), (8, [1.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    got = V.nearest_many(v, v.select(F.col("id").alias("query_id"), "vector"), 2).collect()
+    assert {(r.query_id, r.rank): r.id for r in got} == {(1, 1): 1, (1, 2): 8, (7, 1): 7, (7, 2): 1, (8, 1): 1, (8, 2): 8}
+
+
+def test_objects_in_noisy_text():
+    assert B.first_object('x {y} {"a": {"b": 1}} {"c": 2}') == {"a": {"b": 1}}
+    assert B.first_object("{" * 20_000 + '{"a": 1}') == {"a": 1} and B.first_object("}{") is None and B.first_object("") is None
+
+
+def test_walking_a_folder(spark, tmp_path):
+    for p in ("a/x.py", "a/b/y.py", "node_modules/deep/z.js", "m.py"):
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text("code")
+    paths = lambda **o: [r.file_path for r in L.walk_files(spark, str(tmp_path), **o).collect()]
+    assert paths() == ["a/b/y.py", "a/x.py", "m.py", "node_modules/deep/z.js"]
+    assert paths(pruned=("node_modules/",)) == ["a/b/y.py", "a/x.py", "m.py"] and paths(most=2) == ["a/x.py", "m.py"]
+    rows = spark.createDataFrame([(3, b"abc", 5), (3, None, 5), (3, None, None), (1 << 21, None, 5)], "length long, content binary, modified long")
+    hashes = [r.h for r in rows.select(L.file_hash(F.col("length"), F.col("content"), F.col("modified")).alias("h")).collect()]
+    assert hashes == [hashlib.sha256(b"abc").hexdigest(), "error", "deleted", hashlib.sha256(b"2097152:5").hexdigest()]
+
+
 def test_secret_patterns_compile():
     assert all(re.compile(p[4]) for p in K.PATTERNS)
