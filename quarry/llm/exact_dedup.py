@@ -24,22 +24,21 @@ def radix_groups(docs: DataFrame, first: int = 64, growth: int = 8, widest: int
     as empty, all empty texts are one group, and a null doc_id is smaller than any other. Of rows repeated with the
     same doc_id one is kept. An empty table gives an empty result; other columns are ignored, whatever their names.
     ``first``, ``growth`` and ``widest`` set the bytes that a round looks at; they change the work, not the result.
-    ``carry`` adds ``doc``, a struct of the row's own columns. ``docs`` has to read the same rows in the same order
+    ``carry`` gives ``doc``, a struct of the row's own columns, in place of the digest. ``docs`` has to read the same rows in the same order
     each time, as a scan of files does.
     """
     scratch = Scratch(docs.sparkSession, "radix")
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = [row_of(docs)] if carry else []
-    kept_columns = ["doc"] if carry else []
-    source = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"), *own)
+    # what is carried on: the whole row, or the normalised text alone
+    body = F.encode(lower_ascii(F.coalesce(F.col("doc.text"), F.lit(""))), "UTF-8") if carry else F.col("body")
+    kept_columns = ["doc"] if carry else ["text_sha256"]
+    own = [row_of(docs)] if carry else [F.encode(lower_ascii(text), "UTF-8").alias("body"), F.sha2(lower_ascii(text), 256).alias("text_sha256")]
+    on = ["doc"] if carry else ["body", "text_sha256"]
     # A run of n bytes lies within the first n characters: counting needn't normalise whole texts.
     head = F.substring(F.encode(lower_ascii(F.substring(text, 1, first)), "UTF-8"), 1, first)
-    whole = lower_ascii(text)
-    counted = source.select("doc_id", "row", F.lit(0).cast("long").alias("group"), head.alias("run"))
-    carried = source.select(
-        "doc_id", "row", F.lit(0).cast("long").alias("group"), head.alias("run"), F.encode(whole, "UTF-8").alias("rest"), F.sha2(whole, 256).alias("text_sha256"), *kept_columns
-    )
-    width, closed = first, []
+    source = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.lit(0).cast("long").alias("group"), head.alias("run"), *own)
+    counted, carried = source.select("doc_id", "row", "group", "run"), source
+    width, at, levels = first, first, []
     while True:
         sums = counted.groupBy("group", "run").agg(
             F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("best"), F.min("row").alias("next")
@@ -49,30 +48,30 @@ def radix_groups(docs: DataFrame, first: int = 64, growth: int = 8, widest: int
         done = F.col("n").isNull() | (F.octet_length("run") < width)
         level = scratch.store(
             carried.join(groups.hint("merge"), ["group", "run"], "left").select(
-                "doc_id", "row", "text_sha256", F.coalesce("best", F.struct("doc_id", "row")).alias("keep"),
+                "doc_id", "row", F.coalesce("best", F.struct("doc_id", "row")).alias("keep"),
                 F.coalesce("n", F.lit(1).cast("long")).alias("size"), done.alias("done"),
                 F.when(~done, F.col("next")).alias("group"),
-                F.when(~done, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
-                *kept_columns,
+                *(["doc"] if carry else ["text_sha256", F.when(~done, F.col("body")).alias("body")]),
             )
         )
-        closed.append(level.where("done"))
+        levels.append(level)
         still = level.where("not done")
         if still.isEmpty():
             break
         width = min(width * growth, widest)
-        run = F.substring("rest", 1, width)
+        run = F.substring(body, at + 1, width)
+        at += width
         counted = still.select("doc_id", "row", "group", run.alias("run"))
-        carried = still.select("doc_id", "row", "group", run.alias("run"), "rest", "text_sha256", *kept_columns)
-    found = closed[0]
-    for level in closed[1:]:
-        found = found.union(level)
+        carried = still.select("doc_id", "row", "group", run.alias("run"), *on)
+    scratch.keep(*levels)
+    found = levels[0].where("done")
+    for level in levels[1:]:
+        found = found.union(level.where("done"))
     return found.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         F.col("size").alias("group_size"),
         (F.col("row") == F.col("keep.row")).alias("kept"),
-        "text_sha256",
         *kept_columns,
     )
 

@@ -137,6 +137,7 @@ def pareto_mix(
     ends = scratch.store(line.select("source", F.aggregate("line", start, take).alias("end")).select("source", F.col("end.rank").alias("end_rank"), F.col("end.row").alias("end_row")))
     of = ends.withColumnRenamed("source", "of")
     plan = scratch.store(sources.join(of, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"))
+    scratch.keep(sized, plan)
     full = ranked(sized, plan, tilt)
     drawn = (F.col("size") > 0) & ((F.col("rank") < F.col("end_rank")) | ((F.col("rank") == F.col("end_rank")) & (F.col("row") <= F.col("end_row"))))
     copies = (F.col("certain") + F.when(drawn, 1).otherwise(0)).cast("long")

@@ -290,7 +290,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
     scratch = Scratch(docs.sparkSession, "simhash")
     row = F.monotonically_increasing_id().alias("row")
     marked = scratch.store(fingerprints(docs.select("doc_id", "text", row), shingle))
-    out = marked.join(_components(marked, most, scratch), "fp")
+    found = _components(marked, most, scratch)
+    scratch.keep(marked, found)
+    out = marked.join(found, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -304,10 +306,11 @@ def _components(marked: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     return scratch.store(of.join(scratch.store(least), "component").select("fp", "component_id"))
 
 
-def common_shingles(marked: DataFrame, shingle: int, sample: int = 16_384, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that three texts or more of a sample hold, ascending, and how many; the ``most`` most frequent. They shape
-    the order of shingles alone: the join is exact in any order, and fast if frequent ones come last."""
-    share = min(1 << 31, (1 << 31) * sample // max(1, marked.count()))
+def common_shingles(marked: DataFrame, shingle: int, sample: int = 16_384, part: int = 32, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that three texts or more of a sample hold, ascending, and how many; the ``most`` most frequent. The sample
+    is every ``part``-th text, ``sample`` texts at least. They shape the order of shingles alone: the join is exact in any
+    order, and fast if frequent ones come last."""
+    share = min(1 << 31, (1 << 31) * sample // max(1, min(marked.count(), sample * part)))
     picked = marked.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(1 << 31)) < share).dropDuplicates(["node"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,35 +336,64 @@ def prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity:
     return held[np.argsort(count, kind="stable")[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1]]
 
 
-def pairs_of_runs(key: np.ndarray, node: np.ndarray, size: np.ndarray, similarity: float, small: int, leaders: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (a, b) of nodes with the same key, and (key, node) of runs of over ``small`` nodes: of those the pairs
-    with ``leaders`` nodes alone."""
-    order = np.lexsort((node, key))
-    key, node, size = key[order], node[order], size[order]
+def signature(held: np.ndarray) -> bytes:
+    """How many of a set's hashes, ascending, begin with each value of their first bits, of which there are about half as many
+    as hashes. Two sets share at most the sum of the lesser counts. Empty, which bounds nothing, if a count needs two bytes."""
+    bits = max(4, (len(held) >> 1).bit_length())
+    counts = np.bincount((held >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def folded(counts: np.ndarray, length: int) -> np.ndarray:
+    """Rows of counts of fewer first bits, so that there are ``length``."""
+    return counts if counts.shape[-1] == length else counts.reshape(*counts.shape[:-1], length, -1).sum(-1)
+
+
+def shared_at_most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    length = min(a.shape[-1], b.shape[-1])
+    return np.minimum(folded(a, length), folded(b, length)).sum(-1, dtype=np.int64)
+
+
+def needed(total: np.ndarray | int, similarity: float) -> np.ndarray:
+    """What sets of so many hashes in all have to share."""
+    return np.asarray(total) * similarity / (1 + similarity) - 1e-6
+
+
+def pairs_of_runs(key: np.ndarray, node: np.ndarray, size: np.ndarray, similarity: float, small: int, leaders: int) -> tuple[np.ndarray, ...]:
+    """Pairs a < b of nodes with the same key whose sizes allow the similarity, and the sum of the sizes; and (key, node,
+    size) of runs in which a node has over ``small`` partners: of those the pairs with ``leaders`` nodes alone."""
+    order = np.lexsort((node, size, key))
+    key, node, size = key[order], node[order], size[order].astype(np.int64)
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, size = key[fresh], node[fresh], size[fresh].astype(float)
+    key, node, size = key[fresh], node[fresh], size[fresh]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     lengths = np.diff(np.append(starts, len(key)))
-    large = np.repeat(lengths > small, lengths)
-    left, right = [], []
-    for d in range(1, min(small, int(lengths.max()))):
-        i = np.flatnonzero((key[d:] == key[:-d]) & ~large[d:])
-        left.append(i)
-        right.append(i + d)
-    for start, n in zip(starts[lengths > small], lengths[lengths > small], strict=True):
-        run = np.arange(start, start + n)
-        for first in run[np.argsort(_again(node[run].view(np.uint64), 1), kind="stable")[:leaders]]:  # runs of the same texts have the same ones
-            left.append(np.full(n - 1, first))
-            right.append(run[run != first])
+    # partners come after a node, in the order of sizes
+    run, step = np.repeat(np.arange(len(starts)), lengths), int(size.max()) + 1
+    most = np.minimum((size / similarity + 1e-9).astype(np.int64), step - 1)
+    partners = np.searchsorted(run * step + size, run * step + most, "right") - np.arange(len(key)) - 1
+    large = np.repeat(np.maximum.reduceat(partners, starts) > small, lengths)
+    left, right, rest, d = [], [], np.flatnonzero((partners > 0) & ~large), 1
+    while len(rest):
+        left.append(rest)
+        right.append(rest + d)
+        d += 1
+        rest = rest[partners[rest] >= d]
+    for start, n in zip(starts[large[starts]], lengths[large[starts]], strict=True):
+        own = np.arange(start, start + n)
+        for first in own[np.argsort(_again(node[own].view(np.uint64), 1), kind="stable")[:leaders]]:  # runs of the same texts have the same ones
+            fit = own[(np.minimum(size[own], size[first]) >= similarity * np.maximum(size[own], size[first]) - 1e-9) & (own != first)]
+            left.append(np.full(len(fit), first))
+            right.append(fit)
     a, b = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
-    near = np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
-    both = np.unique(np.stack([np.minimum(node[a[near]], node[b[near]]), np.maximum(node[a[near]], node[b[near]])], 1), axis=0)
-    return both[:, 0], both[:, 1], key[large], node[large]
+    both = np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), size[a] + size[b]], 1)
+    return *np.unique(both, axis=0).T, key[large], node[large], size[large]
 
 
 def candidates(marked: DataFrame, shingle: int, similarity: float, keys: int = 500_000, small: int = 32, leaders: int = 4) -> DataFrame:
-    """run, a, b: without a run, pairs of nodes to verify; with one, a node a of the run, whose pairs are to be searched.
+    """run, a, b, n: without a run, pairs a < b of nodes to verify and the sum of their sizes; with one, a node a of the run,
+    whose pairs are to be searched, and its size.
 
     Each pair of at least ``similarity`` is a pair or shares a run. Shingles of prefixes go to ranges of their hashes, as
     arrays, about ``keys`` to a range; of each hash there go the bits of its range and 32 more."""
@@ -397,12 +429,12 @@ def candidates(marked: DataFrame, shingle: int, similarity: float, keys: int = 5
 
     def search(table: pa.Table) -> pa.Table:
         joined = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        a, b, key, node = pairs_of_runs(joined("key", np.uint32), joined("node", np.int64), joined("size", np.int32), similarity, small, leaders)
+        a, b, n, key, node, own = pairs_of_runs(joined("key", np.uint32), joined("node", np.int64), joined("size", np.int32), similarity, small, leaders)
         run = (table["range"][0].as_py() << 32) + key.astype(np.int64)
-        return pa.table({"run": pa.array([*[None] * len(a), *run.tolist()], pa.int64()), "a": np.concatenate([a, node]), "b": pa.array([*b.tolist(), *[None] * len(run)], pa.int64())})
+        return pa.table({"run": pa.array([*[None] * len(a), *run.tolist()], pa.int64()), "a": np.concatenate([a, node]), "b": pa.array([*b.tolist(), *[None] * len(run)], pa.int64()), "n": np.concatenate([n, own])})
 
     dealt = marked.select("node", F.col("doc.text").alias("text")).mapInArrow(deal, "range long, key binary, node binary, size binary")
-    return dealt.groupBy("range").applyInArrow(search, "run long, a long, b long")
+    return dealt.groupBy("range").applyInArrow(search, "run long, a long, b long, n long")
 
 
 def alike_across(node: np.ndarray, component: np.ndarray, held: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -427,40 +459,120 @@ def alike_across(node: np.ndarray, component: np.ndarray, held: list[np.ndarray]
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def among(rows: DataFrame, wanted: DataFrame, slots: int = 1 << 23) -> DataFrame:
-    """rows whose ``row`` is wanted, and some others whose hash shares a slot: a filter that moves no row."""
-    slot = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(slots))
-    held = np.zeros(slots, bool)
-    held[wanted.select(slot.alias("s")).distinct().toArrow()["s"].to_numpy()] = True
-    bits, names = rows.sparkSession.sparkContext.broadcast(np.packbits(held)), rows.columns
+def with_sets(marked: DataFrame, points: DataFrame, wanted: DataFrame, shingle: int, scratch: Scratch, held: int = 500_000) -> DataFrame:
+    """wanted: node, cell. cell, node, held: for each of them the node's shingles, half a hash each, which tells those of
+    two texts apart. Texts are hashed where they lie if there are at most ``held`` rows in wanted (a broadcast of some
+    16 MB); beyond that, they move to the join first."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(batch.num_columns - 1).to_numpy()
-            keep = bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
-            yield batch.filter(pa.array(keep.astype(bool))).select(names)
+    def hashes(texts: list[bytes]) -> list[pa.Array]:
+        return [pa.array([np.unique(shingle_set(t, shingle).astype(np.uint32)).view(np.int32) for t in texts], pa.list_(pa.int32()))]
+
+    rows = scratch.store(points.join(wanted.groupBy("node").agg(F.collect_set("cell").alias("cells")), "node").select("row", "node", "cells"))
+    few = (rows.agg(F.sum(F.size("cells"))).first()[0] or 0) <= held
+    texts = marked.select("row", F.col("doc.text").alias("text")).join(F.broadcast(rows) if few else rows.hint("merge"), "row")
+    return _adding(texts, ["node", "cells"], "held array<int>", hashes).select(F.explode("cells").alias("cell"), "node", "held")
 
-    return rows.withColumn("slot", slot).mapInArrow(work, rows.schema)
 
+def possible(pairs: DataFrame, points: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, n) that their signatures don't rule out."""
 
-def run_links(runs: DataFrame, joined: DataFrame, sets, similarity: float, scratch: Scratch, most: int = 4096) -> DataFrame | None:
-    """Verified links (a, b) between nodes of a run that ``joined`` leaves in different components. A run of over
-    ``most`` nodes is cut into parts, each pair of which is searched by itself."""
-    of = scratch.store(runs.join(joined, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component")))
-    still = of.groupBy("run").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    still = scratch.store(still.select("run", F.when(F.col("n") <= most, 1).otherwise(F.greatest(F.lit(3), F.ceil(2 * F.col("n") / most))).cast("int").alias("parts")))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = needed(batch.column("n").to_numpy(), similarity)
+            a, b = (batch.column(c).to_pylist() for c in ("sig_a", "sig_b"))
+            keep = [not x or not y or shared_at_most(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= t for x, y, t in zip(a, b, need, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b", "n"])
+
+    of_a, of_b = (points.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in ("a", "b"))
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n", "sig_a", "sig_b").mapInArrow(work, "a long, b long, n long")
+
+
+def with_partners(component: np.ndarray, size: np.ndarray, signatures: list[bytes], similarity: float) -> np.ndarray:
+    """Which nodes may be alike to one of another component, as far as their signatures tell."""
+    keep = np.array([not x for x in signatures])
+    if keep.any():
+        return np.ones(len(component), bool)
+    least = min(map(len, signatures))
+    counts = np.stack([folded(np.frombuffer(x, np.uint8).astype(np.uint16), least) for x in signatures]).astype(np.uint16)
+    for i in range(len(component)):
+        other = np.flatnonzero((component != component[i]) & ~(keep & keep[i]))
+        fit = other[np.minimum(counts[other], counts[i]).sum(1, dtype=np.int64) >= needed(size[other] + size[i], similarity)]
+        keep[fit] = True
+        keep[i] |= len(fit) > 0
+    return keep
+
+
+class Sets:
+    """Sets of nodes, by node."""
+
+    def __init__(self, table: pa.Table):
+        held = table["held"].combine_chunks()
+        node, ends, self.values = table["node"].to_numpy(), held.offsets.to_numpy(), held.values.to_numpy()
+        order = np.argsort(node, kind="stable")
+        self.node, self.start, self.end = node[order], ends[:-1][order], ends[1:][order]
+
+    def __call__(self, node: np.ndarray) -> list[np.ndarray]:
+        return [self.values[self.start[k] : self.end[k]] for k in np.searchsorted(self.node, node)]
+
+
+def verified(pairs: DataFrame, marked: DataFrame, points: DataFrame, shingle: int, similarity: float, scratch: Scratch, cell: int = 2_000_000) -> DataFrame:
+    """Of the candidate pairs (a, b, n) those that are alike. Pairs that hang together meet in one cell, to which each of
+    their sets is sent once; what has over ``cell`` shingles in its pairs is dealt over several cells, pair by pair."""
+    joined = components(pairs.select("a", "b"), scratch)
+    of = scratch.store(pairs.join(joined, pairs["b"] == joined["node"]).select("a", "b", "n", "component"))
+    weight = scratch.store(of.groupBy("component").agg(F.sum("n").alias("weight")))
+    cells = max(8, (weight.agg(F.sum("weight")).first()[0] or 0) // cell)
+    part = F.when(F.col("weight") <= cell, F.pmod(F.xxhash64("component"), F.lit(cells))).otherwise(
+        F.xxhash64("component", F.pmod(F.xxhash64("a", "b"), F.ceil(F.col("weight") / cell)))
+    )
+    dealt = scratch.store(of.join(weight, "component").select("a", "b", part.alias("cell")))
+    wanted = dealt.select("cell", F.col("a").alias("node")).union(dealt.select("cell", "b"))
+
+    def alike(asked: pa.Table, held: pa.Table) -> pa.Table:
+        a, b = asked["a"].to_numpy(), asked["b"].to_numpy()
+        sets = Sets(held)
+        of_a, of_b = sets(a), sets(b)
+        shared = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(of_a, of_b, strict=True)], np.int64)
+        total = np.array([len(x) + len(y) for x, y in zip(of_a, of_b, strict=True)], np.int64)
+        keep = shared / (total - shared) >= similarity
+        return pa.table({"a": a[keep], "b": b[keep]})
+
+    sets = with_sets(marked, points, wanted, shingle, scratch)
+    return scratch.store(dealt.groupBy("cell").cogroup(sets.groupBy("cell")).applyInArrow(alike, "a long, b long"))
+
+
+def run_links(runs: DataFrame, joined: DataFrame, marked: DataFrame, points: DataFrame, shingle: int, similarity: float, scratch: Scratch, most: int = 4096) -> DataFrame | None:
+    """Verified links (a, b) between nodes of a run (run, node, n) that ``joined`` leaves in different components. A run is
+    cut by size; what still has over ``most`` nodes is cut into parts, each pair of which is searched by itself."""
+    # sizes that allow the similarity are in the same class or in neighbouring ones
+    size_class = F.floor(F.log(F.col("n").cast("double")) / (-math.log(similarity) * 1.0001))
+    named = runs.join(joined, "node", "left").select("run", "node", F.coalesce("component", "node").alias("component"), size_class.alias("class"))
+    of = scratch.store(named.select("run", "node", "component", F.explode(F.array(F.struct("class", F.lit(True).alias("home")), F.struct((F.col("class") - 1).alias("class"), F.lit(False).alias("home")))).alias("at")).select("run", "node", "component", "at.*"))
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"mark{k}") for k in (0, 1)]
+    cells = of.groupBy("run", "class").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bool_or("home").alias("home"), *marks)
+    # of cells of the same nodes, as a passage makes them of each of its shingles, one is enough
+    once = cells.where("lo < hi AND home").groupBy("mark0", "mark1", "n").agg(F.min(F.struct("run", "class")).alias("at"))
+    still = scratch.store(once.select("at.*", F.when(F.col("n") <= most, 1).otherwise(F.greatest(F.lit(3), F.ceil(2 * F.col("n") / most))).cast("int").alias("parts")))
     if still.isEmpty():
         return None
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    cells = of.join(still, "run").select("run", "node", "component", "parts", own.alias("own"), other).where("parts = 1 OR own <> other")
-    cells = cells.select("run", "node", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).join(sets(of.join(still, "run").select("node")), "node")
+    cells = of.join(still, ["run", "class"]).select("run", "class", "node", "component", "parts", own.alias("own"), other).where("parts = 1 OR own <> other")
+    cells = scratch.store(cells.select(F.xxhash64("run", "class", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "node", "component"))
 
-    def search(table: pa.Table) -> pa.Table:
-        a, b = alike_across(table["node"].to_numpy(), table["component"].to_numpy(), [np.array(h) for h in table["held"].to_pylist()], similarity)
+    def plausible(table: pa.Table) -> pa.Table:
+        return table.filter(with_partners(table["component"].to_numpy(), table["size"].to_numpy(), table["sig"].to_pylist(), similarity)).select(["cell", "node", "component"])
+
+    # sets move only of nodes that may have a partner
+    cells = scratch.store(cells.join(points.select("node", "size", "sig"), "node").select("cell", "node", "component", "size", "sig").groupBy("cell").applyInArrow(plausible, "cell long, node long, component long"))
+
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        node = asked["node"].to_numpy()
+        a, b = alike_across(node, asked["component"].to_numpy(), Sets(held)(node), similarity)
         return pa.table({"a": a, "b": b})
 
-    return scratch.store(cells.groupBy("run", "x", "y").applyInArrow(search, "a long, b long"))
+    sets = with_sets(marked, points, cells.select("node", "cell"), shingle, scratch)
+    return scratch.store(cells.groupBy("cell").cogroup(sets.groupBy("cell")).applyInArrow(search, "a long, b long"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -473,40 +585,27 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     stay as they are; of rows repeated in full one stays; null doc_ids come last; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    doc = row_of(docs)
 
     def mark(texts: list[bytes]) -> list[pa.Array]:
         sets = [shingle_set(t, shingle) for t in texts]
         digests = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64)
-        return [pa.array(digests.view(np.int64)), pa.array([len(h) for h in sets], pa.int32())]
-
-    def hashes(texts: list[bytes]) -> list[pa.Array]:
-        # half a hash tells the shingles of two texts apart
-        return [pa.array([np.unique(shingle_set(t, shingle).astype(np.uint32)).view(np.int32) for t in texts], pa.list_(pa.int32()))]
+        return [pa.array(digests.view(np.int64)), pa.array([len(h) for h in sets], pa.int32()), pa.array([signature(h) for h in sets], pa.binary())]
 
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), doc)
-    marked = scratch.store(_adding(rows, ["doc_id", "row", "doc"], "node long, size int", mark))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), row_of(docs))
+    marked = scratch.store(_adding(rows, ["doc_id", "row", "doc"], "node long, size int, sig binary", mark))
     found = scratch.store(candidates(marked, shingle, similarity))
-    pairs = scratch.store(found.where("run IS NULL").select("a", "b").distinct())
-    runs = found.where("run IS NOT NULL").select("run", F.col("a").alias("node"))
-    points = scratch.store(marked.groupBy("node").agg(F.min("row").alias("row")))
-
-    def sets(nodes: DataFrame) -> DataFrame:
-        """node, held: sets of the nodes and of some others. Texts are hashed where they lie, so that none moves."""
-        return _adding(among(marked.select("node", "row", F.col("doc.text").alias("text")), points.join(nodes.distinct(), "node", "left_semi")), ["node"], "held array<int>", hashes)
-
-    left = sets(pairs.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("held").alias("of_a"))
-    right = sets(pairs.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("held").alias("of_b"))
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    alike = shared / (F.size("of_a") + F.size("of_b") - shared) >= similarity
-    verified = scratch.store(pairs.join(left, "a").join(right, "b").where(alike).select("a", "b"))
-    joined = components(verified, scratch)
-    more = run_links(runs, joined, sets, similarity, scratch)
+    points = scratch.store(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("sig").alias("sig")))
+    pairs = scratch.store(possible(found.where("run IS NULL").select("a", "b", "n").distinct(), points, similarity))
+    runs = found.where("run IS NOT NULL").select("run", F.col("a").alias("node"), "n")
+    links = verified(pairs, marked, points, shingle, similarity, scratch)
+    joined = components(links, scratch)
+    more = run_links(runs, joined, marked, points, shingle, similarity, scratch)
     if more is not None:
-        joined = components(verified.union(more), scratch)
+        joined = components(links.union(more), scratch)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     slim = scratch.store(marked.select("doc_id", "row", "node").join(joined, "node", "left").select("doc_id", "row", F.coalesce("component", "node").alias("component")))
     firsts = slim.groupBy("component").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     later = scratch.store(firsts.where("n > 1"))
     gone = scratch.store(slim.join(later, "component").where(F.col("row") != F.col("first.row")).select("row"))
+    scratch.keep(marked, gone)
     return marked.join(gone, "row", "left_anti").select("doc.*")

@@ -72,19 +72,42 @@ def test_links_of_random_and_close_codes(spark):
     chain = [int(codes[0]) ^ ((1 << k) - 1) for k in range(40)]
     fps = sorted({*map(int, codes), *map(int, flips), *chain, *(k for k in range(0, 4000, 3))})
     signed = np.array(fps, np.uint64).view(np.int64)
-    points = spark.createDataFrame([(int(f), i) for i, f in enumerate(signed)], "fp long, node long").selectExpr("node", "array(fp) AS fps", "cast(null AS binary) AS wide").repartition(5)
+    points = spark.createDataFrame([(int(f), i) for i, f in enumerate(signed)], "fp long, node long").select("node", "fp").repartition(5)
     want = brute_components(fps)
-    for options in ({}, {"shard": 50}, {"shard": 64, "sample": 200}):
+    numbers = {f: i for i, f in enumerate(fps)}
+    groups = {}
+    for f in fps:
+        groups.setdefault(want[f], []).append(numbers[f])
+    full = {n: min(g) for g in groups.values() for n in g if n != min(g)}
+    for options in ({}, {"cell": 500, "shard": 1000}, {"cell": 60, "shard": 300}):
         scratch = Scratch(spark, "test")
         got = {r.node: r.component for r in simhash.components(simhash.near_links(points, 3, scratch, **options), scratch).collect()}
-        numbers = {f: i for i, f in enumerate(fps)}
-        groups = {}
-        for f in fps:
-            groups.setdefault(want[f], []).append(numbers[f])
-        full = {n: min(g) for g in groups.values() for n in g if n != min(g)}
         assert got == full
 
 
+def test_copies_of_a_point(spark):
+    """Four cells a point, whatever the number of points; more only for points of cells that are too large."""
+    rng = np.random.default_rng(2)
+    for n in (2000, 20_000, 100_000):
+        points = spark.createDataFrame(list(enumerate(rng.integers(-(2**63), 2**63, n).tolist())), "node long, fp long")
+        cells, rows = simhash.cells_of(points, 3, Scratch(spark, "test"))
+        assert cells.count() == rows == 4 * n
+    # a third of all points agree in their first 24 bits
+    fps = np.concatenate([rng.integers(0, 2**40, 5000), rng.integers(-(2**63), 2**63, 10_000)]).tolist()
+    points = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+    cells, rows = simhash.cells_of(points, 3, Scratch(spark, "test"), cell=1000)
+    assert cells.count() <= rows <= 4 * 10_000 + 7 * 5010 + 200
+    assert cells.groupBy("mask", "value").count().agg(F.max("count")).first()[0] <= 1000
+
+
+def test_bands_hold_each_bit_once():
+    for mask in (0, (1 << 16) - 1, 0xF0F0F0F0F0F0F0F0):
+        got = simhash.bands(mask, 3)
+        assert len(got) == 4 and all(m & mask == mask for m in got)
+        own = [m ^ mask for m in got]
+        assert sum(own) == (1 << 64) - 1 - mask and sum(m.bit_count() for m in own) == 64 - mask.bit_count()
+
+
 def jaccard(a, b):
     shingles = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))}
     x, y = shingles(a), shingles(b)
@@ -201,6 +224,55 @@ def test_no_link_near_the_limit_is_lost(spark):
     assert kept(spark, texts) == groups_kept(texts)
 
 
+def test_signatures_bound_what_is_shared():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 3, 40, 700, 5000):
+        pool = np.unique(rng.integers(0, 2**63, 2 * n + 2, dtype=np.uint64) * np.uint64(2))
+        for m in (n, int(1.25 * n)):
+            a, b = np.sort(rng.choice(pool, n, replace=False)), np.sort(rng.choice(pool, min(m, len(pool)), replace=False))
+            x, y = (np.frombuffer(simhash.signature(h), np.uint8) for h in (a, b))
+            most = simhash.shared_at_most(x, y)
+            assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+            assert simhash.shared_at_most(x, x) == n
+            if n >= 700:
+                assert most < 0.85 * n
+    assert simhash.signature(np.arange(5000, dtype=np.uint64)) == b""
+
+
+def test_nodes_with_partners():
+    rng = np.random.default_rng(4)
+    base = np.sort(rng.integers(0, 2**63, 400, dtype=np.uint64))
+    sets = [base, base[5:], base[::2], np.sort(rng.integers(0, 2**63, 390, dtype=np.uint64)), np.sort(np.append(base[:-3], np.uint64(7)))]
+    sizes = np.array([len(x) for x in sets])
+    got = simhash.with_partners(np.array([1, 2, 3, 4, 1]), sizes, [simhash.signature(x) for x in sets], 0.8)
+    assert got.tolist() == [True, True, False, False, True]
+    assert not simhash.with_partners(np.array([1, 1, 1, 4, 1]), sizes, [simhash.signature(x) for x in sets], 0.8).any()
+
+
+def test_small_cells_give_the_same_links(spark):
+    rng = random.Random(9)
+    base, texts = [prose(rng, 200) for _ in range(12)], []
+    for _ in range(120):
+        copy = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 8)):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    scratch = Scratch(spark, "test")
+    sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+    docs = [(i, (t,)) for i, t in enumerate(texts)]
+    marked = spark.createDataFrame([(i, i, d) for i, d in docs], "row long, node long, doc struct<text:string>")
+    pairs = [(i, j, len(sets[i]) + len(sets[j])) for j in range(120) for i in range(j)]
+    want = {(i, j) for i, j, _ in pairs if jaccard(texts[i], texts[j]) >= 0.8}
+    for cell in (500, 5000, 2_000_000):
+        got = simhash.verified(spark.createDataFrame(pairs, "a long, b long, n long"), marked, marked.select("row", "node"), 5, 0.8, scratch, cell)
+        assert {(r.a, r.b) for r in got.collect()} == want and want
+    for held in (10, 500_000):
+        asked = spark.createDataFrame([(i, i % 3) for i in range(120)], "node long, cell long")
+        for r in simhash.with_sets(marked, marked.select("row", "node"), asked, 5, scratch, held).collect():
+            assert r.cell == r.node % 3
+            assert sorted(r.held) == sorted(np.unique(sets[r.node].astype(np.uint32)).view(np.int32).tolist())
+
+
 def test_texts_of_one_repeated_word_are_told_apart(spark):
     rng = random.Random(8)
     texts = [" ".join(["pad"] * 20_000 + prose(rng, 15)) for _ in range(6)]
