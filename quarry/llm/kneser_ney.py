@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.storage import Scratch, crc_mod
+from quarry.llm.storage import Scratch, crc_mod, sql_lower_ascii
 
 #: No word holds white space: this stands for a document's end. What precedes its first word has the number 0.
 END, START = b"\n", 0
@@ -445,14 +445,55 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = 3, tokens: in
     def sums(k: int):
         return (lambda t: sum_grams(t, k, order, deal.value)) if k > 1 else (lambda t: sum_words(t, deal.value))
 
-    totals, answers, above = {0: totals_of(numbers, 2)}, None, None
+    totals, levels = {0: totals_of(numbers, 2)}, []
     for k in range(order, 0, -1):
         asked = blocks.mapInArrow(asks(k), ROWS)
-        rows = asked if above is None else asked.unionByName(above.where(F.col("kind").isin(FOLLOW, SPLIT)))
-        above = scratch.store(rows.groupBy("shard").applyInArrow(sums(k), ROWS), "kind")
-        totals[k] = totals_of(above, 4 if k > 1 else 6)
-        own = above.where(F.col("kind") == ANSWER)
-        answers = own if answers is None else answers.unionByName(own)
+        rows = asked.unionByName(levels[-1].where(F.col("kind").isin(FOLLOW, SPLIT))) if levels else asked
+        levels.append(scratch.store(rows.groupBy("shard").applyInArrow(sums(k), ROWS), "kind"))
+        totals[k] = totals_of(levels[-1], 4 if k > 1 else 6)
+    scratch.keep(blocks, *levels)
     heads = blocks.select("block", F.lit(0).alias("level"), F.lit(DOCS).alias("kind"), F.lit(-1).cast("long").alias("shard"), "parts", F.lit(None).cast("array<bigint>").alias("totals"))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return heads.unionByName(answers).groupBy("block").applyInArrow(lambda t: score_block(t, order, deal.value, totals), out)
+    for table in levels:
+        heads = heads.unionByName(table.where(F.col("kind") == ANSWER))
+    return heads.groupBy("block").applyInArrow(lambda t: score_block(t, order, deal.value, totals), out)
+
+
+def _sql_discount(n: str, d: str) -> str:
+    return f"CASE WHEN coalesce({n}, 0) >= 3 THEN {d}.d3 WHEN {n} = 2 THEN {d}.d2 WHEN {n} = 1 THEN {d}.d1 ELSE 0 END"
+
+
+def _sql_level(k: int, lower: str) -> str:
+    """The probability of order k, where the context is known; else that of the order below."""
+    spare = f"(d{k}.d1 * x{k}.k1 + d{k}.d2 * x{k}.k2 + d{k}.d3 * x{k}.k3) / x{k}.n"
+    return f"CASE WHEN x{k}.n > 0 THEN greatest(coalesce(c{k}.n, 0) - {_sql_discount(f'c{k}.n', f'd{k}')}, 0) / x{k}.n + {spare} * {lower} ELSE {lower} END::DOUBLE"
+
+
+_SUMS = "sum(n)::DOUBLE AS n, count(*) FILTER (WHERE n = 1) AS k1, count(*) FILTER (WHERE n = 2) AS k2, count(*) FILTER (WHERE n >= 3) AS k3"
+
+#: The scores of ``score_documents(docs)``, to six digits; crc32 is spelt out.
+ORACLE = f"""
+WITH RECURSIVE bits AS (SELECT range AS i, range AS v, 0 AS k FROM range(256) UNION ALL SELECT i, CASE WHEN (v & 1) = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS tbl FROM bits WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, doc_id IS NULL OR xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: xor(tbl[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10 = 0 AS held_out, list_append(regexp_extract_all({sql_lower_ascii("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+'), chr(10)) AS w FROM documents, crc),
+t AS (SELECT r, held_out, unnest(w) AS a, unnest(range(len(w))) AS i FROM d),
+g AS (SELECT r, held_out, a, coalesce(lag(a) OVER o, '') AS b, coalesce(lag(a, 2) OVER o, '') AS c FROM t WINDOW o AS (PARTITION BY r ORDER BY i)),
+c3 AS (SELECT c, b, a, count(*) AS n FROM g WHERE NOT held_out GROUP BY ALL),
+c2 AS (SELECT b, a, count(*) AS n FROM c3 GROUP BY ALL),
+c1 AS (SELECT a, count(*) AS n FROM c2 GROUP BY ALL),
+heard AS (SELECT a, count(*) AS n FROM g WHERE NOT held_out GROUP BY a),
+total AS (SELECT coalesce(sum(n), 0)::BIGINT AS train, count(*) AS types FROM heard),
+q AS ({" UNION ALL ".join(f"SELECT {k} AS level, " + ", ".join(f"count(*) FILTER (WHERE n = {i})::DOUBLE AS n{i}" for i in (1, 2, 3, 4)) + f" FROM c{k}" for k in (1, 2, 3))}),
+y AS (SELECT *, CASE WHEN n1 > 0 THEN n1 / (n1 + 2 * n2) ELSE 0.5 END::DOUBLE AS y FROM q),
+disc AS (SELECT level, {", ".join(f"least(greatest(CASE WHEN n{i} > 0 THEN {i} - {i + 1} * y * n{i + 1} / n{i} ELSE {i / 2} END, 0.05), {i})::DOUBLE AS d{i}" for i in (1, 2, 3))} FROM y),
+{", ".join(f"d{k} AS (SELECT * FROM disc WHERE level = {k})" for k in (1, 2, 3))},
+x3 AS (SELECT c, b, {_SUMS} FROM c3 GROUP BY c, b), x2 AS (SELECT b, {_SUMS} FROM c2 GROUP BY b), x1 AS (SELECT {_SUMS} FROM c1),
+s AS (SELECT DISTINCT c, b, a FROM g),
+p1 AS (SELECT s.*, {_sql_level(1, "(1 / (types + 1))")} AS p FROM s LEFT JOIN c1 USING (a), x1, d1, total),
+p2 AS (SELECT p1.c, p1.b, p1.a, {_sql_level(2, "p1.p")} AS p FROM p1 LEFT JOIN c2 ON c2.b = p1.b AND c2.a = p1.a LEFT JOIN x2 ON x2.b = p1.b, d2),
+p3 AS (SELECT p2.c, p2.b, p2.a, {_sql_level(3, "p2.p")} AS p FROM p2 LEFT JOIN c3 ON c3.c = p2.c AND c3.b = p2.b AND c3.a = p2.a LEFT JOIN x3 ON x3.c = p2.c AND x3.b = p2.b, d3),
+scored AS (SELECT g.r, count(*) AS n_tokens, count(heard.n) AS n_known, sum(log10((coalesce(heard.n, 0) + 0.1::DOUBLE) / (train + 0.1::DOUBLE * (types + 1)))) AS base, sum(log10(p3.p)) AS score
+  FROM g JOIN p3 ON p3.c = g.c AND p3.b = g.b AND p3.a = g.a LEFT JOIN heard ON heard.a = g.a, total GROUP BY g.r)
+SELECT doc_id, held_out, n_tokens, n_known, train AS train_tokens, round(base, 6) AS base_score, round(score, 6) AS score FROM d JOIN scored USING (r), total
+"""

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.llm.storage import Scratch, row_of
 
@@ -95,8 +96,7 @@ def _adding(rows: DataFrame, names: list[str], types: str, add) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *add(_texts(batch))], names=[*names, *new])
 
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
-    return rows.mapInArrow(work, f"{own}, {types}")
+    return rows.mapInArrow(work, StructType([*rows.select(*names).schema.fields, *StructType.fromDDL(types).fields]))
 
 
 def fingerprints(rows: DataFrame, shingle: int) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -105,6 +106,14 @@ def test_documents(spark, sf_dir):
         assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_against_sql(spark, sf_dir):
+    want = duckdb.sql(kneser_ney.ORACLE.replace("FROM documents", f"FROM '{sf_dir}/documents.parquet'")).fetchall()
+    got = kneser_ney.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokens=5000).collect()
+    for a, b in zip(sorted(got), sorted(want), strict=True):
+        assert a[:5] == b[:5]
+        assert a[5:] == pytest.approx(b[5:], abs=2e-6)
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(10)
     rows = [(1, " ".join(f"w{int(3000 * rng.random() ** 3)}" for _ in range(60_000)), "", ""), (2, "w1 w2 w3", "", "")]
