@@ -174,12 +174,23 @@ class Chunk:
     redacted: bool = False
     name: str | None = None
     how: str = ""
+    #: lines of imports, of a chunk that holds nothing else
+    imports: tuple[str, ...] = ()
 
 
 BOUNDARY_STARTS = ("def ", "class ", "function ", "const ", "let ", "var ")
 BOUNDARY_ENDS = ("{", "}", ";")
 
 
+def with_imports(chunks: list[Chunk], most: int = 1500, lines: int = 10) -> list[Chunk]:
+    """The first ``lines`` lines of a file's imports before each of its other chunks, if it still fits then."""
+    context = "\n".join([x for c in chunks for x in c.imports][:lines])
+    if not context:
+        return chunks
+    longer = lambda c: f"{context}\n\n{c.content}"
+    return [c if c.imports or len(longer(c)) > most else replace(c, content=longer(c), how="context_enriched") for c in chunks]
+
+
 def join_small(chunks: list[Chunk], small: int = 50, most: int = 1500) -> list[Chunk]:
     """Neighbours under ``small`` characters become one, as long as each next one still fits with the one before."""
     out: list[Chunk] = []
@@ -267,24 +278,24 @@ def _part(chunk: Chunk, text: str, first: int, last: int, mark: str, how: str) -
     return replace(chunk, content=text, start_line=first, end_line=last, redacted=False, name=chunk.name + mark if chunk.name else None, how=how)
 
 
-#: Cuts a text into (first line, last line, content); chosen by a file's ending.
-Handler = Callable[[str], list[tuple[int, int, str]]]
+#: Cuts a text into (first line, last line, content), and of chunks of imports their lines; chosen by a file's ending.
+Handler = Callable[[str], list[tuple[int, int, str] | tuple[int, int, str, tuple[str, ...]]]]
 
 
 def chunk_file(text: str, path: str, redactor: Redactor, handlers: dict[str, Handler] | None = None) -> list[Chunk]:
-    """Cut, by the handler of the file's ending if there is one, else by lines; redact, join and split; blank chunks are
-    dropped. A handler that fails leaves the file to the lines."""
+    """Cut, by the handler of the file's ending if there is one, else by lines; redact, add imports, join and split; blank
+    chunks are dropped. A handler that fails leaves the file to the lines."""
     name = path.rsplit("/", 1)[-1]
     cut = (handlers or {}).get("." + name.rsplit(".", 1)[-1].lower() if "." in name else "", cut_lines)
     try:
         found = cut(text)
     except Exception:  # noqa: BLE001  whatever a handler raises
         found = cut_lines(text)
-    chunks = [Chunk(content, a, b) for a, b, content in found if content.strip()]
+    chunks = [Chunk(content, a, b, imports=tuple(rest[0]) if rest else ()) for a, b, content, *rest in found if content.strip()]
     if _redacts(path):
         done = ((c, *redactor.redact(c.content, path)) for c in chunks)
         chunks = [replace(c, content=masked, redacted=bool(found)) for c, masked, found in done]
-    return [part for c in join_small(chunks) for part in split_large(c)]
+    return [part for c in join_small(with_imports(chunks)) for part in split_large(c)]
 
 
 def _redacts(path: str) -> bool:

@@ -9,13 +9,13 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple], schema: str) -> DataFrame:
     """rows with the columns of ``schema`` added: ``step`` takes a key's state and the next row, which it may change the state
     by, and returns their values. ``start`` makes the state of a key."""
     added = [field.split() for field in schema.split(", ")]
-    own = rows.schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
@@ -30,4 +30,4 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[],
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *(name for name, _ in added)])
 
     sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return sorted_rows.mapInArrow(work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.fields), schema]))
+    return sorted_rows.mapInArrow(work, StructType([*rows.schema.fields, *StructType.fromDDL(schema).fields]))

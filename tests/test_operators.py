@@ -115,6 +115,22 @@ def test_joining_and_splitting():
     assert {p.how for p in lines} == {"split_lines"} and "\n".join(p.content for p in lines) == "\n".join("w" * 100 for _ in range(40))
 
 
+def test_handlers_and_imports(spark):
+    def cut(text):
+        head, body = text.split("\n\n", 1)
+        return [(1, 2, head, tuple(head.split("\n"))), (4, 4, body)]
+
+    def fails(text):
+        raise RuntimeError
+
+    text = "import a\nimport b\n\n" + "x = 1;" * 20
+    rows = {r.file_path: r for r in K.chunk_files(make_files(spark, [("p", "s/a.py", text), ("p", "s/b.rb", text)]), {".py": cut, ".rb": fails}).where("chunk_index = 1 OR file_path = 's/b.rb'").collect()}
+    assert rows["s/a.py"].content == "import a\nimport b\n\n" + "x = 1;" * 20 and rows["s/a.py"].how == "context_enriched"
+    assert rows["s/b.rb"].content == text
+    big = [K.Chunk("import z", 1, 1, imports=("import z",)), K.Chunk("y" * 1495, 2, 2)]
+    assert K.with_imports(big) == big
+
+
 def test_chunk_files(spark):
     token = fake_secrets()["github_token"]
     df = make_files(spark, [("p", "src/a.py", "x = 1\n" * 60 + f"k = '{token}'"), ("p", "README.md", f"k = '{token}'"), ("p", "e.py", "  \n "), ("p", "n.py", None)])
