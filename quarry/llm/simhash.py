@@ -399,7 +399,7 @@ def candidates(marked: DataFrame, shingle: int, similarity: float, keys: int = 5
     arrays, about ``keys`` to a range; of each hash there go the bits of its range and 32 more."""
     common = marked.sparkSession.sparkContext.broadcast(common_shingles(marked, shingle))
     total = marked.agg(F.sum("size")).first()[0] or 0
-    bits = min(16, max(5, int(total * (1 - similarity) / keys).bit_length()))
+    bits = min(31, max(5, int(total * (1 - similarity) / keys).bit_length()))
 
     def rows_of(parts: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
         key, n = np.concatenate(parts), [len(x) for x in parts]
