@@ -44,15 +44,23 @@ DOCS, ASK, FOLLOW, SPLIT, ANSWER, TOTALS, HEAVY = range(7)
 
 
 def _zip(values: np.ndarray) -> bytes:
-    """Bytes of an array, one plane after the other, compressed: small numbers shrink to a fraction."""
-    planes = values.reshape(-1).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    """Whole numbers from 0 on, in as many bytes as the largest needs, one plane after the other, compressed."""
+    size = next(n for n in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * n)
+    planes = values.astype(f"<u{size}").reshape(-1).view(np.uint8).reshape(-1, size).T
+    return bytes([size]) + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _unzip(data: bytes, dtype=np.int64) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{data[0]}").astype(dtype)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys, and where in it each distinct one begins; and these."""
+    order = np.argsort(keys)
+    found = keys[order]
+    starts = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
+    return order, starts, found[starts]
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -79,18 +87,16 @@ class Deal:
     """Where n-grams go: numbers of shards, and the words that are split, with the number of shards of each."""
 
     def __init__(self, shards: int, heavy: np.ndarray, ways: np.ndarray):
-        order = np.argsort(heavy)
-        self.shards, self.heavy, self.ways = shards, heavy[order], ways[order]
+        self.shards = shards
+        #: ways by word; frequent words have small numbers, and the last entry stands for all beyond
+        self.ways = np.ones(int(heavy.max(initial=0)) + 2, np.int64)
+        self.ways[heavy] = ways
 
     def ways_of(self, words: list[np.ndarray]) -> np.ndarray:
         """Over how many shards the n-grams of a context go: an upper bound of its tokens is that of its rarest word."""
         least = np.full(len(words[0]), self.shards, np.int64)
         for w in words:
-            own = np.ones(len(w), np.int64)
-            if len(self.heavy):
-                at = np.minimum(np.searchsorted(self.heavy, w), len(self.heavy) - 1)
-                own = np.where(self.heavy[at] == w, self.ways[at], 1)
-            least = np.minimum(least, own)
+            least = np.minimum(least, self.ways[np.minimum(w, len(self.ways) - 1)])
         return least
 
     def shard_of(self, context: list[np.ndarray], word: np.ndarray) -> np.ndarray:
@@ -192,9 +198,10 @@ def put_numbers(table: pa.Table, shards: int) -> pa.Table:
 
 
 class Block:
-    """A block's distinct n-grams of orders 1 to ``order``, and where they go. Order 1 is its words."""
+    """A block's distinct n-grams of orders 1 to ``upto``, all that there are unless it is given, and where they go. Order 1
+    is its words."""
 
-    def __init__(self, parts: list[bytes], order: int, deal: Deal):
+    def __init__(self, parts: list[bytes], order: int, deal: Deal, upto: int | None = None):
         self.ids, self.held, lengths = pickle.loads(parts[0])
         self.lengths = np.array(lengths, np.int64)
         tokens, self.train_words = _unzip(parts[1], np.int32).astype(np.int64), _unzip(parts[3])
@@ -206,12 +213,14 @@ class Block:
         self.words: list[list[np.ndarray]] = [[], [words]]
         #: by order: which n-gram ends at each token; of each n-gram its context and, one order below, its suffix
         self.at, self.context, self.suffix = [None, tokens], [None, None], [None, None]
-        for k in range(2, order + 1):
+        for k in range(2, (upto or order) + 1):
             before = np.empty(len(tokens), np.int64)
             before[1:] = self.at[-1][:-1]
             before[first] = len(self.words[-1][0]) - 1
-            gram, place, at = np.unique(before * v + tokens, return_index=True, return_inverse=True)
-            context, target, suffix = gram // v, gram % v, self.at[-1][place]
+            order_of, starts, gram = _distinct(before * v + tokens)
+            at = np.empty(len(tokens), np.int64)
+            at[order_of] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(tokens))))
+            context, target, suffix = gram // v, gram % v, self.at[-1][order_of[starts]]
             if k < order:
                 context, target, suffix = np.append(context, len(self.words[-1][0]) - 1), np.append(target, v - 1), np.append(suffix, len(self.words[-1][0]) - 1)
             self.words.append([*(w[context] for w in self.words[-1]), words[target]])
@@ -269,56 +278,65 @@ class Mapped:
 
 
 def _sums(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, where each stands first, and the sums of the values, a row for each of their rows."""
-    flat = np.concatenate([np.zeros(0, np.uint64), *keys])
-    unique, at, of = np.unique(flat, return_index=True, return_inverse=True)
-    rows = np.concatenate([np.zeros((values[0].shape[0] if values else 1, 0)), *values], axis=1)
-    return unique, at, np.stack([np.bincount(of, r, len(unique)) for r in rows]).astype(np.int64)
+    """Distinct keys, a place where each stands, and the sums of the values, a row for each of their rows."""
+    order, starts, unique = _distinct(np.concatenate([np.zeros(0, np.uint64), *keys]))
+    rows = np.concatenate([np.zeros((values[0].shape[0] if values else 1, 0), np.int64), *values], axis=1)
+    sums = np.stack([np.add.reduceat(r[order], starts) for r in rows]) if len(starts) else rows
+    return unique, order[starts], sums.astype(np.int64)
 
 
 def sum_grams(table: pa.Table, k: int, order: int, deal: Deal) -> pa.Table:
     """A shard of n-grams of order k, at least 2: builds its part of the model, answers the blocks, tells the order below."""
     rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["block"]))
     shard = rows[0]["shard"]
-    asks, grams = [], []
+    asks, keys, words, counts, places = [], [], [], [], []
+    contexts: list[list[np.ndarray]] = [[] for _ in range(k - 1)]  # a row for each context that counts are told of
+    context_keys, n_contexts = [], 0
     for r in rows:
         if r["kind"] == SPLIT:
             continue
         if r["kind"] == FOLLOW:
-            n, word, *context = map(_unzip, r["parts"])
-            grams.append((context, word, n))
-            continue
-        runs, word, *context = map(_unzip, r["parts"])
-        n = context.pop() if k == order else None
-        asks.append((r["block"], context, runs, word))
+            n, word, *own = map(_unzip, r["parts"])
+            runs = np.ones(len(word), np.int64)
+        else:
+            runs, word, *own = map(_unzip, r["parts"])
+            n = own.pop() if k == order else None
+        own_keys, of = _key(own), np.repeat(np.arange(len(runs)), runs)
+        gram_keys = _mix(own_keys[of], word)
+        if r["kind"] == ASK:
+            split = deal.ways_of([*(w[of] for w in own), word]) > 1 if k < order else None
+            asks.append((r["block"], own_keys, gram_keys, split))
         if n is not None:
             some = np.flatnonzero(n)
-            of = np.repeat(np.arange(len(runs)), runs)[some]
-            grams.append(([c[of] for c in context], word[some], n[some]))
-    unique, at, total = _sums([_mix(_key(c), w) for c, w, _ in grams], [n[None] for *_, n in grams])
-    total = total[0]
-    none = np.zeros(0, np.int64)
-    context = [np.concatenate([none, *(c[i] for c, _, _ in grams)])[at] for i in range(k - 1)]
-    word = np.concatenate([none, *(w for _, w, _ in grams)])[at]
-    del grams
-    keys = _key(context)
-    held, first, sums = _sums([keys], [np.stack([total, total == 1, total == 2, total >= 3])])
+            keys.append(gram_keys[some])
+            words.append(word[some])
+            counts.append(n[some][None])
+            places.append(n_contexts + of[some])
+            context_keys.append(own_keys)
+            for held, w in zip(contexts, own, strict=True):
+                held.append(w)
+            n_contexts += len(runs)
+    unique, at, total = _sums(keys, counts)
+    total, none = total[0], np.zeros(0, np.int64)
+    place = np.concatenate([none, *places])[at]
+    context = [np.concatenate([none, *held])[place] for held in contexts]
+    word = np.concatenate([none, *words])[at]
+    keys = np.concatenate([np.zeros(0, np.uint64), *context_keys])[place]
+    del words, counts, places, contexts, context_keys
+    held, first, sums = _sums([keys], [np.stack([total, total == 1, total == 2, total >= 3]).astype(np.int64)])
     out = [(-1, k, TOTALS, shard, None, [int((total == x).sum()) for x in (1, 2, 3, 4)])]
     split = [(_unzip(r["parts"][0]).reshape(4, -1), [_unzip(p) for p in r["parts"][1:]]) for r in rows if r["kind"] == SPLIT]
     split_keys, _, split_sums = _sums([_mix(_key(c[:-1]), c[-1]) for _, c in split], [s for s, _ in split]) if split else (np.zeros(0, np.uint64), none, np.zeros((4, 0), np.int64))
     with tempfile.TemporaryDirectory() as folder:  # this shard's part of the model
         of_gram, of_context, of_split = Mapped(folder, "grams", unique, [total]), Mapped(folder, "contexts", held, list(sums)), Mapped(folder, "split", split_keys, list(split_sums))
-        for block, own, runs, asked in asks:
-            own_keys = _key(own)
-            gram_keys = _mix(np.repeat(own_keys, runs), asked)
+        for block, own_keys, gram_keys, is_split in asks:
             parts = [_zip(of_gram(gram_keys)[0]), _zip(np.concatenate(of_context(own_keys)))]
             if k < order:
-                ways = deal.ways_of([*(np.repeat(w, runs) for w in own), asked])
-                parts.append(_zip(np.concatenate(of_split(gram_keys[ways > 1]))))
+                parts.append(_zip(np.concatenate(of_split(gram_keys[is_split]))))
             out.append((block, k, ANSWER, shard, parts, None))
         del of_gram, of_context, of_split
     # after how many different words the n-grams of the order below stand
-    below, first_at, n = _sums([_mix(_key(context[1:]), word) if k > 2 else word.astype(np.uint64)], [np.ones((1, len(word)))])
+    below, first_at, n = _sums([_mix(_key(context[1:]), word) if k > 2 else word.astype(np.uint64)], [np.ones((1, len(word)), np.int64)])
     lower = [*(c[first_at] for c in context[1:]), word[first_at]]
     for to, own in _by_shard(deal.shard_of(lower[:-1], lower[-1])):
         out.append((-1 - shard, k - 1, FOLLOW, to, [_zip(n[0][own]), _zip(lower[-1][own]), *(_zip(c[own]) for c in lower[:-1])], None))
@@ -408,7 +426,7 @@ def _each(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
                 yield from _table([made]).to_batches()
 
 
-def score_documents(docs: DataFrame, folds: int = 10, order: int = 3, tokens: int = 1_500_000) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, order: int = 3, tokens: int = 1_250_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(doc_id) mod ``folds`` isn't 0 and scores all. Words are parted by ASCII white space,
@@ -420,6 +438,11 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = 3, tokens: in
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "kneser-ney")
+
+    def totals_of(table: DataFrame, n: int) -> list[int]:
+        row = table.where(F.col("kind") == TOTALS).agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(n))).first()
+        return [x or 0 for x in row]
+
     coded = scratch.store(code_documents(docs, folds, tokens))
     total = coded.agg(F.sum("n")).first()[0] or 0
     shards = max(1, -(-total // tokens))
@@ -433,25 +456,22 @@ def score_documents(docs: DataFrame, folds: int = 10, order: int = 3, tokens: in
     n_docs = docs.count()
     heavy += [(START, n_docs)] if n_docs > tokens // 2 else []
     ways = [min(shards, -(-2 * n // tokens)) for _, n in heavy]
+    totals, levels = {0: totals_of(numbers, 2)}, []
+    scratch.keep(blocks)
     deal = spark.sparkContext.broadcast(Deal(shards, np.array([w for w, _ in heavy], np.int64), np.array(ways, np.int64)))
 
-    def totals_of(table: DataFrame, n: int) -> list[int]:
-        row = table.where(F.col("kind") == TOTALS).agg(*(F.sum(F.get("totals", F.lit(i))) for i in range(n))).first()
-        return [x or 0 for x in row]
-
     def asks(k: int):
-        return lambda batches: _each(batches, lambda r: Block(r["parts"], order, deal.value).asks(r["block"], k))
+        return lambda batches: _each(batches, lambda r: Block(r["parts"], order, deal.value, k).asks(r["block"], k))
 
     def sums(k: int):
         return (lambda t: sum_grams(t, k, order, deal.value)) if k > 1 else (lambda t: sum_words(t, deal.value))
 
-    totals, levels = {0: totals_of(numbers, 2)}, []
     for k in range(order, 0, -1):
         asked = blocks.mapInArrow(asks(k), ROWS)
         rows = asked.unionByName(levels[-1].where(F.col("kind").isin(FOLLOW, SPLIT))) if levels else asked
         levels.append(scratch.store(rows.groupBy("shard").applyInArrow(sums(k), ROWS), "kind"))
         totals[k] = totals_of(levels[-1], 4 if k > 1 else 6)
-    scratch.keep(blocks, *levels)
+        scratch.keep(blocks, *levels)
     heads = blocks.select("block", F.lit(0).alias("level"), F.lit(DOCS).alias("kind"), F.lit(-1).cast("long").alias("shard"), "parts", F.lit(None).cast("array<bigint>").alias("totals"))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     for table in levels:
