@@ -162,7 +162,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, fold
 
     Learns quality from rows of ``labels`` (doc_id, quality) whose crc32(doc_id) mod ``folds`` isn't 0, at most
     ``sample`` of them, those with the smallest hash of the id; ids labelled twice count once, with the larger label, and
-    null labels don't count. Only the text's statistics enter a score. A null or empty text is scored by its zero
+    null labels don't count; of texts with one id the first in order is learnt from. Only the text's statistics enter a score. A null or empty text is scored by its zero
     statistics; without labels every score is 0.5. An empty table gives an empty result; other columns are ignored.
     ``carry`` adds ``doc``, a struct of the row.
     """
@@ -177,7 +177,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, fold
     marked = labels.where(F.col("quality").isin(0, 1) & (crc_mod(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max("quality").alias("label"))
     order = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id")]
     chosen = scratch.store(marked.orderBy(*order).limit(sample))  # at most ``sample`` rows
-    wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    wanted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     rows = wanted.select("doc_id", "label", *(c.cast("double").alias(n) for n, c in stats.items())).toPandas().sort_values("doc_id")
     model = train({n: rows[n].to_numpy(float) for n in stats}, rows["label"].to_numpy(float)) if len(rows) else RuleModel(0.0)
     score = model.column()
@@ -187,5 +187,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, fold
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, with their columns."""
+    """The rows of ``docs`` that aren't rejected, with their columns, whatever their names. Rows that repeat, or share an id,
+    stay or go each by its own text; a null or empty text is judged by its zero statistics; without labels all stay; an
+    empty table gives an empty result."""
     return score_quality(docs, labels, carry=True, **options).where("predicted = 1").select("doc.*")

@@ -118,14 +118,14 @@ def top_k(
 
     Both have vec_id and embedding. Ties go to the smaller vec_id; with fewer than k candidates all are returned. Only
     vectors of a query's own length have an inner product with it. Vectors that ``whole_vectors`` leaves out take no
-    part. Repeated rows are candidates each. Scores are longs; sums beyond 2**63 are not supported. Empty tables give an empty
+    part. Repeated rows are candidates each; of queries with one vec_id the largest vector asks. Scores are longs; sums beyond 2**63 are not supported. Empty tables give an empty
     result, and other columns are ignored. A task holds ``block`` queries and ``block * bins`` counts, whatever the
     tables' sizes; ``slack`` is how many rows beyond k a query may bring to the last step.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     table = scratch.store(whole_vectors(vectors, scale))
-    asked = whole_vectors(queries, scale).dropDuplicates(["vec_id"])
+    asked = whole_vectors(queries, scale).groupBy("vec_id").agg(F.max("v").alias("v"))
     ranged = scratch.store(asked.repartitionByRange("vec_id"))
     found, last = [], None
     while True:
