@@ -25,7 +25,7 @@ from quarry.operators import tree as T
 from quarry.operators import vectors as V
 from quarry.operators.chunking import Handler, chunk_files
 from quarry.schemas import KEYS, SCHEMAS
-from quarry.sources.listing import list_files
+from quarry.sources.listing import walk_files
 
 
 def unescaped(value: Any) -> Any:
@@ -191,11 +191,13 @@ class Engine:
         return marked + old
 
     def _listing(self, project: str, folder: str) -> DataFrame | None:
-        """project_id, file_path of what the folder holds and isn't ignored; nothing if there is no such folder."""
+        """project_id, file_path of what the folder holds and isn't ignored; nothing if there is no such folder. Ignored
+        folders aren't entered."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return None
-        found = list_files(self.spark, folder).where(~T.is_ignored(F.col("file_path")))
+        pruned = tuple(p for p in T.IGNORED_PATTERNS if p.endswith("/") and "/" not in p[:-1])
+        found = walk_files(self.spark, folder, pruned).where(~T.is_ignored(F.col("file_path")))
         return found.select(F.lit(project).alias("project_id"), "file_path")
 
     def check_codebase_size(self, projectName: str, folderPath: str, tokenLimit: int | None = None) -> dict:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import base_name, suffix
+from quarry.functions.text import base_name, language, suffix
 
 CHUNK = "array<struct<start_line:int,end_line:int,content:string>>"
 
@@ -327,6 +327,15 @@ def chunk_files(files: DataFrame, handlers: dict[str, Handler] | None = None) ->
     return read.mapInArrow(work, CHUNK_ROWS)
 
 
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """Per language: files, chunks, redacted ones, and how many were joined, split or given their file's imports."""
+    how = lambda *kinds: F.count(F.when(F.col("how").isin(*kinds), 1))
+    return chunks.groupBy(language(F.col("file_path")).alias("language")).agg(
+        F.countDistinct("id").alias("files"), F.count("*").alias("chunks"), F.count(F.when(F.col("redacted"), 1)).alias("redacted"), how("combined").alias("joined"),
+        how("split", "split_size", "split_lines").alias("split"), how("context_enriched").alias("enriched"),
+    )
+
+
 def redact_files(files: DataFrame) -> DataFrame:
     """id, redacted, redactions, names, high_confidence: whole files, masked."""
 

@@ -68,8 +68,7 @@ def ag9_pattern_summary(spark, sf):
 
 @query()
 def ag10_chunk_stats(spark, sf):
-    chunks = K.chunk_files(A.files(spark, sf)).withColumn("language", X.language(F.col("file_path")))
-    return chunks.groupBy("language").agg(F.countDistinct("id").alias("files"), F.count("*").alias("chunks"), F.count(F.when(F.col("redacted"), 1)).alias("redacted"))
+    return K.chunk_stats(K.chunk_files(A.files(spark, sf)))
 
 
 @query(f"""WITH {A.FILES} SELECT id, NOT (regexp_matches(file_path, '\\.(md|txt)$') OR regexp_matches(string_split(file_path, '/')[-1], 'test|spec|mock')) AS redacts FROM files""")

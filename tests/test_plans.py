@@ -104,6 +104,7 @@ def test_chunks_of_all_files(spark, sf_dir):
     stats = plans.QUERIES["ag10_chunk_stats"](spark, sf_dir).collect()
     assert sum(r.chunks for r in stats) == len(whole) and sum(r.files for r in stats) == len(parts)
     assert sum(r.redacted for r in stats) == sum(r.redacted for r in whole)
+    assert sum(r.joined for r in stats) == sum(r.how == "combined" for r in whole) and sum(r.split for r in stats) == sum(r.how.startswith("split") for r in whole)
 
 
 def test_similar_code_among_all_files(spark, sf_dir):
