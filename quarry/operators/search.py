@@ -35,12 +35,13 @@ def query_phrases(query: str) -> list[list[str]]:
 def indexed(files: DataFrame) -> DataFrame:
     """id, project_id, file_path, to_be_cleaned, pad, d: of each file the tokens of its columns, each between blanks, with
     a line's end between columns so that no phrase spans two; and how many they are."""
-    pads = [F.when(F.trim(p) == "", F.lit(" ")).otherwise(p) for p in (padded_tokens(F.col(c)) for c in COLUMNS)]
+    pads = [padded_tokens(F.col(c)) for c in COLUMNS]
     folded = files.select("id", "project_id", "file_path", "to_be_cleaned", F.concat_ws("\n", *pads).alias("_pad"))
     # through a generator no expression is copied: a text is folded once, however often it is looked at
     once = folded.select("id", "project_id", "file_path", "to_be_cleaned", F.explode(F.array("_pad")).alias("pad"))
-    blanks = F.char_length("pad") - F.char_length(F.replace("pad", F.lit(" "), F.lit("")))
-    return once.withColumn("d", blanks - len(COLUMNS))
+    count = lambda blanks: F.octet_length("pad") - F.octet_length(F.replace("pad", F.lit(blanks), F.lit("")))
+    # a column of n tokens has n + 1 blanks, one without tokens has two in a row
+    return once.withColumn("d", (count(" ") - len(COLUMNS) - count("  ") / 2).cast("int"))
 
 
 def _occurrences(phrase: list[str]) -> Column:
