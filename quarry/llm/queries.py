@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, kneser_ney, language, licenses, mixing, pii, quality, simhash, topk
+from quarry.llm import align, bpe, exact_dedup, kneser_ney, language, licenses, mixing, pii, quality, ranked, simhash, topk, vector_dedup
 
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+VOCABULARY, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,18 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(_table(spark, sf_dir, "documents")).withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
+def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_tokens(_table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_source_mix": op2_source_mix,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
     "op10_kneser_ney": op10_kneser_ney,
+    "op11_token_links": op11_token_links,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +93,6 @@ ORACLES: dict[str, str] = {
     "op7_topk": topk.ORACLE,
     "op8_licenses": licenses.ORACLE,
     "op10_kneser_ney": kneser_ney.ORACLE,
+    "op12_ranked_search": ranked.ORACLE,
+    "op13_near_vectors": vector_dedup.ORACLE,
 }
