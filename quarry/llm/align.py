@@ -1,14 +1,15 @@
 """Alignment of the tokens of two tokenizers, relationally.
 
-No token of either tokenizer reaches over the space between two words. So a text is cut before each such space, and what
-lies between is encoded once for all places where a block of texts holds it: a block is what one task reads, up to a number
-of characters. Blocks give two kinds of rows: texts as lists of numbers, and under each number the tokens of both
-tokenizers. The numbers' tokens are aligned as relations: positions are exploded, their lengths are summed over windows to
-byte offsets, an equality join on the offset finds where both end, running counts of these cuts number the groups, and a
-join on the group gives the links. Each number's share of a text's result then adds up along the text.
-
-The texts that hold a pair of ids are counted in each block and summed over blocks. Blocks don't move as texts: what is
-shuffled is lists of numbers and a block's distinct tokens.
+No token of either tokenizer reaches over the space between two words. So a text is cut before each such space, and a
+block of texts, what one task reads up to a number of characters, encodes each distinct word once. How the tokens of a
+word line up depends on their byte lengths alone: words with the same lengths have one shape. The corpus has far fewer
+shapes than words, and these are aligned as relations: lengths are exploded with their positions, summed over windows to
+byte offsets, an equality join on shape and offset finds where both tokenizers end, running counts of these cuts number
+the groups, and a join on the group says how many tokens of each side it links.
+
+A block then reads its words' groups off their shapes: links are pairs of ids with their times, texts that hold a pair are
+counted in each block and summed over blocks, and a text's results are sums over its words. What is shuffled is a block's
+numbers, in as few bytes as they need, not texts, tokens or links.
 """
 
 from __future__ import annotations
@@ -16,53 +17,79 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import Bpe
-from quarry.llm.storage import Scratch
+from quarry.llm.kneser_ney import _unzip, _zip
+from quarry.llm.storage import Scratch, forget_plans
 
 #: A text after a space, cut before spaces that follow something else than white space and the sign that stands for a space.
 SPACE = "▁"
 WORD = re.compile(rf" +[^ ]*(?:(?<=[\s{SPACE}]) +[^ ]*)*")
 
-CODED = "block long, row int, doc_id long, words array<int>, word int, a array<int>, a_len array<int>, b array<int>, b_len array<int>"
+#: Rows of a block: texts (ids; words, words a text), words (ids of A and B, how many, shapes), shapes (byte lengths).
+CODED = "block long, kind int, number int, ids array<long>, data array<binary>, a_len array<int>, b_len array<int>"
+TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+TEXTS, WORDS, SHAPES = range(3)
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+def _parts(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs, empty ones included."""
+    return np.diff(np.append(0, values.cumsum())[np.append(0, sizes.cumsum())])
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts``, one run after the other."""
+    ends = sizes.cumsum()
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Pair:
-    """Both tokenizers, with the words that they have seen: (ids, byte lengths) by A and by B, or none where their bytes
-    aren't those of the word. A worker that remembers more than ``cache`` words forgets them."""
-
-    def __init__(self, path_a: str, path_b: str, cache: int = 200_000):
-        self.a, self.b, self.cache = Bpe(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b), cache
-        piece = self.b.id_to_piece
-        self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace(SPACE, " ").encode() for i in range(self.b.vocab_size())]
-        if any(SPACE in piece(i).lstrip(SPACE) for i in range(self.b.vocab_size())):
+    """Both tokenizers."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = Bpe(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        piece, size = self.b.id_to_piece, self.b.vocab_size()
+        if any(SPACE in piece(i).lstrip(SPACE) for i in range(size)):
             raise ValueError("a piece of this vocabulary reaches over a space between words")
+        self.len_a = np.zeros(1 + max(self.a.bytes_of), np.int64)
+        for i, raw in self.a.bytes_of.items():
+            self.len_a[i] = len(raw)
+        self.len_b = np.array([1 if self.b.is_byte(i) else len(piece(i).replace(SPACE, " ").encode()) for i in range(size)], np.int64)
         self.space = self.b.piece_to_id(SPACE)
-        self.known: dict[str, tuple | None] = {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.cache:
-            self.known = {}
-        fresh = [w for w in words if w not in self.known]
-        pieces = [self.a.pieces(w) for w in fresh]
-        distinct = list(dict.fromkeys(p for own in pieces for p in own))
-        ids_of = dict(zip(distinct, self.a.encode_pieces(distinct), strict=True))
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A, how many each word has, and the same of B. A word whose bytes B doesn't give back has none of either:
+        A's always are, and B's are as many as the word's unless it holds the sign that stands for a space."""
+        pieces = list(map(self.a.pieces, words))
+        number: dict[str, int] = {}
+        flat = np.array([number.setdefault(p, len(number)) for own in pieces for p in own], np.int64)
+        per_word = np.fromiter(map(len, pieces), np.int64, len(words))
+        ids = self.a.encode_pieces(number)
+        per_piece = np.fromiter(map(len, ids), np.int64, len(ids))
+        coded = np.fromiter(chain.from_iterable(ids), np.int64, int(per_piece.sum()))
+        a = coded[_places((per_piece.cumsum() - per_piece)[flat], per_piece[flat])]
+        a_n = _parts(per_piece[flat], per_word)
         # B puts a space ahead by itself, but has no ids for an empty text
-        for word, own, b in zip(fresh, pieces, self.b.encode([w[1:] for w in fresh], num_threads=1), strict=True):
-            a = [i for p in own for i in ids_of[p]]
-            b = b if len(word) > 1 else [self.space]
-            raw_a, raw_b = [self.a.bytes_of[i] for i in a], [self.bytes_b[i] for i in b]
-            sound = b"".join(raw_a) == b"".join(raw_b) == word.encode()
-            self.known[word] = (a, list(map(len, raw_a)), b, list(map(len, raw_b))) if sound else None
+        lists = [own if len(w) > 1 else [self.space] for w, own in zip(words, self.b.encode([w[1:] for w in words], num_threads=1), strict=True)]
+        b_n = np.fromiter(map(len, lists), np.int64, len(lists))
+        b = np.fromiter(chain.from_iterable(lists), np.int64, int(b_n.sum()))
+        sizes = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        sound = (_parts(self.len_a[a], a_n) == sizes) & (_parts(self.len_b[b], b_n) == sizes)
+        if not sound.all():
+            a, b = a[np.repeat(sound, a_n)], b[np.repeat(sound, b_n)]
+            a_n, b_n = np.where(sound, a_n, 0), np.where(sound, b_n, 0)
+        return a, a_n, b, b_n
 
 
 _PAIRS: dict[tuple[str, str], Pair] = {}
@@ -74,136 +101,180 @@ def _pair(path_a: str, path_b: str) -> Pair:
     return _PAIRS[path_a, path_b]
 
 
-def _lists(values: list, ends: list[int]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-
-
-def _coded(pair: Pair, block: int, ids: list, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-    """A block's rows: of texts, then of words."""
-    number: dict[str, int] = {}
-    own = [WORD.findall(" " + t) if t else [] for t in texts]
-    for words in own:
-        for w in words:
-            if w not in number:
-                number[w] = len(number)
-    pair.learn(list(number))
-    known = [pair.known[w] for w in number]
-    bad = {k for k, x in enumerate(known) if x is None}
-    coded = [list(map(number.__getitem__, words)) for words in own]
-    if bad:  # a text with a word whose bytes differ has no tokens
-        coded = [[] if bad.intersection(c) else c for c in coded]
-    names = [f.split()[0] for f in CODED.split(", ")]
-    for k in range(0, len(ids), 2048):
-        part = coded[k : k + 2048]
-        ends = np.append(0, np.cumsum([len(c) for c in part])).tolist()
-        n = len(part)
-        nothing = [pa.nulls(n, t) for t in (pa.int32(), *[pa.list_(pa.int32())] * 4)]
-        columns = [pa.array([block] * n, pa.int64()), pa.array(range(k, k + n), pa.int32()), pa.array(ids[k : k + n], pa.int64()), _lists([x for c in part for x in c], ends), *nothing]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
-    kept = [(k, x) for k, x in enumerate(known) if x is not None]
-    for k in range(0, len(kept), 8192):
-        part = kept[k : k + 8192]
-        n = len(part)
-        lists = []
-        for j in range(4):
-            ends = np.append(0, np.cumsum([len(x[j]) for _, x in part])).tolist()
-            lists.append(_lists([v for _, x in part for v in x[j]], ends))
-        columns = [pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32())), pa.array([w for w, _ in part], pa.int32()), *lists]
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], names=[f.split()[0] for f in CODED.split(", ")])
+
+
+class Coder:
+    """Gathers the texts of a block."""
+
+    def __init__(self, pair: Pair, block: int):
+        self.pair, self.block = pair, block
+        self.number: dict[str, int] = {}
+        self.ids: list[int | None] = []
+        self.words: list[np.ndarray] = []
+        self.chars = 0
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        number = self.number
+        own = [number.setdefault(w, len(number)) for w in WORD.findall(" " + text)] if text else []
+        self.ids.append(doc_id)
+        self.words.append(np.array(own, np.int32))
+        self.chars += len(text or "")
+
+    def rows(self, texts: int = 4096, words: int = 65_536) -> Iterator[pa.RecordBatch]:
+        names, sound, shapes = list(self.number), [], {}
+        self.number = {}
+        for k in range(0, len(names), words):
+            a, a_n, b, b_n = self.pair.encode(names[k : k + words])
+            sound.append(a_n > 0)
+            cut = lambda ids, n, lengths: (lengths[ids].astype(np.uint16).tobytes(), (2 * np.append(0, n.cumsum())).tolist())
+            (raw_a, at_a), (raw_b, at_b) = cut(a, a_n, self.pair.len_a), cut(b, b_n, self.pair.len_b)
+            keys = zip(pairwise(at_a), pairwise(at_b), strict=True)
+            shape = np.array([shapes.setdefault((raw_a[s:e], raw_b[u:v]), len(shapes)) for (s, e), (u, v) in keys], np.int64)
+            yield _rows([(self.block, WORDS, k, None, list(map(_zip, (a, a_n, b, b_n, shape))), None, None)])
+        good = np.concatenate(sound) if sound else np.zeros(0, bool)
+        lengths = lambda raw: np.frombuffer(raw, np.uint16).tolist()
+        listed = [(self.block, SHAPES, k, None, None, lengths(a), lengths(b)) for k, (a, b) in enumerate(shapes) if a]
+        for k in range(0, len(listed), 10_000):
+            yield _rows(listed[k : k + 10_000])
+        for k in range(0, len(self.ids), texts):
+            own = [w if good[w].all() else w[:0] for w in self.words[k : k + texts]]  # a text with a word whose bytes differ has no tokens
+            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            yield _rows([(self.block, TEXTS, k, self.ids[k : k + texts], [_zip(np.concatenate(own)), _zip(sizes)], None, None)])
 
 
 def code_texts(docs: DataFrame, path_a: str, path_b: str, chars: int) -> DataFrame:
-    """CODED: a row for each text, with its words' numbers, and one for each word of a block, with its tokens."""
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, block = _pair(path_a, path_b), TaskContext.get().partitionId() << 32
-        ids, texts, held = [], [], 0
+        first = TaskContext.get().partitionId() << 32
+        coder = Coder(_pair(path_a, path_b), first)
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(i)
-                texts.append(t.as_py())
-                held += len(texts[-1] or "")
-                if held >= chars:
-                    yield from _coded(pair, block, ids, texts)
-                    ids, texts, held, block = [], [], 0, block + 1
-        if ids:
-            yield from _coded(pair, block, ids, texts)
+                coder.add(i, t.as_py())
+                if coder.chars >= chars:
+                    yield from coder.rows()
+                    coder = Coder(coder.pair, coder.block + 1)
+        if coder.ids:
+            yield from coder.rows()
 
     return docs.select("doc_id", "text").mapInArrow(work, CODED)
 
 
-def aligned(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of words (block, word, a, a_len, b, b_len): the groups (block, word, g, a_ids, b_ids) and the links between
-    ids (block, word, a, b, times), of which an id that a group holds twice counts twice."""
-    by_word = Window.partitionBy("block", "word").orderBy("pos")
-    upto, before = by_word.rowsBetween(Window.unboundedPreceding, 0), by_word.rowsBetween(Window.unboundedPreceding, -1)
-
-    def tokens(ids: str, lengths: str) -> DataFrame:
-        exploded = words.select("block", "word", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(lengths).alias("len"))).alias("pos", "t"))
-        return exploded.select("block", "word", "pos", "t.id", F.sum("t.len").over(upto).alias("end"))
-
-    def grouped(own: DataFrame, other: DataFrame) -> DataFrame:
-        cut = own.join(other.select("block", "word", "end", F.lit(1).alias("cut")), ["block", "word", "end"], "left")
-        return cut.select("block", "word", "pos", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("g"))
-
-    a, b = tokens("a", "a_len"), tokens("b", "b_len")
-    own_a, own_b = grouped(a, b), grouped(b, a)
-    key = ["block", "word", "g"]
-
-    def ids(rows: DataFrame, name: str) -> DataFrame:
-        in_order = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda t: t["id"])
-        return rows.groupBy(key).agg(in_order.alias(name))
-
-    groups = ids(own_a, "a_ids").join(ids(own_b, "b_ids"), key)
-
-    def distinct(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*key, F.col("id").alias(name)).agg(F.count("*").alias(f"n_{name}"))
-
-    links = distinct(own_a, "a").join(distinct(own_b, "b"), key)
-    return groups, links.groupBy("block", "word", "a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("times"))
-
-
-def _texts_of_pairs(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-    """For a block: how many of its texts hold each pair of ids. pairs: word, a, b."""
-    if not texts.num_rows or not pairs.num_rows:
-        return pa.table({"a": pa.array([], pa.int32()), "b": pa.array([], pa.int32()), "held": pa.array([], pa.int64())})
-    word, a, b = (pairs[c].to_numpy().astype(np.int64) for c in ("word", "a", "b"))
-    names, pair = np.unique(a << 32 | b, return_inverse=True)
-    order = np.argsort(word, kind="stable")
-    pair, at = pair[order], np.searchsorted(word[order], np.arange(word.max() + 2))
-    held = np.zeros(len(names), np.int64)
-    for chunk in texts["words"].chunks:
-        ends, flat = chunk.offsets.to_numpy(), chunk.values.to_numpy()
-        for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            own = np.unique(flat[s:e])
-            sizes = at[own + 1] - at[own]
-            stops = sizes.cumsum()
-            if len(own):
-                held[np.unique(pair[np.repeat(at[own] - (stops - sizes), sizes) + np.arange(stops[-1])])] += 1
-    return pa.table({"a": pa.array(names >> 32, pa.int32()), "b": pa.array(names & 0xFFFFFFFF, pa.int32()), "held": held})
-
-
-def _summed(texts: pa.Table, words: pa.Table) -> pa.Table:
-    """For a block: the result's rows. words: word, shown, and the sums of each."""
-    size = 1 + int(max(words["word"].to_numpy(), default=-1))
-    at, shown, sums = words["word"].to_numpy(), [""] * size, np.zeros((len(SUMS), size), np.int64)
-    for w, s in zip(at.tolist(), words["shown"].to_pylist(), strict=True):
-        shown[w] = s
-    for k, c in enumerate(SUMS):
-        sums[k, at] = words[c].to_numpy()
-    out, digests = [], []
-    for own in texts["words"].to_pylist():
-        out.append(sums[:, own].sum(axis=1) if own else np.zeros(len(SUMS), np.int64))
-        digests.append(hashlib.sha256(";".join(map(shown.__getitem__, own)).encode()).hexdigest() if own else "")
-    totals = np.stack(out, axis=1) if out else np.zeros((len(SUMS), 0), np.int64)
-    return pa.table({"doc_id": texts["doc_id"], **{c: totals[k] for k, c in enumerate(SUMS)}, "groups_sha256": pa.array(digests, pa.string())})
-
-
-def _by_block(left: DataFrame, right: DataFrame, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def aligned(shapes: DataFrame) -> DataFrame:
+    """Of shapes (shape, a_len, b_len): shape and its groups in order, each with how many tokens A and B have in it."""
+    by_shape = Window.partitionBy("shape").orderBy("pos")
+    upto, before = by_shape.rowsBetween(Window.unboundedPreceding, 0), by_shape.rowsBetween(Window.unboundedPreceding, -1)
+
+    def tokens(lengths: str) -> DataFrame:
+        exploded = shapes.select("shape", F.posexplode(lengths).alias("pos", "len"))
+        return exploded.select("shape", "pos", F.sum("len").over(upto).alias("end"))
+
+    a, b = tokens("a_len"), tokens("b_len")
+    cuts = a.select("shape", "end").join(b.select("shape", "end"), ["shape", "end"]).withColumn("cut", F.lit(1))
+
+    def sizes(own: DataFrame, name: str) -> DataFrame:
+        marked = own.join(cuts, ["shape", "end"], "left")
+        grouped = marked.select("shape", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("g"))
+        return grouped.groupBy("shape", "g").agg(F.count("*").alias(name))
+
+    linked = sizes(a, "a").join(sizes(b, "b"), ["shape", "g"])
+    in_order = linked.groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
+    return in_order.select("shape", F.col("groups.a").alias("groups_a"), F.col("groups.b").alias("groups_b"))
+
+
+class Block:
+    """A block's texts and words, with the groups of their shapes."""
+
+    def __init__(self, coded: pa.Table, shapes: pa.Table):
+        rows = sorted(coded.select(["kind", "number", "ids", "data"]).to_pylist(), key=lambda r: (r["kind"], r["number"]))
+        texts, words = [r for r in rows if r["kind"] == TEXTS], [r for r in rows if r["kind"] == WORDS]
+        join = lambda rows, k: np.concatenate([_unzip(r["data"][k]) for r in rows]) if rows else np.zeros(0, np.int64)
+        self.ids = [i for r in texts for i in r["ids"]]
+        self.words, self.sizes = join(texts, 0), join(texts, 1)
+        self.a, self.a_n, self.b, self.b_n, shape = (join(words, k) for k in range(5))
+        number = shapes["number"].combine_chunks().to_numpy() if shapes.num_rows else np.zeros(0, np.int64)
+        lists = [shapes[c].combine_chunks() for c in ("groups_a", "groups_b")] if shapes.num_rows else []
+        flat = [x.flatten().to_numpy().astype(np.int64) for x in lists] or [np.zeros(0, np.int64)] * 2
+        size, start = np.zeros(1 + int(max(shape.max(initial=0), number.max(initial=0))), np.int64), None
+        counts = np.diff(lists[0].offsets.to_numpy()).astype(np.int64) if lists else number
+        size[number] = counts
+        start = np.zeros_like(size)
+        start[number] = counts.cumsum() - counts
+        #: of each word its groups, and of each group its word and its tokens
+        self.groups = size[shape]
+        at = _places(start[shape], self.groups)
+        self.word, self.of_a, self.of_b = np.repeat(np.arange(len(shape)), self.groups), flat[0][at], flat[1][at]
+
+    def links(self, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, pair of ids as one number, times). Of a group of over ``most`` links each pair of ids is there once."""
+        start_a, start_b = self.of_a.cumsum() - self.of_a, self.of_b.cumsum() - self.of_b
+        number = self.of_a * self.of_b
+        own = np.flatnonzero(number <= most)
+        group, k = np.repeat(own, number[own]), _places(np.zeros(len(own), np.int64), number[own])
+        found = [(self.word[group], self.a[start_a[group] + k // self.of_b[group]] << 32 | self.b[start_b[group] + k % self.of_b[group]], np.ones(len(group), np.int64))]
+        for g in np.flatnonzero(number > most).tolist():
+            a, n_a = np.unique(self.a[start_a[g] : start_a[g] + self.of_a[g]], return_counts=True)
+            b, n_b = np.unique(self.b[start_b[g] : start_b[g] + self.of_b[g]], return_counts=True)
+            pairs = (a[:, None] << 32 | b[None, :]).ravel()
+            found.append((np.full(len(pairs), self.word[g]), pairs, (n_a[:, None] * n_b[None, :]).ravel()))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of ids, ascending, and how many of the texts hold each."""
+        word, key, _ = self.links()
+        names, pair = np.unique(key, return_inverse=True)
+        order = np.argsort(word, kind="stable")
+        pair, at = pair[order], np.searchsorted(word[order], np.arange(len(self.groups) + 1))
+        held = np.zeros(len(names), np.int64)
+        for s, e in pairwise(np.append(0, self.sizes.cumsum()).tolist()):
+            if e > s:
+                own = np.unique(self.words[s:e])
+                held[np.unique(pair[_places(at[own], at[own + 1] - at[own])])] += 1
+        return names, held
+
+    def shown(self) -> list[str]:
+        """Of each word its groups: ids of A, a bar, ids of B, parted by semicolons."""
+        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        out: list[list[str]] = [[] for _ in range(len(self.groups))]
+        x = y = 0
+        for w, n_a, n_b in zip(self.word.tolist(), self.of_a.tolist(), self.of_b.tolist(), strict=True):
+            out[w].append(f"{a[x]}|{b[y]}" if n_a == n_b == 1 else f"{','.join(a[x : x + n_a])}|{','.join(b[y : y + n_b])}")
+            x, y = x + n_a, y + n_b
+        return list(map(";".join, out))
+
+    def results(self, names: np.ndarray, count: np.ndarray, best: np.ndarray) -> pa.Table:
+        """The texts' rows. names: the pairs of ids, ascending, with how many texts of the corpus hold them and whether that
+        is the most of A's id."""
+        word, key, times = self.links()
+        pair, n = np.searchsorted(names, key), len(self.groups)
+        exact = lambda weights: np.bincount(word, weights, n).astype(np.int64)  # noqa: E731  sums below 2**53
+        per_word = (self.a_n, self.b_n, self.groups, exact(times), exact(times * best[pair]) if len(pair) else exact(times), exact(times * count[pair]) if len(pair) else exact(times))
+        shown = self.shown()
+        digests = [hashlib.sha256(";".join(map(shown.__getitem__, self.words[s:e].tolist())).encode()).hexdigest() if e > s else "" for s, e in pairwise(np.append(0, self.sizes.cumsum()).tolist())]
+        sums = {c: _parts(v[self.words], self.sizes) for c, v in zip(SUMS, per_word, strict=True)}
+        return pa.table({"doc_id": pa.array(self.ids, pa.int64()), **sums, "groups_sha256": pa.array(digests, pa.string())})
+
+
+def _count_texts(key: tuple, coded: pa.Table, shapes: pa.Table) -> pa.Table:
+    names, held = Block(coded, shapes).held()
+    return pa.table({"block": pa.array([key[0].as_py()] * len(names), pa.int64()), "a": pa.array(names >> 32, pa.int32()), "b": pa.array(names & 0xFFFFFFFF, pa.int32()), "held": held})
+
+
+def _sum_texts(key: tuple, coded: pa.Table, known: pa.Table) -> pa.Table:
+    """known: the block's shapes, which have a number, and its pairs of ids."""
+    shapes, pairs = known.filter(pc.is_valid(known["number"])), known.filter(pc.is_null(known["number"]))
+    names = pairs["a"].to_numpy().astype(np.int64) << 32 | pairs["b"].to_numpy().astype(np.int64)
+    order = np.argsort(names)
+    best = pairs["is_best"].to_numpy(zero_copy_only=False).astype(np.int64)
+    return Block(coded, shapes).results(names[order], pairs["count"].to_numpy()[order], best[order])
+
+
+def _by_block(left: DataFrame, right: DataFrame, work: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(work, schema)
 
 
-def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 4_000_000) -> DataFrame:
+def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 16_000_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     ``path_a`` names a byte-level BPE vocabulary and ``path_b`` a sentencepiece model, which every worker reads from its
@@ -218,30 +289,16 @@ def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 4_000_00
     """
     scratch = Scratch(docs.sparkSession, "align")
     coded = scratch.store(code_texts(docs, path_a, path_b, chars))
-    texts = coded.where("words is not null").select("block", "doc_id", "words")
-    words = coded.where("word is not null").select("block", "word", "a", "a_len", "b", "b_len")
-    groups, links = aligned(words)
-    links = scratch.store(links)
-    pairs = links.select("block", "word", "a", "b")
-    held = scratch.store(_by_block(texts.select("block", "words"), pairs, _texts_of_pairs_in_block, "block long, a int, b int, held long"))
-    counts = held.groupBy("a", "b").agg(F.sum("held").alias("count"))
+    lengths = coded.where(F.col("kind") == SHAPES).select("block", "number", "a_len", "b_len")
+    shapes = scratch.store(lengths.select("a_len", "b_len").distinct().withColumn("shape", F.monotonically_increasing_id()))
+    groups = shapes.join(aligned(shapes), "shape").select("a_len", "b_len", "groups_a", "groups_b")
+    known = scratch.store(lengths.join(groups, ["a_len", "b_len"]).select("block", "number", "groups_a", "groups_b"))
+    rows = coded.where(F.col("kind") != SHAPES).select("block", "kind", "number", "ids", "data")
+    held = scratch.store(_by_block(rows, known, _count_texts, "block long, a int, b int, held long"))
+    forget_plans(docs.sparkSession)
+    counts = scratch.store(held.groupBy("a", "b").agg(F.sum("held").alias("count")))
     best = counts.groupBy("a").agg(F.max("count").alias("best"))
-    known = scratch.store(counts.join(best, "a").select("a", "b", "count", (F.col("count") == F.col("best")).alias("is_best")))
-    # a block's pairs meet the counts once, however many of its words hold them
-    in_block = held.select("block", "a", "b").join(known, ["a", "b"])
-    of_links = links.join(in_block, ["block", "a", "b"]).groupBy("block", "word").agg(
-        F.sum("times").alias("n_links"), F.sum(F.when(F.col("is_best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum")
-    )
-    shown = F.concat_ws("|", F.concat_ws(",", F.col("a_ids").cast("array<string>")), F.concat_ws(",", F.col("b_ids").cast("array<string>")))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("g", "shown"))), lambda x: x["shown"])
-    of_groups = groups.withColumn("shown", shown).groupBy("block", "word").agg(
-        F.sum(F.size("a_ids")).alias("n_a"), F.sum(F.size("b_ids")).alias("n_b"), F.count("*").alias("n_groups"), F.concat_ws(";", in_order).alias("shown")
-    )
-    per_word = scratch.store(of_groups.join(of_links, ["block", "word"]).select("block", "word", "shown", *SUMS))
-    scratch.keep(coded, per_word)
-    return _by_block(texts, per_word, _summed, OUT)
-
-
-def _texts_of_pairs_in_block(key: tuple, texts: pa.Table, pairs: pa.Table) -> pa.Table:
-    found = _texts_of_pairs(texts, pairs)
-    return found.add_column(0, "block", pa.array([key[0].as_py()] * found.num_rows, pa.int64()))
+    rated = scratch.store(counts.join(best, "a").select("a", "b", "count", (F.col("count") == F.col("best")).alias("is_best")))
+    in_block = scratch.store(held.select("block", "a", "b").join(rated, ["a", "b"]))
+    scratch.keep(coded, known, in_block)
+    return _by_block(rows, known.unionByName(in_block, allowMissingColumns=True), _sum_texts, OUT)
