@@ -3,17 +3,34 @@
 from __future__ import annotations
 
 import fnmatch
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters that searching folds to plain ones.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+
+
+def plain_letter(c: str) -> str:
+    """A letter as searching knows it: its simple case fold, without its mark if it is a Latin letter with one mark alone."""
+    folded = c.casefold() if len(c.casefold()) == 1 else c.lower()
+    parts = unicodedata.normalize("NFD", folded)
+    return parts[0] if len(parts) == 2 and unicodedata.combining(parts[1]) and parts[0].isascii() else folded
+
+
+def _fold_table() -> tuple[str, str]:
+    """What lower-casing doesn't do by itself, for ``translate``: letters and what they become, then marks that go."""
+    letters = [c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c).startswith("L") and plain_letter(c) != c.lower()]
+    letters.append("Σ")  # whose lower case depends on its place in a word
+    parts = [unicodedata.normalize("NFD", c.lower()) for c in letters]
+    marks = sorted({p[1] for p in parts if len(p) == 2 and unicodedata.combining(p[1])})
+    return "".join([*letters, *marks]), "".join(map(plain_letter, letters))
+
+
+FOLD_FROM, FOLD_TO = _fold_table()
 
 
 def fold(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    return F.lower(F.translate(text, FOLD_FROM, FOLD_TO))
 
 
 def padded_tokens(text: Column) -> Column:

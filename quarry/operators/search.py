@@ -16,19 +16,21 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import ACCENTED, PLAIN, padded_tokens, sentences, word_terms
+from quarry.functions.text import FOLD_FROM, FOLD_TO, padded_tokens, sentences, word_terms
 from quarry.operators.catalog import active
 
 K1, B = 1.2, 0.75
 COLUMNS = ("project_id", "file_path", "description")
 
 
+_FOLD = str.maketrans(FOLD_FROM[: len(FOLD_TO)], FOLD_TO, FOLD_FROM[len(FOLD_TO) :])
+
+
 def query_phrases(query: str) -> list[list[str]]:
     """The phrases of a query, all of which have to match: its words and quoted parts, as tokens."""
     out = []
     for part in re.findall(r'"[^"]*"|\S+', query or ""):
-        text = part.lower().translate(str.maketrans(ACCENTED, PLAIN))
-        out.append([t for t in re.split(r"[^\w]+|_", text) if t])
+        out.append([t for t in re.split(r"[^\w]+|_", part.translate(_FOLD).lower()) if t])
     return out
 
 
@@ -45,9 +47,9 @@ def indexed(files: DataFrame) -> DataFrame:
 
 
 def _occurrences(phrase: list[str]) -> Column:
-    """How often the phrase stands in ' a b c '. Its own blanks may be shared with the next place, hence the look-ahead."""
-    text = " ".join(phrase)
-    return F.when(F.contains("pad", F.lit(f" {text} ")), F.regexp_count("pad", F.lit(rf" {re.escape(text)}(?= )"))).otherwise(0)
+    """How often the phrase stands in ' a b c '. Places may share tokens, hence the look-ahead for all but the first."""
+    rest = "".join(f" {re.escape(t)}" for t in phrase[1:])
+    return F.when(F.contains("pad", F.lit(f" {' '.join(phrase)} ")), F.regexp_count("pad", F.lit(rf" {re.escape(phrase[0])}(?={rest} )"))).otherwise(0)
 
 
 def search(files: DataFrame, query: str, project_id: str | None = None, limit: int = 20) -> DataFrame:
@@ -98,19 +100,25 @@ def search_many(files: DataFrame, queries: DataFrame, limit: int = 5) -> DataFra
     A query's rarest term names its candidates; the others are looked up for these alone. So no frequent term is joined
     with all queries that hold it."""
     index = indexed(files)
+    wanted = queries.select(F.explode("terms").alias("term")).distinct()
+    stats = index.agg(F.count("*").alias("n"), F.avg("d").alias("avg_d")).first()
+    held, no_segment = _postings(index, wanted), F.lit(0).alias("segment")
+    alive = active(index).select(no_segment, "id")
+    return ranked_queries(held.select("*", no_segment), alive, queries, stats["n"], stats["avg_d"] or 1.0, limit)
+
+
+def ranked_queries(held: DataFrame, alive: DataFrame, queries: DataFrame, n: int, avg_d: float, limit: int) -> DataFrame:
+    """The best of each query from postings (term, segment, id, d, tf) and the files that may be found (segment, id)."""
     wanted = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    held = _postings(index, wanted.select("term").distinct())
     frequency = held.groupBy("term").agg(F.count("*").alias("holding"))
-    stats = index.agg(F.count("*").alias("n"), F.avg("d").alias("avg_d")).first()
-    n, avg_d = F.lit(stats["n"]), F.lit(stats["avg_d"] or 1.0)
-    idf = F.greatest(F.log((n - F.col("holding") + 0.5) / (F.col("holding") + 0.5)), F.lit(1e-6))
-    part = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / avg_d))
+    idf = F.greatest(F.log((F.lit(n) - F.col("holding") + 0.5) / (F.col("holding") + 0.5)), F.lit(1e-6))
+    part = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / F.lit(avg_d)))
     known = wanted.join(frequency, "term")
     # a query of which a term is nowhere has no candidates
     rarest = known.groupBy("query_id", "n_terms").agg(F.min_by("term", F.struct("holding", "term")).alias("term"), F.count("*").alias("n")).where("n = n_terms")
-    candidates = active(held).join(rarest.select("query_id", "n_terms", "term"), "term").select("query_id", "n_terms", "id")
+    candidates = held.join(rarest.select("query_id", "n_terms", "term"), "term").join(alive, ["segment", "id"], "left_semi").select("query_id", "n_terms", "segment", "id")
     asked = candidates.join(known.select("query_id", "term", "holding"), "query_id")
-    scored = asked.join(held.select("term", "id", "d", "tf"), ["term", "id"]).groupBy("query_id", "n_terms", "id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    scored = asked.join(held.select("term", "segment", "id", "d", "tf"), ["term", "segment", "id"]).groupBy("query_id", "n_terms", "segment", "id").agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 12), "id"))
     return scored.where("matched = n_terms").withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
 

@@ -24,10 +24,10 @@ def make_files(spark, rows):
     return spark.createDataFrame([(i, p, f, d, None) for i, (p, f, d) in enumerate(rows, 1)], FILES)
 
 
-@pytest.mark.parametrize("query", ["module", "utility functions", '"feature set"', "grpc proto", '"set 1" module', "p1", "ÉCOLE", "user_id"])
+@pytest.mark.parametrize("query", ["module", "utility functions", '"feature set"', "grpc proto", '"set 1" module', "p1", "ÉCOLE", "user_id", '"set set"', "Žluťoučký", "ΆΝΘΡΩΠΟΣ", "ſtraße"])
 def test_bm25_against_fts5(spark, query):
     rng = random.Random(1)
-    words = ["module", "utility", "functions", "feature", "set", "1", "grpc", "proto", "école", "user_id", "handler"]
+    words = ["module", "utility", "functions", "feature", "set", "1", "grpc", "proto", "école", "user_id", "handler", "žluťoučký", "z\u030clut\u030couc\u030cky\u0301", "άνθρωπος", "STRAßE"]
     rows = [(f"p{k % 3}", f"src/m_{k}.py", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 30)))) for k in range(120)]
     db = sqlite3.connect(":memory:")
     db.execute("CREATE VIRTUAL TABLE t USING fts5(project_id, file_path, description)")
@@ -38,6 +38,28 @@ def test_bm25_against_fts5(spark, query):
     assert got == pytest.approx(want)
 
 
+def test_letters_fold_as_fts5_folds_them(spark):
+    """All letters that Unicode composes of a letter and marks: the same tokens."""
+    from unicodedata import category, normalize
+
+    from quarry.functions.text import padded_tokens
+
+    letters = [c for c in map(chr, range(0x80, 0x10000)) if category(c)[0] == "L" and len(normalize("NFD", c)) > 1 and not "\uac00" <= c <= "\ud7a3"]
+    texts = [f"x{c}y {normalize('NFD', c)}" if len(normalize("NFD", c)) == 2 and normalize("NFD", c)[0].isascii() else f"x{c}y" for c in letters]
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE VIRTUAL TABLE t USING fts5(x)")
+    db.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", enumerate(texts))
+    db.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    want = {}
+    for term, row, _, at in db.execute("SELECT term, doc, col, offset FROM v"):
+        want.setdefault(row, {})[at] = term
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", padded_tokens(F.col("t")).alias("p")).collect()
+    assert len(rows) > 900
+    for r in rows:
+        own = [t for _, t in sorted(want[r.k].items())]
+        assert r.p.split() == own == [t for p in S.query_phrases(texts[r.k]) for t in p], (r.k, texts[r.k])
+
+
 def test_statistics_cover_deleted_files(spark):
     rows = [("p", f"f{k}.py", "alpha beta" if k % 3 else "alpha") for k in range(12)]
     db = sqlite3.connect(":memory:")
