@@ -274,7 +274,7 @@ def _by_block(left: DataFrame, right: DataFrame, work: Callable[[tuple, pa.Table
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(work, schema)
 
 
-def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 16_000_000) -> DataFrame:
+def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 6_000_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     ``path_a`` names a byte-level BPE vocabulary and ``path_b`` a sentencepiece model, which every worker reads from its
