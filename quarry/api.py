@@ -25,7 +25,7 @@ from quarry.operators import tree as T
 from quarry.operators import vectors as V
 from quarry.operators.chunking import Handler, chunk_files
 from quarry.schemas import KEYS, SCHEMAS
-from quarry.sources.listing import walk_files
+from quarry.sources.folders import walk_files
 
 
 def unescaped(value: Any) -> Any:

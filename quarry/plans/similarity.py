@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from quarry.functions.text import NAMESPACE_PREFIX, namespace
 from quarry.operators import catalog as C
 from quarry.operators import vectors as V
+from quarry.operators.neighbours import VectorLists
 from quarry.plans.registry import query
 from quarry.sources import adapters as A
+from quarry.sources.shared import shared_folder, snapshot
 
 LENGTH = "sqrt(list_dot_product(vector, vector))"
 COSINE = "list_dot_product(v.vector, q.vector) / (sqrt(list_dot_product(v.vector, v.vector)) * sqrt(list_dot_product(q.vector, q.vector)))"
@@ -35,9 +37,14 @@ MANY = f"""{A.VECTORS}, q AS (SELECT id AS query_id, vector FROM vectors WHERE i
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s)"""
 
 
+def stored_lists(spark, sf) -> VectorLists:
+    """The vectors' lists. They are made once for each state of the table."""
+    lists = VectorLists(spark, f"{shared_folder(spark)}/quarry-lists-{snapshot(spark, f'{sf}/embeddings.parquet')}")
+    return lists.open() if lists.ready() else lists.build(A.vectors(spark, sf))
+
+
 def _many(spark, sf, k: int):
-    v = A.vectors(spark, sf)
-    return V.nearest_many(v, v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), k)
+    return stored_lists(spark, sf).nearest_many(A.vectors(spark, sf).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), k)
 
 
 @query(f"WITH {MANY} SELECT query_id, rank::INT AS rank, id, round(similarity, 6) AS similarity FROM r WHERE rank <= 8")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
-from fnmatch import fnmatch
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,24 +47,6 @@ def file_hash(length, content, modified):
     return F.when(modified.isNull(), "deleted").otherwise(whole)
 
 
-def walk_files(spark: SparkSession, folder: str, pruned: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
-    """file_path (relative), size, modified, in path order: files below a folder, listed folder by folder. A folder whose
-    name matches a pattern of ``pruned`` is never entered; after ``most`` files the walk ends."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    rows, todo = [], [(path, "")]
-    while todo and (most is None or len(rows) < most):
-        at, prefix = todo.pop(0)
-        for found in sorted(fs.listStatus(at), key=lambda f: f.getPath().getName()):
-            name = found.getPath().getName()
-            if found.isDirectory():
-                if not any(fnmatch(name, p.rstrip("/")) for p in pruned):
-                    todo.append((found.getPath(), f"{prefix}{name}/"))
-            elif most is None or len(rows) < most:
-                rows.append((f"{prefix}{name}", found.getLen(), found.getModificationTime() // 1000))
-    return spark.createDataFrame(sorted(rows), "file_path string, size long, modified long")
-
-
 def write_report(rows: DataFrame, column: str, path: str) -> None:
     """A report's lines into one local file, row by row."""
     with Path(path).open("w", encoding="utf-8") as out:
