@@ -54,6 +54,17 @@ def health_score(metrics: DataFrame) -> DataFrame:
     return out.withColumn("summary", level)
 
 
+def health_history(checks: DataFrame, n: int = 100) -> DataFrame:
+    """Per monitor, of its last n checks: how many, failures, the mean response of the healthy ones, failures in a row at the
+    end, and the last one."""
+    last = last_n(checks, ["monitor"], n, "ts", "event_id")
+    good = F.when(F.col("healthy"), F.col("recency"))
+    return last.groupBy("monitor").agg(
+        F.count("*").alias("checks"), F.count(F.when(~F.col("healthy"), 1)).alias("failed"), F.avg(F.when(F.col("healthy"), F.col("ms"))).alias("avg_ms"),
+        (F.coalesce(F.min(good), F.count("*") + 1) - 1).alias("consecutive"), F.min_by("event_id", "recency").alias("last_event"),
+    )
+
+
 def trend(checks: DataFrame, n: int = 5) -> DataFrame:
     """monitor, trend: the healthy ones of the last n checks, the last against the first."""
     last = last_n(checks, ["monitor"], n, "ts", "event_id")
@@ -117,23 +128,29 @@ def rate_window(requests: DataFrame, now: Column, seconds: int = 60) -> DataFram
     return requests.agg(F.countDistinct(F.when(inside, F.col("client"))).alias("active_clients"), F.count(F.when(inside, 1)).alias("requests_in_window"))
 
 
-def rate_limited(requests: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
-    """requests: client, ts, event_id. Per client requests, accepted ones, and the largest id of these: at most ``limit``
-    accepted ones of a client in any ``seconds``.
+def rate_decisions(requests: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
+    """requests (client, ts, event_id) with accepted and retry_after: at most ``limit`` accepted ones of a client in any
+    ``seconds``; a refused one is told after how many the oldest of them leaves the window.
 
     A fold over a client's requests in order; the state is the times of the accepted ones still in the window."""
     span = seconds * 1_000_000
 
-    def step(taken: deque, row: dict) -> tuple[bool]:
+    def step(taken: deque, row: dict) -> tuple[bool, int]:
         while taken and taken[0] <= row["t"] - span:
             taken.popleft()
         if len(taken) >= limit:
-            return (False,)
+            return False, int((taken[0] + span - row["t"]) / 1e6) + 1
         taken.append(row["t"])
-        return (True,)
+        return True, 0
 
     timed = requests.select("client", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
-    told = fold(timed, ["client"], ["t", "event_id"], deque, step, "accepted boolean")
+    told = fold(timed, ["client"], ["t", "event_id"], deque, step, "accepted boolean, retry_after long")
+    return told.select("client", "event_id", "accepted", "retry_after")
+
+
+def rate_limited(requests: DataFrame, limit: int = 100, seconds: int = 60) -> DataFrame:
+    """Per client requests, accepted ones, and the largest id of these, as ``rate_decisions`` says."""
+    told = rate_decisions(requests, limit, seconds)
     return told.groupBy("client").agg(F.count("*").alias("requests"), F.count(F.when(F.col("accepted"), 1)).alias("accepted"), F.max(F.when(F.col("accepted"), F.col("event_id"))).alias("last_accepted"))
 
 

@@ -99,6 +99,13 @@ def ag23_rate_limit_active(spark, sf):
     return M.rate_window(A.requests(spark, sf), F.expr("TIMESTAMP_NTZ '2024-01-15 12:00:00'"), 86_400)
 
 
+@query(f"""WITH {A.HEALTH}, l AS (SELECT *, row_number() OVER (PARTITION BY monitor ORDER BY ts DESC, event_id DESC) AS r FROM health)
+  SELECT monitor, count(*) AS checks, count(*) FILTER (WHERE NOT healthy) AS failed, round(avg(ms) FILTER (WHERE healthy), 6) AS avg_ms, coalesce(min(r) FILTER (WHERE healthy), count(*) + 1) - 1 AS consecutive,
+  arg_min(event_id, r) AS last_event FROM l WHERE r <= 100 GROUP BY 1""")
+def ss14_health_history(spark, sf):
+    return M.health_history(A.health(spark, sf)).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
 @query(f"WITH {A.HEALTH} SELECT monitor, event_id, recency::INT AS recency FROM (SELECT *, row_number() OVER (PARTITION BY monitor ORDER BY ts DESC, event_id DESC) AS recency FROM health) WHERE recency <= 5")
 def wn5_last_n(spark, sf):
     return M.last_n(A.health(spark, sf), ["monitor"], 5, "ts", "event_id").select("monitor", "event_id", "recency")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def build_session(app: str = "quarry", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session in UTC with adaptive execution; everything else stays the cluster's choice."""
@@ -13,6 +15,7 @@ def build_session(app: str = "quarry", master: str | None = None, shuffle_partit
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKS)
     )
     if master:
         builder = builder.master(master)

@@ -69,33 +69,6 @@ def trailing(changes: DataFrame, gap: str = "100 milliseconds") -> DataFrame:
     return bursts.select("path", "events", "last_event")
 
 
-def limited(requests: DataFrame, limit: int = 100, seconds: int = 60, idle: int = 120) -> DataFrame:
-    """client, event_id, accepted, retry_after: at most ``limit`` accepted requests in any ``seconds``. The state is the
-    times of the accepted ones in the window, and goes when a client has been idle for twice the window."""
-    span = seconds * 1_000_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        taken = list(state.get[0]) if state.exists else []
-        out, latest = [], 0
-        rows = pd.concat(list(batches)).sort_values(["micros", "event_id"])
-        for micros, event_id in zip(rows["micros"].tolist(), rows["event_id"].tolist(), strict=True):
-            taken = [t for t in taken if t > micros - span]
-            ok = len(taken) < limit
-            out.append((key[0], event_id, ok, 0 if ok else int((taken[0] + span - micros) / 1e6) + 1))
-            if ok:
-                taken.append(micros)
-            latest = max(latest, micros)
-        state.update((taken,))
-        state.setTimeoutTimestamp(max(latest // 1000, state.getCurrentWatermarkMs()) + idle * 1000)
-        yield pd.DataFrame(out, columns=["client", "event_id", "accepted", "retry_after"])
-
-    timed = requests.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", LATE).withColumn("micros", F.unix_micros("at"))
-    return timed.select("client", "event_id", "at", "micros").groupBy("client").applyInPandasWithState(step, "client string, event_id long, accepted boolean, retry_after long", "taken array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def running_health(checks: DataFrame) -> DataFrame:
     """Per monitor: checks, failures and the mean response of the healthy ones so far."""
     return checks.groupBy("monitor").agg(
