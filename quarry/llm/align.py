@@ -23,11 +23,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import Bpe
+from quarry.llm.bpe import PATTERN, Bpe
 from quarry.llm.kneser_ney import _unzip, _zip
 from quarry.llm.storage import Scratch, forget_plans
 
@@ -58,33 +59,51 @@ class Pair:
     """Both tokenizers."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = Bpe(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        byte_bpe, self.b = Bpe(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        made = [c for _, _, c in byte_bpe.merges]
+        if made != sorted(made):
+            raise ValueError("ids of this vocabulary aren't in the order of its merges")
+        plain = {raw: i for i, raw in byte_bpe.bytes_of.items() if i not in byte_bpe.special.values()}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=plain, special_tokens={})
         piece, size = self.b.id_to_piece, self.b.vocab_size()
         if any(SPACE in piece(i).lstrip(SPACE) for i in range(size)):
             raise ValueError("a piece of this vocabulary reaches over a space between words")
-        self.len_a = np.zeros(1 + max(self.a.bytes_of), np.int64)
-        for i, raw in self.a.bytes_of.items():
-            self.len_a[i] = len(raw)
+        self.len_a = np.zeros(1 + max(plain.values()), np.int64)
+        self.len_a[list(plain.values())] = list(map(len, plain))
         self.len_b = np.array([1 if self.b.is_byte(i) else len(piece(i).replace(SPACE, " ").encode()) for i in range(size)], np.int64)
         self.space = self.b.piece_to_id(SPACE)
 
+    def _encode_a(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that end in something else than white space can stand behind each other: no token reaches into the next."""
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids = np.array(self.a.encode_ordinary("".join(words)), np.int64)
+        ends = np.searchsorted(self.len_a[ids].cumsum(), sizes.cumsum()) + 1
+        return ids, np.diff(ends, prepend=0)
+
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of A, how many each word has, and the same of B. A word whose bytes B doesn't give back has none of either:
         A's always are, and B's are as many as the word's unless it holds the sign that stands for a space."""
-        pieces = list(map(self.a.pieces, words))
-        number: dict[str, int] = {}
-        flat = np.array([number.setdefault(p, len(number)) for own in pieces for p in own], np.int64)
-        per_word = np.fromiter(map(len, pieces), np.int64, len(words))
-        ids = self.a.encode_pieces(number)
-        per_piece = np.fromiter(map(len, ids), np.int64, len(ids))
-        coded = np.fromiter(chain.from_iterable(ids), np.int64, int(per_piece.sum()))
-        a = coded[_places((per_piece.cumsum() - per_piece)[flat], per_piece[flat])]
-        a_n = _parts(per_piece[flat], per_word)
+        sizes = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        alone = np.fromiter((w[-1].isspace() for w in words), bool, len(words))
+        own, rest = np.flatnonzero(~alone), np.flatnonzero(alone).tolist()
+        a, n = self._encode_a([words[k] for k in own.tolist()], sizes[own])
+        a_n = np.zeros(len(words), np.int64)
+        a_n[own] = n
+        if rest:  # few: the ends of some texts
+            lists = [self.a.encode_ordinary(words[k]) for k in rest]
+            a_n[rest] = list(map(len, lists))
+            both = np.zeros(int(a_n.sum()), np.int64)
+            starts = a_n.cumsum() - a_n
+            both[_places(starts[own], n)], both[_places(starts[rest], a_n[rest])] = a, list(chain.from_iterable(lists))
+            a = both
         # B puts a space ahead by itself, but has no ids for an empty text
-        lists = [own if len(w) > 1 else [self.space] for w, own in zip(words, self.b.encode([w[1:] for w in words], num_threads=1), strict=True)]
+        lists = self.b.encode([w[1:] for w in words], num_threads=1)
         b_n = np.fromiter(map(len, lists), np.int64, len(lists))
+        if (b_n == 0).any():
+            lists = [own or [self.space] for own in lists]
+            b_n = np.maximum(b_n, 1)
         b = np.fromiter(chain.from_iterable(lists), np.int64, int(b_n.sum()))
-        sizes = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
         sound = (_parts(self.len_a[a], a_n) == sizes) & (_parts(self.len_b[b], b_n) == sizes)
         if not sound.all():
             a, b = a[np.repeat(sound, a_n)], b[np.repeat(sound, b_n)]
@@ -235,7 +254,8 @@ class Block:
 
     def shown(self) -> list[str]:
         """Of each word its groups: ids of A, a bar, ids of B, parted by semicolons."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        names = np.array(list(map(str, range(1 + int(max(self.a.max(initial=0), self.b.max(initial=0)))))), object)
+        a, b = names[self.a].tolist(), names[self.b].tolist()  # one string for each id
         out: list[list[str]] = [[] for _ in range(len(self.groups))]
         x = y = 0
         for w, n_a, n_b in zip(self.word.tolist(), self.of_a.tolist(), self.of_b.tolist(), strict=True):
@@ -274,7 +294,7 @@ def _by_block(left: DataFrame, right: DataFrame, work: Callable[[tuple, pa.Table
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(work, schema)
 
 
-def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 6_000_000) -> DataFrame:
+def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 4_000_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     ``path_a`` names a byte-level BPE vocabulary and ``path_b`` a sentencepiece model, which every worker reads from its
