@@ -103,6 +103,40 @@ COMMENTS = {
 }
 
 
+#: Of each pattern a literal that every match holds, in lower case: where none of a pattern's stands, it can't match. The one
+#: without is a long run, which ``LONG_RUN`` finds.
+LITERALS = {
+    "aws_access_key": ("akia",), "github_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "google_api_key": ("aiza",), "slack_token": ("xox",), "stripe_key": ("k_test_", "k_live_"),
+    "openai_api_key": ("sk-",), "anthropic_api_key": ("sk-ant-api03-",), "voyage_api_key": ("pa-",), "jwt_token": ("eyj",), "postgres_url": ("postgres",), "mysql_url": ("mysql://",),
+    "mongodb_url": ("mongodb",), "redis_url": ("redis://",), "rsa_private_key": ("-----begin rsa",), "ssh_private_key": ("-----begin openssh",), "ec_private_key": ("-----begin ec",),
+    "env_password": ("password", "passwd", "pwd"), "env_secret": ("secret", "token", "key"), "url_with_credentials": ("://",),
+}
+LONG_RUN = "[A-Za-z0-9/+=]{32}"
+#: Letters that are told from i, s and k by case alone, where case is ignored.
+CASE_FROM, CASE_TO = "\u0130\u0131\u017f\u212a", "iisk"
+
+
+def may_hold_secret(text: Column, least: float = 0.5) -> Column:
+    """False where no pattern can match: neither a literal of one nor a long run is there. A null text holds none."""
+    told = F.translate(text, CASE_FROM, CASE_TO)
+    low = F.lower(told)
+    words = sorted({w for name, _, c, *_ in PATTERNS if c >= least for w in LITERALS.get(name, ())})
+    whole = told.rlike(LONG_RUN)
+    for w in words:
+        whole = F.contains(low, F.lit(w)) | whole
+    return F.coalesce(whole, F.lit(False))
+
+
+def pattern_files(files: DataFrame) -> DataFrame:
+    """name, type, confidence, context, files: of each pattern in how many files it stands, by one aggregate."""
+    text = F.col("description")
+    flag = lambda kind: "" if kind == "private_key" else "(?i)"
+    counts = [F.count_if(text.rlike(flag(kind) + pattern)).alias(name) for name, kind, _, _, pattern in PATTERNS]
+    row = files.agg(*counts)
+    pairs = F.explode(F.array(*(F.struct(F.lit(p[0]).alias("name"), F.col(p[0]).alias("files")) for p in PATTERNS))).alias("p")
+    return row.select(pairs).select("p.*").join(F.broadcast(pattern_table(files.sparkSession)), "name")
+
+
 def needs_redaction(path: Column) -> Column:
     """Not files that are safe by ending, tests by name, or documentation by folder."""
     name, parts = F.lower(base_name(path)), F.split(path, "/")
@@ -115,6 +149,9 @@ def pattern_table(spark) -> DataFrame:
     return spark.createDataFrame([p[:4] for p in PATTERNS], "name string, type string, confidence double, context boolean")
 
 
+_CASE = str.maketrans(CASE_FROM, CASE_TO)
+
+
 @dataclass(frozen=True)
 class Found:
     start: int
@@ -130,11 +167,16 @@ class Redactor:
     def __init__(self, least: float = 0.5, patterns=PATTERNS):
         self.patterns = [(n, k, c, ctx, re.compile(p, 0 if k == "private_key" else re.IGNORECASE)) for n, k, c, ctx, p in patterns if c >= least]
 
+        self.literals = LITERALS if patterns is PATTERNS else {}
+
     def find(self, text: str, path: str | None = None) -> list[Found]:
         """Matches of each pattern, overlaps included, by start; without those that look harmless."""
         low = text.lower()
+        folded = low if text.isascii() else text.translate(_CASE).lower()
         found = []
         for name, kind, confidence, context, pattern in self.patterns:
+            if (own := self.literals.get(name)) and not any(w in folded for w in own):
+                continue
             for m in pattern.finditer(text):
                 if not context or self._near(low, m.start() - 50, m.end() + 50, SUSPICIOUS):
                     found.append(Found(m.start(), m.end(), name, kind, confidence))
@@ -337,7 +379,8 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
 
 
 def redact_files(files: DataFrame) -> DataFrame:
-    """id, redacted, redactions, names, high_confidence: whole files, masked."""
+    """id, redacted, redactions, names, high_confidence: whole files, masked. Texts that can't hold a secret stay as they
+    are and don't reach Python."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         redactor = Redactor()
@@ -351,4 +394,7 @@ def redact_files(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(list(map(len, names)), pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array(high, pa.int32())], names=["id", "redacted", "redactions", "names", "high_confidence"])
 
     read = files.where(needs_redaction(F.col("file_path"))).select(F.col("id").cast("long"), "file_path", "description")
-    return read.mapInArrow(work, "id long, redacted string, redactions int, names array<string>, high_confidence int")
+    suspect = may_hold_secret(F.col("description"))
+    none = F.array().cast("array<string>")
+    clean = read.where(~suspect).select("id", F.coalesce("description", F.lit("")).alias("redacted"), F.lit(0).alias("redactions"), none.alias("names"), F.lit(0).alias("high_confidence"))
+    return read.where(suspect).mapInArrow(work, "id long, redacted string, redactions int, names array<string>, high_confidence int").union(clean)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as X
 from quarry.operators import batches as B
 from quarry.operators import chunking as K
+from quarry.operators import diffs as D
 from quarry.plans.registry import query
 from quarry.sources import adapters as A
 
@@ -61,9 +62,20 @@ def ag8_redaction_stats(spark, sf):
     return names.join(F.broadcast(K.pattern_table(spark)), "name").groupBy("type", "name").agg(F.count("*").alias("redactions"), F.count(F.when(F.col("confidence") >= 0.8, 1)).alias("high_confidence"))
 
 
-@query("""SELECT type, patterns::BIGINT AS patterns FROM (VALUES ('api_key', 9), ('token', 1), ('connection_string', 4), ('private_key', 3), ('password', 1), ('secret', 1), ('encoded_data', 2), ('identifier', 1), ('credential_url', 1)) t(type, patterns)""")
+def _pattern_sql(patterns) -> str:
+    quoted = lambda t: t.replace("'", "''")
+    parts = [f"SELECT '{n}' AS name, '{k}' AS type, count(*) FILTER (WHERE regexp_matches(description, '{quoted(p)}', '{'c' if k == 'private_key' else 'i'}')) AS files FROM files" for n, k, _, _, p in patterns]
+    return f"{A.FILES}, f AS ({' UNION ALL '.join(parts)})"
+
+
+@query(f"WITH {_pattern_sql(K.PATTERNS)} SELECT type, count(*) AS patterns, sum(files)::BIGINT AS files FROM f GROUP BY type")
 def ag9_pattern_summary(spark, sf):
-    return K.pattern_table(spark).groupBy("type").agg(F.count("*").alias("patterns"))
+    return K.pattern_files(A.files(spark, sf)).groupBy("type").agg(F.count("*").alias("patterns"), F.sum("files").alias("files"))
+
+
+@query(f"WITH {_pattern_sql([p for p in K.PATTERNS if p[2] >= 0.6 and p[3]])} SELECT name, files FROM f")
+def pf20_pattern_subset(spark, sf):
+    return K.pattern_files(A.files(spark, sf)).where("confidence >= 0.6 AND context").select("name", "files")
 
 
 @query()
@@ -110,20 +122,44 @@ def wn10_fixed_batches(spark, sf):
     return B.fixed_batches(A.table(spark, sf, "documents"), ["source"], 50, "doc_id").select("doc_id", "batch")
 
 
-LINES = f"""{A.DIFFS_SQL}, l AS (SELECT commit, unnest(range(len(string_split(diff, chr(10))))) AS line_no, unnest(string_split(diff, chr(10))) AS line FROM diffs),
+def _commits(spark, sf):
+    return D.commit_diffs(A.commit_versions(spark, sf), A.commit_messages(spark, sf))
+
+
+@query(f"WITH {A.DIFFS} SELECT commit, message, sha256(diff) AS diff_hash FROM diffs")
+def sc17_commit_diffs(spark, sf):
+    return _commits(spark, sf).select("commit", "message", F.sha2("diff", 256).alias("diff_hash"))
+
+
+@query(f"""WITH {A.FILES}, v AS (SELECT id, file_path, string_split(replace(description, '. ', '.' || chr(10)), chr(10)) AS l FROM files WHERE file_path IS NOT NULL AND description IS NOT NULL),
+  e AS (SELECT id, file_path, list_filter(list_transform(l, lambda x, i: CASE WHEN (i - 1 + id) % 7 = 3 THEN NULL WHEN (i - 1 + id) % 11 = 5 THEN x || chr(10) || 'added ' || (i - 1) WHEN (i - 1 + id) % 13 = 2 THEN x || '!' ELSE x END), lambda x: x IS NOT NULL) AS l FROM v)
+  SELECT id::VARCHAR AS commit, file_path, sha256(array_to_string(l, chr(10))) AS text_hash FROM e WHERE len(l) > 0""")
+def sc17_edited_texts(spark, sf):
+    """Versions that differ in many places: the older one and the diff give the newer one."""
+    f = A.files(spark, sf).where("file_path IS NOT NULL AND description IS NOT NULL")
+    k = lambda i: i + F.col("id")
+    edited = lambda x, i: F.when(k(i) % 7 == 3, F.lit(None)).when(k(i) % 11 == 5, F.concat(x, F.lit("\nadded "), i.cast("string"))).when(k(i) % 13 == 2, F.concat(x, F.lit("!"))).otherwise(x)
+    old = F.replace("description", F.lit(". "), F.lit(".\n"))
+    lines = F.filter(F.transform(F.split(old, "\n"), edited), lambda x: x.isNotNull())
+    versions = f.select(F.col("id").cast("string").alias("commit"), "file_path", old.alias("old"), F.when(F.size(lines) > 0, F.array_join(lines, "\n")).alias("new"))
+    same = versions.where(F.col("old").eqNullSafe(F.col("new"))).select("commit", "file_path", F.col("old").alias("text"))
+    return D.apply_diffs(versions, D.file_diffs(versions)).union(same).where("text IS NOT NULL").select("commit", "file_path", F.sha2("text", 256).alias("text_hash"))
+
+
+LINES = f"""{A.DIFFS}, l AS (SELECT commit, unnest(range(len(string_split(diff, chr(10))))) AS line_no, unnest(string_split(diff, chr(10))) AS line FROM diffs),
   s AS (SELECT *, sum(starts_with(line, 'diff --git')::INT) OVER (PARTITION BY commit ORDER BY line_no) AS section FROM l)"""
 
 
 @query(f"WITH {LINES} SELECT commit, section::BIGINT AS section, regexp_replace(string_split(line, ' ')[3], '^a/', '') AS file_path FROM s WHERE starts_with(line, 'diff --git')")
 def sc21_diff_files(spark, sf):
-    return B.changed_files(A.diffs(spark))
+    return B.changed_files(_commits(spark, sf))
 
 
-@query(f"""WITH {LINES} SELECT commit, section::BIGINT AS section, string_agg(line, chr(10) ORDER BY line_no) AS text FROM s
-  WHERE (commit, section) IN (SELECT commit, section FROM s WHERE line LIKE 'diff --git a/src/b.py %' OR line LIKE 'diff --git a/lib/c.ts %') GROUP BY 1, 2""")
+@query(f"""WITH {LINES}, w AS (SELECT commit, section FROM s WHERE starts_with(line, 'diff --git') AND (ends_with(line, '.js') OR ends_with(line, '7.md')))
+  SELECT commit, section::BIGINT AS section, string_agg(line, chr(10) ORDER BY line_no) AS text FROM s JOIN w USING (commit, section) GROUP BY 1, 2""")
 def jn17_diff_sections(spark, sf):
-    wanted = spark.createDataFrame([("c1", "src/b.py"), ("c2", "lib/c.ts")], "commit string, file_path string")
-    return B.sections_of(A.diffs(spark), wanted)
+    wanted = A.commit_versions(spark, sf).where(F.col("file_path").endswith(".js") | F.col("file_path").endswith("7.md")).select("commit", "file_path")
+    return B.sections_of(_commits(spark, sf), wanted)
 
 
 @query(f"WITH {A.FILES} SELECT project_id AS commit, file_path, sha256(description) AS description_hash FROM files WHERE id % 10 = 3 AND to_be_cleaned IS NULL")

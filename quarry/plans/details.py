@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as X
 from quarry.operators import catalog as C
-from quarry.operators import chunking as K
 from quarry.plans.registry import query
 from quarry.sources import adapters as A
 
@@ -121,11 +120,6 @@ def pf19_changed_since(spark, sf):
     return C.active(A.files(spark, sf)).where(F.col("last_modified") >= A.EPOCH + 6000).select("id", "file_path")
 
 
-@query("SELECT * FROM (VALUES ('aws_secret_key'), ('env_password'), ('env_secret')) t(name)")
-def pf20_pattern_subset(spark, sf):
-    return K.pattern_table(spark).where("confidence >= 0.6 AND context").select("name")
-
-
 @query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN '[REDACTED]' WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS shown FROM conversations""")
 def pf22_sanitised_arguments(spark, sf):
     name = F.when(F.col("turn") % 4 == 0, "api_key").otherwise("text")

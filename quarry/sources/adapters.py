@@ -141,13 +141,33 @@ CHANGES = """raw_changes AS (SELECT 'u' || user_id || '/f' || (event_id % 13) ||
   WHEN event IN ('moved', 'renamed') THEN 'moved' END AS change_type, ts, event_id, dest FROM raw_changes WHERE event IN ('created', 'added', 'modified', 'changed', 'deleted', 'removed', 'moved', 'renamed'))"""
 
 
-def diffs(spark: SparkSession) -> DataFrame:
-    """commit, diff: two commits' diffs."""
-    return spark.createDataFrame(list(DIFFS), "commit string, diff string")
+def commit_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commit, file_path, old, new: commits of up to a hundred files of a project, some of which come, go or get a line."""
+    f = files(spark, sf_dir).where("project_id IS NOT NULL AND file_path IS NOT NULL AND description IS NOT NULL")
+    commit = F.concat("project_id", F.lit("-"), F.floor(F.col("id") / 100).cast("string"))
+    old = F.when(F.col("id") % 5 != 0, F.col("description"))
+    new = F.when(F.col("id") % 5 == 0, F.col("description")).when(F.col("id") % 5 != 1, F.concat("description", F.lit("\nadded by the commit")))
+    return f.select(commit.alias("commit"), "file_path", old.alias("old"), new.alias("new"))
 
 
-DIFFS = (
-    ("c1", "diff --git a/src/a.py b/src/a.py\nindex 1..2\n--- a/src/a.py\n+++ b/src/a.py\n@@ -1 +1 @@\n-x\n+y\ndiff --git a/src/b.py b/src/b.py\n--- a/src/b.py\n+++ b/src/b.py\n+z"),
-    ("c2", "diff --git a/docs/x.md b/docs/x.md\n--- a/docs/x.md\n+++ b/docs/x.md\n+new words\ndiff --git a/lib/c.ts b/lib/c.ts\n+q\n+r"),
-)
-DIFFS_SQL = "diffs AS (SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(c, d.replace("'", "''")) for c, d in DIFFS) + ") t(commit, diff))"
+def commit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commit, message."""
+    counts = commit_versions(spark, sf_dir).groupBy("commit").agg(F.count("*").alias("n"))
+    return counts.select("commit", F.concat(F.lit("Update "), F.col("n").cast("string"), F.lit(" files")).alias("message"))
+
+
+def _lines(sign: str, lines: str) -> str:
+    return f"array_to_string(list_transform({lines}, lambda x: '{sign}' || x), chr(10))"
+
+
+def _span(start: str, n: str) -> str:
+    return f"{start} || CASE WHEN {n} = 1 THEN '' ELSE ',' || {n} END"
+
+
+DIFFS = f"""{FILES}, versions AS (SELECT id, project_id || '-' || (id // 100) AS commit, file_path AS p, string_split(description, chr(10)) AS l, len(string_split(description, chr(10))) AS n
+  FROM files WHERE project_id IS NOT NULL AND file_path IS NOT NULL AND description IS NOT NULL),
+ sections AS (SELECT commit, p, 'diff --git a/' || p || ' b/' || p || chr(10) || CASE WHEN id % 5 = 0 THEN '--- /dev/null' || chr(10) || '+++ b/' || p || chr(10) || '@@ -0,0 +' || {_span("1", "n")} || ' @@' || chr(10) || {_lines("+", "l")}
+   WHEN id % 5 = 1 THEN '--- a/' || p || chr(10) || '+++ /dev/null' || chr(10) || '@@ -' || {_span("1", "n")} || ' +0,0 @@' || chr(10) || {_lines("-", "l")}
+   ELSE '--- a/' || p || chr(10) || '+++ b/' || p || chr(10) || '@@ -' || {_span("(n - least(3, n) + 1)", "least(3, n)")} || ' +' || {_span("(n - least(3, n) + 1)", "(least(3, n) + 1)")} || ' @@' || chr(10)
+     || {_lines(" ", "l[n - least(3, n) + 1 : n]")} || chr(10) || '+added by the commit' END AS diff FROM versions),
+ diffs AS (SELECT commit, 'Update ' || count(*) || ' files' AS message, string_agg(diff, chr(10) ORDER BY p) AS diff FROM sections GROUP BY commit)"""

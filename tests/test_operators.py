@@ -264,5 +264,21 @@ def test_walking_a_folder(spark, tmp_path):
     assert hashes == [hashlib.sha256(b"abc").hexdigest(), "error", "deleted", hashlib.sha256(b"2097152:5").hexdigest()]
 
 
+def test_literals_never_hide_a_match(spark):
+    """Texts of fragments of secrets, with letters that only case tells apart: whoever has a match is let through, and
+    nothing else is found with literals than without."""
+    rng = random.Random(4)
+    bits = [*fake_secrets().values(), "paſſword = ", "pwd:", "toKen=", "ſecret : x1", "AKIA", "akıa" + "A" * 16, "://", "http://a:b@c", "redİs://x", "k" * 31, "K" * 45, "key", " ", "\n", "zz", "config ", "-----BEGIN RSA PRIVATE KEY-----a-----END RSA PRIVATE KEY-----", "sk-", "PA-" + "b" * 32]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 4))) for _ in range(1500)] + bits
+    quick, whole = K.Redactor(), K.Redactor()
+    whole.literals = {}
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", "t", K.may_hold_secret(F.col("t")).alias("may")).collect()
+    assert sum(not r.may for r in rows) > 100
+    for r in rows:
+        raw = [m for name, _, _, _, p in whole.patterns for m in p.finditer(r.t)]
+        assert r.may or not raw, r.t
+        assert quick.find(r.t, "a.py") == whole.find(r.t, "a.py"), r.t
+
+
 def test_secret_patterns_compile():
     assert all(re.compile(p[4]) for p in K.PATTERNS)
