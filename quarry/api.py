@@ -24,6 +24,7 @@ from quarry.operators import search as S
 from quarry.operators import tree as T
 from quarry.operators import vectors as V
 from quarry.operators.chunking import Handler, chunk_files
+from quarry.operators.syntax import HANDLERS
 from quarry.schemas import KEYS, SCHEMAS
 from quarry.sources.folders import walk_files
 
@@ -43,14 +44,17 @@ class ToolError(ValueError):
 
 class Engine:
     """``tokens`` counts a text's tokens as a column, ``embed`` adds ``vector`` to chunks, ``stop_words`` is a file of words that
-    frequencies leave out, and ``handlers`` cut files by their endings; each has a local stand-in."""
+    frequencies leave out, and ``handlers`` cut files by their endings, by syntax if none are given; each has a local
+    stand-in."""
 
     def __init__(
         self, spark: SparkSession, folder: str, token_limit: int = 32_000, clock: Callable[[], float] = time.time, tokens: Callable[[Column], Column] = token_estimate,
         embed: Callable[[DataFrame], DataFrame] = V.embed, stop_words: str | None = None, handlers: dict[str, Handler] | None = None, most_parts: int = 16,
+        batch_files: int = 50, in_flight: int = 5,
     ):
         self.spark, self.folder, self.token_limit, self.clock = spark, folder.rstrip("/"), token_limit, clock
-        self.tokens, self.embed, self.handlers, self.most_parts = tokens, embed, handlers or {}, most_parts
+        self.tokens, self.embed, self.handlers, self.most_parts = tokens, embed, HANDLERS if handlers is None else handlers, most_parts
+        self.batch_files, self.in_flight = batch_files, in_flight
         self.stop_words = S.stop_words_file(spark, stop_words) if stop_words else S.STOP_WORDS
         self.cleaned_at: int | None = None
         self.tools: dict[str, tuple[Callable[..., Any], tuple[str, ...], tuple[str, ...]]] = {
@@ -277,19 +281,18 @@ class Engine:
 
     def index_vectors(self, projectName: str, folderPath: str) -> int:
         """Chunks and embeds the project's files that changed since they were last indexed; vectors of these and of files that
-        went are replaced. The state is kept in the index meta: in_progress, then completed or failed."""
+        went are replaced. The state is kept in the index meta: in_progress, then completed or failed.
+
+        A run is planned once, in batches of about ``batch_files`` files, and a ledger says how far it has come. ``in_flight``
+        batches go together as one job, whose vectors are staged; batches that are completed aren't done again by a call
+        that takes up a run which failed or was lost. Once all are, the staged vectors replace the files'."""
         project = self._project(projectName, folderPath)
-        files, stored = self._own_files(project), self.table("vectors")
-        own = stored.where(F.col("project_id") == project)
         self._put_status(project, "in_progress")
         try:
-            now = files.select("file_path", F.col("last_modified").cast("double").alias("mtime"))
-            changed = C.changed_files(now, V.latest_mtimes(own)).select("file_path", "mtime")
-            gone = V.vanished(own, files.select("project_id", "file_path"))
-            chunks = self.embed(chunk_files(files.join(changed, "file_path", "left_semi"), self.handlers)).join(changed.withColumnRenamed("mtime", "file_mtime"), "file_path")
-            rows = chunks.withColumn("id", F.concat_ws("_", "project_id", "id", "chunk_index")).select(*[f.name for f in stored.schema])
-            files_to_replace = changed.select(F.lit(project).alias("project_id"), "file_path").unionByName(gone)
-            self.write("vectors", V.delete_files(stored, files_to_replace).unionByName(rows))
+            run = self._open_run(project) or self._plan_run(project)
+            while todo := self._batches(project, run).where("batch >= 0 AND status <> 'completed'").orderBy("batch").limit(self.in_flight).collect():
+                self._do_batches(project, run, todo)
+            self._finish_run(project, run)
         except Exception as error:
             self._put_status(project, "failed", str(error)[:500])
             raise
@@ -298,6 +301,79 @@ class Engine:
         self._put_status(project, "completed", None, n, n_files)
         return n
 
+    def _batches(self, project: str, run: str) -> DataFrame:
+        return self.table("index_batches").where((F.col("project_id") == project) & (F.col("run") == run))
+
+    def _open_run(self, project: str) -> str | None:
+        """The run that isn't finished; the ledger's row of batch -1 stands for a whole run."""
+        row = self.table("index_batches").where((F.col("project_id") == project) & (F.col("batch") == -1) & (F.col("status") != "completed")).orderBy("updated", "run").first()
+        return row["run"] if row else None
+
+    def _mark(self, project: str, run: str, rows: list[tuple[int, int]], status: str, attempts: dict[int, int] | None = None, part: str | None = None, error: str | None = None) -> None:
+        """rows: batch and number of files."""
+        now, tries = int(self.clock()), attempts or {}
+        self.put("index_batches", self.spark.createDataFrame([(project, run, b, n, status, tries.get(b, 0), part, error, now) for b, n in rows], SCHEMAS["index_batches"]))
+
+    def _plan_run(self, project: str) -> str:
+        run = uuid.uuid4().hex
+        now = self._own_files(project).select("file_path", F.col("last_modified").cast("double").alias("mtime"))
+        changed = C.changed_files(now, V.latest_mtimes(self.table("vectors").where(F.col("project_id") == project))).select("file_path", "mtime")
+        plan = C.in_batches(changed, self.batch_files).select(F.lit(project).alias("project_id"), F.lit(run).alias("run"), "file_path", "mtime", "batch")
+        self.put("index_plan", plan)
+        sizes = self._plan(project, run).groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()  # a row for each batch
+        if sizes:
+            self._mark(project, run, [(r["batch"], r["n"]) for r in sizes], "pending")
+        self._mark(project, run, [(-1, sum(r["n"] for r in sizes))], "in_progress")  # from here on the run is there
+        return run
+
+    def _plan(self, project: str, run: str) -> DataFrame:
+        return self.table("index_plan").where((F.col("project_id") == project) & (F.col("run") == run))
+
+    def _do_batches(self, project: str, run: str, todo: list) -> None:
+        rows, tries = [(r["batch"], r["files"]) for r in todo], {r["batch"]: r["attempts"] + 1 for r in todo}
+        self._mark(project, run, rows, "in_progress", tries)
+        part = f"{self.folder}/staged/{run}/{uuid.uuid4().hex}"
+        try:
+            plan = self._plan(project, run).where(F.col("batch").isin([b for b, _ in rows])).select("file_path", F.col("mtime").alias("file_mtime"))
+            chunks = self.embed(chunk_files(self._own_files(project).join(plan, "file_path", "left_semi"), self.handlers)).join(plan, "file_path")
+            named = chunks.withColumn("id", F.concat_ws("_", "project_id", "id", "chunk_index"))
+            named.select(*[f.name for f in self.table("vectors").schema]).write.parquet(part)
+        except Exception as error:
+            self._mark(project, run, rows, "failed", tries, None, str(error)[:500])
+            raise
+        self._mark(project, run, rows, "completed", tries, part)
+
+    def _finish_run(self, project: str, run: str) -> None:
+        """Puts the staged vectors in place. Done twice, it gives the same."""
+        stored = self.table("vectors")
+        parts = sorted({r["part"] for r in self._batches(project, run).where("batch >= 0").select("part").distinct().collect()})
+        made = self.spark.read.schema(stored.schema).parquet(*parts) if parts else stored.limit(0)
+        gone = V.vanished(stored.where(F.col("project_id") == project), self._own_files(project).select("project_id", "file_path"))
+        replaced = self._plan(project, run).select("project_id", "file_path").unionByName(gone)
+        self.write("vectors", V.delete_files(stored, replaced).unionByName(made))
+        self._mark(project, run, [(-1, 0)], "completed")
+        fs, _ = self._fs("staged")
+        fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/staged/{run}"), True)
+
+    def pause(self, projectName: str, folderPath: str) -> None:
+        self._put_status(self._project(projectName, folderPath), "paused")
+
+    def run_pending(self) -> dict[str, int]:
+        """One round of a monitor: failed and paused projects are pending again, and pending ones and those without a state
+        are indexed, if they are in vector mode. Vectors by project; one that fails stays failed until the next round."""
+        meta = self.table("index_meta").select(F.col("project_id").alias("id"), "sync_status")
+        projects = self.table("projects").where("vector_mode").join(meta, "id", "left").orderBy("id").collect()
+        out = {}
+        for r in projects:
+            if r["sync_status"] in ("failed", "paused"):
+                self._put_status(r["id"], "pending")
+            if r["sync_status"] in (None, "pending", "failed", "paused"):
+                try:
+                    out[r["id"]] = self.index_vectors(r["name"], r["aliases"][0] if r["aliases"] else "")
+                except Exception:  # noqa: BLE001  its state says what went wrong
+                    continue
+        return out
+
     def _put_status(self, project: str, status: str, error: str | None = None, chunks: int | None = None, files: int | None = None) -> None:
         meta, now = self.table("index_meta"), int(self.clock())
         old = meta.where(F.col("project_id") == project).first()

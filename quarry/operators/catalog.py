@@ -37,6 +37,12 @@ def project_map(projects: DataFrame, files: DataFrame, overviews: DataFrame, ide
     return own.join(overviews, "project_id", "left").join(active(files), "project_id", "left").orderBy("file_path")
 
 
+def in_batches(files: DataFrame, size: int) -> DataFrame:
+    """files (file_path) with batch: about ``size`` files each, dealt by a hash, so that nothing is sorted or numbered in one task."""
+    n = max(1, -(-files.count() // size))
+    return files.withColumn("batch", F.pmod(F.xxhash64("file_path"), F.lit(n)).cast("int"))
+
+
 def index_meta_defaults(meta: DataFrame, now: Column) -> DataFrame:
     """Index meta with what a missing value means."""
     return meta.select(

@@ -218,6 +218,7 @@ class Chunk:
     how: str = ""
     #: lines of imports, of a chunk that holds nothing else
     imports: tuple[str, ...] = ()
+    kind: str = "generic"
 
 
 BOUNDARY_STARTS = ("def ", "class ", "function ", "const ", "let ", "var ")
@@ -320,20 +321,26 @@ def _part(chunk: Chunk, text: str, first: int, last: int, mark: str, how: str) -
     return replace(chunk, content=text, start_line=first, end_line=last, redacted=False, name=chunk.name + mark if chunk.name else None, how=how)
 
 
-#: Cuts a text into (first line, last line, content), and of chunks of imports their lines; chosen by a file's ending.
-Handler = Callable[[str], list[tuple[int, int, str] | tuple[int, int, str, tuple[str, ...]]]]
+#: Cuts a text into (first line, last line, content), and of chunks of imports their lines, then a chunk's kind and its name;
+#: chosen by a file's ending.
+Handler = Callable[[str], list[tuple]]
 
 
 def chunk_file(text: str, path: str, redactor: Redactor, handlers: dict[str, Handler] | None = None) -> list[Chunk]:
     """Cut, by the handler of the file's ending if there is one, else by lines; redact, add imports, join and split; blank
-    chunks are dropped. A handler that fails leaves the file to the lines."""
+    chunks are dropped. A handler that fails leaves the file to the lines, and their kind is fallback."""
     name = path.rsplit("/", 1)[-1]
     cut = (handlers or {}).get("." + name.rsplit(".", 1)[-1].lower() if "." in name else "", cut_lines)
+    kind = "generic"
     try:
         found = cut(text)
     except Exception:  # noqa: BLE001  whatever a handler raises
-        found = cut_lines(text)
-    chunks = [Chunk(content, a, b, imports=tuple(rest[0]) if rest else ()) for a, b, content, *rest in found if content.strip()]
+        found, kind = cut_lines(text), "fallback"
+    chunks = []
+    for a, b, content, *rest in found:
+        if content.strip():
+            imports, own, name = [*rest, *((), kind, None)[len(rest) :]]
+            chunks.append(Chunk(content, a, b, imports=tuple(imports), kind=own, name=name))
     if _redacts(path):
         done = ((c, *redactor.redact(c.content, path)) for c in chunks)
         chunks = [replace(c, content=masked, redacted=bool(found)) for c, masked, found in done]
@@ -346,7 +353,7 @@ def _redacts(path: str) -> bool:
     return not (ending in SAFE_EXTENSIONS or re.search("test|spec|mock", name.lower()) or {"docs", "documentation", "examples"} & set(parts))
 
 
-CHUNK_ROWS = "id long, project_id string, file_path string, chunk_index int, start_line int, end_line int, content string, content_hash string, redacted boolean, name string, how string"
+CHUNK_ROWS = "id long, project_id string, file_path string, chunk_index int, start_line int, end_line int, content string, content_hash string, redacted boolean, name string, how string, chunk_type string"
 
 
 def chunk_files(files: DataFrame, handlers: dict[str, Handler] | None = None) -> DataFrame:
@@ -359,9 +366,9 @@ def chunk_files(files: DataFrame, handlers: dict[str, Handler] | None = None) ->
             rows = []
             for i, project, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for k, c in enumerate(chunk_file(text, path or "", redactor, handlers)):
-                    rows.append((i, project, path, k, c.start_line, c.end_line, c.content, hashlib.sha256(c.content.encode()).hexdigest(), c.redacted, c.name, c.how))
+                    rows.append((i, project, path, k, c.start_line, c.end_line, c.content, hashlib.sha256(c.content.encode()).hexdigest(), c.redacted, c.name, c.how, c.kind))
             if rows:
-                types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string()]
+                types = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string()]
                 names = [f.split()[0] for f in CHUNK_ROWS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -369,6 +376,27 @@ def chunk_files(files: DataFrame, handlers: dict[str, Handler] | None = None) ->
     return read.mapInArrow(work, CHUNK_ROWS)
 
 
+def cut_files(files: DataFrame, handlers: dict[str, Handler]) -> DataFrame:
+    """id, file_path, chunk_type, name, start_line, end_line, content: what the handlers find in files of their endings, before
+    anything is redacted, joined or split."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cut = handlers.get("." + path.rsplit(".", 1)[-1].lower())
+                for a, b, content, *rest in cut(text or "") if cut else ():
+                    _, kind, name = [*rest, *((), "generic", None)[len(rest) :]]
+                    rows.append((i, path, kind, name, a, b, content))
+            if rows:
+                types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+                names = ["id", "file_path", "chunk_type", "name", "start_line", "end_line", "content"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    read = files.where("file_path IS NOT NULL").select(F.col("id").cast("long"), "file_path", "description")
+    return read.mapInArrow(work, "id long, file_path string, chunk_type string, name string, start_line int, end_line int, content string")
+
+
 def chunk_stats(chunks: DataFrame) -> DataFrame:
     """Per language: files, chunks, redacted ones, and how many were joined, split or given their file's imports."""
     how = lambda *kinds: F.count(F.when(F.col("how").isin(*kinds), 1))
@@ -378,6 +406,11 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
+def chunk_kinds(chunks: DataFrame) -> DataFrame:
+    """Per language and kind of chunk: chunks, and the files that have any."""
+    return chunks.groupBy(language(F.col("file_path")).alias("language"), "chunk_type").agg(F.count("*").alias("chunks"), F.countDistinct("id").alias("files"))
+
+
 def redact_files(files: DataFrame) -> DataFrame:
     """id, redacted, redactions, names, high_confidence: whole files, masked. Texts that can't hold a secret stay as they
     are and don't reach Python."""

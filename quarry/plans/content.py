@@ -8,6 +8,7 @@ from quarry.functions import text as X
 from quarry.operators import batches as B
 from quarry.operators import chunking as K
 from quarry.operators import diffs as D
+from quarry.operators import syntax
 from quarry.plans.registry import query
 from quarry.sources import adapters as A
 
@@ -78,6 +79,16 @@ def pf20_pattern_subset(spark, sf):
     return K.pattern_files(A.files(spark, sf)).where("confidence >= 0.6 AND context").select("name", "files")
 
 
+@query(f"WITH {A.CODE} SELECT id, file_path, chunk_type, name, start_line::INT AS start_line, end_line::INT AS end_line FROM parts")
+def tx4b_syntax_chunks(spark, sf):
+    return K.cut_files(A.code_files(spark, sf), syntax.HANDLERS).drop("content")
+
+
+@query(f"WITH {A.CODE} SELECT CASE WHEN ends_with(file_path, '.py') THEN 'python' ELSE 'javascript' END AS language, chunk_type, count(*) AS chunks, count(DISTINCT id) AS files FROM parts GROUP BY 1, 2")
+def ag10_chunk_kinds(spark, sf):
+    return K.chunk_kinds(K.cut_files(A.code_files(spark, sf), syntax.HANDLERS))
+
+
 @query()
 def ag10_chunk_stats(spark, sf):
     return K.chunk_stats(K.chunk_files(A.files(spark, sf)))

@@ -1,6 +1,6 @@
 """Schemas of the catalogue's tables, and the keys by which rows of some are replaced."""
 
-KEYS = {"projects": ["id"], "files": ["project_id", "file_path"], "search": ["project_id", "file_path"], "overviews": ["project_id"], "index_meta": ["project_id"]}
+KEYS = {"projects": ["id"], "files": ["project_id", "file_path"], "search": ["project_id", "file_path"], "overviews": ["project_id"], "index_meta": ["project_id"], "index_batches": ["project_id", "run", "batch"], "index_plan": ["project_id", "run", "file_path"]}
 
 SCHEMAS = {
     "projects": "id string, name string, aliases array<string>, vector_mode boolean",
@@ -13,6 +13,8 @@ SCHEMAS = {
     "merkle_nodes": "project_id string, path string, parent_path string, node_type string, hash string, depth int",
     "index_meta": "project_id string, total_chunks long, indexed_chunks long, total_files long, indexed_files long, last_sync long, sync_status string, error_message string, queue_depth long, processing_rate double, estimated_completion long, metadata map<string,string>, created long, last_modified long",
     "vectors": "id string, project_id string, file_path string, chunk_index int, start_line int, end_line int, content string, content_hash string, redacted boolean, vector array<double>, file_mtime double",
+    "index_plan": "project_id string, run string, file_path string, mtime double, batch int",
+    "index_batches": "project_id string, run string, batch int, files long, status string, attempts int, part string, error string, updated long",
     "health": "monitor long, ts timestamp_ntz, event_id long, healthy boolean, ms double",
     "operations": "operation string, ts timestamp_ntz, event_id long, ok boolean, ms double, attempts long, message string",
 }

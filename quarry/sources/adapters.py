@@ -141,6 +141,32 @@ CHANGES = """raw_changes AS (SELECT 'u' || user_id || '/f' || (event_id % 13) ||
   WHEN event IN ('moved', 'renamed') THEN 'moved' END AS change_type, ts, event_id, dest FROM raw_changes WHERE event IN ('created', 'added', 'modified', 'changed', 'deleted', 'removed', 'moved', 'renamed'))"""
 
 
+PYTHON = 'import os\n\n\ndef f_{id}():\n    """{text}\n    """\n    return 1\n\n\nclass C{id}:\n    def m(self):\n        return 2\n'
+JAVASCRIPT = "import a from 'a';\n\nexport function f_{id}(x) {\n  const t = `{text}`;\n  return t;\n}\n\nclass C{id} {\n  m(x) {\n    return 2;\n  }\n}\n"
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, file_path, description: a program around each document, which is a string of it; Python and JavaScript in turn."""
+    f = files(spark, sf_dir).where("description IS NOT NULL")
+    inside = F.translate("description", '"`$\\\\', "")
+
+    def program(form: str):
+        return F.replace(F.replace(F.lit(form), F.lit("{text}"), inside), F.lit("{id}"), F.col("id").cast("string"))
+
+    even = F.col("id") % 2 == 0
+    path = F.concat(F.lit("src/f"), F.col("id").cast("string"), F.when(even, ".py").otherwise(".js"))
+    return f.where("description not like '%{id}%'").select("id", path.alias("file_path"), F.when(even, program(PYTHON)).otherwise(program(JAVASCRIPT)).alias("description"))
+
+
+#: Where the parts of these programs stand: k is how many line ends the document has.
+CODE = f"""{FILES}, code AS (SELECT id, 'src/f' || id || CASE WHEN id % 2 = 0 THEN '.py' ELSE '.js' END AS file_path, length(description) - length(replace(description, chr(10), '')) AS k, id % 2 = 0 AS py
+  FROM files WHERE description IS NOT NULL AND description NOT LIKE '%{{id}}%'),
+ parts AS (SELECT id, file_path, 'import' AS chunk_type, 'imports' AS name, 1 AS start_line, 1 AS end_line FROM code
+  UNION ALL SELECT id, file_path, 'function', 'f_' || id, CASE WHEN py THEN 4 ELSE 3 END, k + CASE WHEN py THEN 7 ELSE 6 END FROM code
+  UNION ALL SELECT id, file_path, 'class', 'C' || id, k + CASE WHEN py THEN 10 ELSE 8 END, k + 12 FROM code
+  UNION ALL SELECT id, file_path, 'method', 'C' || id || '.m', k + CASE WHEN py THEN 11 ELSE 9 END, k + CASE WHEN py THEN 12 ELSE 11 END FROM code)"""
+
+
 def commit_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """commit, file_path, old, new: commits of up to a hundred files of a project, some of which come, go or get a line."""
     f = files(spark, sf_dir).where("project_id IS NOT NULL AND file_path IS NOT NULL AND description IS NOT NULL")

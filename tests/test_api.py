@@ -108,3 +108,49 @@ def test_listing(spark, tmp_path):
     assert sorted(r.file_path for r in read_texts(spark, str(tmp_path)).collect()) == ["a/x.py", "y.txt"]
     settings = Settings.load("max_search_results: 7\n# x: 1\nbatch_size: 3", {"QUARRY_BATCH_SIZE": "9"})
     assert (settings.max_search_results, settings.batch_size, settings.token_limit) == (7, 9, 32_000)
+
+
+def test_indexing_goes_on_where_it_stopped(spark, tmp_path):
+    """A run that fails in its second job: the batches of the first aren't done again, and the vectors are those of a run
+    without a failure."""
+    own = {"projectName": "Demo", "folderPath": "/w/demo"}
+    seen = []
+
+    def embed(chunks):
+        seen.append({r.file_path for r in chunks.select("file_path").distinct().collect()})
+        if len(seen) == fail_at:
+            raise RuntimeError("lost")
+        return V.embed(chunks, 8)
+
+    def engine(name):
+        e = Engine(spark, str(tmp_path / name), clock=lambda: 1_700_000_000, embed=embed, batch_files=3, in_flight=2)
+        rows = spark.createDataFrame([(k, f"src/f{k}.py", f"def f{k}():\n    return {k}  # number {k} of the files", "h", 1_700_000_000 + k) for k in range(20)], "id long, file_path string, description string, file_hash string, last_modified long")
+        e._put_files(rows.selectExpr("id", f"'{e._project('Demo', '/w/demo')}' project_id", "file_path", "description", "file_hash", "last_modified", "1L version", "cast(null as long) to_be_cleaned"))
+        return e
+
+    vectors = lambda e: sorted((r.id, r.file_path, r.content_hash, r.file_mtime, tuple(r.vector)) for r in e.table("vectors").collect())
+    fail_at = 0
+    whole = engine("whole")
+    assert whole.index_vectors(**own) == 20
+    jobs, fail_at = len(seen), len(seen) + 2
+    broken = engine("broken")
+    with pytest.raises(RuntimeError):
+        broken.index_vectors(**own)
+    meta = broken.table("index_meta").first()
+    assert meta.sync_status == "failed" and meta.error_message == "lost" and broken.table("vectors").count() == 0
+    ledger = {r.batch: r.status for r in broken.table("index_batches").where("batch >= 0").collect()}
+    assert sorted(ledger.values()).count("completed") == 2 and sorted(ledger.values()).count("failed") == 2
+    fail_at = 0
+    again = Engine(spark, str(tmp_path / "broken"), clock=lambda: 1_700_000_000, embed=embed, batch_files=3, in_flight=2)
+    broken.call("enabled_vector_mode", **own, enabled=True)
+    assert list(again.run_pending().values()) == [20]
+    assert vectors(again) == vectors(whole) and not (seen[jobs] & set().union(*seen[jobs + 2 :]))
+    attempts = {r.batch: r.attempts for r in again.table("index_batches").where("batch >= 0").collect()}
+    assert sorted(attempts.values()) == [1] * (len(attempts) - 2) + [2, 2]
+    assert set(r.status for r in again.table("index_batches").collect()) == {"completed"} and again.run_pending() == {}
+    done = len(seen)
+    again.call("update_file_description", **own, filePath="src/f3.py", description="def g():\n    return 'changed since then'")
+    again.clock = lambda: 1_800_000_000
+    again.call("update_file_description", **own, filePath="src/f4.py", description="def g():\n    return 'changed since'")
+    again.pause(**own)
+    assert list(again.run_pending().values()) == [20] and set().union(*seen[done:]) <= {"src/f3.py", "src/f4.py"}
