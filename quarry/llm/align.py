@@ -36,9 +36,10 @@ from quarry.llm.storage import Scratch, forget_plans
 SPACE = "▁"
 WORD = re.compile(rf" +[^ ]*(?:(?<=[\s{SPACE}]) +[^ ]*)*")
 
-#: Rows of a block: texts (ids; words, words a text), words (ids of A and B, how many, shapes), shapes (byte lengths).
-CODED = "block long, kind int, number int, ids array<long>, data array<binary>, a_len array<int>, b_len array<int>"
-TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+#: Rows of a block: texts (ids; words, words a text; the distinct ones of each, ascending, as differences, and how many), words
+#: (ids of A and B, how many, shapes), shapes (byte lengths, parted by commas).
+CODED = "block long, kind int, number int, ids array<long>, data array<binary>, distinct array<binary>, a_len string, b_len string"
+TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.string(), pa.string()]
 TEXTS, WORDS, SHAPES = range(3)
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -152,16 +153,18 @@ class Coder:
             (raw_a, at_a), (raw_b, at_b) = cut(a, a_n, self.pair.len_a), cut(b, b_n, self.pair.len_b)
             keys = zip(pairwise(at_a), pairwise(at_b), strict=True)
             shape = np.array([shapes.setdefault((raw_a[s:e], raw_b[u:v]), len(shapes)) for (s, e), (u, v) in keys], np.int64)
-            yield _rows([(self.block, WORDS, k, None, list(map(_zip, (a, a_n, b, b_n, shape))), None, None)])
+            yield _rows([(self.block, WORDS, k, None, list(map(_zip, (a, a_n, b, b_n, shape))), None, None, None)])
         good = np.concatenate(sound) if sound else np.zeros(0, bool)
-        lengths = lambda raw: np.frombuffer(raw, np.uint16).tolist()
-        listed = [(self.block, SHAPES, k, None, None, lengths(a), lengths(b)) for k, (a, b) in enumerate(shapes) if a]
+        lengths = lambda raw: ",".join(map(str, np.frombuffer(raw, np.uint16).tolist()))
+        listed = [(self.block, SHAPES, k, None, None, None, lengths(a), lengths(b)) for k, (a, b) in enumerate(shapes) if a]
         for k in range(0, len(listed), 10_000):
             yield _rows(listed[k : k + 10_000])
         for k in range(0, len(self.ids), texts):
             own = [w if good[w].all() else w[:0] for w in self.words[k : k + texts]]  # a text with a word whose bytes differ has no tokens
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
-            yield _rows([(self.block, TEXTS, k, self.ids[k : k + texts], [_zip(np.concatenate(own)), _zip(sizes)], None, None)])
+            sets = list(map(np.unique, own))
+            sizes, counts = (np.fromiter(map(len, x), np.int64, len(own)) for x in (own, sets))
+            distinct = [_zip(np.concatenate([np.diff(x, prepend=0) for x in sets])), _zip(counts)]
+            yield _rows([(self.block, TEXTS, k, self.ids[k : k + texts], [_zip(np.concatenate(own)), _zip(sizes)], distinct, None, None)])
 
 
 def code_texts(docs: DataFrame, path_a: str, path_b: str, chars: int) -> DataFrame:
@@ -181,12 +184,13 @@ def code_texts(docs: DataFrame, path_a: str, path_b: str, chars: int) -> DataFra
 
 
 def aligned(shapes: DataFrame) -> DataFrame:
-    """Of shapes (shape, a_len, b_len): shape and its groups in order, each with how many tokens A and B have in it."""
+    """Of shapes (shape, a_len, b_len): shape and how many tokens A and B have in each of its groups, in order, parted by
+    commas as the lengths are."""
     by_shape = Window.partitionBy("shape").orderBy("pos")
     upto, before = by_shape.rowsBetween(Window.unboundedPreceding, 0), by_shape.rowsBetween(Window.unboundedPreceding, -1)
 
     def tokens(lengths: str) -> DataFrame:
-        exploded = shapes.select("shape", F.posexplode(lengths).alias("pos", "len"))
+        exploded = shapes.select("shape", F.posexplode(F.split(lengths, ",").cast("array<int>")).alias("pos", "len"))
         return exploded.select("shape", "pos", F.sum("len").over(upto).alias("end"))
 
     a, b = tokens("a_len"), tokens("b_len")
@@ -199,24 +203,22 @@ def aligned(shapes: DataFrame) -> DataFrame:
 
     linked = sizes(a, "a").join(sizes(b, "b"), ["shape", "g"])
     in_order = linked.groupBy("shape").agg(F.array_sort(F.collect_list(F.struct("g", "a", "b"))).alias("groups"))
-    return in_order.select("shape", F.col("groups.a").alias("groups_a"), F.col("groups.b").alias("groups_b"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return in_order.select("shape", joined("groups.a").alias("groups_a"), joined("groups.b").alias("groups_b"))
 
 
 class Block:
     """A block's texts and words, with the groups of their shapes."""
 
     def __init__(self, coded: pa.Table, shapes: pa.Table):
-        rows = sorted(coded.select(["kind", "number", "ids", "data"]).to_pylist(), key=lambda r: (r["kind"], r["number"]))
+        rows = sorted(coded.to_pylist(), key=lambda r: (r["kind"], r["number"]))
         texts, words = [r for r in rows if r["kind"] == TEXTS], [r for r in rows if r["kind"] == WORDS]
         join = lambda rows, k: np.concatenate([_unzip(r["data"][k]) for r in rows]) if rows else np.zeros(0, np.int64)
-        self.ids = [i for r in texts for i in r["ids"]]
+        self.ids = [i for r in texts for i in r.get("ids") or ()]
         self.words, self.sizes = join(texts, 0), join(texts, 1)
         self.a, self.a_n, self.b, self.b_n, shape = (join(words, k) for k in range(5))
-        number = shapes["number"].combine_chunks().to_numpy() if shapes.num_rows else np.zeros(0, np.int64)
-        lists = [shapes[c].combine_chunks() for c in ("groups_a", "groups_b")] if shapes.num_rows else []
-        flat = [x.flatten().to_numpy().astype(np.int64) for x in lists] or [np.zeros(0, np.int64)] * 2
-        size, start = np.zeros(1 + int(max(shape.max(initial=0), number.max(initial=0))), np.int64), None
-        counts = np.diff(lists[0].offsets.to_numpy()).astype(np.int64) if lists else number
+        number, counts, flat = self._shapes(shapes)
+        size = np.zeros(1 + int(max(shape.max(initial=0), number.max(initial=0))), np.int64)
         size[number] = counts
         start = np.zeros_like(size)
         start[number] = counts.cumsum() - counts
@@ -225,6 +227,15 @@ class Block:
         at = _places(start[shape], self.groups)
         self.word, self.of_a, self.of_b = np.repeat(np.arange(len(shape)), self.groups), flat[0][at], flat[1][at]
 
+    @staticmethod
+    def _shapes(shapes: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Numbers of the shapes, how many groups each has, and the groups' tokens of A and B."""
+        if not shapes.num_rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 2
+        texts = [",".join(shapes[c].to_pylist()) for c in ("groups_a", "groups_b")]
+        counts = np.array(pc.add(pc.count_substring(shapes["groups_a"], ","), 1)).astype(np.int64)
+        return shapes["number"].to_numpy().astype(np.int64), counts, [np.array(t.split(","), np.int64) for t in texts]
+
     def links(self, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, pair of ids as one number, times). Of a group of over ``most`` links each pair of ids is there once."""
         start_a, start_b = self.of_a.cumsum() - self.of_a, self.of_b.cumsum() - self.of_b
@@ -240,7 +251,7 @@ class Block:
         return tuple(map(np.concatenate, zip(*found, strict=True)))
 
     def held(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of ids, ascending, and how many of the texts hold each."""
+        """Pairs of ids, ascending, and how many of the texts hold each; of a block that was made from distinct words."""
         word, key, _ = self.links()
         names, pair = np.unique(key, return_inverse=True)
         order = np.argsort(word, kind="stable")
@@ -248,7 +259,7 @@ class Block:
         held = np.zeros(len(names), np.int64)
         for s, e in pairwise(np.append(0, self.sizes.cumsum()).tolist()):
             if e > s:
-                own = np.unique(self.words[s:e])
+                own = self.words[s:e].cumsum()  # distinct words come as differences
                 held[np.unique(pair[_places(at[own], at[own + 1] - at[own])])] += 1
         return names, held
 
@@ -294,7 +305,7 @@ def _by_block(left: DataFrame, right: DataFrame, work: Callable[[tuple, pa.Table
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(work, schema)
 
 
-def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 4_000_000) -> DataFrame:
+def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 6_000_000) -> DataFrame:
     """A row per row of ``docs`` (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     ``path_a`` names a byte-level BPE vocabulary and ``path_b`` a sentencepiece model, which every worker reads from its
@@ -313,12 +324,13 @@ def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 4_000_00
     shapes = scratch.store(lengths.select("a_len", "b_len").distinct().withColumn("shape", F.monotonically_increasing_id()))
     groups = shapes.join(aligned(shapes), "shape").select("a_len", "b_len", "groups_a", "groups_b")
     known = scratch.store(lengths.join(groups, ["a_len", "b_len"]).select("block", "number", "groups_a", "groups_b"))
-    rows = coded.where(F.col("kind") != SHAPES).select("block", "kind", "number", "ids", "data")
-    held = scratch.store(_by_block(rows, known, _count_texts, "block long, a int, b int, held long"))
+    rows = coded.where(F.col("kind") != SHAPES)
+    sets = rows.select("block", "kind", "number", F.coalesce("distinct", "data").alias("data"))
+    held = scratch.store(_by_block(sets, known, _count_texts, "block long, a int, b int, held long"))
     forget_plans(docs.sparkSession)
     counts = scratch.store(held.groupBy("a", "b").agg(F.sum("held").alias("count")))
     best = counts.groupBy("a").agg(F.max("count").alias("best"))
     rated = scratch.store(counts.join(best, "a").select("a", "b", "count", (F.col("count") == F.col("best")).alias("is_best")))
     in_block = scratch.store(held.select("block", "a", "b").join(rated, ["a", "b"]))
     scratch.keep(coded, known, in_block)
-    return _by_block(rows, known.unionByName(in_block, allowMissingColumns=True), _sum_texts, OUT)
+    return _by_block(rows.select("block", "kind", "number", "ids", "data"), known.unionByName(in_block, allowMissingColumns=True), _sum_texts, OUT)

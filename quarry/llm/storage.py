@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import string
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,8 +66,10 @@ class Scratch:
 
 def forget_plans(spark: SparkSession) -> None:
     """Collects garbage, in Python and on the driver: the files of a shuffle stay on disk as long as its plan is there."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go of may hold more
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def row_of(docs: DataFrame) -> Column:
