@@ -1,11 +1,12 @@
 """SimHash near-duplicates, linked exactly with vantage-point trees.
 
 Equal fingerprints are one point. Of r + 1 bands of bits, two fingerprints that differ in at most r bits agree in one: a
-point goes to one cell for each band, that of the band's value, so it has r + 1 copies however many points there are.
-A cell of too many points is parted by the bits outside of its band in the same way, and so on; only its points get
-more copies. Within a cell, a vantage-point tree parts the points by their Hamming distance from a vantage point at the
-median distance. A point is looked up on both sides where the triangle inequality can't exclude one, down to small
-blocks that are compared in full.
+point goes to one cell for each band, that of the band's first bits, so it has r + 1 copies however many points there
+are. As many first bits are taken as leave a cell some thousand points; a small table is one cell. Within a cell, a
+vantage-point tree parts the points by their Hamming distance from a vantage point at the median distance. A point is
+looked up on both sides where the triangle inequality can't exclude one, down to small blocks that are compared in full.
+A cell of far too many points, which agree in more than these bits, is parted by whole bands of the others, and so on;
+only its points get more copies.
 
 A cell doesn't return the pairs it finds but a spanning forest of them: a group of n close texts costs n links, not n^2.
 Forests are then joined into components by rounds of large-star and small-star, in which counts are pre-aggregated.
@@ -209,19 +210,22 @@ def link_cells(mask: np.ndarray, codes: np.ndarray, most: int, small: int = 64)
     return order[a], order[b]
 
 
-def bands(mask: int, most: int) -> list[int]:
-    """``mask`` with each of ``most`` + 1 bands of the bits outside of it. Neighbouring bits go to different bands."""
+def bands(mask: int, most: int, bits: int = BITS) -> list[int]:
+    """``mask`` with each of ``most`` + 1 bands of the bits outside of it, or the first ``bits`` of each. Neighbouring bits go to
+    different bands."""
     free = [b for b in range(BITS) if not mask >> b & 1]
-    return [mask | sum(1 << b for b in free[k :: most + 1]) for k in range(most + 1)]
+    return sorted({mask | sum(1 << b for b in free[k :: most + 1][:bits]) for k in range(most + 1)})
 
 
-def cells_of(points: DataFrame, most: int, scratch: Scratch, cell: int = 32_768) -> tuple[DataFrame, int]:
+def cells_of(points: DataFrame, most: int, scratch: Scratch, size: int = 8192, cell: int = 32_768) -> tuple[DataFrame, int]:
     """Cells (mask, value, node, fp) of which any two points within ``most`` bits share one, and how many rows there are at most.
 
-    A cell of over ``cell`` points is parted again. A cell has at most 2 ** (bits outside its mask) points, so this ends
-    before a band would be empty."""
-    signed = lambda m: F.lit(m - (1 << BITS) if m >> (BITS - 1) else m)
-    rows, masks = points.count() * (most + 1), bands(0, most)
+    Cells would have about ``size`` points if bits were even. One of over ``cell`` points is parted again. A cell has at
+    most 2 ** (bits outside its mask) points, so this ends before a band would be empty."""
+    signed = lambda m: F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long")
+    n = points.count()
+    masks = bands(0, most, max(0, math.ceil(math.log2(max(n, 1) / size))))
+    rows = n * len(masks)
     cells = points.select("node", "fp", F.explode(F.array(*map(signed, masks))).alias("mask"))
     done = []
     while True:
@@ -241,10 +245,10 @@ def cells_of(points: DataFrame, most: int, scratch: Scratch, cell: int = 32_768)
     return cells, rows
 
 
-def near_links(points: DataFrame, most: int, scratch: Scratch, cell: int = 32_768, shard: int = 262_144) -> DataFrame:
-    """Links (a, b) that join all points within ``most`` bits of each other. points: node (a distinct id), fp. ``cell``
-    bounds the points of a cell; about ``shard`` rows of cells are searched together."""
-    cells, rows = cells_of(points, most, scratch, cell)
+def near_links(points: DataFrame, most: int, scratch: Scratch, size: int = 8192, cell: int = 32_768, shard: int = 65_536) -> DataFrame:
+    """Links (a, b) that join all points within ``most`` bits of each other. points: node (a distinct id), fp. Cells have
+    about ``size`` points and at most ``cell``; about ``shard`` rows of cells are searched together."""
+    cells, rows = cells_of(points, most, scratch, size, cell)
     shards = max(64, -(-rows // shard))
 
     def search(table: pa.Table) -> pa.Table:

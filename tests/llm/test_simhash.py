@@ -79,25 +79,44 @@ def test_links_of_random_and_close_codes(spark):
     for f in fps:
         groups.setdefault(want[f], []).append(numbers[f])
     full = {n: min(g) for g in groups.values() for n in g if n != min(g)}
-    for options in ({}, {"cell": 500, "shard": 1000}, {"cell": 60, "shard": 300}):
+    for options in ({}, {"size": 300, "cell": 500, "shard": 1000}, {"size": 20, "cell": 60, "shard": 300}, {"size": 5000, "cell": 60, "shard": 300}):
         scratch = Scratch(spark, "test")
         got = {r.node: r.component for r in simhash.components(simhash.near_links(points, 3, scratch, **options), scratch).collect()}
         assert got == full
 
 
 def test_copies_of_a_point(spark):
-    """Four cells a point, whatever the number of points; more only for points of cells that are too large."""
+    """Four cells a point, whatever the number of points, or one cell for all of few; more only for points of cells that are
+    too large."""
     rng = np.random.default_rng(2)
     for n in (2000, 20_000, 100_000):
         points = spark.createDataFrame(list(enumerate(rng.integers(-(2**63), 2**63, n).tolist())), "node long, fp long")
         cells, rows = simhash.cells_of(points, 3, Scratch(spark, "test"))
-        assert cells.count() == rows == 4 * n
-    # a third of all points agree in their first 24 bits
-    fps = np.concatenate([rng.integers(0, 2**40, 5000), rng.integers(-(2**63), 2**63, 10_000)]).tolist()
-    points = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
-    cells, rows = simhash.cells_of(points, 3, Scratch(spark, "test"), cell=1000)
-    assert cells.count() <= rows <= 4 * 10_000 + 7 * 5010 + 200
-    assert cells.groupBy("mask", "value").count().agg(F.max("count")).first()[0] <= 1000
+        assert cells.count() == rows == (4 * n if n > 8192 else n)
+        assert n / 3 < 8192 * cells.select("mask", "value").distinct().count() / (rows / n) < 4 * max(n, 8192)
+    # a third of all points agree in their first 24 bits, or in their last
+    for shift in (0, 24):
+        fps = np.concatenate([rng.integers(0, 2**39, 5000) << shift, rng.integers(-(2**63), 2**63, 10_000)]).tolist()
+        points = spark.createDataFrame(list(enumerate(fps)), "node long, fp long")
+        cells, rows = simhash.cells_of(points, 3, Scratch(spark, "test"), size=500, cell=1000)
+        assert cells.count() <= rows <= 4 * 10_000 + 16 * 5500
+        assert cells.groupBy("mask", "value").count().agg(F.max("count")).first()[0] <= 1000
+
+
+def test_trees_search_the_documents(spark, monkeypatch):
+    """Over the documents the links come out of splits of trees, and a point has no more than four copies."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id", "text", "doc_id row")
+    points = simhash.fingerprints(docs, 3).groupBy("fp").agg(F.min("row").alias("node"))
+    n = points.count()
+    for size in (8192, 300):
+        cells, rows = simhash.cells_of(points.select("node", "fp"), 3, Scratch(spark, "test"), size=size)
+        table = cells.toPandas()
+        assert len(table) == rows <= 4 * n
+        splits, split = [], simhash._split
+        monkeypatch.setattr(simhash, "_split", lambda codes: splits.append(len(codes)) or split(codes))
+        simhash.link_cells(table["mask"].to_numpy().view(np.uint64), table["fp"].to_numpy().view(np.uint64), 3)
+        monkeypatch.setattr(simhash, "_split", split)
+        assert len(splits) > 3, size
 
 
 def test_bands_hold_each_bit_once():
