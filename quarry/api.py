@@ -8,6 +8,7 @@ such a table: a change folds the changed files alone. One engine writes at a tim
 
 from __future__ import annotations
 
+import html
 import time
 import uuid
 from collections.abc import Callable
@@ -17,7 +18,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import html_text, token_estimate
+from quarry.functions.text import token_estimate
 from quarry.operators import catalog as C
 from quarry.operators import metrics as M
 from quarry.operators import search as S
@@ -32,7 +33,7 @@ from quarry.sources.folders import walk_files
 def unescaped(value: Any) -> Any:
     """A call's arguments with HTML entities decoded in every text, however deep it lies in lists and maps."""
     if isinstance(value, str):
-        return html_text(value)
+        return html.unescape(value)
     if isinstance(value, dict):
         return {k: unescaped(v) for k, v in value.items()}
     return [unescaped(v) for v in value] if isinstance(value, list) else value

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import fnmatch
+import html
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 
@@ -134,21 +137,15 @@ def table_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
-#: Entities that occur in stored arguments. The ampersand goes last, so that nothing is decoded twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&amp;", "&"))
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else html.unescape(t))
 
 
 def unescape_html(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
-def html_text(text: str) -> str:
-    """``unescape_html`` of one text."""
-    for entity, char in ENTITIES:
-        text = text.replace(entity, char)
-    return text
+    """Named and numeric entities as characters, each once; texts without an ampersand don't reach Python."""
+    marked = F.contains(text, F.lit("&"))
+    return F.when(marked, _unescaped(F.when(marked, text))).otherwise(text)
 
 
 #: What an error's message holds, its class, and whether retrying helps. The first rule that holds counts.

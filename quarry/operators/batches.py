@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.catalog import active
-from quarry.operators.folds import fold
+from quarry.operators.folds import fold, placed
 
 
 def pack_files(files: DataFrame, most_tokens: int = 120_000, most_texts: int = 1000) -> DataFrame:
@@ -32,7 +32,7 @@ def pack_files(files: DataFrame, most_tokens: int = 120_000, most_texts: int = 1
 
 
 def fixed_batches(rows: DataFrame, keys: list[str], size: int, *order: str) -> DataFrame:
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1) / size))
+    return placed(rows, keys, list(order)).withColumn("batch", F.floor((F.col("place") - 1) / size)).drop("place", "n")
 
 
 def batch_totals(rows: DataFrame, keys: list[str], size: str) -> DataFrame:
@@ -57,6 +57,12 @@ def changed_files(diffs: DataFrame) -> DataFrame:
     return heads.select("commit", "section", F.regexp_replace(F.element_at(F.split("line", " "), 3), "^a/", "").alias("file_path"))
 
 
+def all_sections(diffs: DataFrame) -> DataFrame:
+    """commit, section, text."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"])
+    return diff_lines(diffs).where("section > 0").groupBy("commit", "section").agg(F.array_join(ordered, "\n").alias("text"))
+
+
 def sections_of(diffs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: commit, file_path. commit, section, text: the sections of those files."""
     kept = changed_files(diffs).join(wanted, ["commit", "file_path"], "left_semi").select("commit", "section")
@@ -136,14 +142,20 @@ def extract_objects(answers: DataFrame, required: tuple[str, ...] = ()) -> DataF
 def within_budget(files: DataFrame, limit: int) -> DataFrame:
     """files: project_id, position, tokens. The files that fit into a prompt: all of a project's, or the first half of
     them, or the first half of those, until their tokens are within the limit."""
-    order = Window.partitionBy("project_id").orderBy("position")
-    all_rows = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    summed = files.withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("tokens").over(order)).withColumn("n", F.count("*").over(all_rows))
+    summed = placed(files, ["project_id"], ["position"], "tokens")
     # places that a halving can end at: n, n // 2, n // 4, ...
     half = F.floor(F.log2(F.col("n").cast("double") / F.col("place")))
     ends = F.exists(F.sequence(F.lit(0), F.greatest(half, F.lit(0)).cast("int") + 1), lambda k: F.floor(F.col("n") / F.pow(F.lit(2.0), k)) == F.col("place"))
-    kept = F.max(F.when(ends & (F.col("upto") <= limit), F.col("place"))).over(all_rows)
-    return summed.withColumn("kept", kept).where("place <= kept").select("project_id", "position", "tokens")
+    kept = summed.where(ends & (F.col("upto_tokens") <= limit)).groupBy("project_id").agg(F.max("place").alias("kept"))
+    return summed.join(kept, "project_id").where("place <= kept").select("project_id", "position", "tokens")
+
+
+def chunk_prompts(sections: DataFrame, size: int, limit: int = 100_000, overhead: int = 500) -> DataFrame:
+    """sections: commit, section, text. commit, batch, files, tokens, skipped: the prompts of commits that are described in
+    parts, of ``size`` sections each. One that is still over the limit is skipped, and its files get no update."""
+    parts = sections.select("commit", F.floor((F.col("section") - 1) / size).alias("batch"), F.floor(F.char_length("text") / 4).alias("tokens"))
+    sums = parts.groupBy("commit", "batch").agg(F.count("*").alias("files"), (F.sum("tokens") + overhead).alias("tokens"))
+    return sums.withColumn("skipped", F.col("tokens") > limit)
 
 
 def ask_prompt(overviews: DataFrame, question: str, limit: int = 180_000) -> DataFrame:

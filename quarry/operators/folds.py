@@ -8,9 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarry.sources.shared import shared_folder
+
 
 def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple], schema: str) -> DataFrame:
     """rows with the columns of ``schema`` added: ``step`` takes a key's state and the next row, which it may change the state
@@ -31,3 +34,21 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[],
 
     sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
     return sorted_rows.mapInArrow(work, StructType([*rows.schema.fields, *StructType.fromDDL(schema).fields]))
+
+
+def placed(rows: DataFrame, keys: list[str], order: list[str], *sums: str) -> DataFrame:
+    """rows with ``place`` (from 1, in the order of its key), ``n`` (rows of the key), and ``upto_x`` for each x of ``sums``.
+
+    Rows are dealt by ranges of keys and order, numbered within each range, and moved on by what lies before it: a key that
+    holds most rows is spread over many tasks. The ranges are checkpointed, as another run would draw them elsewhere."""
+    shared_folder(rows.sparkSession)  # sets a folder for checkpoints where there is none
+    ranged = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    own = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = ranged.select("*", F.count(F.lit(1)).over(own).alias("_place"), *(F.sum(c).over(own).alias(f"_upto_{c}") for c in sums))
+    parts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_sum_{c}") for c in sums))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    whole = Window.partitionBy(*keys)
+    shifts = parts.select(*keys, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("n"), *(F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums))
+    same = [numbered[k].eqNullSafe(shifts[k]) for k in [*keys, "_range"]]
+    joined = numbered.join(shifts, same)
+    return joined.select(*(numbered[c] for c in rows.columns), (F.col("_place") + F.col("_before")).alias("place"), "n", *((F.col(f"_upto_{c}") + F.col(f"_before_{c}")).alias(f"upto_{c}") for c in sums))

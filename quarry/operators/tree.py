@@ -41,7 +41,7 @@ def _with_parent(nodes: DataFrame) -> DataFrame:
     return nodes.select("project_id", "path", F.when(top != "", top).alias("parent_path"), "node_type", "hash", "depth", "size")
 
 
-def merkle(files: DataFrame, depth: int | None = None) -> DataFrame:
+def merkle(files: DataFrame) -> DataFrame:
     """project_id, path, parent_path, node_type, hash, depth, size. A folder's hash is sha256 of 'name:hash' of its children,
     sorted by name and joined with '|'; its size is that of all files below. Children of the top have a null parent; the
     top itself is ''.
@@ -49,8 +49,7 @@ def merkle(files: DataFrame, depth: int | None = None) -> DataFrame:
     One aggregate per level, from the deepest up, over the leaves of that level and the folders below it alone; levels are
     shared between the branches of the union as exchanges that are reused."""
     leaves = _leaves(files)
-    if depth is None:
-        depth = leaves.agg(F.max("depth")).first()[0] or 0
+    depth = leaves.agg(F.max("depth")).first()[0] or 0
     nodes, folders = leaves, None
     for level in range(depth, 0, -1):
         children = leaves.where(F.col("depth") == level)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from quarry.functions.text import namespace
 from quarry.operators.catalog import latest
@@ -102,10 +103,11 @@ def replace_by_file(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(files, ["project_id", "file_path"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert_vectors(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored rows with those of the same id replaced; of ids that ``new`` has twice one stays; columns that one side lacks
-    are null there."""
-    once = new.dropDuplicates(["id"])
+def upsert_vectors(stored: DataFrame, new: DataFrame, *order: str) -> DataFrame:
+    """Stored rows with those of the same id replaced; of rows that ``new`` has for one id the last by ``order`` stays, or the
+    largest by all columns that have an order; columns that one side lacks are null there."""
+    by = order or [f.name for f in new.schema if f.dataType.typeName() not in ("map", "variant")]
+    once = new.groupBy("id").agg(F.max_by(F.struct(*new.columns), F.struct(*by)).alias("row")).select("row.*")
     return stored.join(once.select("id"), "id", "left_anti").unionByName(once, allowMissingColumns=True)
 
 
@@ -128,12 +130,23 @@ def vanished(vectors: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def embed(chunks: DataFrame, dimensions: int = 256) -> DataFrame:
-    """chunks with ``vector``: hashed words, of length 1. A local stand-in for a remote model."""
+    """chunks with ``vector``: hashed words, of length 1. A local stand-in for a remote model. A batch's words are counted at
+    once."""
     words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(slots, lambda s: s == k)).cast("double"))
-    norm = F.sqrt(dot(F.col("_counts"), F.col("_counts")))
-    return chunks.withColumn("_counts", counts).withColumn("vector", F.when(norm > 0, F.transform("_counts", lambda x: x / norm)).otherwise(F.col("_counts"))).drop("_counts")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(batch.num_columns - 1)
+            sizes = np.diff(own.offsets.to_numpy())
+            at = np.repeat(np.arange(len(sizes)), sizes) * dimensions + own.flatten().to_numpy()
+            counts = np.bincount(at, minlength=len(sizes) * dimensions).reshape(-1, dimensions).astype(float)
+            counts /= np.maximum(np.sqrt((counts * counts).sum(1, keepdims=True)), 1e-300)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * dimensions, pa.int32()), pa.array(counts.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vectors], names=[*batch.schema.names[:-1], "vector"])
+
+    rows = chunks.withColumn("_slots", F.coalesce(slots, F.array().cast("array<int>")))
+    return rows.mapInArrow(work, StructType([*chunks.schema.fields, StructField("vector", ArrayType(DoubleType()))]))
 
 
 def embedding_cost(texts: DataFrame, column: str, per_thousand: float = 0.00013) -> DataFrame:

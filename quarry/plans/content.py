@@ -173,6 +173,12 @@ def jn17_diff_sections(spark, sf):
     return B.sections_of(_commits(spark, sf), wanted)
 
 
+@query(f"""WITH {A.DIFFS}, n AS (SELECT commit, row_number() OVER (PARTITION BY commit ORDER BY p) AS section, length(diff) // 4 AS tokens FROM sections),
+  b AS (SELECT commit, ((section - 1) // 7)::BIGINT AS batch, count(*) AS files, sum(tokens)::BIGINT + 500 AS tokens FROM n GROUP BY 1, 2) SELECT *, tokens > 6000 AS skipped FROM b""")
+def lm3_chunk_prompts(spark, sf):
+    return B.chunk_prompts(B.all_sections(_commits(spark, sf)), 7, 6000)
+
+
 @query(f"WITH {A.FILES} SELECT project_id AS commit, file_path, sha256(description) AS description_hash FROM files WHERE id % 10 = 3 AND to_be_cleaned IS NULL")
 def jn18_current_descriptions(spark, sf):
     """A commit for each project that changes some of its files and one that nothing is known of."""

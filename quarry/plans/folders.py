@@ -30,14 +30,14 @@ MERKLE = _merkle_sql()
 
 @query(f"WITH {MERKLE} SELECT project_id, path, parent_path, node_type, hash, depth, size FROM nodes")
 def ag18_merkle_hashes(spark, sf):
-    return T.merkle(A.files(spark, sf), 3)
+    return T.merkle(A.files(spark, sf))
 
 
 @query(f"""WITH {_merkle_sql("CASE WHEN id % 31 = 0 THEN 'x' ELSE file_hash END", "CASE WHEN id % 31 = 0 THEN 7 ELSE strlen(description) END", "id % 17 <> 2")} SELECT project_id, path, parent_path, node_type, hash, depth, size FROM nodes""")
 def ss4_merkle_update(spark, sf):
     """A tree after some files changed, went, or came: only folders above these are hashed again."""
     f = A.files(spark, sf).where("to_be_cleaned IS NULL")
-    nodes = T.merkle(f.where("id % 23 <> 1 OR id % 17 = 2"), 3)
+    nodes = T.merkle(f.where("id % 23 <> 1 OR id % 17 = 2"))
     marked = f.where("id % 31 = 0 OR id % 17 = 2 OR id % 23 = 1")
     went, again = F.col("id") % 17 == 2, F.col("id") % 31 == 0
     changed = marked.select("project_id", "file_path", F.when(went, None).when(again, "x").otherwise(F.col("file_hash")).alias("file_hash"), F.when(again, "changed").otherwise(F.col("description")).alias("description"))
@@ -47,7 +47,7 @@ def ss4_merkle_update(spark, sf):
 @query(f"""WITH {MERKLE} SELECT project_id, count(*) AS nodes, count(*) FILTER (WHERE node_type = 'file') AS files, count(*) FILTER (WHERE node_type <> 'file') AS folders, max(depth) AS max_depth,
   sum(size) FILTER (WHERE node_type = 'file')::BIGINT AS total_size FROM nodes GROUP BY 1""")
 def ag19_tree_stats(spark, sf):
-    return T.tree_stats(T.merkle(A.files(spark, sf), 3))
+    return T.tree_stats(T.merkle(A.files(spark, sf)))
 
 
 @query(f"""WITH {A.FILES}, a AS (SELECT project_id, file_path AS path, file_hash AS h FROM files WHERE to_be_cleaned IS NULL AND id % 11 <> 0),

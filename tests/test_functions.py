@@ -52,6 +52,8 @@ def test_marker_has_the_length_of_what_it_covers(spark):
 
 def test_small_functions(spark):
     assert one(spark, X.namespace(F.col("n")), n="My App/é-1_x") == "mcp_code_my_app_é-1_x"
+    for t in ("&#65;&#x42; &#8364; &#0; &notin; &lt &ampx &unknown; &#99999999;", "plain", ""):
+        assert one(spark, X.unescape_html(F.col("t")), t=t) == html.unescape(t)
     assert one(spark, X.unescape_html(F.col("t")), t="a &amp;lt; &quot;b&quot; &copy;") == html.unescape("a &amp;lt; &quot;b&quot; &copy;")
     assert one(spark, X.demote_headers(F.col("t")), t="# a\n## b\nx # c") == "## a\n### b\nx # c"
     assert one(spark, X.demote_headers(F.col("t")), t="## a") == "## a"

@@ -14,6 +14,7 @@ from quarry.operators import chunking as K
 from quarry.operators import metrics as M
 from quarry.operators import search as S
 from quarry.operators import tree as T
+from quarry.operators.folds import placed
 from quarry.operators import vectors as V
 from quarry.sources import listing as L
 from quarry.sources.folders import walk_files
@@ -282,3 +283,97 @@ def test_literals_never_hide_a_match(spark):
 
 def test_secret_patterns_compile():
     assert all(re.compile(p[4]) for p in K.PATTERNS)
+
+
+def test_places_in_order_over_ranges(spark):
+    """One key holds most rows, and they are numbered over several tasks."""
+    rng = random.Random(9)
+    rows = [("hot" if k % 10 else f"k{k % 7}" if k % 20 else None, k * 7919 % 5003, rng.randrange(9)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "key string, at long, size long").repartition(6)
+    with_places = placed(df, ["key"], ["at"], "size")
+    got = {(r.key, r.at): (r.place, r.n, r.upto_size) for r in with_places.collect()}
+    for key in {r[0] for r in rows}:
+        own, upto = sorted((at, size) for k, at, size in rows if k == key), 0
+        for place, (at, size) in enumerate(own, 1):
+            upto += size
+            assert got[key, at] == (place, len(own), upto)
+    assert with_places.columns == ["key", "at", "size", "place", "n", "upto_size"] and len(got) == 3000
+
+
+def test_embedding_counts_words(spark):
+    texts = ["a b a", "", None, "Über über ÜBER x_1", "one two three " * 500]
+    got = V.embed(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, content string"), 32).orderBy("k").collect()
+    slots = lambda t: [r.s for r in spark.createDataFrame([(w,) for w in re.findall(r"\w+", (t or "").lower())] or [("",)], "w string").selectExpr("cast(pmod(xxhash64(w), 32) as int) s", "w").where("w <> ''").collect()]
+    for r, t in zip(got, texts, strict=True):
+        counts = [slots(t).count(s) for s in range(32)]
+        norm = sum(c * c for c in counts) ** 0.5 or 1
+        assert r.vector == pytest.approx([c / norm for c in counts])
+
+
+def test_upsert_of_vectors_takes_the_last_of_an_id(spark):
+    stored = spark.createDataFrame([(1, "old", 1.0), (2, "old", 1.0)], "id long, content string, file_mtime double")
+    new = spark.createDataFrame([(1, "b", 3.0), (1, "a", 5.0), (3, "c", 1.0), (3, "d", 1.0)], "id long, content string, file_mtime double")
+    assert sorted(map(tuple, V.upsert_vectors(stored, new, "file_mtime", "content").collect())) == [(1, "a", 5.0), (2, "old", 1.0), (3, "d", 1.0)]
+    assert sorted(map(tuple, V.upsert_vectors(stored, new).collect())) == [(1, "b", 3.0), (2, "old", 1.0), (3, "d", 1.0)]
+
+
+def plain_sizes(chunks, small=50, most=1500):
+    """The size rules for chunks (content, first line, last line), written a second time: runs of small neighbours are one."""
+    runs = []
+    for content, a, b in chunks:
+        last = runs[-1] if runs else None
+        if len(content) < small and last and last[0] and len(last[1][-1][0]) + len(content) + 2 <= most:
+            last[1].append((content, a, b))
+        else:
+            runs.append((len(content) < small, [(content, a, b)]))
+    return [("\n\n".join(c for c, _, _ in own), min(a for _, a, _ in own), max(b for _, _, b in own), len(own)) for _, own in runs]
+
+
+def plain_split(content, most=1500):
+    """Texts of the parts of a large chunk: cut after ends of blocks, long pieces at white space; without any, by lines."""
+    if len(content) <= most:
+        return [content]
+    lines = content.split("\n")
+    ends = [k for k, x in enumerate(lines) if not x.strip() or x.strip().startswith(("def ", "class ", "function ", "const ", "let ", "var ")) or x.strip().endswith(("{", "}", ";"))]
+    if not ends:
+        out, run = [], []
+        for line in lines:
+            if run and sum(len(x) + 1 for x in run) + len(line) + 1 > most:
+                out.append("\n".join(run))
+                run = []
+            run.append(line)
+        return [*out, "\n".join(run)]
+    pieces, at = [], 0
+    for k in ends:
+        pieces.append("\n".join(lines[at : k + 1]) + ("\n" if k + 1 < len(lines) else ""))
+        at = k + 1
+    tail = "\n".join(lines[at:])
+    out = []
+    for piece in pieces:
+        if len(piece) <= most:
+            out.append(piece)
+            continue
+        while len(piece) > most:
+            cut = max(piece.rfind(c, 1, most + 1) for c in " \n\t")
+            cut = cut if cut > 0 else most
+            out.append(piece[:cut])
+            piece = piece[cut:]
+        out.append(piece)
+    return [x for x in [*out, tail] if x.strip()] or [content]
+
+
+def test_size_rules_against_a_second_writing():
+    rng = random.Random(12)
+    words = ["x", "word " * 20, "def f():", "class A {", "}", "", "a = 1;", "y" * 700, "long " * 400, "let z", "\t", "tail"]
+    for _ in range(400):
+        chunks, line = [], 1
+        for _ in range(rng.randrange(1, 9)):
+            content = "\n".join(rng.choice(words) for _ in range(rng.randrange(1, 6)))[: rng.choice([30, 49, 50, 1500, 9000])] or "q"
+            chunks.append(K.Chunk(content, line, line + content.count("\n")))
+            line += content.count("\n") + 1
+        got = K.join_small(chunks)
+        want = plain_sizes([(c.content, c.start_line, c.end_line) for c in chunks])
+        assert [(c.content, c.start_line, c.end_line) for c in got] == [w[:3] for w in want]
+        assert [c.name for c in got] == [f"combined_{n}_chunks" if n > 1 else None for *_, n in want]
+        for c in got:
+            assert [p.content for p in K.split_large(c)] == plain_split(c.content), c.content
