@@ -330,14 +330,17 @@ def common_shingles(marked: DataFrame, shingle: int, sample: int = 16_384, part:
     return found[order], n[order]
 
 
-def prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """Of a set of shingles, ascending, the first in the common order, of which sets that are alike share one."""
+def prefix(held: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, int]:
+    """Of a set of shingles, ascending, the first in the common order, and how many of these are its short prefix. Of sets that
+    are alike, the short prefix of the smaller one and the prefix of the other have one in common: they share at least as
+    much as two sets of the smaller size would have to."""
     at = np.searchsorted(common[0], held)
     known = at < len(common[0])
     known[known] = common[0][at[known]] == held[known]
     count = np.zeros(len(held), np.int64)
     count[known] = common[1][at[known]]
-    return held[np.argsort(count, kind="stable")[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1]]
+    beyond = lambda share: len(held) - math.ceil(share * len(held) - 1e-9) + 1
+    return held[np.argsort(count, kind="stable")[: beyond(similarity)]], beyond(2 * similarity / (1 + similarity))
 
 
 def signature(held: np.ndarray) -> bytes:
@@ -365,18 +368,21 @@ def needed(total: np.ndarray | int, similarity: float) -> np.ndarray:
 
 def pairs_of_runs(key: np.ndarray, node: np.ndarray, size: np.ndarray, similarity: float, small: int, leaders: int) -> tuple[np.ndarray, ...]:
     """Pairs a < b of nodes with the same key whose sizes allow the similarity, and the sum of the sizes; and (key, node,
-    size) of runs in which a node has over ``small`` partners: of those the pairs with ``leaders`` nodes alone."""
-    order = np.lexsort((node, size, key))
-    key, node, size = key[order], node[order], size[order].astype(np.int64)
+    size) of runs in which a node has over ``small`` partners: of those the pairs with ``leaders`` nodes alone. A negative
+    size says that the key isn't in the node's short prefix: it has no pair with nodes that are larger. So a passage that
+    many texts share makes no pairs of texts that it alone wouldn't make alike."""
+    strong, size = size > 0, np.abs(size.astype(np.int64))
+    order = np.lexsort((~strong, node, size, key))
+    key, node, size, strong = key[order], node[order], size[order], strong[order]
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, size = key[fresh], node[fresh], size[fresh]
+    key, node, size, strong = key[fresh], node[fresh], size[fresh], strong[fresh]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     lengths = np.diff(np.append(starts, len(key)))
     # partners come after a node, in the order of sizes
     run, step = np.repeat(np.arange(len(starts)), lengths), int(size.max()) + 1
     most = np.minimum((size / similarity + 1e-9).astype(np.int64), step - 1)
-    partners = np.searchsorted(run * step + size, run * step + most, "right") - np.arange(len(key)) - 1
+    partners = np.where(strong, np.searchsorted(run * step + size, run * step + most, "right") - np.arange(len(key)) - 1, 0)
     large = np.repeat(np.maximum.reduceat(partners, starts) > small, lengths)
     left, right, rest, d = [], [], np.flatnonzero((partners > 0) & ~large), 1
     while len(rest):
@@ -405,10 +411,10 @@ def candidates(marked: DataFrame, shingle: int, similarity: float, keys: int = 5
     total = marked.agg(F.sum("size")).first()[0] or 0
     bits = min(31, max(5, int(total * (1 - similarity) / keys).bit_length()))
 
-    def rows_of(parts: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
+    def rows_of(parts: list[np.ndarray], nodes: list[int], sizes: list[np.ndarray]) -> pa.RecordBatch:
         key, n = np.concatenate(parts), [len(x) for x in parts]
         order = np.argsort(key)
-        key, node, size = key[order], np.repeat(np.array(nodes, np.int64), n)[order], np.repeat(np.array(sizes, np.int32), n)[order]
+        key, node, size = key[order], np.repeat(np.array(nodes, np.int64), n)[order], np.concatenate(sizes)[order]
         at = (key >> np.uint64(64 - bits)).astype(np.int64)
         low = (key << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
         cuts = np.split(np.arange(len(key)), np.flatnonzero(np.diff(at)) + 1)
@@ -421,10 +427,11 @@ def candidates(marked: DataFrame, shingle: int, similarity: float, keys: int = 5
                 own = shingle_set(text, shingle)
                 if not len(own):
                     continue
-                parts.append(prefix(own, common.value, similarity))
+                first, short = prefix(own, common.value, similarity)
+                parts.append(first)
                 nodes.append(node)
-                sizes.append(len(own))
-                held += len(parts[-1])
+                sizes.append(np.where(np.arange(len(first)) < short, len(own), -len(own)).astype(np.int32))
+                held += len(first)
                 if held > 1_000_000:
                     yield rows_of(parts, nodes, sizes)
                     parts, nodes, sizes, held = [], [], [], 0
@@ -585,8 +592,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     Documents are linked when the Jaccard similarity of their distinct shingles is at least ``similarity``; a group is
     what links connect. All such pairs are found, whatever the edits between them, by a prefix-filter join; texts of the
     same set of shingles (a digest of 64 bits) are one node. Each pair of nodes with a shingle of their prefixes in common
-    is verified, half a hash a shingle, or else both are in one group already. Texts without a word are one group. A row's columns
-    stay as they are; of rows repeated in full one stays; null doc_ids come last; an empty table gives an empty result.
+    is verified, half a hash a shingle, or else both are in one group already. Texts that share a passage which makes them
+    less alike than some 0.78 aren't compared for it; texts that share one which makes them all but alike are, each with
+    each of their run, which costs the square of their number. Texts without a word are one group. A row's columns stay as they are; of rows repeated in full one stays; null doc_ids come last; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near")
 

@@ -243,6 +243,39 @@ def test_no_link_near_the_limit_is_lost(spark):
     assert kept(spark, texts) == groups_kept(texts)
 
 
+def test_a_passage_that_many_share_makes_no_pairs(spark):
+    """Texts under one template that differ in a sixth of their shingles: no pair and no run, however many they are; those
+    that are alike beside are still found."""
+    rng = random.Random(11)
+    template = prose(rng, 170)
+    for n in (300, 1500):
+        texts = [" ".join([*template, *(f"own{i}_{k}" for k in range(34))]) for i in range(n)]
+        texts += [t + " more" for t in texts[:20]]
+        sets = [simhash.shingle_set(t.encode(), 5) for t in texts]
+        rows = [(i, len(h), (t,)) for i, (t, h) in enumerate(zip(texts, sets, strict=True))]
+        marked = spark.createDataFrame(rows, "node long, size int, doc struct<text:string>")
+        found = simhash.candidates(marked, 5, 0.8).collect()
+        assert {(r.a, r.b) for r in found if r.run is None} == {(i, n + i) for i in range(20)}
+        assert not [r for r in found if r.run is not None]
+
+
+def test_short_prefixes_meet():
+    """Of all pairs that are alike, the smaller set's short prefix meets the other's prefix."""
+    rng = np.random.default_rng(5)
+    common = np.arange(0, 400, 3, dtype=np.uint64), rng.integers(3, 50, 134)
+    seen = 0
+    for _ in range(4000):
+        a = rng.choice(400, rng.integers(1, 60), replace=False)
+        b = np.concatenate([rng.choice(a, max(1, len(a) - rng.integers(0, 6)), replace=False), rng.choice(1000, rng.integers(0, 6), replace=False) + 400])
+        a, b = (np.unique(x).astype(np.uint64) for x in (a, b))
+        a, b = (a, b) if len(a) <= len(b) else (b, a)
+        if len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
+            (x, short), (y, _) = simhash.prefix(a, common, 0.8), simhash.prefix(b, common, 0.8)
+            seen += 1
+            assert len(np.intersect1d(x[:short], y))
+    assert seen > 500
+
+
 def test_signatures_bound_what_is_shared():
     rng = np.random.default_rng(3)
     for n in (0, 1, 3, 40, 700, 5000):
