@@ -210,6 +210,26 @@ def scrub(text: Column, most: int = 10_000) -> Column:
     return F.substring(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), 1, most)
 
 
+#: Characters that users' input loses.
+DANGEROUS = "\x00\x08\x0b\x0c\x0e\x0f"
+
+
+def sanitised_input(text: Column, most: int = 10_000) -> Column:
+    """Cut after ``most`` characters, which dots show, and without dangerous characters."""
+    return F.translate(F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text), DANGEROUS, "")
+
+
+def valid_request(text: Column) -> Column:
+    """Is the text a JSON-RPC request: an object of version "2.0" whose method is a text that isn't empty?"""
+    request = F.try_parse_json(text)
+
+    def field(name: str) -> Column:
+        value = F.try_variant_get(request, f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(request, f"$.{name}", "string"))
+
+    return F.coalesce((field("jsonrpc") == "2.0") & (field("method") != ""), F.lit(False))
+
+
 def diff_chunk_size(tokens: Column, files: Column, limit: int = 100_000) -> Column:
     """Files of a commit that go into one prompt: 70 % of the limit over the average file, between 5 and 50."""
     size = F.floor(F.lit(0.7 * limit) / F.try_divide(tokens.cast("double"), files))

@@ -124,3 +124,19 @@ def pf19_changed_since(spark, sf):
 def pf22_sanitised_arguments(spark, sf):
     name = F.when(F.col("turn") % 4 == 0, "api_key").otherwise("text")
     return A.table(spark, sf, "conversations").select("conv_id", "turn", X.sanitised(name, F.col("text")).alias("shown"))
+
+
+REQUESTS = ('{{"jsonrpc": "2.0", "method": "{m}", "id": {i}}}', '{{"jsonrpc": 2.0, "method": "{m}"}}', '{{"jsonrpc": "1.0", "method": "{m}"}}', '{{"jsonrpc": "2.0", "method": ""}}', '{{"jsonrpc": "2.0", "method": {i}}}', '["2.0", "{m}"]', '{{"jsonrpc": "2.0", "method": "{m}"', '{{"method": "{m}", "params": {{"jsonrpc": "2.0"}}, "jsonrpc": "2.0"}}')
+
+
+@query("SELECT event_id, event_id % 8 IN (0, 7) AS valid FROM events")
+def pf24_valid_requests(spark, sf):
+    """A request for each event, in eight forms of which two are right."""
+    forms = F.array(*(F.lit(r.replace("{{", "{").replace("}}", "}")) for r in REQUESTS))
+    text = F.replace(F.replace(F.element_at(forms, (F.col("event_id") % 8 + 1).cast("int")), F.lit("{m}"), F.col("event_type")), F.lit("{i}"), F.col("event_id").cast("string"))
+    return A.table(spark, sf, "events").select("event_id", X.valid_request(text).alias("valid"))
+
+
+@query("""SELECT doc_id, sha256(translate(CASE WHEN length(text) > 10000 THEN substr(text, 1, 10000) || '...' ELSE text END, chr(8) || chr(11) || chr(12) || chr(14) || chr(15), '')) AS input_hash FROM documents""")
+def pf24_sanitised_input(spark, sf):
+    return A.table(spark, sf, "documents").select("doc_id", F.sha2(X.sanitised_input(F.col("text")), 256).alias("input_hash"))
