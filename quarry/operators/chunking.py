@@ -111,19 +111,22 @@ LITERALS = {
     "mongodb_url": ("mongodb",), "redis_url": ("redis://",), "rsa_private_key": ("-----begin rsa",), "ssh_private_key": ("-----begin openssh",), "ec_private_key": ("-----begin ec",),
     "env_password": ("password", "passwd", "pwd"), "env_secret": ("secret", "token", "key"), "url_with_credentials": ("://",),
 }
-LONG_RUN = "[A-Za-z0-9/+=]{32}"
+LONG_RUN = "[a-z0-9/+=]{32}"
 #: Letters that are told from i, s and k by case alone, where case is ignored.
 CASE_FROM, CASE_TO = "\u0130\u0131\u017f\u212a", "iisk"
 
 
-def may_hold_secret(text: Column, least: float = 0.5) -> Column:
-    """False where no pattern can match: neither a literal of one nor a long run is there. A null text holds none."""
-    told = F.translate(text, CASE_FROM, CASE_TO)
-    low = F.lower(told)
+def case_folded(text: Column) -> Column:
+    return F.lower(F.translate(text, CASE_FROM, CASE_TO))
+
+
+def may_hold_secret(folded: Column, least: float = 0.5) -> Column:
+    """Of a text that ``case_folded`` has gone over: false where no pattern can match, as neither a literal of one nor a long
+    run is there. A null text holds none."""
     words = sorted({w for name, _, c, *_ in PATTERNS if c >= least for w in LITERALS.get(name, ())})
-    whole = told.rlike(LONG_RUN)
+    whole = folded.rlike(LONG_RUN)
     for w in words:
-        whole = F.contains(low, F.lit(w)) | whole
+        whole = F.contains(folded, F.lit(w)) | whole
     return F.coalesce(whole, F.lit(False))
 
 
@@ -427,7 +430,9 @@ def redact_files(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array(list(map(len, names)), pa.int32()), pa.array(names, pa.list_(pa.string())), pa.array(high, pa.int32())], names=["id", "redacted", "redactions", "names", "high_confidence"])
 
     read = files.where(needs_redaction(F.col("file_path"))).select(F.col("id").cast("long"), "file_path", "description")
-    suspect = may_hold_secret(F.col("description"))
+    # through a generator no expression is copied: a text is folded once, however often it is looked at
+    read = read.select("*", F.explode(F.array(case_folded(F.col("description")))).alias("_folded"))
+    suspect = may_hold_secret(F.col("_folded"))
     none = F.array().cast("array<string>")
     clean = read.where(~suspect).select("id", F.coalesce("description", F.lit("")).alias("redacted"), F.lit(0).alias("redactions"), none.alias("names"), F.lit(0).alias("high_confidence"))
-    return read.where(suspect).mapInArrow(work, "id long, redacted string, redactions int, names array<string>, high_confidence int").union(clean)
+    return read.where(suspect).drop("_folded").mapInArrow(work, "id long, redacted string, redactions int, names array<string>, high_confidence int").union(clean)
