@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import PATTERN, Bpe
 from quarry.llm.kneser_ney import _unzip, _zip
-from quarry.llm.storage import Scratch, forget_plans
+from quarry.llm.storage import Scratch
 
 #: A text after a space, cut before spaces that follow something else than white space and the sign that stands for a space.
 SPACE = "▁"
@@ -318,7 +318,7 @@ def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 4_000_00
     and ''. Null ids stay null, repeated rows are texts each, an empty table gives an empty result, and other columns are
     ignored. A task holds a block of ``chars`` characters, or one text if that is longer.
     """
-    scratch = Scratch(docs.sparkSession, "align")
+    scratch = Scratch(docs.sparkSession, "align", tidy=True)
     coded = scratch.store(code_texts(docs, path_a, path_b, chars))
     lengths = coded.where(F.col("kind") == SHAPES).select("block", "number", "a_len", "b_len")
     shapes = scratch.store(lengths.select("a_len", "b_len").distinct().withColumn("shape", F.monotonically_increasing_id()))
@@ -327,7 +327,6 @@ def link_tokens(docs: DataFrame, path_a: str, path_b: str, chars: int = 4_000_00
     rows = coded.where(F.col("kind") != SHAPES)
     sets = rows.select("block", "kind", "number", F.coalesce("distinct", "data").alias("data"))
     held = scratch.store(_by_block(sets, known, _count_texts, "block long, a int, b int, held long"))
-    forget_plans(docs.sparkSession)
     counts = scratch.store(held.groupBy("a", "b").agg(F.sum("held").alias("count")))
     best = counts.groupBy("a").agg(F.max("count").alias("best"))
     rated = scratch.store(counts.join(best, "a").select("a", "b", "count", (F.col("count") == F.col("best")).alias("is_best")))

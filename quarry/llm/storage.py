@@ -31,18 +31,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: While it is set, the files of a query's shuffles go when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables of one call of an operator. ``drop`` removes one that its result no longer reads."""
+    """Tables of one call of an operator. ``drop`` removes one that its result no longer reads. With ``tidy``, the shuffles of a
+    stored table go as soon as it is written, not when the driver happens to collect its garbage."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.tidy = spark, tidy
         self.root = f"{shared_dir(spark)}/quarry-{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
     def store(self, df: DataFrame, *partition_by: str) -> DataFrame:
         path = f"{self.root}/{self.count}"
         self.count += 1
-        df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
+        before = self.spark.conf.get(CLEANUP, "false")
+        if self.tidy:
+            self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path, partitionBy=list(partition_by) or None)
+        finally:
+            if self.tidy:
+                self.spark.conf.set(CLEANUP, before)
         table = self.spark.read.schema(df.schema).parquet(path)
         table.stored_at = path
         return table
