@@ -127,7 +127,8 @@ def test_odd_rows_through_every_stage(spark, sf_dir, tmp_path):
 
 def test_operators_ignore_other_columns(spark, sf_dir):
     """Each query's operator over the odd rows: a row for each, the same with and without the odd columns."""
-    from quarry.llm import bpe, exact_dedup, kneser_ney, language, licenses, mixing, pii, simhash
+    from quarry.llm import align, bpe, exact_dedup, kneser_ney, language, licenses, mixing, pii, ranked, simhash
+    from quarry.llm.queries import PIECES
 
     docs = spark.createDataFrame(odd_rows(), ODD)
     plain = docs.select("doc_id", "text", "lang", "source")
@@ -135,7 +136,10 @@ def test_operators_ignore_other_columns(spark, sf_dir):
     runs = {
         "radix": exact_dedup.radix_groups, "mix": mixing.pareto_mix, "pii": pii.find_private, "simhash": simhash.near_duplicates, "quality": lambda d: quality.score_quality(d, labels),
         "bpe": lambda d: bpe.encode_digests(d, P.VOCABULARY), "licenses": licenses.scan_licenses, "language": language.identify, "ngrams": kneser_ney.score_documents,
+        "links": lambda d: align.link_tokens(d, P.VOCABULARY, PIECES),
     }
+    items = spark.createDataFrame([(1, "a TIE of words"), (2, "word5 word7")], "item_id long, text string")
+    assert sorted(map(str, ranked.ranked_search(docs, items).collect())) == sorted(map(str, ranked.ranked_search(plain, items).collect()))
     for name, run in runs.items():
         got, want = run(docs).collect(), run(plain).collect()
         assert len(got) == docs.count(), name
