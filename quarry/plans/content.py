@@ -101,7 +101,7 @@ def pf17_needs_redaction(spark, sf):
 
 @query("""SELECT page_id, sha256(replace(replace(replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&')) AS text_hash FROM pages""")
 def sf6_html_decode(spark, sf):
-    return A.table(spark, sf, "pages").select("page_id", F.sha2(X.unescape_html(F.col("html")), 256).alias("text_hash"))
+    return A.table(spark, sf, "pages").select("page_id", F.sha2(X.unescape_html(F.col("html"), closed=True), 256).alias("text_hash"))
 
 
 @query("SELECT event_id, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k FROM events")

@@ -50,6 +50,11 @@ def test_marker_has_the_length_of_what_it_covers(spark):
         assert one(spark, X.redaction_marker("api_key", F.col("m")), m="k" * n) == "[REDACTED:API_KEY]"[:n].ljust(n, "X")
 
 
+def test_entities_without_a_semicolon_stay_if_told_to(spark):
+    for t, want in (("a&amp</title> &amp;", "a&amp</title> &"), ("&lt &ampx; &unknown; &#65;&#x42; &am &", "&lt &ampx; &unknown; AB &am &"), ("&amp;lt; &quot;&copy;", '&lt; "©')):
+        assert one(spark, X.unescape_html(F.col("t"), closed=True), t=t) == want
+
+
 def test_small_functions(spark):
     assert one(spark, X.namespace(F.col("n")), n="My App/é-1_x") == "mcp_code_my_app_é-1_x"
     for t in ("&#65;&#x42; &#8364; &#0; &notin; &lt &ampx &unknown; &#99999999;", "plain", ""):
