@@ -86,3 +86,16 @@ def test_empty_index(spark, tmp_path):
     index.upsert(spark.createDataFrame(rows(5, 5), FILES))
     assert index.ready() and index.docs().count() == 5
     assert InvertedIndex(spark, str(tmp_path / "j")).build(spark.createDataFrame([], FILES)).search("x").count() == 0
+
+
+def test_files_of_equal_scores_go_by_id(spark):
+    """Each file holds the terms as often as the others, but other ones; what a sum of doubles leaves of its order must not rank
+    them."""
+    rng = random.Random(6)
+    times = [rng.randrange(1, 40) for _ in range(200)]
+    held = [(f"t{t}", 1, i, 900, n) for i in range(30) for t, n in enumerate(rng.sample(times, 200))]
+    held = spark.createDataFrame(rng.sample(held, len(held)), "term string, segment int, id long, d int, tf long")
+    queries = spark.createDataFrame([(1, [f"t{t}" for t in range(200)])], "query_id long, terms array<string>")
+    alive = held.select("segment", "id").distinct()
+    found = S.ranked_queries(held, alive, queries, 10**9, 700.0, 30).orderBy("rank").collect()
+    assert [r.id for r in found] == list(range(30))
