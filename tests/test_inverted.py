@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.operators import inverted as I
 from quarry.operators import search as S
 from quarry.operators.catalog import upsert
 from quarry.operators.inverted import InvertedIndex
@@ -99,3 +100,21 @@ def test_files_of_equal_scores_go_by_id(spark):
     alive = held.select("segment", "id").distinct()
     found = S.ranked_queries(held, alive, queries, 10**9, 700.0, 30).orderBy("rank").collect()
     assert [r.id for r in found] == list(range(30))
+
+
+def test_slots_hold_a_bounded_number_of_words_and_are_inverted_whole(spark):
+    """No row for each word moves: texts go to their slots, and a slot of long files has fewer of them."""
+    data = [(k, "p", f"a{k}", "word " * (3 if k < 200 else 900) + f"own{k}", None) for k in range(240)]
+    docs = I.with_slots(S.indexed(spark.createDataFrame(data, FILES)), 100, words=10_000).checkpoint()
+    slots = docs.groupBy("slot").agg(F.count("*").alias("n"), F.sum("d").alias("d")).collect()
+    assert sum(r.n for r in slots) == 240 and max(r.d for r in slots) <= 10_000 and max(r.n for r in slots) > 20
+    held = I.postings_of(docs)
+    assert "Generate" not in held._jdf.queryExecution().executedPlan().toString()
+    words = docs.select("slot", "id", "d", F.posexplode(F.split("pad", " ")).alias("at", "term")).where("term <> '' and term <> '\n'")
+    want = words.groupBy("term", "slot", "id", "d").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    e = F.explode(F.arrays_zip("ids", "ds", "positions")).alias("e")
+    got = held.select("term", "slot", e).select("term", "slot", "e.ids", "e.ds", "e.positions")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    sums = {(r.term, r.slot): (r.n, r.max_tf, r.min_d) for r in held.collect()}
+    by = want.groupBy("term", "slot").agg(F.count("*").alias("n"), F.max(F.size("at")).alias("tf"), F.min("d").alias("d")).collect()
+    assert sums == {(r.term, r.slot): (r.n, r.tf, r.d) for r in by}
