@@ -31,7 +31,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates, over shingles of five words, the document with the smallest id, a null id last. Texts without a
+    """Of near-duplicates, over shingles of five words, the document with the smallest id, a null id last: SimHash and
+    vantage-point trees link what is close, an exact join the rest. Texts without a
     word are one group; a text of fewer words is one shingle."""
     return simhash.keep_one(docs, shingle=5)
 

@@ -12,8 +12,8 @@ A cell doesn't return the pairs it finds but a spanning forest of them: a group
 Forests are then joined into components by rounds of large-star and small-star, in which counts are pre-aggregated.
 
 Fingerprints of shingles that differ in 3 of 64 bits belong to texts that are all but equal. Near-duplicates down to a
-Jaccard similarity of 0.8 of five-word shingles (``keep_one``) are found without fingerprints, by an exact prefix-filter
-join: in one order of all shingles, rare ones first, two such texts share one of their first n - ceil(0.8 n) + 1.
+Jaccard similarity of 0.8 of five-word shingles (``keep_one``) are linked by the trees first, as far as their fingerprints
+are close, each link verified; the pairs that are left apart are found by an exact prefix-filter join: in one order of all shingles, rare ones first, two such texts share one of their first n - ceil(0.8 n) + 1.
 """
 
 from __future__ import annotations
@@ -586,12 +586,31 @@ def run_links(runs: DataFrame, joined: DataFrame, marked: DataFrame, points: Dat
     return scratch.store(cells.groupBy("cell").cogroup(sets.groupBy("cell")).applyInArrow(search, "a long, b long"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def close_pairs(points: DataFrame, most: int, scratch: Scratch) -> DataFrame:
+    """Pairs a < b of nodes that the trees link, and the sum of their sizes: a spanning forest of the fingerprints within
+    ``most`` bits, and each node with the first of its own fingerprint. points: node, fp, size."""
+    leads = scratch.store(points.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")))
+    between = near_links(leads.select(F.col("lead").alias("node"), "fp"), most, scratch).select("a", "b")
+    within = points.join(leads.where("n > 1"), "fp").where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    both = scratch.store(between.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    of_a, of_b = (points.select(F.col("node").alias(c), F.col("size").cast("long").alias(f"n_{c}")) for c in ("a", "b"))
+    return both.join(of_a, "a").join(of_b, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"))
+
+
+def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The pairs (a, b, n) whose nodes ``joined`` leaves in different components."""
+    of_a, of_b = (joined.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in ("a", "b"))
+    named = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return named.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "n")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, most: int = 3) -> DataFrame:
     """The rows of ``docs``, one of each group of near-duplicates: that with the smallest doc_id.
 
     Documents are linked when the Jaccard similarity of their distinct shingles is at least ``similarity``; a group is
-    what links connect. All such pairs are found, whatever the edits between them, by a prefix-filter join; texts of the
-    same set of shingles (a digest of 64 bits) are one node. Each pair of nodes with a shingle of their prefixes in common
+    what links connect. SimHash fingerprints of the sets within ``most`` bits are found by vantage-point trees, and what they
+    link is verified. All pairs that this leaves apart are found, whatever the edits between them, by a prefix-filter join;
+    texts of the same set of shingles (a digest of 64 bits) are one node. Each pair of nodes with a shingle of their prefixes in common
     is verified, half a hash a shingle, or else both are in one group already. Texts that share a passage which makes them
     less alike than some 0.78 aren't compared for it; texts that share one which makes them all but alike are, each with
     each of their run, which costs the square of their number. Texts without a word are one group. A row's columns stay as they are; of rows repeated in full one stays; null doc_ids come last; an empty table gives an empty result.
@@ -601,15 +620,19 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     def mark(texts: list[bytes]) -> list[pa.Array]:
         sets = [shingle_set(t, shingle) for t in texts]
         digests = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets], np.uint64)
-        return [pa.array(digests.view(np.int64)), pa.array([len(h) for h in sets], pa.int32()), pa.array([signature(h) for h in sets], pa.binary())]
+        prints = np.array([_majority(h) if len(h) else 0 for h in sets], np.uint64)
+        return [pa.array(digests.view(np.int64)), pa.array([len(h) for h in sets], pa.int32()), pa.array([signature(h) for h in sets], pa.binary()), pa.array(prints.view(np.int64))]
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), row_of(docs))
-    marked = scratch.store(_adding(rows, ["doc_id", "row", "doc"], "node long, size int, sig binary", mark))
+    marked = scratch.store(_adding(rows, ["doc_id", "row", "doc"], "node long, size int, sig binary, fp long", mark))
+    points = scratch.store(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("fp").alias("fp")))
+    near = scratch.store(possible(close_pairs(points, most, scratch), points, similarity))
+    near = verified(near, marked, points, shingle, similarity, scratch)
     found = scratch.store(candidates(marked, shingle, similarity))
-    points = scratch.store(marked.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("sig").alias("sig")))
-    pairs = scratch.store(possible(found.where("run IS NULL").select("a", "b", "n").distinct(), points, similarity))
+    left = apart(found.where("run IS NULL").select("a", "b", "n").distinct(), components(near, scratch))
+    pairs = scratch.store(possible(left, points, similarity))
     runs = found.where("run IS NOT NULL").select("run", F.col("a").alias("node"), "n")
-    links = verified(pairs, marked, points, shingle, similarity, scratch)
+    links = near.union(verified(pairs, marked, points, shingle, similarity, scratch))
     joined = components(links, scratch)
     more = run_links(runs, joined, marked, points, shingle, similarity, scratch)
     if more is not None:

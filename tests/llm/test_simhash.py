@@ -331,3 +331,13 @@ def test_texts_of_one_repeated_word_are_told_apart(spark):
     want = groups_kept(texts)
     assert len(want) == 6
     assert kept(spark, texts) == want
+
+
+def test_trees_link_near_copies_of_the_pipeline(spark, monkeypatch):
+    """Fingerprints and vantage-point trees link what is close; the join of prefixes only adds to them."""
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(4000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(["more", *words]), " ".join(f"x{rng.randrange(10_000)}" for _ in range(4000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash, "candidates", lambda marked, *_: spark.createDataFrame([], "run long, a long, b long, n long"))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, 3}
