@@ -15,6 +15,14 @@ from pyspark.sql.types import StructType
 from quarry.sources.shared import shared_folder
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows, so that only a slice's texts are Python objects at a time."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+
 def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple], schema: str) -> DataFrame:
     """rows with the columns of ``schema`` added: ``step`` takes a key's state and the next row, which it may change the state
     by, and returns their values. ``start`` makes the state of a key."""

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from quarry.operators.folds import pieces
+
 FILES = "file_path string, size long, modified long"
 CHANGES = "change string, file_path string, size long, modified long"
 SNAPSHOT = pa.schema([("path", pa.string()), ("size", pa.int64()), ("time", pa.int64())])
@@ -135,12 +137,18 @@ class FolderChangesReader(DataSourceStreamReader):
         names = [f.base_name for f in fs.get_file_info(pf.FileSelector(at, allow_not_found=True))]
         return sorted(int(n.removesuffix(".parquet")) for n in names if n.removesuffix(".parquet").isdigit())
 
-    def _load(self, number: int) -> Seen:
+    def _load(self, number: int, part: int = 0, parts: int = 1) -> Seen:
+        """A snapshot, or of so many parts of it one; rows of the others are let go of as they are read."""
         if not number:
             return {}
         fs, at = self.state._open()
-        t = pq.read_table(f"{at}/{number}.parquet", filesystem=fs)
-        return dict(zip(t["path"].to_pylist(), zip(t["size"].to_pylist(), t["time"].to_pylist(), strict=True), strict=True))
+        seen: Seen = {}
+        with fs.open_input_file(f"{at}/{number}.parquet") as file:
+            for t in pq.ParquetFile(file).iter_batches(10_000):
+                for path, size, time in zip(*(t.column(c).to_pylist() for c in ("path", "size", "time")), strict=True):
+                    if parts == 1 or zlib.crc32(path.encode()) % parts == part:
+                        seen[path] = (size, time)
+        return seen
 
     def _save(self, number: int, seen: Seen) -> None:
         fs, at = self.state._open()
@@ -177,9 +185,8 @@ class FolderChangesReader(DataSourceStreamReader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         s, e, k, parts = partition.value
-        for change, path, size, time in difference(self._load(s), self._load(e)):
-            if zlib.crc32(path.encode()) % parts == k:
-                yield change, path, size, time // 1_000_000_000
+        for change, path, size, time in difference(self._load(s, k, parts), self._load(e, k, parts)):
+            yield change, path, size, time // 1_000_000_000
 
     def commit(self, end: dict) -> None:
         fs, at = self.state._open()
@@ -222,7 +229,7 @@ def write_files(rows: DataFrame, folder: str) -> None:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = Folder({"path": uri})._open()
         made: set[str] = set()
-        for batch in batches:
+        for batch in pieces(batches):
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 at = f"{root}/{path}"
                 if (parent := at.rpartition("/")[0]) not in made:

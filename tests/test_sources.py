@@ -138,3 +138,21 @@ def test_ignore_lists_against_a_walk(spark, seed):
     got = I.ignored(spark.createDataFrame([(q, p) for p in paths for q in ("p", "other")], "project_id string, file_path string"), rules).collect()
     assert {r.file_path: r.ignored for r in got if r.project_id == "p"} == {p: plain(p, lists) for p in paths}
     assert not any(r.ignored for r in got if r.project_id == "other") and len(got) == 2 * len(paths)
+
+
+def test_a_task_holds_its_part_of_a_snapshot(tmp_path):
+    reader = FolderChangesReader({"path": str(tmp_path), "state": str(tmp_path / "s")})
+    seen = {f"a/f{k}.py": (k, 5) for k in range(1000)}
+    reader._save(1, seen)
+    parts = [reader._load(1, k, 8) for k in range(8)]
+    assert max(map(len, parts)) < 250 and sum(map(len, parts)) == 1000 and {p: v for part in parts for p, v in part.items()} == seen == reader._load(1)
+
+
+def test_batches_are_worked_on_in_pieces():
+    import pyarrow as pa
+
+    from quarry.operators.folds import pieces
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["x"])
+    parts = list(pieces(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) == 128 and [x for p in parts for x in p.column(0).to_pylist()] == list(range(1000))
