@@ -17,16 +17,12 @@ from quarry.sources.listing import read_texts
 from quarry.sources.shared import shared_folder, snapshot
 
 
-def _files(spark, sf):
-    return A.files(spark, sf).where("file_path IS NOT NULL").select("id", "file_path", F.col("description").alias("content"))
-
-
 def _folder(spark, sf) -> str:
-    """A folder that holds a file for each document, written once for each state of the tables."""
-    root = f"{shared_folder(spark)}/quarry-files-{snapshot(spark, f'{sf}/documents.parquet', f'{sf}/labels.parquet')}"
+    """A folder that holds a file for each document, written once for each state of the table."""
+    root = f"{shared_folder(spark)}/quarry-files-{snapshot(spark, f'{sf}/documents.parquet')}"
     fs, at = Folder({"path": root})._open()
     if fs.get_file_info(f"{at}/written").type == pf.FileType.NotFound:
-        write_files(_files(spark, sf), f"{root}/files")
+        write_files(A.contents(spark, sf), f"{root}/files")
         with fs.open_output_stream(f"{at}/written"):
             pass
     return f"{root}/files"
@@ -52,7 +48,7 @@ def sc12_read_files(spark, sf):
   UNION ALL SELECT 1, 'deleted', file_path, size FROM f WHERE id % 6 = 1 UNION ALL SELECT 1, 'changed', file_path, size + 7 FROM f WHERE id % 6 = 2""")
 def sc23_folder_changes(spark, sf):
     """Two runs of a stream that follows a folder, from one checkpoint; files come, go and change between them."""
-    root, f = f"{shared_folder(spark)}/quarry-watched-{uuid.uuid4().hex}", _files(spark, sf)
+    root, f = f"{shared_folder(spark)}/quarry-watched-{uuid.uuid4().hex}", A.contents(spark, sf)
     write_files(f.where("id % 3 <> 0"), f"{root}/files")
 
     def run() -> None:

@@ -4,7 +4,8 @@ A folder is anything that Arrow's file systems reach from driver and executors:
 matches a pattern of ``pruned`` are never entered.
 
 ``folder`` parts the tree into subfolders, each a task's; the driver sees names of folders down to the level where there are
-enough, and no files. ``folder_changes`` polls: an offset is the number of a snapshot (path, size, time of every file) in the
+enough, and no files. Of a mounted path no listing is held whole, however many files a folder has. ``read_files`` reads listed
+files where Spark's own reader would list them all on the driver. ``folder_changes`` polls: an offset is the number of a snapshot (path, size, time of every file) in the
 folder ``state``, which has to outlive the query as its checkpoint does. The rows between two offsets are the difference of
 their snapshots, so that a batch which runs again gives the same rows. ``maxFiles`` bounds what a batch takes on; what is
 over waits for the next.
@@ -12,6 +13,8 @@ over waits for the next.
 
 from __future__ import annotations
 
+import os
+import stat
 import zlib
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -44,19 +47,38 @@ class Folder:
         fs, at = pf.FileSystem.from_uri(self.uri) if "://" in self.uri or self.uri.startswith("file:") else (pf.LocalFileSystem(), self.uri)
         return fs, at.rstrip("/")
 
-    def entries(self, inner: str) -> tuple[list[str], list[tuple[str, int, int]]]:
-        """Subfolders to enter and files (path, size, time in ns) of one folder, relative to the root. A folder that has gone
-        meanwhile is empty."""
+    def _scan(self, inner: str, files: bool) -> Iterator[tuple[str, bool, int, int]]:
+        """(path, whether a folder, size, time in ns) of what lies in one folder, relative to the root, files only if they are
+        asked for. What has gone meanwhile isn't there."""
         fs, root = self._open()
-        folders, files = [], []
-        for f in fs.get_file_info(pf.FileSelector(f"{root}/{inner}".rstrip("/") or "/", allow_not_found=True)):
-            path = f"{inner}/{f.base_name}".lstrip("/")
-            if f.type == pf.FileType.Directory:
-                if not any(fnmatch(f.base_name, p) for p in self.pruned):
-                    folders.append(path)
-            elif f.type == pf.FileType.File:
-                files.append((path, f.size, f.mtime_ns or 0))
-        return sorted(folders), sorted(files)
+        at = f"{root}/{inner}".rstrip("/") or "/"
+        if not isinstance(fs, pf.LocalFileSystem):
+            for f in fs.get_file_info(pf.FileSelector(at, allow_not_found=True)):
+                if f.type == pf.FileType.Directory or files and f.type == pf.FileType.File:
+                    yield f"{inner}/{f.base_name}".lstrip("/"), f.type == pf.FileType.Directory, f.size or 0, f.mtime_ns or 0
+            return
+        try:
+            found = os.scandir(at)
+        except FileNotFoundError:
+            return
+        with found:
+            for f in found:
+                if f.is_dir():
+                    yield f"{inner}/{f.name}".lstrip("/"), True, 0, 0
+                elif files:
+                    try:
+                        s = f.stat()
+                    except FileNotFoundError:
+                        continue
+                    if stat.S_ISREG(s.st_mode):
+                        yield f"{inner}/{f.name}".lstrip("/"), False, s.st_size, s.st_mtime_ns
+
+    def entered(self, path: str) -> bool:
+        return not any(fnmatch(path.rpartition("/")[2], p) for p in self.pruned)
+
+    def folders(self, inner: str) -> list[str]:
+        """Subfolders to enter."""
+        return sorted(path for path, is_folder, _, _ in self._scan(inner, False) if is_folder and self.entered(path))
 
     def parts(self, enough: int) -> list[tuple[str, bool]]:
         """(folder, whether with all below it), disjoint, together the tree: at least so many if it has them."""
@@ -64,16 +86,17 @@ class Folder:
         while level and len(level) + len(done) < enough:
             done += [(f, False) for f in level]
             with ThreadPoolExecutor(16) as pool:
-                level = [f for folders, _ in pool.map(self.entries, level) for f in folders]
+                level = [f for folders in pool.map(self.folders, level) for f in folders]
         return done + [(f, True) for f in level]
 
     def walk(self, inner: str, below: bool) -> Iterator[tuple[str, int, int]]:
         todo = [inner]
         while todo:
-            folders, files = self.entries(todo.pop())
-            yield from files
-            if below:
-                todo += folders
+            for path, is_folder, size, time in self._scan(todo.pop(), True):
+                if not is_folder:
+                    yield path, size, time
+                elif below and self.entered(path):
+                    todo.append(path)
 
     def snapshot(self) -> Seen:
         with ThreadPoolExecutor(16) as pool:
@@ -216,6 +239,39 @@ def walk_files(spark: SparkSession, folder: str, pruned: tuple[str, ...] = (), m
     return found if most is None else found.orderBy("file_path").limit(most)
 
 
+def slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """(first, past the last) of runs that sum up to at most so much, or are one."""
+    first, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > first and held + size > most:
+            yield first, k
+            first, held = k, 0
+        held += size
+    if sizes:
+        yield first, len(sizes)
+
+
+def read_files(rows: DataFrame, folder: str, most: int = 16 << 20) -> DataFrame:
+    """file_path and content (bytes) of rows of file_path and size, as a listing has them. Paths are dealt to tasks anew, as a
+    folder's are listed in one; a task holds the contents of ``most`` bytes, or of one file."""
+    context = rows.sparkSession.sparkContext
+    parts = max(4 * context.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = Folder({"path": folder})._open()
+
+        def read(path: str) -> bytes:
+            with fs.open_input_stream(f"{root}/{path}") as file:
+                return file.read()
+
+        for batch in batches:
+            for first, last in slices(batch.column(1).to_pylist(), most):
+                paths = batch.column(0).slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([paths, pa.array(map(read, paths.to_pylist()), pa.binary())], names=["file_path", "content"])
+
+    return rows.select("file_path", "size").repartition(parts, "file_path").mapInArrow(work, "file_path string, content binary")
+
+
 def watch_files(spark: SparkSession, folder: str, state: str, pruned: tuple[str, ...] = (), most: int = 0) -> DataFrame:
     """A stream of change (created, changed, deleted), file_path, size, modified."""
     spark.dataSource.register(FolderChanges)

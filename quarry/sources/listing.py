@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields
+from fnmatch import translate
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.folders import read_files, walk_files
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -26,18 +30,27 @@ class Settings:
         return cls(**{f.name: type(f.default)(values[f.name]) for f in fields(cls) if f.name in values})
 
 
+def _either(pattern: str) -> list[str]:
+    """A pattern with {a,b} as patterns without."""
+    if braces := re.search(r"\{([^{}]*)\}", pattern):
+        return [p for part in braces[1].split(",") for p in _either(pattern[: braces.start()] + part + pattern[braces.end() :])]
+    return [pattern]
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """file_path (relative), size, modified: all files below a folder, contents unread."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    relative = F.regexp_replace("path", r"^[a-z]+:/*", "/").substr(F.lit(len(folder.rstrip("/")) + 2), F.lit(10_000))
-    return found.select(relative.alias("file_path"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("modified"))
+    """file_path (relative), size, modified: all files below a folder, listed in tasks, contents unread. The pattern is one of
+    names, with * ? [a-z] [^a] {a,b}."""
+    found = walk_files(spark, folder)
+    if pattern == "*":
+        return found
+    forms = "|".join(translate(p.replace("[^", "[!")).removesuffix(r"\Z").removesuffix(r"\z") for p in _either(pattern))
+    return found.where(F.substring_index("file_path", "/", -1).rlike(rf"^(?:{forms})\z"))
 
 
 def read_texts(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """file_path, content: whole files as text; bytes that aren't UTF-8 become replacement marks, blank files go."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
-    relative = F.regexp_replace("path", r"^[a-z]+:/*", "/").substr(F.lit(len(folder.rstrip("/")) + 2), F.lit(10_000))
-    return found.select(relative.alias("file_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")).where(F.trim("content") != "")
+    found = read_files(list_files(spark, folder, pattern), folder)
+    return found.select("file_path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")).where(F.trim("content") != "")
 
 
 def file_hash(length, content, modified):

@@ -1,13 +1,15 @@
 import os
 import random
 import re
+import tracemalloc
 from fnmatch import fnmatch
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import ignore as I
-from quarry.sources.folders import FolderChangesReader, FolderReader, difference, walk_files, watch_files, write_files
+from quarry.sources.folders import FolderChangesReader, FolderReader, difference, slices, walk_files, watch_files, write_files
+from quarry.sources.listing import list_files, read_texts
 
 
 def put(root, path, text="x"):
@@ -156,3 +158,57 @@ def test_batches_are_worked_on_in_pieces():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["x"])
     parts = list(pieces(iter([batch, batch.slice(0, 0)])))
     assert max(p.num_rows for p in parts) == 128 and [x for p in parts for x in p.column(0).to_pylist()] == list(range(1000))
+
+
+def test_files_are_listed_and_read_in_tasks(spark, tmp_path):
+    want = {}
+    for k in range(600):
+        (tmp_path / "flat").mkdir(exist_ok=True)
+        want[f"flat/f{k}.py"] = f"t{k} " * (k % 50)
+        put(tmp_path, f"flat/f{k}.py", want[f"flat/f{k}.py"])
+    odd = {"__init__.py": "a", ".env": "b", "_d/x": "c", "a b%20+#.txt": "ü\n", "d/ü.md": "﻿z", "blank": "  ", "empty": ""}
+    for path, text in odd.items():
+        put(tmp_path, path, text)
+    (tmp_path / "bytes").write_bytes(b"a\xff\x00b")
+    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
+    texts = read_texts(spark, str(tmp_path))
+    assert texts.inputFiles() == []  # no list of files on the driver
+    got = {r.file_path: r.content for r in texts.collect()}
+    assert got == {p: t for p, t in (want | odd).items() if t.strip(" ")} | {"bytes": "a�\0b"}
+    assert {r.file_path: r.content for r in read_texts(spark, f"file://{tmp_path}/").collect()} == got
+    assert {r.file_path: r.size for r in list_files(spark, str(tmp_path)).collect()} == {p: len(t.encode()) for p, t in (want | odd).items()} | {"bytes": 4}
+
+
+def test_patterns_of_names(spark, tmp_path):
+    for name in ("a.py", "b.md", "c.txt", "d/a.py", "d/ab.py", "d/a.pyc", "a.py/x"):
+        put(tmp_path / str(name == "a.py/x"), name)
+    found = lambda p: sorted(r.file_path.partition("/")[2] for r in list_files(spark, str(tmp_path), p).collect())
+    hadoop = lambda p: sorted(r.path.removeprefix(f"file:{tmp_path}/").partition("/")[2] for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", p).load(str(tmp_path)).select("path").collect())
+    for pattern in ("*", "*.py", "?.py", "*.{py,md}", "{a,c}.{py,txt}", "[ab].*", "[^a].*", "a.py", "x"):
+        assert found(pattern) == hadoop(pattern), pattern
+
+
+def test_driver_holds_no_listing_of_a_flat_folder(tmp_path):
+    for k in range(3000):
+        put(tmp_path, f"flat/file_of_a_long_name_{k:080d}")
+    put(tmp_path, "flat/in/ner")
+    reader = FolderReader({"path": str(tmp_path)})
+    tracemalloc.start()
+    parts = [p.value for p in reader.partitions()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parts == [("", False), ("flat", False), ("flat/in", False)] and peak < 200_000
+
+
+def test_slices_of_bytes():
+    assert list(slices([], 10)) == [] and list(slices([50], 10)) == [(0, 1)]
+    assert list(slices([4, 6, 1, 99, 0, 0, 10, 1], 10)) == [(0, 2), (2, 3), (3, 4), (4, 7), (7, 8)]
+
+
+def test_files_are_made_without_a_join(spark, sf_dir):
+    from quarry.sources import adapters as A
+
+    made = A.contents(spark, sf_dir)
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    want = A.files(spark, sf_dir).where("file_path IS NOT NULL").select("id", "file_path", "description")
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
